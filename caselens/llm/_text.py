@@ -107,6 +107,6 @@ def ngrams(hashes: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, n
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     total = np.zeros(m, np.uint64)
     for j in range(n):
-        total += hashes[j : j + m] * np.uint64((2 * j + 1) * 0xD6E8FEB86659FD93 & (1 << 64) - 1)
+        total += hashes[j : j + m] * np.uint64(pow(0xD6E8FEB86659FD93, 2 * j + 3, 1 << 64))
     first = np.flatnonzero(owner[:m] == owner[n - 1 :])
     return mix(total[first]), first
