@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, jaccard_join, token_counts, token_output
+from . import decontaminate, exact_dedup, jaccard_join, mixing, token_counts, token_output
 
 
 def _tokenizer(name: str) -> str:
@@ -17,6 +17,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture(_table(spark, sf_dir, "documents"))
+
+
 def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.token_output(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
 
@@ -37,7 +41,23 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_join(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_token_output, op7_benchmark_decontamination, op8_exact_dedup, op9_token_counts, op10_ngram_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op2_source_mixing, op4_token_output, op7_benchmark_decontamination, op8_exact_dedup, op9_token_counts, op10_ngram_jaccard_join)}
+
+_OP2 = r"""
+WITH d AS (SELECT doc_id, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size, CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS skey, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+s AS (SELECT skey, CAST(sum(size) AS BIGINT) AS s, CAST((row_number() OVER (ORDER BY skey) - 1) % 3 + 1 AS BIGINT) AS w, row_number() OVER (ORDER BY skey) - 1 AS kind FROM d GROUP BY skey),
+r AS (SELECT *, CAST(3 * s AS DOUBLE) / w AS ratio FROM s),
+l AS (SELECT *, CAST(sum(s) OVER () - coalesce(sum(3 * s) OVER upto, 0) AS DOUBLE) / CAST(sum(w) OVER () - coalesce(sum(w) OVER upto, 0) AS DOUBLE) AS level FROM r WINDOW upto AS (ORDER BY ratio, skey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+t AS (SELECT skey, s, kind, CASE WHEN level > ratio THEN CAST(3 * s AS DOUBLE) ELSE max(CASE WHEN level <= ratio THEN level END) OVER () * w END AS target FROM l),
+q AS (SELECT *, least(CAST(floor(target + 0.5) AS BIGINT), 3 * s) AS quota FROM t),
+p AS (SELECT doc_id, size, s, kind, target, quota, CASE WHEN s > 0 THEN quota // s ELSE 0 END AS rounds, CAST(coalesce(sum(size) OVER (PARTITION BY d.skey ORDER BY h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before FROM d JOIN q USING (skey)),
+k AS (SELECT *, CAST(rounds * size + least(greatest(quota - rounds * s - before, 0), size) AS BIGINT) AS taken FROM p),
+y AS (SELECT *, (before + least(taken, size) / 2.0) / nullif(quota, 0) AS share FROM k)
+SELECT doc_id, size, s AS source_size, round(target, 6) AS target, taken,
+  CASE WHEN taken > 0 THEN round(least(greatest(CASE kind % 3 WHEN 0 THEN share WHEN 1 THEN sqrt(0.25 + 2 * share) - 0.5
+    ELSE CASE WHEN share >= 0.625 THEN 0.5 + (sqrt(greatest(1.0 - 2 * (share - 0.625), 0.0)) - 1.0) / -1.0 ELSE (sqrt(greatest(2.25 - 2 * share, 0.0)) - 1.5) / -1.0 END END, 0.0), 1.0), 9) END AS position
+FROM y
+"""
 
 _OP7 = r"""
 WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
@@ -57,4 +77,4 @@ SELECT doc_id, max(doc_id) OVER g AS keep_id, CAST(count(*) OVER g AS BIGINT) AS
 FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
 """
 
-ORACLES = {"op7_benchmark_decontamination": _OP7, "op8_exact_dedup": _OP8}
+ORACLES = {"op2_source_mixing": _OP2, "op7_benchmark_decontamination": _OP7, "op8_exact_dedup": _OP8}
