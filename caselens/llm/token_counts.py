@@ -19,7 +19,6 @@ text get a row each; an empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -51,35 +50,43 @@ def _segments(text: str, special: list[str]) -> tuple[list[str], int]:
     return parts, found
 
 
-def _pre_tokens(tokenizer, chunk: str) -> tuple[str, ...]:
-    return tuple(chunk[a:b] for _, (a, b) in tokenizer.pre_tokenizer.pre_tokenize_str(chunk))
-
-
-def _chunks(text: str | None, special: list[str]) -> tuple[list[str], int]:
-    if not text:
-        return [], 0
-    parts, found = _segments(text, special)
-    return [c for p in parts for c in _bpe.CHUNK.findall(p)], found
+class PreTokens:
+    """Cuts texts as the tokenizer does. Latin texts take one regular expression, other words the tokenizer itself, once each."""
+
+    def __init__(self, path: str):
+        self.tokenizer, self.path = _bpe.load(path), path
+        self.special = _bpe.special_texts(self.tokenizer)
+        if not _bpe.is_byte_level(self.tokenizer):
+            raise ValueError(f"{path}: not a byte-level tokenizer")
+
+    def __call__(self, text: str | None) -> tuple[list[str], int]:
+        """The pre-tokens, and the number of special tokens."""
+        if not text:
+            return [], 0
+        parts, found = _segments(text, self.special)
+        out: list[str] = []
+        for part in parts:
+            if not _bpe.WIDE.search(part):
+                out += _bpe.LATIN.findall(part)
+                continue
+            known = _bpe.memo(self.path, "pre-tokens")
+            for chunk in _bpe.CHUNK.findall(part):
+                pieces = known.get(chunk)
+                if pieces is None:
+                    pieces = known[chunk] = [chunk[a:b] for _, (a, b) in self.tokenizer.pre_tokenizer.pre_tokenize_str(chunk)]
+                out += pieces
+        return out, found
 
 
 def _send_pieces(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    tokenizer = _bpe.load(path)
-    special, chunks = _bpe.special_texts(tokenizer), Counter()
-
-    def pieces():
-        total = Counter()
-        for chunk, n in chunks.items():
-            for p in _pre_tokens(tokenizer, chunk):
-                total[p] += n
-        chunks.clear()
-        return arrow(None, _PIECES, piece=list(total), n=list(total.values()))
-
+    cut, total = PreTokens(path), Counter()
     for batch in slices(batches, "text"):
         for text in batch.column("text").to_pylist():
-            chunks.update(_chunks(text, special)[0])
-        if len(chunks) > _bpe.MEMO // 2:
-            yield pieces()
-    yield pieces()
+            total.update(cut(text)[0])
+        if len(total) > _bpe.MEMO // 2:
+            yield arrow(None, _PIECES, piece=list(total), n=list(total.values()))
+            total.clear()
+    yield arrow(None, _PIECES, piece=list(total), n=list(total.values()))
 
 
 def _count_pieces(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
@@ -95,31 +102,31 @@ def piece_counts(docs: DataFrame, path: str) -> DataFrame:
     return stash(distinct.mapInArrow(lambda it: _count_pieces(it, path), "piece string, n bigint, tokens bigint"))
 
 
-def _split_counts(batches: Iterator[pa.RecordBatch], path: str, hot: dict[str, int], version: str) -> Iterator[pa.RecordBatch]:
+class _Hot(dict):
+    """Counts of hot pre-tokens; the others count 0 and are put down in rest."""
+
+    def __missing__(self, piece: str) -> int:
+        self.rest.append(piece)
+        return 0
+
+
+def _split_counts(batches: Iterator[pa.RecordBatch], path: str, counts: dict[str, int]) -> Iterator[pa.RecordBatch]:
     """A row with bytes and the tokens of hot pre-tokens for each document, and rows for its other pre-tokens."""
-    tokenizer = _bpe.load(path)
-    special = _bpe.special_texts(tokenizer)
+    cut, hot = PreTokens(path), _Hot(counts)
     for batch in slices(batches, "text"):
-        known = _bpe.memo(path, "hot", version)  # chunk -> (tokens of its hot pre-tokens, the other ones)
         ids, keys, sizes, tokens, pieces, freqs = [], [], [], [], [], []
         for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
             raw = (text or "").encode()
             key = int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "little", signed=True)
-            chunks, total = _chunks(text, special)
-            rest = Counter()
-            for chunk in chunks:
-                found = known.get(chunk)
-                if found is None:
-                    parts = _pre_tokens(tokenizer, chunk)
-                    found = known[chunk] = (sum(hot.get(p, 0) for p in parts), tuple(p for p in parts if p not in hot))
-                total += found[0]
-                if found[1]:
-                    rest.update(found[1])
-            n = 1 + len(rest)
-            ids += [doc_id] * n
-            keys += [key] * n
-            sizes += [len(raw), *[None] * len(rest)]
-            tokens += [total, *[None] * len(rest)]
+            hot.rest = []
+            own, total = cut(text)
+            total += sum(map(hot.__getitem__, own))
+            rest = Counter(hot.rest)
+            more = len(rest)
+            ids += [doc_id] * (1 + more)
+            keys += [key] * (1 + more)
+            sizes += [len(raw), *[None] * more]
+            tokens += [total, *[None] * more]
             pieces += [None, *rest]
             freqs += [None, *rest.values()]
         yield arrow(None, _PARTS, doc_id=ids, text_key=keys, n_bytes=sizes, tokens=tokens, piece=pieces, freq=freqs)
@@ -131,8 +138,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 512, hot_pieces: int =
     counts = piece_counts(docs, path)
     top = counts.filter(F.octet_length("piece") <= HOT_BYTES).orderBy(F.col("n").desc(), "piece").limit(hot_pieces)
     hot = docs.sparkSession.sparkContext.broadcast({r[0]: r[1] for r in top.select("piece", "tokens").toLocalIterator()})
-    version = uuid.uuid4().hex
-    parts = docs.mapInArrow(lambda it: _split_counts(it, path, hot.value, version), "doc_id bigint, text_key bigint, n_bytes bigint, tokens bigint, piece string, freq bigint")
+    parts = docs.mapInArrow(lambda it: _split_counts(it, path, hot.value), "doc_id bigint, text_key bigint, n_bytes bigint, tokens bigint, piece string, freq bigint")
     parts = parts.withColumn("base", F.col("piece").isNull())
     joined = parts.join(counts.select("piece", F.col("tokens").alias("each")), "piece", "left")
     sums = joined.groupBy("doc_id", "text_key").agg(F.count_if("base").alias("rows"), F.max("n_bytes").alias("n_bytes"), F.sum(F.when(F.col("base"), F.col("tokens")).otherwise(F.col("freq") * F.col("each"))).alias("tokens"))
