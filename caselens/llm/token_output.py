@@ -40,7 +40,7 @@ from ._spark import arrow, by_key, partitions, runs, shared_dir, stash
 from ._text import mix, slices
 
 END = 1
-BUCKET_KEYS = 16_384
+BUCKET_KEYS = 2048
 #: A task starts another shard beyond this size.
 SHARD_BYTES = 256 << 20
 _NO_ID = -(1 << 63)
@@ -62,19 +62,48 @@ class TokenFiles:
     entries: DataFrame
 
 
-def _encode(tokenizer, path: str, texts: list[str | None], kind: str) -> list[bytes]:
-    """Raw ids of whole texts. Words between ASCII white space are encoded once; no token crosses such white space."""
-    words = [_bpe.WORD.findall(t) if t else [] for t in texts]
-    known = _bpe.memo(path, kind)
-    new = list({w for own in words for w in own if w not in known})
-    for i in range(0, len(new), 2000):
-        for w, ids in zip(new[i : i + 2000], _bpe.ids_of(tokenizer, new[i : i + 2000])):
-            known[w] = np.array(ids, kind).tobytes()
-    return [b"".join([known[w] for w in own]) for own in words]
+class Encoder:
+    """Raw ids of whole texts; every distinct word is encoded once for a memo.
+
+    Texts in Latin letters are cut into the tokenizer's own pre-tokens, and new
+    ones are encoded many at a time, blank between them: the piece that ends
+    each word tells them apart. Other texts are cut at ASCII white space, over
+    which no token reaches, and each new word is encoded by itself.
+    """
+
+    def __init__(self, path: str, kind: str):
+        self.path, self.kind, self.tokenizer = path, kind, _bpe.load(path)
+        self.special = _bpe.special_texts(self.tokenizer)
+        self.ends = _bpe.closing_ids(self.tokenizer) if _bpe.is_lower_word_level(self.tokenizer) else None
+
+    def __call__(self, texts: list[str | None]) -> list[bytes]:
+        plain, other = _bpe.memo(self.path, f"{self.kind} words"), _bpe.memo(self.path, f"{self.kind} chunks")
+        latin = [bool(t) and self.ends is not None and not _bpe.WIDE_OR_DOTTED.search(t) and not any(x in t for x in self.special) for t in texts]
+        words = [_bpe.LATIN_WORD.findall(t.lower()) if x else _bpe.WORD.findall(t or "") for t, x in zip(texts, latin)]
+        self._add(plain, list(set().union(*(w for w, x in zip(words, latin) if x)) - plain.keys()), 500)
+        self._add(other, list(set().union(*(w for w, x in zip(words, latin) if not x)) - other.keys()), 1)
+        return [b"".join(map((plain if x else other).__getitem__, own)) for own, x in zip(words, latin)]
+
+    def _add(self, known: dict[str, bytes], new: list[str], at_once: int) -> None:
+        blocks = [new[i : i + at_once] for i in range(0, len(new), at_once)]
+        for i in range(0, len(blocks), 1000):
+            part = blocks[i : i + 1000]
+            for block, ids in zip(part, _bpe.ids_of(self.tokenizer, [" ".join(b) for b in part])):
+                ids = np.array(ids, self.kind)
+                if len(block) == 1:
+                    known[block[0]] = ids.tobytes()
+                    continue
+                cuts = [0, *((np.flatnonzero(self.ends[ids]) + 1) * ids.itemsize).tolist()]
+                if len(cuts) != len(block) + 1:
+                    self._add(known, block, 1)
+                    continue
+                raw = ids.tobytes()
+                known.update(zip(block, [raw[a:b] for a, b in zip(cuts, cuts[1:])]))
 
 
 def _write_shards(batches: Iterator[pa.RecordBatch], path: str, folder: str, width: int) -> Iterator[pa.RecordBatch]:
-    tokenizer, kind = _bpe.load(path), f"<u{width}"
+    kind = f"<u{width}"
+    encode = Encoder(path, kind)
     end = np.array([END], kind).tobytes()
     store, base = fs.FileSystem.from_uri(folder)
     store.create_dir(base, recursive=True)
@@ -84,7 +113,7 @@ def _write_shards(batches: Iterator[pa.RecordBatch], path: str, folder: str, wid
         for batch in slices(batches, "text"):
             ids = batch.column("doc_id").to_pylist()
             columns = {f.name: [] for f in _ENTRY}
-            for doc_id, raw in zip(ids, _encode(tokenizer, path, batch.column("text").to_pylist(), kind)):
+            for doc_id, raw in zip(ids, encode(batch.column("text").to_pylist())):
                 if out is None or at * width > SHARD_BYTES:
                     if out is not None:
                         out.close()

@@ -71,3 +71,21 @@ def test_perfect_hash():
     for n in (0, 1, 2, 3, 5, 100, 20_000):
         keys = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
         assert sorted(slot(keys, build(keys), len(keys)).tolist()) == list(range(len(keys)))
+
+
+def test_latin_pre_tokens_equal_the_library():
+    """Every pair and triple of characters of each kind below U+0180."""
+    from caselens.llm import _bpe
+
+    tokenizer = Tokenizer.from_file(BYTE)
+    for c in map(chr, range(0x180)):
+        for text in (f"a{c}b", f" {c}{c}1", f"{c} {c}", f"'s{c}'ll{c}'", f"  {c}\n {c}"):
+            assert _bpe.LATIN.findall(text) == [text[a:b] for _, (a, b) in tokenizer.pre_tokenizer.pre_tokenize_str(text)], repr(text)
+
+
+def test_latin_words_equal_the_library():
+    tokenizer = Tokenizer.from_file(WORD)
+    encode = token_output.Encoder(WORD, "<u2")
+    cases = [text for c in map(chr, range(0x180)) for text in (f"a{c}b", f" {c}{c}1 ", f"{c} {c}", f"'S{c}'ll{c}'", f"X{c}\n'{c}")]
+    for text, raw in zip(cases, encode(cases)):
+        assert np.frombuffer(raw, "<u2").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
