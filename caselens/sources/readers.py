@@ -108,14 +108,14 @@ def git_log(spark: SparkSession, path: str) -> DataFrame:
     parts = F.split(F.regexp_replace("value", r"\x00?\n?$", ""), r"\x00\n?")
     table = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("repo"), parts.alias("p"))
     whole = table.withColumn("p", F.when(F.size("p") % 3 == 0, F.col("p")).otherwise(F.raise_error(F.lit("broken log")).cast("array<string>")))
-    return whole.select("repo", F.explode(F.sequence(F.lit(0), F.size("p") / 3 - 1).cast("array<int>")).alias("i"), "p").select("repo", F.col("p")[F.col("i") * 3].alias("sha"), F.to_timestamp(F.col("p")[F.col("i") * 3 + 1]).alias("ts"), F.col("p")[F.col("i") * 3 + 2].alias("subject"))
+    return whole.select("repo", F.explode(F.sequence(F.lit(0), F.expr("size(p) div 3 - 1").cast("int"))).alias("i"), "p").select("repo", F.col("p")[F.col("i") * 3].alias("sha"), F.to_timestamp(F.col("p")[F.col("i") * 3 + 1]).alias("ts"), F.col("p")[F.col("i") * 3 + 2].alias("subject"))
 
 
 def name_status(spark: SparkSession, path: str) -> DataFrame:
     """(repo, status, path) from NUL-separated pairs, without deletions."""
     parts = F.split(F.regexp_replace("value", r"\x00?\n?$", ""), r"\x00")
     table = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("repo"), parts.alias("p"))
-    rows = table.select("repo", F.explode(F.sequence(F.lit(0), F.floor(F.size("p") / 2) - 1)).alias("i"), "p").select("repo", F.col("p")[(F.col("i") * 2).cast("int")].alias("status"), F.col("p")[(F.col("i") * 2 + 1).cast("int")].alias("path"))
+    rows = table.select("repo", F.explode(F.sequence(F.lit(0), F.expr("size(p) div 2 - 1").cast("int"))).alias("i"), "p").select("repo", F.col("p")[(F.col("i") * 2).cast("int")].alias("status"), F.col("p")[(F.col("i") * 2 + 1).cast("int")].alias("path"))
     return rows.filter(~F.col("status").startswith("D"))
 
 
