@@ -1,41 +1,37 @@
-"""What the operators share on the Spark side: stashed tables, hot keys, components."""
+"""What the operators share on the Spark side: batches, samples, hot keys, partitions by key."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.graph import components
+from ..storage import release, shared_dir, stash
+
+__all__ = ["arrow", "by_key", "components", "look_up", "most_frequent", "partitions", "release", "runs", "sampled", "shared_dir", "small_batches", "stash", "text_or_empty"]
+
 #: A key counts as hot from this share of all rows on; so at most 1 / HOT_SHARE keys are hot.
 HOT_SHARE = 1 / 2000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
-    place = spark.conf.get("spark.checkpoint.dir", None)
-    if not place:
-        place = f"file://{tempfile.mkdtemp(prefix='caselens-')}"
-        spark.conf.set("spark.checkpoint.dir", place)
-    return f"{place.rstrip('/')}/caselens-{spark.sparkContext.applicationId}"
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, once its session sends texts to Python in batches of 1,000 rows and not 10,000, unless it is set otherwise.
 
-
-def stash(df: DataFrame) -> DataFrame:
-    """Write a table to the shared folder and read it: lineage ends there, and lost executors cost nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    Documents are long: a default batch takes some 30 MB on each side.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(name, "10000") == "10000":
+        conf.set(name, "1000")
+    return df
 
 
-def release(spark: SparkSession) -> None:
-    """Delete all stashed tables of this application; results that still read them end with it."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def sampled(df: DataFrame, key: Column, most: int) -> DataFrame:
+    """About ``most`` rows, the same on every run, chosen by the key's hash: a filter, so no task gathers candidates."""
+    n = df.count()
+    return df if n <= most else df.filter(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < int((1 << 30) * (most / n))).limit(2 * most)
 
 
 def partitions(spark: SparkSession) -> int:
@@ -92,22 +88,17 @@ def look_up(rows: DataFrame, values: DataFrame, key: str, size: str, total: int)
     return rows.join(hot, key, "left_semi").join(hot, key).unionByName(rows.join(hot, key, "left_anti").join(cold, key, "left"))
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(node, root) of the graph with edges (a, b), longs: root is the smallest node that is reachable.
+def most_frequent(table: DataFrame, n: str, most: int) -> DataFrame:
+    """The rows with the largest counts, at most ``most`` of them; rows of about equal counts are in or out together.
 
-    Alternates large-star and small-star steps; each round is a stashed table. Only nodes with edges appear.
+    The cut comes from a histogram of the counts' logarithms (some 2,000 rows
+    whatever the table's size), so no task sorts or holds candidates.
     """
-    now = stash(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
-    seen = None
-    for _ in range(most_rounds):
-        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
-        now = stash(small)
-        sums = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if sums == seen:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
-        seen = sums
-    raise RuntimeError(f"components: not stable after {most_rounds} rounds")
+    level = F.floor(F.log2(n) * 32).cast("int")
+    total, cut = 0, None
+    for at, rows in sorted(((r[0], r[1]) for r in table.filter(F.col(n) > 0).groupBy(level).count().collect()), reverse=True):
+        total += rows
+        if total > most:
+            break
+        cut = at
+    return table.limit(0) if cut is None else table.filter(level >= cut)

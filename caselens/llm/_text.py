@@ -29,7 +29,7 @@ _UNBASE = pow(_BASE, -1, 1 << 64)
 _powers: dict[int, np.ndarray] = {}
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that ``column`` holds about ``max_bytes`` in each, one row at least."""
     for batch in batches:
         if not batch.num_rows:
@@ -40,6 +40,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 1 <<
         for a, b in zip(cuts, cuts[1:]):
             if b > a:
                 yield batch.slice(a, b - a)
+    pa.default_memory_pool().release_unused()
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -81,7 +82,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 def _power(base: int, n: int) -> np.ndarray:
     have = _powers.get(base)
     if have is None or len(have) < n:
-        have = np.full(max(n, 1 << 21), np.uint64(base))
+        have = np.full(max(n, 1 << 20), np.uint64(base))
         have[0] = 1
         _powers[base] = np.multiply.accumulate(have)
     return _powers[base][:n]

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._spark import text_or_empty
+from ._spark import small_batches, text_or_empty
 from ._text import ALNUM, LOWER, ngrams, slices, span_hash, spans, utf8
 
 #: Benchmark windows that are broadcast at once; about 300 bytes each.
@@ -100,7 +100,7 @@ def marked(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
     Blocks of the benchmark follow each other as narrow steps that add to the marks; nothing is shuffled.
     """
     schema = T.StructType([*docs.schema.fields, *_MARKS.fields])
-    out = docs.withColumns({f.name: F.lit(None).cast(f.dataType) for f in _MARKS.fields})
+    out = small_batches(docs).withColumns({f.name: F.lit(None).cast(f.dataType) for f in _MARKS.fields})
     for windows in _blocks(benchmark, n):
         shared = docs.sparkSession.sparkContext.broadcast(windows)
 

@@ -36,14 +36,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import by_key, components, look_up, partitions, runs, stash
+from ._spark import by_key, components, look_up, partitions, runs, small_batches, stash
 from ._text import LOWER, NOT_SPACE, ngrams, slices, span_hash, spans, utf8
 
 SHINGLE = 5
 #: Sets that one task searches at once; larger groups are cut into blocks of half of it.
 MAX_GROUP = 8192
 #: Entries that a task of the first steps holds before it sends them.
-_HOLD = 3_000_000
+_HOLD = 1_000_000
 _NO_ID = -(1 << 63)
 
 
@@ -342,7 +342,6 @@ def _searched(tasks: DataFrame) -> DataFrame:
 
 def _large(texts: DataFrame, groups: DataFrame, block: int) -> DataFrame:
     """Links within groups that are too large for a task; groups: sid, root."""
-    spark = texts.sparkSession
     width = math.log(1.26)  # sets of linked sizes lie in one class or in two that follow each other
     rows = texts.join(groups, "sid").withColumn("size_class", F.floor(F.log(F.col("n")) / width))
     counts = rows.groupBy("root", "size_class").agg(F.ceil(F.count("*") / block).alias("blocks"))
@@ -360,14 +359,13 @@ def _large(texts: DataFrame, groups: DataFrame, block: int) -> DataFrame:
         todo = stash(todo.select(F.xxhash64("cell", "cell2").alias("task"), "cell", "cell2"))
         ends = todo.select("task", "cell", F.lit(1).alias("side")).unionByName(todo.select("task", F.col("cell2").alias("cell"), F.lit(2).alias("side")))
         edges = stash(edges.unionByName(_searched(ends.join(now, "cell"))))
-    assert spark is not None
     return edges
 
 
 def jaccard_join(docs: DataFrame, max_group: int = MAX_GROUP) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (the smallest doc_id reachable by links, its own included)."""
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    docs = small_batches(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     buckets = 2 * partitions(spark)
     sent = docs.mapInArrow(lambda it: _send_prefixes(it, buckets), _PACKED_DDL)
     meta = stash(by_key(sent, "bucket").mapInArrow(_count_shared, "doc_id bigint, sid bigint, n bigint, shared bigint"))

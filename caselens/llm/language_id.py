@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ._spark import sampled, small_batches
 from ._text import slices, utf8
 
 SEGMENT = 128
@@ -198,10 +199,10 @@ def held_out() -> Column:
 def learn(docs: DataFrame, train_docs: int = TRAIN_DOCS, pieces: int = PIECES) -> Network | None:
     """Train on a bounded sample of the documents that have a language and are not held out; None without any."""
     labelled = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out() & (F.length("text") > 0)).select("doc_id", "text", "lang")
-    chosen = labelled.orderBy(F.md5(F.col("doc_id").cast("string")), "lang", "doc_id").limit(train_docs)
+    chosen = sampled(labelled, F.col("doc_id"), train_docs)
     step = F.greatest(F.lit(1), F.floor(F.length("text") / pieces)).cast("int")
     cut = chosen.select("lang", F.explode(F.sequence(F.lit(0), F.least(F.lit(pieces), F.length("text")) - 1)).alias("k"), step.alias("step"), "text").select("lang", F.col("text").substr(F.col("k") * F.col("step") + 1, F.lit(SEGMENT)).alias("piece"))
-    rows = [(r[0], r[1].encode()[:SEGMENT]) for r in cut.collect() if any(c.isalpha() for c in r[1])]
+    rows = sorted((r[0], r[1].encode()[:SEGMENT]) for r in cut.collect() if any(c.isalpha() for c in r[1]))
     if not rows:
         return None
     languages = sorted({x for x, _ in rows})
@@ -214,7 +215,7 @@ def learn(docs: DataFrame, train_docs: int = TRAIN_DOCS, pieces: int = PIECES) -
 def label(docs: DataFrame, net: Network | None) -> DataFrame:
     """docs with __lang and __score."""
     schema = T.StructType([*docs.schema.fields, T.StructField("__lang", T.StringType()), T.StructField("__score", T.DoubleType())])
-    shared = docs.sparkSession.sparkContext.broadcast(net)
+    shared = small_batches(docs).sparkSession.sparkContext.broadcast(net)
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = shared.value
@@ -237,6 +238,12 @@ def language_id(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> DataFrame:
     return found.select("doc_id", held_out().alias("held_out"), F.col("__lang").alias("lang_pred"), F.col("__score").alias("score"))
 
 
-def keep_known(docs: DataFrame, least: float = 0.4, train_docs: int = TRAIN_DOCS) -> DataFrame:
-    """docs, with all columns, less those whose language is unknown or has less than the least score."""
-    return label(docs, learn(docs, train_docs)).filter((F.col("__lang") != UNKNOWN) & (F.col("__score") >= least)).select(*docs.columns)
+def keep_known(docs: DataFrame, least: float | None = None, train_docs: int = TRAIN_DOCS) -> DataFrame:
+    """docs, with all columns, less those whose language is unknown or has less than the least score.
+
+    By default that is 1.1 times what a guess among the learned languages has: texts in several languages stay.
+    """
+    net = learn(docs, train_docs)
+    if least is None:
+        least = min(1.0, 1.1 / len(net.languages)) if net is not None and len(net.languages) > 1 else 0.0
+    return label(docs, net).filter((F.col("__lang") != UNKNOWN) & (F.col("__score") >= least)).select(*docs.columns)

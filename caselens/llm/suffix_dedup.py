@@ -40,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import by_key, look_up, runs, stash, text_or_empty
+from ._spark import by_key, look_up, runs, small_batches, stash, text_or_empty
 from ._text import _BASE, mix, prefix_hash, slices, utf8
 
 LENGTH = 400
@@ -359,7 +359,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def keyed(docs: DataFrame) -> DataFrame:
     """doc_id, text (never null), sha (hex) and, from it, 128 bits as two longs."""
-    sha = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().alias("text")).withColumn("sha", F.sha2("text", 256))
+    sha = small_batches(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().alias("text")).withColumn("sha", F.sha2("text", 256))
     half = lambda at: F.conv(F.substring("sha", at, 16), 16, -10).cast("bigint")
     return sha.withColumns({"k1": half(1), "k2": half(17)})
 

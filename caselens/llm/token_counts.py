@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _bpe
-from ._spark import arrow, stash
+from ._spark import arrow, most_frequent, small_batches, stash
 from ._text import slices
 
 #: Pre-tokens whose counts are broadcast, each of at most HOT_BYTES bytes.
@@ -134,10 +134,10 @@ def _split_counts(batches: Iterator[pa.RecordBatch], path: str, counts: dict[str
 
 def token_counts(docs: DataFrame, path: str, limit: int = 512, hot_pieces: int = HOT) -> DataFrame:
     """Per document: doc_id, n_bytes, n_tokens, over_limit (more than ``limit`` tokens)."""
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    docs = small_batches(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     counts = piece_counts(docs, path)
-    top = counts.filter(F.octet_length("piece") <= HOT_BYTES).orderBy(F.col("n").desc(), "piece").limit(hot_pieces)
-    hot = docs.sparkSession.sparkContext.broadcast({r[0]: r[1] for r in top.select("piece", "tokens").toLocalIterator()})
+    top = most_frequent(counts.filter(F.octet_length("piece") <= HOT_BYTES), "n", hot_pieces)
+    hot = docs.sparkSession.sparkContext.broadcast({r[0]: r[1] for r in top.select("piece", "tokens").collect()})
     parts = docs.mapInArrow(lambda it: _split_counts(it, path, hot.value), "doc_id bigint, text_key bigint, n_bytes bigint, tokens bigint, piece string, freq bigint")
     parts = parts.withColumn("base", F.col("piece").isNull())
     joined = parts.join(counts.select("piece", F.col("tokens").alias("each")), "piece", "left")

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from . import _bpe
 from ._mph import build, slot
-from ._spark import arrow, by_key, partitions, runs, shared_dir, stash
+from ._spark import arrow, by_key, partitions, runs, shared_dir, small_batches, stash
 from ._text import mix, slices
 
 END = 1
@@ -162,7 +162,7 @@ def write_tokens(docs: DataFrame, path: str, folder: str | None = None) -> Token
     spark = docs.sparkSession
     folder = folder or f"{shared_dir(spark)}/ids-{uuid.uuid4().hex}"
     width = 2 if _bpe.load(path).get_vocab_size() <= 1 << 16 else 4
-    ordered = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = small_batches(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
     entries = stash(ordered.mapInArrow(lambda it: _write_shards(it, path, folder, width), _ENTRY_DDL))
     shards = entries.groupBy("part", "seq", "file").agg(F.sum("n").alias("n"))
     before = Window.orderBy("part", "seq")  # over shards, not documents

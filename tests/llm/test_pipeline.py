@@ -28,7 +28,7 @@ def stages(spark, tmp_path_factory):
 def test_filters_keep_columns_and_take_effect(spark, stages):
     documents = stages[0]
     assert all(t.columns == documents.columns for t in stages[:5])
-    unknown = {r.doc_id for r in language_id(documents).collect() if r.lang_pred == "und" or r.score < 0.4}
+    unknown = {r.doc_id for r in language_id(documents).collect() if r.lang_pred == "und" or r.score < 1.1 / 4}
     rows = {r.doc_id: r.text for r in documents.collect()}
     one = {r.doc_id: r.text for r in stages[1].collect()}
     assert set(one) == set(rows) - unknown
