@@ -199,4 +199,5 @@ def markdown(x: Column | str) -> Column:
 
 
 def number_text(x: Column | str, digits: int = 4, missing: str = "—") -> Column:
-    return F.coalesce(F.format_string(f"%.{digits}f", _c(x).cast("double")), F.lit(missing))
+    x = _c(x).cast("double")
+    return F.when(x.isNull(), missing).otherwise(F.format_string(f"%.{digits}f", x))
