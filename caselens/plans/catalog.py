@@ -433,3 +433,6 @@ def balanced_folds(table):
     segments = [r[0] for r in table("customer").select("c_mktsegment").distinct().orderBy("c_mktsegment").collect()]
     profiles = splits.group_profiles(table("customer"), "c_nationkey", {"c_mktsegment": segments})
     return splits.assign_folds(profiles, "c_nationkey", 5, {"case_count": 4.0, "c_mktsegment": 3.0}, restarts=8)
+
+
+from . import table_queries, volume_queries  # noqa: E402, F401  they register theirs
