@@ -113,7 +113,7 @@ def short_threshold(x: Column | str) -> Column:
     return F.regexp_replace(F.format_string("%.6f", _c(x).cast("double")), r"\.?0+$", "")
 
 
-def case_id(path: Column | str, pattern: str = r"(ATLAS_\d{4})") -> Column:
+def case_id(path: Column | str, pattern: str = r"([A-Z]+_\d{4})") -> Column:
     """The id in a path; the file name without suffixes where there is none."""
     found = F.regexp_extract(_c(path), pattern, 1)
     return F.when(found != "", found).otherwise(F.regexp_replace(F.element_at(F.split(_c(path), "/"), -1), r"\..*$", ""))

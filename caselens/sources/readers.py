@@ -26,9 +26,9 @@ def subjects(files: DataFrame, roles: dict[str, str], subject: str = r"/(sub-[^/
     return found.groupBy("subject").agg(*(F.min(F.when(F.col("path").rlike(p), F.col("path"))).alias(name) for name, p in roles.items()))
 
 
-def sessions(files: DataFrame, roles: dict[str, str]) -> DataFrame:
+def sessions(files: DataFrame, roles: dict[str, str], site: str = r"/(R\d+[^/]*)/") -> DataFrame:
     """The same by site, subject and session."""
-    keys = {"site": r"/((?:R\d+|SOOP)[^/]*)/", "subject": r"/(sub-[^/]+)/", "session": r"/(ses-[^/]+)/"}
+    keys = {"site": site, "subject": r"/(sub-[^/]+)/", "session": r"/(ses-[^/]+)/"}
     found = files.select("path", *(F.regexp_extract("path", p, 1).alias(k) for k, p in keys.items())).filter("site <> '' AND subject <> '' AND session <> ''")
     return found.groupBy(*keys).agg(*(F.min(F.when(F.col("path").rlike(p), F.col("path"))).alias(name) for name, p in roles.items()))
 

@@ -24,7 +24,7 @@ def test_scalars(spark):
     name = S.config_name(lit(0.35), lit(20))
     assert (one(spark, name), one(spark, S.config_threshold(name)), one(spark, S.config_least(name))) == ("thr0.35_k20", 0.35, 20)
     assert [one(spark, S.short_threshold(lit(x))) for x in (0.35, 1.0, 0.125)] == ["0.35", "1", "0.125"]
-    assert one(spark, S.case_id(lit("/a/ATLAS_0007_x.nii.gz"))) == "ATLAS_0007" and one(spark, S.case_id(lit("/a/b.nii.gz"))) == "b"
+    assert one(spark, S.case_id(lit("/a/CASE_0007_x.nii.gz"))) == "CASE_0007" and one(spark, S.case_id(lit("/a/b.nii.gz"))) == "b"
     axes = F.array(F.array(lit(-1.0), lit(0.0), lit(0.0)), F.array(lit(0.0), lit(0.0), lit(2.0)), F.array(lit(0.0), lit(1.0), lit(0.1)))
     assert one(spark, S.orientation(axes)) == "LSA" and one(spark, S.determinant_sign(axes)) == 1
     assert one(spark, S.same_grid(F.array(lit(1)), F.array(lit(1)), F.array(lit(1.0)), F.array(lit(1.0005)))) is True
