@@ -140,3 +140,25 @@ def test_boosted_volume(spark):
     model = selection.fit_log_volume(rows, ["x"], "ml")
     worst = model.transform(rows).select(F.max(F.abs(F.log1p("predicted_volume") - F.log1p("ml")))).first()[0]
     assert worst < 0.5
+
+
+def test_components_equal_union_find(spark):
+    import random
+
+    rng = random.Random(1)
+    for n, m in ((2, 1), (40, 25), (60, 200), (50, 49)):
+        edges = [(k, k + 1) for k in range(n - 1)] if m == n - 1 else [(rng.randrange(n), rng.randrange(n)) for _ in range(m)]
+        up = list(range(n))
+
+        def find(i, up=up):
+            while up[i] != i:
+                i = up[i]
+            return i
+
+        for a, b in edges:
+            a, b = find(a), find(b)
+            up[max(a, b)] = min(a, b)
+        ends = {x for e in edges if e[0] != e[1] for x in e}
+        got = {r.node: r.root for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+        assert got == {x: find(x) for x in ends}
+    assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
