@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..operators.graph import components
 from ..storage import release, shared_dir, stash
 
-__all__ = ["arrow", "by_key", "components", "look_up", "most_frequent", "partitions", "release", "runs", "sampled", "shared_dir", "small_batches", "stash", "text_or_empty"]
+__all__ = ["arrow", "by_bucket", "by_key", "components", "look_up", "most_frequent", "partitions", "release", "runs", "sampled", "shared_dir", "small_batches", "stash", "text_or_empty"]
 
 #: A key counts as hot from this share of all rows on; so at most 1 / HOT_SHARE keys are hot.
 HOT_SHARE = 1 / 2000
@@ -51,6 +51,11 @@ def by_key(df: DataFrame, key: str, n: int | None = None) -> DataFrame:
     return df.repartition(n or partitions(df.sparkSession), key).sortWithinPartitions(key)
 
 
+def by_bucket(df: DataFrame, n: int | None = None) -> DataFrame:
+    """The same for small whole numbers in ``bucket``, which are dealt out in turn and so evenly."""
+    return df.repartitionById(n or partitions(df.sparkSession), "bucket").sortWithinPartitions("bucket")
+
+
 def runs(batches: Iterator[pa.RecordBatch], key: str, at_least: int = 1 << 16) -> Iterator[pa.Table]:
     """Tables of whole keys from batches that are sorted by key; a table ends with a key, when it has enough rows."""
     import pyarrow.compute as pc

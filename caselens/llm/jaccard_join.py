@@ -36,12 +36,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import by_key, components, look_up, partitions, runs, small_batches, stash
+from ._spark import by_bucket, by_key, components, look_up, partitions, runs, small_batches, stash
 from ._text import LOWER, NOT_SPACE, ngrams, slices, span_hash, spans, utf8
 
 SHINGLE = 5
 #: Sets that one task searches at once; larger groups are cut into blocks of half of it.
-MAX_GROUP = 8192
+MAX_GROUP = 1024
 #: Entries that a task of the first steps holds before it sends them.
 _HOLD = 1_000_000
 _NO_ID = -(1 << 63)
@@ -368,15 +368,15 @@ def jaccard_join(docs: DataFrame, max_group: int = MAX_GROUP) -> DataFrame:
     docs = small_batches(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     buckets = 2 * partitions(spark)
     sent = docs.mapInArrow(lambda it: _send_prefixes(it, buckets), _PACKED_DDL)
-    meta = stash(by_key(sent, "bucket").mapInArrow(_count_shared, "doc_id bigint, sid bigint, n bigint, shared bigint"))
+    meta = stash(by_bucket(sent).mapInArrow(_count_shared, "doc_id bigint, sid bigint, n bigint, shared bigint"))
     sets = stash(meta.filter("sid IS NOT NULL").groupBy("sid").agg(F.max("n").alias("n"), F.sum("shared").alias("shared"), F.min("doc_id").alias("min_id"), F.count("n").alias("copies")))
 
     alive = sets.filter("shared >= greatest(1, n div 10)").select(F.coalesce("min_id", F.lit(_NO_ID)).alias("rep"))
     whole = docs.withColumn("rep", F.coalesce("doc_id", F.lit(_NO_ID))).join(alive.hint("shuffle_hash"), "rep", "left_semi")
     texts = stash(whole.select("text").mapInArrow(_with_sid, "sid bigint, n bigint, text string").filter("sid <> 0"))
 
-    counted = by_key(texts.mapInArrow(lambda it: _send_all(it, buckets), _PACKED_DDL), "bucket").mapInArrow(lambda it: _return_counts(it, buckets), _PACKED_DDL)
-    rare = stash(by_key(counted, "bucket").mapInArrow(_rarest, "h bigint, sid bigint"))
+    counted = by_bucket(texts.mapInArrow(lambda it: _send_all(it, buckets), _PACKED_DDL)).mapInArrow(lambda it: _return_counts(it, buckets), _PACKED_DDL)
+    rare = stash(by_bucket(counted).mapInArrow(_rarest, "h bigint, sid bigint"))
     least = rare.groupBy("h").agg(F.min("sid").alias("b"), F.count("*").alias("k")).filter("k > 1")
     groups = components(rare.join(least, "h").select(F.col("sid").alias("a"), "b")).toDF("sid", "root")
 
