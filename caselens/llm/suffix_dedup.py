@@ -40,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import by_key, look_up, runs, small_batches, stash, text_or_empty
+from ._spark import by_bucket, look_up, runs, small_batches, stash, text_or_empty
 from ._text import _BASE, mix, prefix_hash, slices, utf8
 
 LENGTH = 400
@@ -386,7 +386,7 @@ def covered(docs: DataFrame, length: int = LENGTH, k: int = K, max_group: int =
         splitters = sorted({bytes(sampled[i * len(sampled) // buckets]) for i in range(1, buckets)}) if sampled else []
     shared = spark.sparkContext.broadcast(splitters)
     sent = usual.mapInArrow(lambda it: _send_runs(it, shared.value, length, k), "bucket int, run bigint, blob binary")
-    stretches = by_key(sent, "bucket").mapInArrow(lambda it: _merge(it, length, k), "k1 bigint, k2 bigint, a bigint, b bigint")
+    stretches = by_bucket(sent).mapInArrow(lambda it: _merge(it, length, k), "k1 bigint, k2 bigint, a bigint, b bigint")
 
     hot = texts.filter(F.size("hot") > 0).select("k1", "k2", "text", F.col("hot").alias("places"))
     if not hot.isEmpty():
