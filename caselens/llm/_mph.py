@@ -46,6 +46,8 @@ def build(keys: np.ndarray) -> np.ndarray:
                 taken[at[best]] = True
                 break
             first += 64
+            if first > 1 << 24:
+                raise ValueError("keys are not distinct")
     single = np.flatnonzero(sizes == 1)
     seeds[single] = -1 - np.flatnonzero(~taken)[: len(single)]
     return seeds

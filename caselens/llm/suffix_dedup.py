@@ -200,7 +200,7 @@ def _contexts(batches: Iterator[pa.RecordBatch], length: int, k: int) -> Iterato
                 yield raw[p : p + length], raw[max(0, p - reach) : p][::-1], k1, k2, p
 
 
-def _send_runs(batches: Iterator[pa.RecordBatch], splitters: list[bytes], length: int, k: int, hold: int = 60_000) -> Iterator[pa.RecordBatch]:
+def _send_runs(batches: Iterator[pa.RecordBatch], splitters: list[bytes], length: int, k: int, hold: int = 25_000) -> Iterator[pa.RecordBatch]:
     part, number, run = TaskContext.get().partitionId(), 0, []
 
     def out():
@@ -368,9 +368,9 @@ def covered(docs: DataFrame, length: int = LENGTH, k: int = K, max_group: int =
     """(texts, stretches): distinct texts that hold repeated anchors, as k1, k2, text, places; and k1, k2, a, b."""
     spark = docs.sparkSession
     own = keyed(docs)
-    places = stash(own.filter(F.octet_length("text") >= length).select("k1", "k2", "text").mapInArrow(lambda it: _send_anchors(it, length, k), "h bigint, k1 bigint, k2 bigint, p bigint")).distinct()
-    counts = places.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1")
-    again = places.join(counts, "h").groupBy("k1", "k2").agg(F.collect_list(F.when(F.col("n") <= max_group, F.col("p"))).alias("places"), F.collect_list(F.when(F.col("n") > max_group, F.col("p"))).alias("hot"))
+    places = stash(own.filter(F.octet_length("text") >= length).select("k1", "k2", "text").mapInArrow(lambda it: _send_anchors(it, length, k), "h bigint, k1 bigint, k2 bigint, p bigint").distinct())
+    counts = stash(places.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1"))
+    again = look_up(places, counts, "h", "n", places.count()).filter("n IS NOT NULL").groupBy("k1", "k2").agg(F.collect_list(F.when(F.col("n") <= max_group, F.col("p"))).alias("places"), F.collect_list(F.when(F.col("n") > max_group, F.col("p"))).alias("hot"))
     chosen = own.select("doc_id", "k1", "k2").groupBy("k1", "k2").agg(F.min("doc_id").alias("doc_id")).join(again, _KEYS)
     found = own.select("doc_id", "k1", "k2", "text").alias("t").join(chosen.alias("c").hint("shuffle_hash"), F.col("t.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("t.k1") == F.col("c.k1")) & (F.col("t.k2") == F.col("c.k2")))
     texts = stash(found.select("t.k1", "t.k2", "t.text", "places", "hot"))
