@@ -41,7 +41,7 @@ from ._text import LOWER, NOT_SPACE, ngrams, slices, span_hash, spans, utf8
 
 SHINGLE = 5
 #: Sets that one task searches at once; larger groups are cut into blocks of half of it.
-MAX_GROUP = 1024
+MAX_GROUP = 4096
 #: Entries that a task of the first steps holds before it sends them.
 _HOLD = 1_000_000
 _NO_ID = -(1 << 63)

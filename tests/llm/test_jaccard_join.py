@@ -52,7 +52,7 @@ def corpus(seed, n=160):
     return list(enumerate(texts, 100))
 
 
-@pytest.mark.parametrize("max_group", [1024, 8])
+@pytest.mark.parametrize("max_group", [4096, 8])
 def test_equals_brute_force(spark, max_group):
     rows = corpus(3)
     want = brute(rows)
