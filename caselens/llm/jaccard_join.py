@@ -35,6 +35,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ._spark import by_bucket, by_key, components, look_up, partitions, runs, small_batches, stash
 from ._text import LOWER, NOT_SPACE, ngrams, slices, span_hash, spans, utf8
@@ -362,8 +363,8 @@ def _large(texts: DataFrame, groups: DataFrame, block: int) -> DataFrame:
     return edges
 
 
-def jaccard_join(docs: DataFrame, max_group: int = MAX_GROUP) -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id (the smallest doc_id reachable by links, its own included)."""
+def _joined(docs: DataFrame, max_group: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, sid, n of each document, with other rows of n null), (sid, copies, min_id, root, component_id of each set); root is one sid of the component."""
     spark = docs.sparkSession
     docs = small_batches(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     buckets = 2 * partitions(spark)
@@ -391,18 +392,44 @@ def jaccard_join(docs: DataFrame, max_group: int = MAX_GROUP) -> DataFrame:
     reached = components(edges).toDF("sid", "root")
     named = reached.join(sets.select("sid", "min_id"), "sid")
     smallest = named.groupBy("root").agg(F.min("min_id").alias("component_id"))
-    values = stash(sets.select("sid", "copies", "min_id").join(named.join(smallest, "root").select("sid", "component_id"), "sid", "left").select("sid", "copies", F.coalesce("component_id", "min_id").alias("component_id")))
+    linked_sets = named.join(smallest, "root").select("sid", "root", "component_id")
+    values = sets.select("sid", "copies", "min_id").join(linked_sets, "sid", "left")
+    return meta, stash(values.select("sid", "copies", "min_id", F.coalesce("root", "sid").alias("root"), F.coalesce("component_id", "min_id").alias("component_id")))
+
 
+def jaccard_join(docs: DataFrame, max_group: int = MAX_GROUP) -> DataFrame:
+    """Per document: doc_id, n_shingles, component_id (the smallest doc_id reachable by links, its own included)."""
+    meta, values = _joined(docs, max_group)
+    values = values.select("sid", "copies", "component_id")
     rows = meta.filter("n IS NOT NULL").select("doc_id", "sid", F.col("n").alias("n_shingles"))
     total = values.agg(F.sum("copies")).first()[0] or 0
     found = look_up(rows.filter("sid IS NOT NULL"), values, "sid", "copies", total)
     return found.select("doc_id", "n_shingles", "component_id").unionByName(rows.filter("sid IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
+def _add_sid(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches, "text"):
+        sids = set_ids(*shingle_sets(*utf8(batch.column("text"))))
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sids)], names=[*batch.schema.names, "__sid"])
+
+
 def keep_one(docs: DataFrame, max_group: int = MAX_GROUP) -> DataFrame:
-    """docs, with all its columns, less the documents that another one of their component stands for."""
-    found = stash(jaccard_join(docs, max_group))
-    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").count().withColumnRenamed("count", "__rows").withColumnRenamed("doc_id", "__id")
-    kept = stash(kept)
-    out = docs.join(kept.select("__id").hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-    return out if kept.filter("__rows > 1").isEmpty() else out.dropDuplicates(["doc_id"])
+    """docs, with all its columns, less the documents that another one of their component stands for.
+
+    One set stands for a component: one that has its smallest doc_id (null only if
+    there is no other), and of its rows one with that doc_id. Documents without a
+    set all stay, whatever their doc_id.
+    """
+    meta, values = _joined(docs, max_group)
+    best = values.groupBy("root").agg(F.min(F.struct(F.col("min_id").isNull().alias("none"), "min_id", "sid")).alias("best"))
+    copies = meta.filter("n IS NOT NULL AND sid IS NOT NULL").groupBy("sid", "doc_id").agg(F.count("*").alias("__rows"))
+    best = best.select(F.col("best.sid").alias("__set"), F.col("best.min_id").alias("__id"))
+    kept = stash(best.join(copies, (F.col("__set") == F.col("sid")) & F.col("__id").eqNullSafe(F.col("doc_id"))).select("__set", "__id", "__rows"))
+    has_set = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    schema = T.StructType([*docs.schema.fields, T.StructField("__sid", T.LongType())])
+    named = docs.filter(has_set).mapInArrow(_add_sid, schema)
+    on = (F.col("__sid") == F.col("__set")) & F.col("doc_id").cast("bigint").eqNullSafe(F.col("__id"))
+    out = named.join(kept.select("__set", "__id").hint("shuffle_hash"), on, "left_semi")
+    if not kept.filter("__rows > 1").isEmpty():
+        out = out.dropDuplicates(["doc_id", "__sid"])
+    return out.drop("__sid").unionByName(docs.filter(~has_set))

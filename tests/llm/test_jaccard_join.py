@@ -73,3 +73,15 @@ def test_keep_one(spark):
     kept = keep_one(awkward(spark))
     assert kept.columns == awkward(spark).columns
     assert sorted((r.doc_id is not None, r.doc_id or 0) for r in kept.collect())[-7:] == [(True, i) for i in (1, 2, 3, 4, 7, 9, 10)]
+
+
+def test_keep_one_drops_only_what_is_linked(spark):
+    """Null and repeated doc_ids name no document: unlinked texts under one id all stay, near copies go whatever their id."""
+    assert [r.text for r in keep_one(awkward(spark)).collect() if r.doc_id is None].count("null id") == 1
+    assert len(keep_one(awkward(spark)).filter("doc_id IS NULL").collect()) == 2
+    words = [f"w{k}" for k in range(80)]
+    near = " ".join([*words[:79], "other"])
+    rows = [(None, "a lone text without id"), (None, "and one more of them"), (None, None), (None, ""), (3, "first under three"), (3, "second under three"), (3, ""), (3, " "), (1, " ".join(words)), (2, near), (2, "kept under two"), (None, near), (7, "twice the same"), (7, "twice the same"), (None, "lost ID twice"), (None, "lost id  twice")]
+    kept = [(r.doc_id, " ".join((r.text or "").lower().split())) for r in keep_one(docs(spark, rows)).collect()]
+    want = [(None, "a lone text without id"), (None, "and one more of them"), (None, ""), (None, ""), (3, "first under three"), (3, "second under three"), (3, ""), (3, ""), (1, " ".join(words)), (2, "kept under two"), (7, "twice the same"), (None, "lost id twice")]
+    assert sorted(kept, key=str) == sorted(want, key=str)
