@@ -1,8 +1,10 @@
 """Language identification with a bidirectional gated recurrent network over bytes.
 
 The network is trained in numpy by backpropagation through time, on a bounded
-sample of labelled documents (TRAIN_DOCS, by hashed doc_id; PIECES pieces of
-each). Prediction reads every byte of every text, in segments of SEGMENT bytes
+sample of labelled documents (by hashed doc_id; PIECES pieces of each). Every
+language that has a labelled document with a letter is learned: the sample is
+drawn for each one apart, and holds all documents of those below the quota.
+Prediction reads every byte of every text, in segments of SEGMENT bytes
 with a state of their own; every position gets a distribution over languages,
 and a document's probabilities are the means over its positions.
 
@@ -18,19 +20,21 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._spark import sampled, small_batches
+from ._spark import small_batches
 from ._text import slices, utf8
 
 SEGMENT = 128
 HIDDEN = 12
-#: The bound of the training sample: documents, and pieces of SEGMENT bytes of each.
+#: The bound of the training sample: documents in all, though up to LANGUAGE_DOCS of each language whatever their number; and pieces of SEGMENT bytes of each.
 TRAIN_DOCS = 2000
+LANGUAGE_DOCS = 100
 PIECES = 6
 UNKNOWN = "und"
+_HASHES = 1 << 30
 
 _ASCII_LETTER = np.zeros(256, bool)
 _ASCII_LETTER[65:91] = _ASCII_LETTER[97:123] = True
@@ -196,12 +200,37 @@ def held_out() -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(4)) == 2
 
 
+def quota(counts: list[int], most: int) -> int:
+    """The largest q at which min(q, n) of each language are ``most`` in all."""
+    left = most
+    for k, n in enumerate(sorted(counts)):
+        share = left // (len(counts) - k)
+        if n > share:
+            return share
+        left -= n
+    return max(counts, default=0)
+
+
+def _by_language(labelled: DataFrame, most: int) -> DataFrame:
+    """labelled: lang, h, more. For each language about as many rows as its quota, those of the least h, and one at least."""
+    found = labelled.groupBy("lang").agg(F.count("*").alias("n"), F.min("h").alias("least")).collect()
+    each = max(quota([r.n for r in found], most), min(LANGUAGE_DOCS, most))
+    cuts = [(r.lang, _HASHES if r.n <= each else max(int(_HASHES * (each / r.n)), r.least + 1)) for r in found]
+    cuts = F.broadcast(labelled.sparkSession.createDataFrame(cuts, "lang string, cut bigint"))
+    near = labelled.join(cuts, "lang").filter(F.col("h") < F.col("cut")).drop("cut")
+    # Rows that share a doc_id share its hash, so there may be more.
+    return near.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).filter(F.col("rank") <= 2 * each).drop("rank")
+
+
 def learn(docs: DataFrame, train_docs: int = TRAIN_DOCS, pieces: int = PIECES) -> Network | None:
-    """Train on a bounded sample of the documents that have a language and are not held out; None without any."""
-    labelled = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out() & (F.length("text") > 0)).select("doc_id", "text", "lang")
-    chosen = sampled(labelled, F.col("doc_id"), train_docs)
+    """Train on a bounded sample of each language of the documents that are not held out; None without any."""
+    text = F.regexp_extract("text", r"(?s)\p{L}.*", 0)  # from the first letter on, so a first piece always has one
+    labelled = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out() & F.col("text").rlike(r"\p{L}"))
+    labelled = labelled.select("lang", F.pmod(F.xxhash64("doc_id"), F.lit(_HASHES)).alias("h"), text.alias("text"))
     step = F.greatest(F.lit(1), F.floor(F.length("text") / pieces)).cast("int")
-    cut = chosen.select("lang", F.explode(F.sequence(F.lit(0), F.least(F.lit(pieces), F.length("text")) - 1)).alias("k"), step.alias("step"), "text").select("lang", F.col("text").substr(F.col("k") * F.col("step") + 1, F.lit(SEGMENT)).alias("piece"))
+    starts = F.sequence(F.lit(0), F.least(F.lit(pieces), F.length("text")) - 1)
+    cut = labelled.select("lang", "h", F.transform(starts, lambda k: F.col("text").substr(k * step + 1, F.lit(SEGMENT))).alias("pieces"))
+    cut = _by_language(cut, train_docs).select("lang", F.explode("pieces"))
     rows = sorted((r[0], r[1].encode()[:SEGMENT]) for r in cut.collect() if any(c.isalpha() for c in r[1]))
     if not rows:
         return None

@@ -3,7 +3,7 @@ import zlib
 import numpy as np
 import pytest
 
-from caselens.llm.language_id import _cut, _forward, _gradients, _softmax, has_letter, keep_known, language_id, start
+from caselens.llm.language_id import _cut, _forward, _gradients, _softmax, has_letter, keep_known, language_id, learn, quota, start
 from .common import DOCS, awkward, docs
 
 
@@ -66,3 +66,11 @@ def test_awkward_rows(spark):
     assert [tuple(r)[2:] for r in language_id(unlabelled).collect()] == [("und", 0.0)]
     assert language_id(docs(spark, [])).count() == 0
     assert keep_known(awkward(spark)).columns == awkward(spark).columns
+
+
+def test_every_labelled_language_is_learned(spark):
+    """However rare it is, whatever its doc_ids are and wherever its letters begin."""
+    rows = [(i, f"plain words {i}", "en", None, 0) for i in range(3000)] + [(9, "ett ord", "sv", None, 0)] * 2500
+    rows += [(1, "un mot", "fr", None, 0), (4, "12 " * 400 + "ein Wort", "de", None, 0), (4, "12 34", "no letter", None, 0)]
+    assert learn(spark.createDataFrame(rows, DOCS), train_docs=40).languages == ["de", "en", "fr", "sv"]
+    assert quota([1, 5000, 30], 100) == 69 and quota([3, 4], 100) == 4 and quota([], 100) == 0
