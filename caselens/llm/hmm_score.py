@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._bpe import WORD
-from ._spark import arrow, most_frequent, partitions, sampled, small_batches, stash
+from ._spark import arrow, most_frequent, partitions, small_batches, stash
 from ._text import slices
 
 STATES = 6
@@ -41,10 +41,10 @@ SYMBOLS = 48_000
 HOT = 300_000
 #: Hot words have at most so many bytes.
 HOT_BYTES = 48
-#: Rounds over all training documents, after WARM_ROUNDS over WARM_DOCS of them that only choose where to begin.
-ROUNDS = 2
-WARM_DOCS = 1500
-WARM_ROUNDS = 10
+#: Every round goes over all training documents. They end when one gains less than GAIN (log10 of the likelihood, per token).
+GAIN = 1e-3
+#: No more rounds than these, should the gain not get small.
+ROUNDS = 200
 BLOCKS = 64
 #: Tokens that a task holds at once.
 _HOLD = 1_000_000
@@ -196,14 +196,6 @@ def refit(starts: np.ndarray, moves: np.ndarray, emissions: np.ndarray, prior: n
     return Model(starts / starts.sum(), moves / moves.sum(axis=1, keepdims=True), emissions / emissions.sum(axis=0))
 
 
-def warm_start(sequences: list[np.ndarray], frequency: np.ndarray, states: int, rounds: int = WARM_ROUNDS) -> Model:
-    model = begin(frequency, states)
-    share = sum(map(len, sequences)) / max(1.0, frequency.sum())
-    for _ in range(rounds if sequences else 0):
-        model = refit(*expect(model, sequences), (frequency + 0.1) * share * 0.5 / states)
-    return model
-
-
 def _padded(sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(order, active, flat ids by step, begin of each step): sequences by falling length, so those active at a step come first."""
     lengths = np.array([len(s) for s in sequences])
@@ -236,6 +228,11 @@ def forward(model: Model, sequences: list[np.ndarray]) -> np.ndarray:
 
 def expect(model: Model, sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Expected counts of starts, moves and emissions (the forward-backward recursion)."""
+    return _expect(model, sequences)[:3]
+
+
+def _expect(model: Model, sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """expect(), and the log10 likelihood of all sequences."""
     states = len(model.start)
     order, active, flat, first = _padded(sequences)
     alphas, scales = np.empty((len(flat), states)), np.empty(len(flat))
@@ -259,7 +256,7 @@ def expect(model: Model, sequences: list[np.ndarray]) -> tuple[np.ndarray, np.nd
         gamma[a : a + n] *= now  # alphas of this step are not needed any more
     starts = gamma[: int(active[0])].sum(axis=0) if len(active) else np.zeros(states)
     emissions = np.stack([np.bincount(flat, weights=gamma[:, k], minlength=len(model.emit)) for k in range(states)], axis=1)
-    return starts, moves * model.move, emissions
+    return starts, moves * model.move, emissions, float(np.log10(scales).sum())
 
 
 def _sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[pa.RecordBatch], list[np.ndarray]]]:
@@ -280,13 +277,13 @@ _SUMS = pa.schema([("block", pa.int32()), ("sums", pa.binary())])
 
 
 def _send_counts(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
-    """Expected counts of a task: block 0 has starts and moves, the others parts of the emissions."""
+    """Expected counts of a task: block 0 has the likelihood, starts and moves, the others parts of the emissions."""
     states = len(model.start)
-    starts, moves, emissions = np.zeros(states), np.zeros((states, states)), np.zeros(model.emit.shape)
+    starts, moves, emissions, log = np.zeros(states), np.zeros((states, states)), np.zeros(model.emit.shape), np.zeros(1)
     for _, ids in _sequences(batches):
-        for total, part in zip((starts, moves, emissions), expect(model, ids)):
+        for total, part in zip((starts, moves, emissions, log), _expect(model, ids)):
             total += part
-    parts = [np.concatenate([starts, moves.ravel()]), *np.array_split(emissions, BLOCKS)]
+    parts = [np.concatenate([log, starts, moves.ravel()]), *np.array_split(emissions, BLOCKS)]
     yield arrow(None, _SUMS, block=list(range(len(parts))), sums=[np.ascontiguousarray(x).tobytes() for x in parts])
 
 
@@ -300,10 +297,11 @@ def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield arrow(None, _SUMS, block=list(totals), sums=[x.tobytes() for x in totals.values()])
 
 
-def baum_welch(sequences: DataFrame, model: Model, rounds: int = ROUNDS) -> Model:
+def baum_welch(sequences: DataFrame, model: Model, rounds: int = ROUNDS, gain: float = GAIN) -> Model:
     """sequences: ids (binary). A table of the model's own size comes to the driver in each round."""
     spark = sequences.sparkSession
     states = len(model.start)
+    last = -np.inf
     for _ in range(rounds):
         shared = spark.sparkContext.broadcast(model)
         sent = sequences.mapInArrow(lambda it, shared=shared: _send_counts(it, shared.value), "block int, sums binary")
@@ -311,7 +309,13 @@ def baum_welch(sequences: DataFrame, model: Model, rounds: int = ROUNDS) -> Mode
         if not sums:
             break
         emissions = np.concatenate([sums[1 + k].reshape(-1, states) for k in range(BLOCKS)])
-        model = refit(sums[0][:states], sums[0][states:].reshape(states, states), emissions, np.full(len(model.emit), 0.02))
+        log, starts, moves = sums[0][0], sums[0][1 : states + 1], sums[0][states + 1 :]
+        tokens = emissions.sum()
+        model = refit(starts, moves.reshape(states, states), emissions, np.full(len(model.emit), 0.02))
+        shared.destroy()
+        if not tokens or log - last < gain * tokens:
+            break
+        last = log
     return model
 
 
@@ -338,8 +342,7 @@ def hmm_scores(docs: DataFrame, states: int = STATES, symbols: int = SYMBOLS, ho
     whole = parts.filter("word IS NULL")
     frequency = np.concatenate([[known.ends], np.maximum(known.class_total[1:], 0), known.counts[: known.symbols]])
     training = whole.filter("NOT held_out")
-    few = sampled(training, F.struct("text_key", "doc_id"), WARM_DOCS).orderBy("text_key", "doc_id").select("ids").collect()
-    model = spark.sparkContext.broadcast(baum_welch(training.select("ids"), warm_start([np.frombuffer(bytes(r[0]), np.uint16) for r in few], frequency, states), rounds))
+    model = spark.sparkContext.broadcast(baum_welch(training.select("ids"), begin(frequency, states), rounds))
     class_base = known.class_base
     scored = whole.select("ids", *_SCORED.names).mapInArrow(lambda it: _score(it, model.value, class_base), "doc_id bigint, text_key bigint, held_out boolean, n_tokens bigint, known bigint, base_logs double, class_logs double")
     rare = parts.filter("word IS NOT NULL").select("doc_id", "text_key", "word", "freq").join(table, "word", "left")

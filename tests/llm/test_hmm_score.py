@@ -7,7 +7,7 @@ from collections import Counter
 
 import numpy as np
 
-from caselens.llm.hmm_score import CLASSES, Model, begin, expect, form, forward, hmm_scores
+from caselens.llm.hmm_score import CLASSES, GAIN, Model, baum_welch, begin, expect, form, forward, hmm_scores
 from .common import awkward, docs
 
 
@@ -96,3 +96,12 @@ def test_a_round_never_lowers_the_likelihood():
         s, m, e = expect(model, sequences)
         model = Model(s / s.sum(), m / m.sum(axis=1, keepdims=True), e / e.sum(axis=0))
     assert [form(w) for w in ("ab", "a1", "--", "é")] == [1, 2, 3, 4] and CLASSES == 5
+
+
+def test_rounds_over_all_sequences_end_when_the_gain_is_small(spark):
+    rng = np.random.default_rng(4)
+    sequences = [(np.arange(n) % 2 * 3 + rng.integers(0, 3, n) + rng.integers(0, 2) * 6).astype(np.uint16) for n in rng.integers(5, 40, 60)]
+    table = spark.createDataFrame([(x.tobytes(),) for x in sequences], "ids binary")
+    model = baum_welch(table, begin(np.bincount(np.concatenate(sequences)).astype(float), 4))
+    more = baum_welch(table, model, rounds=1)
+    assert forward(more, sequences).sum() - forward(model, sequences).sum() < GAIN * sum(map(len, sequences))
