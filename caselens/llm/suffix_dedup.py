@@ -1,11 +1,14 @@
 """Removal of repeated byte strings by a distributed, common-prefix-aware merge sort of suffixes.
 
 A byte goes if a string of ``length`` bytes covers it that starts anywhere else
-as well. Texts are UTF-8; matches stay within a document.
+as well. Texts are UTF-8; matches stay within a document. A shorter length,
+``report``, is looked at along with it: the bytes that strings of this length
+would cover are counted, and stay. Passages of some fifty words are found so,
+many of which have fewer than ``length`` bytes.
 
 1. Equal texts are one text from the start; one with copies goes as a whole.
-2. Anchors: the least hash of K bytes in every run of length - K + 1 positions.
-   Every string of ``length`` bytes holds one, at the same place wherever the
+2. Anchors: the least hash of K bytes in every run of report - K + 1 positions.
+   Every string of ``report`` bytes holds one, at the same place wherever the
    string occurs. Only anchors whose hash occurs again go on.
 3. Each task takes the suffixes at its anchors, cut to ``length`` bytes, sorts
    them, front-codes the run (length of the prefix shared with the one before,
@@ -16,13 +19,17 @@ as well. Texts are UTF-8; matches stay within a document.
 5. Among suffixes that share K bytes, the order of the texts to their left is
    known too. Joining neighbours from the longest common prefix r down, each
    gets the longest left match l among those it shares r bytes with; what has
-   l + r >= length is covered. This finds every pair without listing pairs.
+   l + r >= length (or report) is covered. This finds every pair without listing
+   pairs.
 
 Anchors with more than MAX_GROUP occurrences (of different texts) do not meet
-in one task: for these, each string of ``length`` bytes around the anchor is
+in one task: for these, each string of either length around the anchor is
 hashed to 128 bits and counted with a partial aggregation, which is linear.
+Tables of counts are written before they are joined, so that adaptive execution
+sees both sides and splits the rows of a very common hash over many tasks.
 
 Edge cases: null counts as empty; texts shorter than ``length`` lose nothing;
+tables without doc_id or text are refused; other columns are not read;
 rows repeated with doc_id are copies of each other; a null doc_id is a row like
 others; cuts may fall within a character, so what is kept is bytes.
 """
@@ -44,6 +51,8 @@ from ._spark import by_bucket, look_up, runs, small_batches, stash, text_or_empt
 from ._text import _BASE, mix, prefix_hash, slices, utf8
 
 LENGTH = 400
+#: Strings of so many bytes are counted where they repeat: fifty short words.
+REPORT = 240
 K = 64
 #: Suffixes that share K bytes in one merger, at most; more go the other way.
 MAX_GROUP = 20_000
@@ -225,13 +234,14 @@ def _send_runs(batches: Iterator[pa.RecordBatch], splitters: list[bytes], length
 # --- coverage ---------------------------------------------------------------------------------
 
 
-def cover(group: list[tuple[int, bytes, bytes]], length: int) -> list[tuple[int, int]]:
+def cover(group: list[tuple[int, bytes, bytes]], *lengths: int) -> list[list[tuple[int, int]]]:
     """group: (prefix shared with the one before, suffix, left) of suffixes that share K bytes, in order.
 
-    (l, r) for each: the bytes covered to the left and to the right of its place; (0, 0) for none.
+    For each length, (l, r) for each: the bytes covered to the left and to the right of its place; (0, 0) for none.
     """
     n = len(group)
-    found = [(0, 0)] * n
+    found = [[(0, 0)] * n for _ in lengths]
+    least = min(lengths)
     order = sorted(range(n), key=lambda i: group[i][2])
     rank = [0] * n
     for k, i in enumerate(order):
@@ -248,9 +258,13 @@ def cover(group: list[tuple[int, bytes, bytes]], length: int) -> list[tuple[int,
     def meet(a: int, b: int, r: int) -> None:
         i, j = order[a], order[b]
         left = shared_prefix(group[i][2], group[j][2])
-        for x in (i, j):
-            if left + r >= length and (left > found[x][0] or r > found[x][1]):
-                found[x] = (max(found[x][0], left), max(found[x][1], r))
+        if left + r < least:
+            return
+        for length, own in zip(lengths, found):
+            if left + r >= length:
+                for x in (i, j):
+                    if left > own[x][0] or r > own[x][1]:
+                        own[x] = (max(own[x][0], left), max(own[x][1], r))
 
     for i in sorted(range(1, n), key=lambda i: -group[i][0]):
         r, a, b = group[i][0], find(i - 1), find(i)
@@ -280,8 +294,8 @@ def _groups(items: Iterator[tuple], k: int) -> Iterator[list[tuple]]:
         yield group
 
 
-def _merge(batches: Iterator[pa.RecordBatch], length: int, k: int) -> Iterator[pa.RecordBatch]:
-    """(k1, k2, a, b): covered stretches around each suffix."""
+def _merge(batches: Iterator[pa.RecordBatch], length: int, report: int, k: int) -> Iterator[pa.RecordBatch]:
+    """(k1, k2, a, b, goes): covered stretches around each suffix; goes: by strings of length, otherwise of report."""
     for table in runs(batches, "bucket", 1):
         blobs = defaultdict(list)
         for bucket, blob in zip(table.column("bucket").to_pylist(), table.column("blob").to_pylist()):
@@ -302,17 +316,19 @@ def _merge(batches: Iterator[pa.RecordBatch], length: int, k: int) -> Iterator[p
                     shares.append(share)
                     share = length
                 keys = list(distinct)
-                found = cover([(s, *key) for s, key in zip(shares, keys)], length) if len(keys) > 1 else [(0, 0)]
-                for key, (left, right) in zip(keys, found):
-                    if len(distinct[key]) > 1 and len(key[0]) + len(key[1]) >= length:
-                        left, right = len(key[1]), len(key[0])
-                    if right:
-                        rows += [(k1, k2, p - left, p + right) for *_, k1, k2, p in distinct[key]]
-        yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.int64()) for x in (zip(*rows) if rows else [[]] * 4)], names=["k1", "k2", "a", "b"])
+                found = cover([(s, *key) for s, key in zip(shares, keys)], length, report) if len(keys) > 1 else [[(0, 0)]] * 2
+                for i, key in enumerate(keys):
+                    around, whole, before = distinct[key], (len(key[1]), len(key[0])), (0, 0)
+                    for least, own, goes in ((length, found[0], True), (report, found[1], False)):
+                        left, right = whole if len(around) > 1 and sum(whole) >= least else own[i]
+                        if right and (left, right) != before:
+                            rows += [(k1, k2, p - left, p + right, goes) for *_, k1, k2, p in around]
+                        before = left, right
+        yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*rows) if rows else [[]] * 5, (pa.int64(),) * 4 + (pa.bool_(),))], names=["k1", "k2", "a", "b", "goes"])
 
 
 def _send_windows(batches: Iterator[pa.RecordBatch], length: int, k: int) -> Iterator[pa.RecordBatch]:
-    """Two hashes of every string of length bytes that holds one of the places: for anchors with too many suffixes."""
+    """Two hashes of every string of length bytes that holds one of the places, for anchors with too many suffixes."""
     for batch in batches:
         for text, k1, k2, places in zip(batch.column("text").to_pylist(), batch.column("k1").to_pylist(), batch.column("k2").to_pylist(), batch.column("places").to_pylist()):
             buf = np.frombuffer(text.encode(), np.uint8)
@@ -326,32 +342,37 @@ def _send_windows(batches: Iterator[pa.RecordBatch], length: int, k: int) -> Ite
             sums, undo = prefix_hash(mix(buf.astype(np.uint64) + np.uint64(_BASE)).astype(np.uint8))
             two = mix((sums[at + length] - sums[at]) * undo[at] + np.uint64(1))
             same = np.full(len(at), 0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(same + k1), pa.array(same + k2), pa.array(at)], names=["h1", "h2", "k1", "k2", "a"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (one.view(np.int64), two.view(np.int64), same + k1, same + k2, at, same + length)], names=["h1", "h2", "k1", "k2", "a", "size"])
+
+
+def _union(stretches: list[tuple[int, int]]) -> list[list[int]]:
+    """Sorted stretches, those that touch or overlap as one."""
+    out: list[list[int]] = []
+    for a, b in sorted(stretches):
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], b)
+        else:
+            out.append([a, b])
+    return out
+
+
+_CUT = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("kept", pa.binary()), ("spans", pa.list_(pa.list_(pa.int64()))), ("n_repeated", pa.int64())])
+_CUT_DDL = "k1 bigint, k2 bigint, kept binary, spans array<array<bigint>>, n_repeated bigint"
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """What is left of each text, from its covered stretches."""
+    """What is left of each text, the spans that go, and the bytes that repeated strings of the shorter length cover."""
     for batch in batches:
         rows = []
-        for text, k1, k2, a, b in zip(*(batch.column(c).to_pylist() for c in ("text", "k1", "k2", "a", "b"))):
-            raw, kept, at, removed, spans = text.encode(), hashlib.sha256(), 0, 0, 0
-            pieces, end = [], -1
-            for x, y in sorted(zip(a, b)):
-                if x > end:
-                    pieces.append([x, y])
-                    end = y
-                elif y > end:
-                    pieces[-1][1] = end = y
-            out = []
-            for x, y in pieces:
-                out.append(raw[at:x])
-                removed, spans, at = removed + y - x, spans + 1, y
-            out.append(raw[at:])
-            whole = b"".join(out)
-            kept.update(whole)
-            rows.append((k1, k2, removed, spans, kept.hexdigest(), whole))
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*rows) if rows else [[]] * 6, kinds)], names=["k1", "k2", "n_removed", "n_spans", "kept_sha256", "kept"])
+        for text, k1, k2, found in zip(*(batch.column(c).to_pylist() for c in ("text", "k1", "k2", "found"))):
+            raw, at, kept = text.encode(), 0, []
+            spans = _union([(x["a"], x["b"]) for x in found if x["goes"]])
+            for a, b in spans:
+                kept.append(raw[at:a])
+                at = b
+            kept.append(raw[at:])
+            rows.append((k1, k2, b"".join(kept), spans, sum(b - a for a, b in _union([(x["a"], x["b"]) for x in found]))))
+        yield pa.RecordBatch.from_arrays([pa.array(list(x), f.type) for x, f in zip(zip(*rows) if rows else [[]] * 5, _CUT)], schema=_CUT)
 
 
 # --- the operator -----------------------------------------------------------------------------
@@ -364,68 +385,92 @@ def keyed(docs: DataFrame) -> DataFrame:
     return sha.withColumns({"k1": half(1), "k2": half(17)})
 
 
-def covered(docs: DataFrame, length: int = LENGTH, k: int = K, max_group: int = MAX_GROUP) -> tuple[DataFrame, DataFrame]:
-    """(texts, stretches): distinct texts that hold repeated anchors, as k1, k2, text, places; and k1, k2, a, b."""
+def covered(docs: DataFrame, length: int = LENGTH, k: int = K, max_group: int = MAX_GROUP, report: int = REPORT) -> tuple[DataFrame, DataFrame]:
+    """(texts, stretches): distinct texts that hold repeated anchors, as k1, k2, text, places; and k1, k2, a, b, goes."""
     spark = docs.sparkSession
+    report = min(report, length)
     own = keyed(docs)
-    places = stash(own.filter(F.octet_length("text") >= length).select("k1", "k2", "text").mapInArrow(lambda it: _send_anchors(it, length, k), "h bigint, k1 bigint, k2 bigint, p bigint").distinct())
-    counts = places.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1")
-    again = places.join(counts, "h").groupBy("k1", "k2").agg(F.collect_list(F.when(F.col("n") <= max_group, F.col("p"))).alias("places"), F.collect_list(F.when(F.col("n") > max_group, F.col("p"))).alias("hot"))
+    long = own.filter(F.octet_length("text") >= report).select("k1", "k2", "text")
+    places = stash(long.mapInArrow(lambda it: _send_anchors(it, report, k), "h bigint, k1 bigint, k2 bigint, p bigint").distinct())
+    counts = stash(places.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1"))
+    usual_place, hot_place = F.when(F.col("n") <= max_group, F.col("p")), F.when(F.col("n") > max_group, F.col("p"))
+    again = places.join(counts, "h").groupBy("k1", "k2").agg(F.collect_list(usual_place).alias("places"), F.collect_list(hot_place).alias("hot"))
     chosen = own.select("doc_id", "k1", "k2").groupBy("k1", "k2").agg(F.min("doc_id").alias("doc_id")).join(again, _KEYS)
-    found = own.select("doc_id", "k1", "k2", "text").alias("t").join(chosen.alias("c").hint("shuffle_hash"), F.col("t.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("t.k1") == F.col("c.k1")) & (F.col("t.k2") == F.col("c.k2")))
+    same = F.col("t.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("t.k1") == F.col("c.k1")) & (F.col("t.k2") == F.col("c.k2"))
+    found = own.select("doc_id", "k1", "k2", "text").alias("t").join(chosen.alias("c").hint("shuffle_hash"), same)
     texts = stash(found.select("t.k1", "t.k2", "t.text", "places", "hot"))
 
     usual = texts.filter(F.size("places") > 0).select("k1", "k2", "text", "places")
     suffixes = usual.agg(F.sum(F.size("places"))).first()[0] or 0
     buckets = max(1, suffixes * 2 * length // MERGE_BYTES)
-    rate = min(1.0, SAMPLE / max(1, suffixes))
-    heads = usual.select(F.explode("places").alias("p"), "k1", "k2", "text").filter(F.pmod(F.xxhash64("k1", "k2", "p"), F.lit(1 << 20)) < int(rate * (1 << 20))) if buckets > 1 else None
     splitters: list[bytes] = []
-    if heads is not None:
-        sampled = sorted(r[0] for r in heads.select(F.substring(F.encode("text", "UTF-8"), F.col("p").cast("int") + 1, F.lit(k)).alias("s")).collect())
+    if buckets > 1:
+        rate = min(1.0, SAMPLE / max(1, suffixes))
+        some = F.pmod(F.xxhash64("k1", "k2", "p"), F.lit(1 << 20)) < int(rate * (1 << 20))
+        heads = usual.select(F.explode("places").alias("p"), "k1", "k2", "text").filter(some)
+        head = F.substring(F.encode("text", "UTF-8"), F.col("p").cast("int") + 1, F.lit(k))
+        sampled = sorted(r[0] for r in heads.select(head.alias("s")).collect())
         splitters = sorted({bytes(sampled[i * len(sampled) // buckets]) for i in range(1, buckets)}) if sampled else []
     shared = spark.sparkContext.broadcast(splitters)
     sent = usual.mapInArrow(lambda it: _send_runs(it, shared.value, length, k), "bucket int, run bigint, blob binary")
-    stretches = by_bucket(sent).mapInArrow(lambda it: _merge(it, length, k), "k1 bigint, k2 bigint, a bigint, b bigint")
+    stretches = by_bucket(sent).mapInArrow(lambda it: _merge(it, length, report, k), "k1 bigint, k2 bigint, a bigint, b bigint, goes boolean")
 
     hot = texts.filter(F.size("hot") > 0).select("k1", "k2", "text", F.col("hot").alias("places"))
     if not hot.isEmpty():
-        windows = stash(hot.mapInArrow(lambda it: _send_windows(it, length, k), "h1 bigint, h2 bigint, k1 bigint, k2 bigint, a bigint"))
-        twice = windows.groupBy("h1", "h2").count().filter("count > 1").select("h1", "h2")
-        stretches = stretches.unionByName(windows.join(twice, ["h1", "h2"]).select("k1", "k2", "a", (F.col("a") + length).alias("b")))
+        ddl = "h1 bigint, h2 bigint, k1 bigint, k2 bigint, a bigint, size bigint"
+        each = [hot.mapInArrow(lambda it, size=size: _send_windows(it, size, k), ddl) for size in sorted({length, report})]
+        windows = stash(each[0] if len(each) == 1 else each[0].unionByName(each[1]))
+        twice = stash(windows.groupBy("size", "h1", "h2").count().filter("count > 1").select("size", "h1", "h2"))
+        again = windows.join(twice, ["size", "h1", "h2"])
+        stretches = stretches.unionByName(again.select("k1", "k2", "a", (F.col("a") + F.col("size")).alias("b"), (F.col("size") == length).alias("goes")))
     return texts, stash(stretches)
 
 
-def suffix_dedup(docs: DataFrame, length: int = LENGTH, k: int = K, max_group: int = MAX_GROUP) -> DataFrame:
-    """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
-    return _finish(*_cuts(docs, length, k, max_group), length)
+def _cuts(docs: DataFrame, length: int, k: int, max_group: int, report: int) -> DataFrame:
+    """_CUT of each distinct text that has a covered stretch."""
+    texts, stretches = covered(docs, length, k, max_group, report)
+    lists = stretches.groupBy("k1", "k2").agg(F.collect_list(F.struct("a", "b", "goes")).alias("found"))
+    both = texts.select("k1", "k2", "text").join(lists.hint("shuffle_hash"), _KEYS)
+    return both.select("k1", "k2", "text", "found").mapInArrow(_cut, _CUT_DDL).dropDuplicates(_KEYS)
 
 
-def _cuts(docs: DataFrame, length: int, k: int, max_group: int) -> tuple[DataFrame, DataFrame]:
-    texts, stretches = covered(docs, length, k, max_group)
-    lists = stretches.groupBy("k1", "k2").agg(F.collect_list("a").alias("a"), F.collect_list("b").alias("b"))
-    cuts = texts.select("k1", "k2", "text").join(lists.hint("shuffle_hash"), _KEYS).select("k1", "k2", "text", "a", "b").mapInArrow(_cut, "k1 bigint, k2 bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
-    meta = keyed(docs).select("doc_id", "k1", "k2", "sha", F.octet_length("text").cast("bigint").alias("n_bytes"))
-    return cuts, stash(meta)
+def _with_cuts(rows: DataFrame, cuts: DataFrame) -> DataFrame:
+    """rows (doc_id, k1, k2, ...) with ``copies`` of their text and the columns of its cut.
 
-
-def _finish(cuts: DataFrame, meta: DataFrame, length: int) -> DataFrame:
-    cuts = stash(cuts.drop("kept").dropDuplicates(_KEYS))
-    values = stash(meta.groupBy(*_KEYS).agg(F.count("*").alias("rows")).join(cuts, _KEYS, "left"))
-    found = _join(meta, values)
-    whole = (F.col("rows") > 1) & (F.col("n_bytes") >= length)
-    empty = hashlib.sha256().hexdigest()
+    Only texts with copies or cuts have values worth joining; texts with very many copies are broadcast. A text
+    that has copies needs no bytes: it goes as a whole, or is too short for a cut.
+    """
+    meta = stash(rows.select("k1", "k2"))
+    values = stash(meta.groupBy(*_KEYS).agg(F.count("*").alias("copies")).join(cuts, _KEYS, "left"))
+    key = F.concat_ws(" ", F.col("k1"), F.col("k2"))
+    wanted = values.filter("copies > 1 OR n_repeated IS NOT NULL").withColumn("key", key).drop(*_KEYS)
+    return look_up(rows.withColumn("key", key), wanted, "key", "copies", meta.count())
+
+
+def suffix_dedup(docs: DataFrame, length: int = LENGTH, k: int = K, max_group: int = MAX_GROUP, report: int = REPORT) -> DataFrame:
+    """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_repeated (bytes that repeated strings of ``report`` bytes cover)."""
+    cut = _cuts(docs, length, k, max_group, report)
+    removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s[1] - s[0])
+    digests = stash(cut.select("k1", "k2", removed.alias("n_removed"), F.size("spans").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), "n_repeated"))
+    found = _with_cuts(stash(keyed(docs).select("doc_id", "k1", "k2", "sha", F.octet_length("text").cast("bigint").alias("n_bytes"))), digests)
+    copied = lambda least: (F.col("copies") > 1) & (F.col("n_bytes") >= least)
+    whole, empty = copied(length), hashlib.sha256().hexdigest()
     return found.select(
         "doc_id",
         "n_bytes",
         F.when(whole, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
         F.when(whole, F.lit(1)).otherwise(F.coalesce("n_spans", F.lit(0))).cast("bigint").alias("n_spans"),
         F.when(whole, F.lit(empty)).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"),
+        F.when(copied(min(report, length)), F.col("n_bytes")).otherwise(F.coalesce("n_repeated", F.lit(0))).alias("n_repeated"),
     )
 
 
-def _join(meta: DataFrame, values: DataFrame) -> DataFrame:
-    """Only texts with copies or cuts have values worth joining; texts with very many copies are broadcast."""
-    key = F.concat_ws(" ", F.col("k1"), F.col("k2"))
-    wanted = values.filter("rows > 1 OR n_removed IS NOT NULL").withColumn("key", key).drop(*_KEYS)
-    return look_up(meta.withColumn("key", key), wanted, "key", "rows", meta.count())
+def deduplicated(docs: DataFrame, length: int = LENGTH, k: int = K, max_group: int = MAX_GROUP) -> DataFrame:
+    """Per document: doc_id, kept (its bytes that stay) and spans (arrays of start and end, in bytes, of those that go)."""
+    cuts = stash(_cuts(docs, length, k, max_group, length).select("k1", "k2", "kept", "spans", "n_repeated"))
+    found = _with_cuts(keyed(docs).select("doc_id", "k1", "k2", F.encode("text", "UTF-8").alias("raw")), cuts)
+    n = F.octet_length("raw").cast("bigint")
+    whole = (F.col("copies") > 1) & (n >= length)
+    all_of_it = F.array(F.array(F.lit(0).cast("bigint"), n))
+    kept = F.when(whole, F.lit(b"")).otherwise(F.coalesce("kept", "raw"))
+    return found.select("doc_id", kept.alias("kept"), F.when(whole, all_of_it).otherwise(F.coalesce("spans", F.array().cast("array<array<bigint>>"))).alias("spans"))
