@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,18 +10,21 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; where it is unset, as in tests, a local one."""
+    """The folder named in spark.checkpoint.dir. Where it is unset, a temporary one if all runs in this process, as in tests; an error on a cluster."""
     place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise RuntimeError(f"spark.checkpoint.dir is unset: on {master} intermediate tables need a folder that driver and executors share")
         place = f"file://{tempfile.mkdtemp(prefix='caselens-')}"
         spark.conf.set("spark.checkpoint.dir", place)
     return f"{place.rstrip('/')}/caselens-{spark.sparkContext.applicationId}"
 
 
-def stash(df: DataFrame) -> DataFrame:
-    """Write a table to the shared folder and read it: lineage ends there, and lost executors cost nothing."""
+def stash(df: DataFrame, *by: str) -> DataFrame:
+    """Write a table to the shared folder (with a folder for each value of ``by``) and read it: lineage ends there, and lost executors cost nothing."""
     path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").partitionBy(*by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
