@@ -9,11 +9,17 @@ and unseen ones included.
 
 Tasks run the scaled forward-backward recursion over their documents and send
 expected counts in blocks, which streams of partial sums add up; the driver
-gets only the model, whose size is bounded. Scores are exact likelihoods of
-whole texts: the scaled forward recursion runs over every token.
-
-Counts of the HOT most frequent words are broadcast, a bounded number; words
-beyond them go to a join with the table of all counts.
+gets only the model, whose size is bounded. Training documents are dealt over
+SLICES by hash. A sweep goes through all of them and refits the model after each
+slice, from a running mean of expected counts (stepwise Baum-Welch, which needs
+far fewer passes than one refit a pass). Sweeps end when the likelihood gains
+little; a last round, over all documents at once, gives the model. Scores are
+exact likelihoods of whole texts: the scaled forward recursion runs over every
+token.
+
+Counts of the HOT most frequent words, and of the HOT_LONG most frequent long
+ones (named by 128 bits), are broadcast, a bounded number; words beyond them go
+to a join with the table of all counts, in which no key is common.
 
 Edge cases: null and empty texts consist of the end token; a null doc_id hashes
 as an empty one, which is held out; rows repeated with doc_id and text get a
@@ -38,13 +44,15 @@ from ._text import slices
 
 STATES = 6
 SYMBOLS = 48_000
-HOT = 300_000
-#: Hot words have at most so many bytes.
+HOT, HOT_LONG = 300_000, 20_000
+#: Hot words have at most so many bytes; longer ones are known by their digests.
 HOT_BYTES = 48
-#: Every round goes over all training documents. They end when one gains less than GAIN (log10 of the likelihood, per token).
-GAIN = 1e-3
-#: No more rounds than these, should the gain not get small.
-ROUNDS = 200
+#: Slices of the training documents in a sweep; the weight of the n-th slice in the running mean is (n + 1) ** -FADE.
+SLICES, FADE = 16, 0.5
+#: Sweeps, or rounds, end when one gains less than GAIN (log10 of the likelihood, per token).
+GAIN = 2e-3
+#: No more sweeps, or rounds, than these, should the gain not get small. Three sweeps do what some thirteen rounds do.
+SWEEPS, ROUNDS = 3, 200
 BLOCKS = 64
 #: Tokens that a task holds at once.
 _HOLD = 1_000_000
@@ -97,6 +105,7 @@ class Counts:
     """What tasks need to know of the counts of training tokens; bounded by HOT."""
 
     words: list[str]
+    long: dict[str, int]
     counts: np.ndarray
     forms: np.ndarray
     symbols: int
@@ -120,6 +129,8 @@ def count_words(docs: DataFrame, symbols: int = SYMBOLS, hot: int = HOT) -> tupl
     training = docs.filter(~held_out())
     table = stash(training.select("text").mapInArrow(_send_words, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")))
     top = most_frequent(table.filter(F.octet_length("word") <= HOT_BYTES), "n", hot)
+    long = most_frequent(table.filter(F.octet_length("word") > HOT_BYTES), "n", min(hot, HOT_LONG))
+    long = {r[0]: r[1] for r in long.select(F.md5("word"), "n").collect()}
     rows = sorted(((r[0], r[1]) for r in top.collect()), key=lambda r: (-r[1], r[0]))
     total, distinct = table.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     ends = training.count()
@@ -132,7 +143,7 @@ def count_words(docs: DataFrame, symbols: int = SYMBOLS, hot: int = HOT) -> tupl
         mine = forms[:own] == k
         class_total[k] -= counts[:own][mine].sum()
         class_distinct[k] -= mine.sum()
-    return table, Counts([w for w, _ in rows], counts, forms, own, ends, total + ends, distinct + (ends > 0), class_total, class_distinct)
+    return table, Counts([w for w, _ in rows], long, counts, forms, own, ends, total + ends, distinct + (ends > 0), class_total, class_distinct)
 
 
 class _Index(dict):
@@ -159,8 +170,15 @@ def _encode(batches: Iterator[pa.RecordBatch], known: Counts) -> Iterator[pa.Rec
             hot = at[at >= 0]
             ids = np.append(np.where(at >= 0, symbol[np.maximum(at, 0)] if len(symbol) else 0, -1 - at), END).astype(np.uint16)
             rest = Counter(index.rest)
+            of_long, n_long = 0.0, 0
+            if known.long:
+                for word in [w for w in rest if len(w) > HOT_BYTES // 4]:
+                    if len(raw := word.encode()) > HOT_BYTES and (n := known.long.get(hashlib.md5(raw).hexdigest())) is not None:
+                        freq = rest.pop(word)
+                        of_long, n_long = of_long + freq * float(np.log10(n + 0.1)), n_long + freq
             in_class = hot[hot >= known.symbols]
-            row = (doc_id, key, held, ids.tobytes(), len(ids), len(hot) + (known.ends > 0), float(logs[hot].sum() + end), float(logs[in_class].sum()), None, None)
+            base_logs, class_logs = float(logs[hot].sum() + end) + of_long, float(logs[in_class].sum()) + of_long
+            row = (doc_id, key, held, ids.tobytes(), len(ids), len(hot) + n_long + (known.ends > 0), base_logs, class_logs, None, None)
             for name, value in zip(out, row):
                 out[name].append(value)
             for name, value in zip(out, (doc_id, key)):
@@ -297,28 +315,69 @@ def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield arrow(None, _SUMS, block=list(totals), sums=[x.tobytes() for x in totals.values()])
 
 
+def expected(sequences: DataFrame, model: Model) -> tuple[float, np.ndarray, np.ndarray, np.ndarray] | None:
+    """(log10 likelihood, starts, moves, emissions) over a table of sequences (ids); None without any. A table of the model's own size comes to the driver."""
+    spark, states = sequences.sparkSession, len(model.start)
+    shared = spark.sparkContext.broadcast(model)
+    sent = sequences.select("ids").mapInArrow(lambda it: _send_counts(it, shared.value), "block int, sums binary")
+    added = sent.repartition(min(BLOCKS, partitions(spark)), "block").mapInArrow(_add_up, "block int, sums binary").collect()
+    shared.destroy()
+    sums = {r[0]: np.frombuffer(bytes(r[1])) for r in added}
+    if not sums:
+        return None
+    emissions = np.concatenate([sums[1 + k].reshape(-1, states) for k in range(BLOCKS)])
+    if not emissions.any():
+        return None
+    return float(sums[0][0]), sums[0][1 : states + 1], sums[0][states + 1 :].reshape(states, states), emissions
+
+
+def _prior(model: Model) -> np.ndarray:
+    return np.full(len(model.emit), 0.02)
+
+
 def baum_welch(sequences: DataFrame, model: Model, rounds: int = ROUNDS, gain: float = GAIN) -> Model:
-    """sequences: ids (binary). A table of the model's own size comes to the driver in each round."""
-    spark = sequences.sparkSession
-    states = len(model.start)
+    """Rounds over all sequences (ids, binary), each with one refit."""
     last = -np.inf
     for _ in range(rounds):
-        shared = spark.sparkContext.broadcast(model)
-        sent = sequences.mapInArrow(lambda it, shared=shared: _send_counts(it, shared.value), "block int, sums binary")
-        sums = {r[0]: np.frombuffer(bytes(r[1])) for r in sent.repartition(min(BLOCKS, partitions(spark)), "block").mapInArrow(_add_up, "block int, sums binary").collect()}
-        if not sums:
+        if (sums := expected(sequences, model)) is None:
             break
-        emissions = np.concatenate([sums[1 + k].reshape(-1, states) for k in range(BLOCKS)])
-        log, starts, moves = sums[0][0], sums[0][1 : states + 1], sums[0][states + 1 :]
-        tokens = emissions.sum()
-        model = refit(starts, moves.reshape(states, states), emissions, np.full(len(model.emit), 0.02))
-        shared.destroy()
-        if not tokens or log - last < gain * tokens:
+        log, starts, moves, emissions = sums
+        model = refit(starts, moves, emissions, _prior(model))
+        if log - last < gain * emissions.sum():
             break
         last = log
     return model
 
 
+def sliced(sequences: DataFrame, slices: int = SLICES) -> DataFrame:
+    """sequences: doc_id, text_key, ids. Dealt by hash, and written with a folder for each slice; files number as partitions do."""
+    n = partitions(sequences.sparkSession)
+    key = F.xxhash64("doc_id", "text_key")
+    part = F.pmod(F.shiftrightunsigned(key, 20), F.lit(max(1, n // slices)))
+    return stash(sequences.select(F.pmod(key, F.lit(slices)).alias("slice"), part.alias("part"), "ids").repartition(n, "slice", "part").select("slice", "ids"), "slice")
+
+
+def learn(sequences: DataFrame, model: Model, sweeps: int = SWEEPS, gain: float = GAIN, slices: int = SLICES) -> Model:
+    """sequences: of sliced(). Sweeps with a refit after each slice, then a round over all of them."""
+    mean, n, last = None, 0, -np.inf
+    for _ in range(sweeps):
+        log, tokens = 0.0, 0.0
+        for k in range(slices):
+            if (sums := expected(sequences.filter(F.col("slice") == k), model)) is None:
+                continue
+            own = sums[3].sum()
+            log, tokens = log + sums[0], tokens + own
+            weight = (n + 1) ** -FADE
+            fresh = [x / own for x in sums[1:]]
+            mean = fresh if mean is None else [m + weight * (x - m) for m, x in zip(mean, fresh)]
+            n += 1
+            model = refit(*(x * own * slices for x in mean), _prior(model))
+        if not tokens or log / tokens - last < gain:
+            break
+        last = log / tokens
+    return baum_welch(sequences, model, rounds=1)
+
+
 _SCORED = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("base_logs", pa.float64()), ("class_logs", pa.float64())])
 
 
@@ -332,7 +391,7 @@ def _score(batches: Iterator[pa.RecordBatch], model: Model, class_base: np.ndarr
         yield from table.set_column(at, "class_logs", pa.array(table.column("class_logs").to_numpy() + logs)).select(_SCORED.names).combine_chunks().to_batches()
 
 
-def hmm_scores(docs: DataFrame, states: int = STATES, symbols: int = SYMBOLS, hot: int = HOT, rounds: int = ROUNDS) -> DataFrame:
+def hmm_scores(docs: DataFrame, states: int = STATES, symbols: int = SYMBOLS, hot: int = HOT, sweeps: int = SWEEPS, slices: int = SLICES) -> DataFrame:
     """Per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10)."""
     spark = docs.sparkSession
     docs = small_batches(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
@@ -341,8 +400,8 @@ def hmm_scores(docs: DataFrame, states: int = STATES, symbols: int = SYMBOLS, ho
     parts = stash(docs.withColumn("held_out", held_out()).mapInArrow(lambda it: _encode(it, shared.value), _PARTS_DDL))
     whole = parts.filter("word IS NULL")
     frequency = np.concatenate([[known.ends], np.maximum(known.class_total[1:], 0), known.counts[: known.symbols]])
-    training = whole.filter("NOT held_out")
-    model = spark.sparkContext.broadcast(baum_welch(training.select("ids"), begin(frequency, states), rounds))
+    training = sliced(whole.filter("NOT held_out"), slices)
+    model = spark.sparkContext.broadcast(learn(training, begin(frequency, states), sweeps, slices=slices))
     class_base = known.class_base
     scored = whole.select("ids", *_SCORED.names).mapInArrow(lambda it: _score(it, model.value, class_base), "doc_id bigint, text_key bigint, held_out boolean, n_tokens bigint, known bigint, base_logs double, class_logs double")
     rare = parts.filter("word IS NOT NULL").select("doc_id", "text_key", "word", "freq").join(table, "word", "left")

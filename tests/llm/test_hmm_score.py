@@ -7,7 +7,7 @@ from collections import Counter
 
 import numpy as np
 
-from caselens.llm.hmm_score import CLASSES, GAIN, Model, baum_welch, begin, expect, form, forward, hmm_scores
+from caselens.llm.hmm_score import CLASSES, GAIN, Model, baum_welch, begin, expect, form, forward, hmm_scores, learn, sliced
 from .common import awkward, docs
 
 
@@ -48,18 +48,18 @@ def same(got, want):
 def test_base_equals_brute_force(spark):
     rows = corpus()
     for symbols, hot in ((10, 15), (1000, 1000), (0, 0)):
-        same(hmm_scores(docs(spark, rows), symbols=symbols, hot=hot).collect(), base(rows))
+        same(hmm_scores(docs(spark, rows), symbols=symbols, hot=hot, sweeps=1, slices=2).collect(), base(rows))
 
 
 def test_model_beats_counts_on_held_out_texts(spark):
-    rows = hmm_scores(docs(spark, corpus(1, 400)), symbols=30).filter("held_out").collect()
+    rows = hmm_scores(docs(spark, corpus(1, 400)), symbols=30, sweeps=6, slices=4).filter("held_out").collect()
     assert sum(r.score for r in rows) > sum(r.base_score for r in rows) + 0.1 * sum(r.n_tokens for r in rows)
 
 
 def test_awkward_rows(spark):
-    same(hmm_scores(awkward(spark)).collect(), base([(r[0], r[1]) for r in awkward(spark).collect()]))
-    assert hmm_scores(docs(spark, [])).count() == 0
-    assert all(math.isfinite(r.score) for r in hmm_scores(docs(spark, [(None, "all held out")])).collect())
+    same(hmm_scores(awkward(spark), sweeps=1, slices=2).collect(), base([(r[0], r[1]) for r in awkward(spark).collect()]))
+    assert hmm_scores(docs(spark, []), slices=2).count() == 0
+    assert all(math.isfinite(r.score) for r in hmm_scores(docs(spark, [(None, "all held out")]), slices=2).collect())
 
 
 def paths(model, s):
@@ -105,3 +105,22 @@ def test_rounds_over_all_sequences_end_when_the_gain_is_small(spark):
     model = baum_welch(table, begin(np.bincount(np.concatenate(sequences)).astype(float), 4))
     more = baum_welch(table, model, rounds=1)
     assert forward(more, sequences).sum() - forward(model, sequences).sum() < GAIN * sum(map(len, sequences))
+
+
+def test_sweeps_over_slices_learn_as_rounds_do(spark):
+    rng = np.random.default_rng(6)
+    sequences = [(np.arange(n) % 2 * 3 + rng.integers(0, 3, n) + rng.integers(0, 2) * 6).astype(np.uint16) for n in rng.integers(5, 40, 300)]
+    table = sliced(spark.createDataFrame([(i, i * 7, x.tobytes()) for i, x in enumerate(sequences)], "doc_id bigint, text_key bigint, ids binary"), 4)
+    assert table.count() == 300 and table.select("slice").distinct().count() == 4
+    first = begin(np.bincount(np.concatenate(sequences)).astype(float), 4)
+    tokens = sum(map(len, sequences))
+    swept, rounds = (forward(m, sequences).sum() / tokens for m in (learn(table, first, slices=4), baum_welch(table, first)))
+    assert swept > rounds - 0.02 and swept > forward(first, sequences).sum() / tokens + 0.1
+    assert learn(table.limit(0), first, slices=4) is first
+
+
+def test_long_common_words_are_known_by_digest(spark):
+    rule = "-" * 60
+    rows = [(i, f"{rule} word{i % 3} {'=' * (50 + i % 2)} {rule}") for i in range(40)]
+    for hot in (0, 1000):
+        same(hmm_scores(docs(spark, rows), symbols=4, hot=hot, sweeps=1, slices=2).collect(), base(rows))
