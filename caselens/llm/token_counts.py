@@ -3,9 +3,10 @@
 1. Tasks cut texts into the tokenizer's own pre-tokens and send each distinct
    one with its number of occurrences; the tokenizer then counts the pieces of
    every distinct pre-token, once.
-2. Tasks sum the counts of the HOT most frequent pre-tokens, a broadcast of
-   bounded size, by document. The other pre-tokens go, with their frequency in
-   the document, to a join with the whole table of counts.
+2. Tasks sum the counts of the HOT most frequent pre-tokens, and of the HOT_LONG
+   most frequent long ones (named by 128 bits), a broadcast of bounded size, by
+   document. The other pre-tokens go, with their frequency in the document, to a
+   join with the whole table of counts; so no key of that join is common.
 No token ids are made for documents.
 
 This holds for byte-level tokenizers, whose pre-tokens never reach over the
@@ -30,8 +31,8 @@ from . import _bpe
 from ._spark import arrow, most_frequent, small_batches, stash
 from ._text import slices
 
-#: Pre-tokens whose counts are broadcast, each of at most HOT_BYTES bytes.
-HOT = 300_000
+#: Pre-tokens whose counts are broadcast: of at most HOT_BYTES bytes each, and longer ones by their digests.
+HOT, HOT_LONG = 300_000, 20_000
 HOT_BYTES = 48
 
 _PIECES = pa.schema([("piece", pa.string()), ("n", pa.int64())])
@@ -105,14 +106,20 @@ def piece_counts(docs: DataFrame, path: str) -> DataFrame:
 class _Hot(dict):
     """Counts of hot pre-tokens; the others count 0 and are put down in rest."""
 
+    def __init__(self, counts: dict[str, int], long: dict[str, int]):
+        super().__init__(counts)
+        self.long, self.rest = long, []
+
     def __missing__(self, piece: str) -> int:
+        if self.long and len(raw := piece.encode()) > HOT_BYTES and (n := self.long.get(hashlib.md5(raw).hexdigest())) is not None:
+            return n
         self.rest.append(piece)
         return 0
 
 
-def _split_counts(batches: Iterator[pa.RecordBatch], path: str, counts: dict[str, int]) -> Iterator[pa.RecordBatch]:
+def _split_counts(batches: Iterator[pa.RecordBatch], path: str, counts: dict[str, int], long: dict[str, int]) -> Iterator[pa.RecordBatch]:
     """A row with bytes and the tokens of hot pre-tokens for each document, and rows for its other pre-tokens."""
-    cut, hot = PreTokens(path), _Hot(counts)
+    cut, hot = PreTokens(path), _Hot(counts, long)
     for batch in slices(batches, "text"):
         ids, keys, sizes, tokens, pieces, freqs = [], [], [], [], [], []
         for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
@@ -137,10 +144,15 @@ def token_counts(docs: DataFrame, path: str, limit: int = 512, hot_pieces: int =
     docs = small_batches(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     counts = piece_counts(docs, path)
     top = most_frequent(counts.filter(F.octet_length("piece") <= HOT_BYTES), "n", hot_pieces)
-    hot = docs.sparkSession.sparkContext.broadcast({r[0]: r[1] for r in top.select("piece", "tokens").collect()})
-    parts = docs.mapInArrow(lambda it: _split_counts(it, path, hot.value), "doc_id bigint, text_key bigint, n_bytes bigint, tokens bigint, piece string, freq bigint")
-    parts = parts.withColumn("base", F.col("piece").isNull())
+    long = most_frequent(counts.filter(F.octet_length("piece") > HOT_BYTES), "n", min(hot_pieces, HOT_LONG))
+    tables = [dict(map(tuple, t.collect())) for t in (top.select("piece", "tokens"), long.select(F.md5("piece"), "tokens"))]
+    hot = docs.sparkSession.sparkContext.broadcast(tables)
+    parts = docs.mapInArrow(lambda it: _split_counts(it, path, *hot.value), "doc_id bigint, text_key bigint, n_bytes bigint, tokens bigint, piece string, freq bigint")
+    # Rows of whole documents need no count; a key of their own keeps them from meeting in one task as nulls would.
+    apart = F.concat(F.lit("\0"), F.xxhash64("doc_id", "text_key").cast("string"))
+    parts = parts.withColumn("base", F.col("piece").isNull()).withColumn("piece", F.coalesce("piece", apart))
     joined = parts.join(counts.select("piece", F.col("tokens").alias("each")), "piece", "left")
-    sums = joined.groupBy("doc_id", "text_key").agg(F.count_if("base").alias("rows"), F.max("n_bytes").alias("n_bytes"), F.sum(F.when(F.col("base"), F.col("tokens")).otherwise(F.col("freq") * F.col("each"))).alias("tokens"))
+    tokens = F.sum(F.when(F.col("base"), F.col("tokens")).otherwise(F.col("freq") * F.col("each")))
+    sums = joined.groupBy("doc_id", "text_key").agg(F.count_if("base").alias("rows"), F.max("n_bytes").alias("n_bytes"), tokens.alias("tokens"))
     each = sums.select("doc_id", "n_bytes", F.expr("tokens div rows").alias("n_tokens"), F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))).alias("row"))
     return each.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
