@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..operators.graph import components
 from ..storage import release, shared_dir, stash
 
-__all__ = ["arrow", "by_bucket", "by_key", "components", "look_up", "most_frequent", "partitions", "release", "runs", "sampled", "shared_dir", "small_batches", "stash", "text_or_empty"]
+__all__ = ["arrow", "by_bucket", "by_key", "components", "look_up", "most_frequent", "partitions", "release", "runs", "sampled", "shared_dir", "small_batches", "stash", "text_or_empty", "unused"]
 
 #: A key counts as hot from this share of all rows on; so at most 1 / HOT_SHARE keys are hot.
 HOT_SHARE = 1 / 2000
@@ -34,6 +34,14 @@ def sampled(df: DataFrame, key: Column, most: int) -> DataFrame:
     return df if n <= most else df.filter(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < int((1 << 30) * (most / n))).limit(2 * most)
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """The name, with underscores before it until no column has it (case does not count in Spark)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

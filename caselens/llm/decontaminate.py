@@ -4,7 +4,10 @@ Text is lower-cased (A-Z) and cut into words of digits, letters and characters
 beyond ASCII. The windows of the benchmark (n successive words of an item, or
 the whole item where it is shorter) are hashed and broadcast in blocks of at
 most MAX_WINDOWS, so the broadcast is bounded whatever the benchmark's size.
-Every window of every document is looked up; hits are verified word by word.
+BLOCKS_AT_ONCE of them follow each other in a stage; for more, the marks so far
+are written and the next stage goes on from there, so that the blocks held at
+one time are bounded, too. Every window of every document is looked up; hits are
+verified word by word.
 
 Edge cases: null texts and texts without words are clean; items without words
 have no window; repeated items count one each; repeated rows and null doc_ids
@@ -22,15 +25,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._spark import small_batches, text_or_empty
+from ._spark import small_batches, stash, text_or_empty, unused
 from ._text import ALNUM, LOWER, ngrams, slices, span_hash, spans, utf8
 
 #: Benchmark windows that are broadcast at once; about 300 bytes each.
 MAX_WINDOWS = 200_000
+BLOCKS_AT_ONCE = 2
 _FILTER = 1 << 22
 
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-_MARKS = T.StructType([T.StructField("__n_words", T.LongType()), T.StructField("__n_hit", T.LongType()), T.StructField("__hits", T.BinaryType()), T.StructField("__items", T.ArrayType(T.StringType()))])
+_MARKS = {"n_words": T.LongType(), "n_hit": T.LongType(), "hits": T.BinaryType(), "items": T.ArrayType(T.StringType())}
 
 
 def benchmark_windows(benchmark: DataFrame, n: int) -> DataFrame:
@@ -94,45 +98,67 @@ def _blocks(benchmark: DataFrame, n: int) -> Iterator[WindowSet]:
         yield WindowSet([(r[0], r[1]) for r in part.collect()])
 
 
-def marked(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
-    """docs with the columns of _MARKS: numbers of words and hit words, a bit for each word, item ids.
+def mark_names(docs: DataFrame) -> dict[str, str]:
+    """The columns that marked() adds: n_words, n_hit, hits and items, by names that docs does not have."""
+    return {k: unused(f"__{k}", docs.columns) for k in _MARKS}
 
-    Blocks of the benchmark follow each other as narrow steps that add to the marks; nothing is shuffled.
-    """
-    schema = T.StructType([*docs.schema.fields, *_MARKS.fields])
-    out = small_batches(docs).withColumns({f.name: F.lit(None).cast(f.dataType) for f in _MARKS.fields})
-    for windows in _blocks(benchmark, n):
-        shared = docs.sparkSession.sparkContext.broadcast(windows)
 
-        def kernel(batches, shared=shared):
-            for batch in slices(batches, "text"):
-                buf, offsets = utf8(batch.column("text"))
-                buf = LOWER[buf]
-                starts, ends, owner = spans(buf, offsets, ALNUM)
-                hit, items = shared.value.hits(buf, starts, ends, owner)
-                words = np.bincount(owner, minlength=batch.num_rows)
-                upto = np.cumsum(words)
-                own = [set(x or ()) for x in batch.column("__items").to_pylist()]
-                for i, item in items:
-                    own[i].add(item)
-                for i, before in enumerate(batch.column("__hits").to_pylist()):
-                    if before:
-                        hit[upto[i] - words[i] : upto[i]] |= np.unpackbits(np.frombuffer(before, np.uint8), count=words[i]).astype(bool)
-                n_hit = np.bincount(owner[hit], minlength=batch.num_rows)
-                bits = [np.packbits(hit[e - w : e]).tobytes() if x else b"" for w, e, x in zip(words.tolist(), upto.tolist(), n_hit)]
-                yield pa.RecordBatch.from_arrays(
-                    [*batch.columns[: -len(_MARKS)], pa.array(words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(bits, pa.binary()), pa.array([sorted(x) for x in own], pa.list_(pa.string()))],
-                    names=batch.schema.names,
-                )
-
-        out = out.mapInArrow(kernel, schema)
+def _mark(batches: Iterator[pa.RecordBatch], windows: WindowSet, names: dict[str, str]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches, "text"):
+        buf, offsets = utf8(batch.column("text"))
+        buf = LOWER[buf]
+        starts, ends, owner = spans(buf, offsets, ALNUM)
+        hit, items = windows.hits(buf, starts, ends, owner)
+        words = np.bincount(owner, minlength=batch.num_rows)
+        upto = np.cumsum(words)
+        own = [set(x or ()) for x in batch.column(names["items"]).to_pylist()]
+        for i, item in items:
+            own[i].add(item)
+        for i, before in enumerate(batch.column(names["hits"]).to_pylist()):
+            if before:
+                hit[upto[i] - words[i] : upto[i]] |= np.unpackbits(np.frombuffer(before, np.uint8), count=words[i]).astype(bool)
+        n_hit = np.bincount(owner[hit], minlength=batch.num_rows)
+        bits = [np.packbits(hit[e - w : e]).tobytes() if x else b"" for w, e, x in zip(words.tolist(), upto.tolist(), n_hit)]
+        marks = [pa.array(words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(bits, pa.binary()), pa.array([sorted(x) for x in own], pa.list_(pa.string()))]
+        yield pa.RecordBatch.from_arrays([*batch.columns[: -len(_MARKS)], *marks], names=batch.schema.names)
+
+
+def marked(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
+    """docs with the columns of mark_names(): numbers of words and hit words, a bit for each word, item ids. Nothing is shuffled."""
+    names = mark_names(docs)
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(names[k], t) for k, t in _MARKS.items())])
+    out = small_batches(docs).withColumns({names[k]: F.lit(None).cast(t) for k, t in _MARKS.items()})
+    for k, windows in enumerate(_blocks(benchmark, n)):
+        if k and k % BLOCKS_AT_ONCE == 0:
+            out = stash(out)
+        shared = docs.sparkSession.sparkContext.broadcast(windows)
+        out = out.mapInArrow(lambda it, shared=shared: _mark(it, shared.value, names), schema)
     return out
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
     """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
-    found = marked(docs.select("doc_id", "text"), benchmark, n)
-    return found.select("doc_id", F.col("__n_words").alias("n_words"), F.col("__n_hit").alias("n_hit"), F.size("__items").cast("bigint").alias("n_items"), F.sha2(F.array_join("__items", ","), 256).alias("items_sha256"), (F.col("__n_hit") > 0).alias("contaminated"))
+    docs = docs.select("doc_id", "text")
+    c = {k: F.col(v) for k, v in mark_names(docs).items()}
+    digest = F.sha2(F.array_join(c["items"], ","), 256)
+    return marked(docs, benchmark, n).select("doc_id", c["n_words"].alias("n_words"), c["n_hit"].alias("n_hit"), F.size(c["items"]).cast("bigint").alias("n_items"), digest.alias("items_sha256"), (c["n_hit"] > 0).alias("contaminated"))
+
+
+def _without_hits(batches: Iterator[pa.RecordBatch], hits: str) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches, "text"):
+        buf, offsets = utf8(batch.column("text"))
+        starts, ends, owner = spans(LOWER[buf], offsets, ALNUM)
+        texts, bits = batch.column("text").to_pylist(), batch.column(hits).to_pylist()
+        for i in [i for i, x in enumerate(bits) if x]:
+            own = np.flatnonzero(owner == i)
+            hit = np.unpackbits(np.frombuffer(bits[i], np.uint8), count=len(own)).astype(bool)
+            keep = np.ones(offsets[i + 1] - offsets[i], bool)
+            edges = np.flatnonzero(np.diff(np.concatenate([[0], hit.view(np.int8), [0]])))
+            for a, b in edges.reshape(-1, 2):
+                keep[starts[own[a]] - offsets[i] : ends[own[b - 1]] - offsets[i]] = False
+            texts[i] = buf[offsets[i] : offsets[i + 1]][keep].tobytes().decode()
+        at = batch.schema.get_field_index("text")
+        yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, mode: str = "documents") -> DataFrame:
@@ -140,24 +166,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, mode: str
 
     A removed span reaches from the first byte of its first word to the last byte of its last word.
     """
-    found = marked(docs, benchmark, n)
+    found, names = marked(docs, benchmark, n), mark_names(docs)
     if mode == "documents":
-        return found.filter("__n_hit = 0").select(*docs.columns)
-
-    def cut(batches):
-        for batch in slices(batches, "text"):
-            buf, offsets = utf8(batch.column("text"))
-            starts, ends, owner = spans(LOWER[buf], offsets, ALNUM)
-            texts, bits = batch.column("text").to_pylist(), batch.column("__hits").to_pylist()
-            for i in [i for i, x in enumerate(bits) if x]:
-                own = np.flatnonzero(owner == i)
-                hit = np.unpackbits(np.frombuffer(bits[i], np.uint8), count=len(own)).astype(bool)
-                keep = np.ones(offsets[i + 1] - offsets[i], bool)
-                edges = np.flatnonzero(np.diff(np.concatenate([[0], hit.view(np.int8), [0]])))
-                for a, b in edges.reshape(-1, 2):
-                    keep[starts[own[a]] - offsets[i] : ends[own[b - 1]] - offsets[i]] = False
-                texts[i] = buf[offsets[i] : offsets[i + 1]][keep].tobytes().decode()
-            at = batch.schema.get_field_index("text")
-            yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
-
-    return found.mapInArrow(cut, found.schema).select(*docs.columns)
+        return found.filter(F.col(names["n_hit"]) == 0).select(*docs.columns)
+    return found.mapInArrow(lambda it: _without_hits(it, names["hits"]), found.schema).select(*docs.columns)
