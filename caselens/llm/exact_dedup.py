@@ -71,10 +71,13 @@ def _build_bucket(table: pa.Table) -> pa.Table:
     )
 
 
-def build_index(history: DataFrame, bucket_keys: int = BUCKET_KEYS) -> tuple[DataFrame, int]:
-    """(index, number of buckets) over the winners() of all documents seen so far."""
+def build_index(history: DataFrame, bucket_keys: int = BUCKET_KEYS, arrivals: int = 0) -> tuple[DataFrame, int]:
+    """(index, number of buckets) over the winners() of all documents seen so far.
+
+    Buckets are as many as the larger of the history and the number of rows to be looked up needs.
+    """
     stats = stash(winners(with_digest(history)))
-    buckets = max(1, -(-stats.count() // bucket_keys))
+    buckets = max(1, -(-max(stats.count(), arrivals) // bucket_keys))
     return stash(_bucketed(stats, buckets).groupBy("bucket").applyInArrow(_build_bucket, _INDEX)), buckets
 
 
@@ -118,7 +121,7 @@ def exact_dedup(docs: DataFrame, history: DataFrame | None = None) -> DataFrame:
         history, arrivals = docs.filter(even), docs.filter(~even)
     else:
         arrivals, docs = docs, history.select("doc_id", "text").unionByName(docs.select("doc_id", "text"))
-    index, buckets = build_index(history)
+    index, buckets = build_index(history, arrivals=arrivals.count())
     groups = stash(merge(index, buckets, arrivals))
     total = groups.agg(F.sum("group_size")).first()[0] or 0
     found = look_up(with_digest(docs), groups, "digest", "group_size", total)
