@@ -60,13 +60,13 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_suffix_array_dedup, op2_source_mixing, op3_secret_scan, op4_token_output, op5_language_id, op6_lm_scoring, op7_benchmark_decontamination, op8_exact_dedup, op9_token_counts, op10_ngram_jaccard_join)}
 
 _OP2 = r"""
-WITH d AS (SELECT doc_id, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size, CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS skey, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+WITH d AS (SELECT doc_id, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size, CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS skey, md5(coalesce(CAST(doc_id AS VARCHAR), 'text ' || md5(coalesce(text, '')))) AS h, md5(coalesce(text, '')) AS tie FROM documents),
 s AS (SELECT skey, CAST(sum(size) AS BIGINT) AS s, CAST((row_number() OVER (ORDER BY skey) - 1) % 3 + 1 AS BIGINT) AS w, row_number() OVER (ORDER BY skey) - 1 AS kind FROM d GROUP BY skey),
 r AS (SELECT *, CAST(3 * s AS DOUBLE) / w AS ratio FROM s),
 l AS (SELECT *, CAST(sum(s) OVER () - coalesce(sum(3 * s) OVER upto, 0) AS DOUBLE) / CAST(sum(w) OVER () - coalesce(sum(w) OVER upto, 0) AS DOUBLE) AS level FROM r WINDOW upto AS (ORDER BY ratio, skey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 t AS (SELECT skey, s, kind, CASE WHEN level > ratio THEN CAST(3 * s AS DOUBLE) ELSE max(CASE WHEN level <= ratio THEN level END) OVER () * w END AS target FROM l),
 q AS (SELECT *, least(CAST(floor(target + 0.5) AS BIGINT), 3 * s) AS quota FROM t),
-p AS (SELECT doc_id, size, s, kind, target, quota, CASE WHEN s > 0 THEN quota // s ELSE 0 END AS rounds, CAST(coalesce(sum(size) OVER (PARTITION BY d.skey ORDER BY h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before FROM d JOIN q USING (skey)),
+p AS (SELECT doc_id, size, s, kind, target, quota, CASE WHEN s > 0 THEN quota // s ELSE 0 END AS rounds, CAST(coalesce(sum(size) OVER (PARTITION BY d.skey ORDER BY h, doc_id, size, tie ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before FROM d JOIN q USING (skey)),
 k AS (SELECT *, CAST(rounds * size + least(greatest(quota - rounds * s - before, 0), size) AS BIGINT) AS taken FROM p),
 y AS (SELECT *, (before + least(taken, size) / 2.0) / nullif(quota, 0) AS share FROM k)
 SELECT doc_id, size, s AS source_size, round(target, 6) AS target, taken,
