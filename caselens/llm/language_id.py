@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._spark import small_batches
+from ._spark import small_batches, unused
 from ._text import slices, utf8
 
 SEGMENT = 128
@@ -241,9 +241,14 @@ def learn(docs: DataFrame, train_docs: int = TRAIN_DOCS, pieces: int = PIECES) -
     return train(segments, lengths, np.array([languages.index(x) for x, _ in rows]), languages)
 
 
+def _label_columns(docs: DataFrame) -> tuple[str, str]:
+    return unused("__lang", docs.columns), unused("__score", docs.columns)
+
+
 def label(docs: DataFrame, net: Network | None) -> DataFrame:
-    """docs with __lang and __score."""
-    schema = T.StructType([*docs.schema.fields, T.StructField("__lang", T.StringType()), T.StructField("__score", T.DoubleType())])
+    """docs with two more columns: the language and its score."""
+    names = _label_columns(docs)
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(n, t) for n, t in zip(names, (T.StringType(), T.DoubleType())))])
     shared = small_batches(docs).sparkSession.sparkContext.broadcast(net)
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,7 +261,7 @@ def label(docs: DataFrame, net: Network | None) -> DataFrame:
                 known = has_letter(buf, offsets)
                 best = np.where(known, np.clip(p.max(axis=1), 0, 1), 0.0)
                 langs = [net.languages[k] if x else UNKNOWN for k, x in zip(p.argmax(axis=1).tolist(), known)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(best, pa.float64())], names=[*batch.schema.names, "__lang", "__score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(best, pa.float64())], names=[*batch.schema.names, *names])
 
     return docs.mapInArrow(kernel, schema)
 
@@ -275,4 +280,5 @@ def keep_known(docs: DataFrame, least: float | None = None, train_docs: int = TR
     net = learn(docs, train_docs)
     if least is None:
         least = min(1.0, 1.1 / len(net.languages)) if net is not None and len(net.languages) > 1 else 0.0
-    return label(docs, net).filter((F.col("__lang") != UNKNOWN) & (F.col("__score") >= least)).select(*docs.columns)
+    lang, score = _label_columns(docs)
+    return label(docs, net).filter((F.col(lang) != UNKNOWN) & (F.col(score) >= least)).select(*docs.columns)

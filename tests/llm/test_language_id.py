@@ -3,7 +3,7 @@ import zlib
 import numpy as np
 import pytest
 
-from caselens.llm.language_id import _cut, _forward, _gradients, _softmax, has_letter, keep_known, language_id, learn, quota, start
+from caselens.llm.language_id import _cut, _forward, _gradients, _softmax, has_letter, keep_known, language_id, learn, predict, quota, start
 from .common import DOCS, awkward, docs
 
 
@@ -46,6 +46,39 @@ def test_gradients_equal_differences():
             assert abs((up - down) / 2e-2 - g[at]) < 2e-3
 
 
+def test_prediction_equals_a_plain_loop():
+    """One byte, one unit and one direction at a time."""
+    net = start(["x", "y", "z"], hidden=5)
+    texts = ["", "a", "Überall wo man hinsieht, und noch weiter. " * 3, "plain"]
+    raws = [t.encode() for t in texts]
+    sigmoid = lambda v: 1 / (1 + np.exp(-v))
+
+    def states(direction, raw):
+        h, out = np.zeros(5), []
+        for byte in raw:
+            new = np.zeros(5)
+            for k in range(5):
+                gate = lambda g: (float(net.wx[direction, g * 5 + k, byte]), sum(float(net.wh[direction, g * 5 + k, j]) * h[j] for j in range(5)))
+                z, r = sigmoid(sum(gate(0))), sigmoid(sum(gate(1)))
+                c = np.tanh(gate(2)[0] + r * gate(2)[1])
+                new[k] = z * h[k] + (1 - z) * c
+            h = new
+            out.append(h)
+        return out
+
+    buf, offsets = np.frombuffer(b"".join(raws), np.uint8), np.cumsum([0, *map(len, raws)])
+    got = predict(net, buf, offsets, segment=32)
+    for raw, p in zip(raws, got):
+        total = np.zeros(3)
+        for a in range(0, len(raw), 32):
+            part = raw[a : a + 32].ljust(32, b"\0")
+            for t, (f, b) in enumerate(zip(states(0, part), states(1, part[::-1])[::-1])):
+                if a + t < len(raw):
+                    scores = net.bias + net.wo[0] @ f + net.wo[1] @ b
+                    total += np.exp(scores - scores.max()) / np.exp(scores - scores.max()).sum()
+        assert np.allclose(p, total / max(1, len(raw)), atol=1e-4)
+
+
 def test_segments_hold_every_byte():
     buf = np.arange(1, 200, dtype=np.uint8)
     rows, lengths, owner = _cut(buf, np.array([0, 0, 5, 70, 70, 199]), 16)
@@ -66,6 +99,8 @@ def test_awkward_rows(spark):
     assert [tuple(r)[2:] for r in language_id(unlabelled).collect()] == [("und", 0.0)]
     assert language_id(docs(spark, [])).count() == 0
     assert keep_known(awkward(spark)).columns == awkward(spark).columns
+    clash = awkward(spark).selectExpr("*", "1 AS __Lang", "'y' AS __score")
+    assert keep_known(clash).columns == clash.columns and keep_known(clash).count() == keep_known(awkward(spark)).count()
 
 
 def test_every_labelled_language_is_learned(spark):
