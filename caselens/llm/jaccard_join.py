@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._spark import by_bucket, by_key, components, look_up, partitions, runs, small_batches, stash
+from ._spark import by_bucket, by_key, components, look_up, partitions, runs, small_batches, stash, unused
 from ._text import LOWER, NOT_SPACE, ngrams, slices, span_hash, spans, utf8
 
 SHINGLE = 5
@@ -407,10 +407,10 @@ def jaccard_join(docs: DataFrame, max_group: int = MAX_GROUP) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id").unionByName(rows.filter("sid IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
-def _add_sid(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _add_sid(batches: Iterator[pa.RecordBatch], name: str) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, "text"):
         sids = set_ids(*shingle_sets(*utf8(batch.column("text"))))
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sids)], names=[*batch.schema.names, "__sid"])
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sids)], names=[*batch.schema.names, name])
 
 
 def keep_one(docs: DataFrame, max_group: int = MAX_GROUP) -> DataFrame:
@@ -423,13 +423,15 @@ def keep_one(docs: DataFrame, max_group: int = MAX_GROUP) -> DataFrame:
     meta, values = _joined(docs, max_group)
     best = values.groupBy("root").agg(F.min(F.struct(F.col("min_id").isNull().alias("none"), "min_id", "sid")).alias("best"))
     copies = meta.filter("n IS NOT NULL AND sid IS NOT NULL").groupBy("sid", "doc_id").agg(F.count("*").alias("__rows"))
-    best = best.select(F.col("best.sid").alias("__set"), F.col("best.min_id").alias("__id"))
-    kept = stash(best.join(copies, (F.col("__set") == F.col("sid")) & F.col("__id").eqNullSafe(F.col("doc_id"))).select("__set", "__id", "__rows"))
+    own, chosen, id_, rows = (unused(f"__{x}", docs.columns) for x in ("sid", "set", "id", "rows"))
+    best = best.select(F.col("best.sid").alias(chosen), F.col("best.min_id").alias(id_))
+    of_best = (F.col(chosen) == F.col("sid")) & F.col(id_).eqNullSafe(F.col("doc_id"))
+    kept = stash(best.join(copies.withColumnRenamed("__rows", rows), of_best).select(chosen, id_, rows))
     has_set = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    schema = T.StructType([*docs.schema.fields, T.StructField("__sid", T.LongType())])
-    named = docs.filter(has_set).mapInArrow(_add_sid, schema)
-    on = (F.col("__sid") == F.col("__set")) & F.col("doc_id").cast("bigint").eqNullSafe(F.col("__id"))
-    out = named.join(kept.select("__set", "__id").hint("shuffle_hash"), on, "left_semi")
-    if not kept.filter("__rows > 1").isEmpty():
-        out = out.dropDuplicates(["doc_id", "__sid"])
-    return out.drop("__sid").unionByName(docs.filter(~has_set))
+    schema = T.StructType([*docs.schema.fields, T.StructField(own, T.LongType())])
+    named = docs.filter(has_set).mapInArrow(lambda it: _add_sid(it, own), schema)
+    on = (F.col(own) == F.col(chosen)) & F.col("doc_id").cast("bigint").eqNullSafe(F.col(id_))
+    out = named.join(kept.select(chosen, id_).hint("shuffle_hash"), on, "left_semi")
+    if not kept.filter(F.col(rows) > 1).isEmpty():
+        out = out.dropDuplicates(["doc_id", own])
+    return out.drop(own).unionByName(docs.filter(~has_set))
