@@ -315,12 +315,15 @@ def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield arrow(None, _SUMS, block=list(totals), sums=[x.tobytes() for x in totals.values()])
 
 
-def expected(sequences: DataFrame, model: Model) -> tuple[float, np.ndarray, np.ndarray, np.ndarray] | None:
-    """(log10 likelihood, starts, moves, emissions) over a table of sequences (ids); None without any. A table of the model's own size comes to the driver."""
+def expected(sequences: DataFrame, model: Model, share: int = 1) -> tuple[float, np.ndarray, np.ndarray, np.ndarray] | None:
+    """(log10 likelihood, starts, moves, emissions) over a table of sequences (ids); None without any. A table of the model's own size comes to the driver.
+
+    share: the part of the data that this is, one in so many; as many fewer tasks add up.
+    """
     spark, states = sequences.sparkSession, len(model.start)
     shared = spark.sparkContext.broadcast(model)
     sent = sequences.select("ids").mapInArrow(lambda it: _send_counts(it, shared.value), "block int, sums binary")
-    added = sent.repartition(min(BLOCKS, partitions(spark)), "block").mapInArrow(_add_up, "block int, sums binary").collect()
+    added = sent.repartition(min(BLOCKS, max(1, partitions(spark) // share)), "block").mapInArrow(_add_up, "block int, sums binary").collect()
     shared.destroy()
     sums = {r[0]: np.frombuffer(bytes(r[1])) for r in added}
     if not sums:
@@ -363,7 +366,7 @@ def learn(sequences: DataFrame, model: Model, sweeps: int = SWEEPS, gain: float
     for _ in range(sweeps):
         log, tokens = 0.0, 0.0
         for k in range(slices):
-            if (sums := expected(sequences.filter(F.col("slice") == k), model)) is None:
+            if (sums := expected(sequences.filter(F.col("slice") == k), model, slices)) is None:
                 continue
             own = sums[3].sum()
             log, tokens = log + sums[0], tokens + own
