@@ -21,6 +21,7 @@ SUBJECT_RULES = (
     ("decision", r"(?i)\b(adopt|choose|deprecat|drop|replace|retire|select|ship|stop|switch)\w*"),
     ("result", r"(?i)\b(benchmark|complete|done|eval|result|score|summary|win)\w*"),
 )
+# Words that say nothing about a commit.
 STOP_WORDS = ("add", "after", "and", "before", "for", "from", "into", "latest", "more", "next", "run", "the", "this", "update", "with")
 
 
@@ -201,3 +202,8 @@ def markdown(x: Column | str) -> Column:
 def number_text(x: Column | str, digits: int = 4, missing: str = "—") -> Column:
     x = _c(x).cast("double")
     return F.when(x.isNull(), missing).otherwise(F.format_string(f"%.{digits}f", x))
+
+
+def nested(document: Column | str, path: str) -> Column:
+    """A number at a dotted path of a JSON text; NULL where the path ends early or holds no finite number."""
+    return finite(F.get_json_object(_c(document), f"$.{path}").try_cast("double"))

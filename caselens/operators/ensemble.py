@@ -47,6 +47,13 @@ def blend(left: DataFrame, right: DataFrame, on: list[str], value: str, weight:
     return joined.select(*on, F.coalesce(w * F.col("__a") + (1 - w) * F.col("__b"), "__a", "__b").alias(value))
 
 
+def blends(rows: DataFrame, a: Column, b: Column, weights: list[float]) -> DataFrame:
+    """rows once for each weight w, with p = w a + (1 - w) b, or the one of both that is there."""
+    w = F.explode(F.array(*map(F.lit, weights)))
+    mixed = rows.withColumns({"__a": a, "__b": b}).withColumn("w", w)
+    return mixed.withColumn("p", F.coalesce(F.col("w") * F.col("__a") + (1 - F.col("w")) * F.col("__b"), "__a", "__b")).drop("__a", "__b")
+
+
 def candidate_scores(scores: DataFrame, candidates: DataFrame, case: str, member: str, value: str) -> DataFrame:
     """candidates: candidate, member. Mean of the members of each candidate by case; cases that lack a member are out."""
     sizes = candidates.groupBy("candidate").agg(F.count("*").alias("__k"))

@@ -37,7 +37,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 def dangling(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(kind, id): edges whose source or target is no node, and nodes whose parent is none."""
     ids = nodes.select("id")
-    end = lambda c: edges.join(ids, edges[c] == ids["id"], "left_anti").select(F.lit(f"no {c}").alias("kind"), edges["id"])
+    known = nodes.select(F.col("id").alias("__node"))
+    end = lambda c: edges.join(known, F.col(c) == F.col("__node"), "left_anti").select(F.lit(f"no {c}").alias("kind"), "id")
     out = end("source").unionByName(end("target"))
     if "parent" in nodes.columns:
         parents = ids.withColumnRenamed("id", "parent")

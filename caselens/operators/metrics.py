@@ -91,7 +91,14 @@ def sweep(df: DataFrame, keys: list[str], score: str, truth: Column, steps: int)
     return counts.filter("level > 0").select(*keys, (F.col("level") / float(steps + 1)).alias("threshold"), "tp", "fp", (F.col("all_pos") - F.col("tp")).alias("fn"), (F.col("all_neg") - F.col("fp")).alias("tn"))
 
 
-def sweep_by_join(df: DataFrame, keys: list[str], score: str, truth: Column, thresholds: DataFrame) -> DataFrame:
-    """The same from a join with any (broadcast) table of thresholds; for grids that are not even."""
-    joined = df.filter(F.col(score).isNotNull()).crossJoin(F.broadcast(thresholds.select("threshold")))
-    return confusion(joined, [*keys, "threshold"], truth, F.col(score) >= F.col("threshold"))
+def sweep_at(df: DataFrame, keys: list[str], score: str, truth: Column, thresholds: list[float]) -> DataFrame:
+    """The same at any list of thresholds: a row falls between two of them, and counts at or above each are reverse running sums."""
+    cuts = sorted(set(map(float, thresholds)))
+    level = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda t: t <= F.col(score)))
+    buckets = df.filter(F.col(score).isNotNull()).groupBy(*keys, level.alias("level")).agg(F.count_if(truth).alias("pos"), F.count_if(~truth).alias("neg"))
+    grid = df.sparkSession.createDataFrame([(k, t) for k, t in enumerate(cuts, 1)] + [(0, None)], "level int, threshold double")
+    full = buckets.select(*keys).distinct().crossJoin(F.broadcast(grid)).join(buckets, [*keys, "level"], "left").fillna(0, ["pos", "neg"])  # groups x thresholds, not rows
+    every = Window.partitionBy(*keys)
+    above = every.orderBy(F.col("level").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    counts = full.withColumns({"tp": F.sum("pos").over(above), "fp": F.sum("neg").over(above), "all_pos": F.sum("pos").over(every), "all_neg": F.sum("neg").over(every)})
+    return counts.filter("level > 0").select(*keys, "threshold", "tp", "fp", (F.col("all_pos") - F.col("tp")).alias("fn"), (F.col("all_neg") - F.col("fp")).alias("tn"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,37 +33,31 @@ def session_summary(sessions: DataFrame, keys: list[str], ts: str, last: int, va
     return marked.groupBy(*keys, "session").agg(F.min(ts).alias("start"), F.max(ts).alias("end"), F.count("*").alias("n"), F.transform(kept, lambda x: x[value]).alias("last_values"))
 
 
-def _fold(commits: pd.DataFrame) -> pd.DataFrame:
-    """Episodes of one repository: the rule depends on all that the running episode has gathered."""
-    commits = commits.sort_values(["ts", "sha"], kind="stable")
-    out, number, paths, words, size, last = [], -1, set(), set(), 0, None
-    for ts, own_paths, own_words in zip(commits["ts"], commits["paths"], commits["words"]):
-        near = last is not None and ts - last <= pd.Timedelta(days=3)
-        if not (near and (size < 2 or paths & set(own_paths) or words & set(own_words))):
-            number, paths, words, size = number + 1, set(), set(), 0
-        paths |= set(own_paths)
-        words |= set(own_words)
-        size, last = size + 1, ts
-        out.append(number)
-    return pd.DataFrame({"repo": commits["repo"], "sha": commits["sha"], "episode": out})
+def _fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Episodes of commits that come by repository and time: the rule depends on all that the running episode has gathered."""
+    repo, number, paths, words, size, last = None, -1, set(), set(), 0, None
+    for batch in batches:
+        out = []
+        for own_repo, ts, own_paths, own_words in zip(batch["repo"], batch["ts"], batch["paths"], batch["words"]):
+            if own_repo != repo:
+                repo, number, last = own_repo, -1, None
+            near = last is not None and ts - last <= pd.Timedelta(days=3)
+            if not (near and (size < 2 or paths & set(own_paths) or words & set(own_words))):
+                number, paths, words, size = number + 1, set(), set(), 0
+            paths |= set(own_paths)
+            words |= set(own_words)
+            size, last = size + 1, ts
+            out.append(number)
+        yield pd.DataFrame({"repo": batch["repo"], "sha": batch["sha"], "episode": out})
 
 
 def episodes(commits: DataFrame) -> DataFrame:
     """commits: repo, sha, ts, subject, files. (repo, sha, episode): commits within three days that share paths or words.
 
-    A gap of over three days always ends an episode, so those runs are found
-    with a window first and each is folded on its own; no task holds a whole log.
+    Repositories are sorted by Spark and folded as they stream past; a task holds the running episode only.
     """
-    own = Window.partitionBy("repo").orderBy("ts", "sha")
-    late = F.col("ts").cast("timestamp").cast("double") - F.lag("ts").over(own).cast("timestamp").cast("double") > 3 * 86400
-    runs = commits.withColumn("run", F.sum(F.when(late, 1).otherwise(0)).over(own)).select("repo", "run", "sha", F.col("ts").cast("timestamp").alias("ts"), top_level("files").alias("paths"), subject_words("subject").alias("words"))
-
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        return _fold(group).assign(run=group["run"].iloc[0])
-
-    parts = runs.groupBy("repo", "run").applyInPandas(fold, "repo string, sha string, episode bigint, run bigint")
-    ordered = Window.partitionBy("repo").orderBy("run", "episode")
-    return parts.select("repo", "sha", (F.dense_rank().over(ordered) - 1).cast("bigint").alias("episode"))
+    rows = commits.select("repo", "sha", F.col("ts").cast("timestamp").alias("ts"), top_level("files").alias("paths"), subject_words("subject").alias("words"))
+    return rows.repartition("repo").sortWithinPartitions("repo", "ts", "sha").mapInPandas(_fold, f"repo {dict(commits.dtypes)['repo']}, sha {dict(commits.dtypes)['sha']}, episode bigint")
 
 
 def episode_nodes(commits: DataFrame, membership: DataFrame, most: int = 14) -> DataFrame:
@@ -95,3 +91,20 @@ def repository_statistics(commits: DataFrame, author: str = "author") -> DataFra
     kinds = commits.withColumn("kind", classify("subject"))
     files = commits.select("repo", F.explode_outer("files").alias("f")).groupBy("repo").agg(F.count_distinct("f").alias("n_files"))
     return kinds.groupBy("repo").agg(F.count("*").alias("n_commits"), F.count_distinct(author).alias("n_contributors"), F.count_if(F.col("kind") == "decision").alias("n_decisions"), F.count_if(F.col("kind") == "correction").alias("n_corrections")).join(files, "repo")
+
+
+def repository_graph(commits: DataFrame, most: int = 14) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges): a node for each repository, for its last episodes and for its pipeline files; edges contain and precede.
+
+    nodes: id, kind, title, parent. edges: source, target, relation.
+    """
+    found = episode_nodes(commits, episodes(commits), most)
+    root = F.concat(F.lit("repo-"), F.col("repo"))
+    touched = pipeline_files(last_touch(commits), "path")
+    file_id = F.concat_ws("-", F.lit("file"), "repo", "path")
+    node = lambda df, i, kind, title, parent: df.select(i.alias("id"), kind.alias("kind"), title.alias("title"), parent.alias("parent"))
+    nothing = F.lit(None).cast("string")
+    nodes = node(commits.select("repo").distinct(), root, F.lit("repository"), F.col("repo"), nothing)
+    nodes = nodes.unionByName(node(found, F.col("id"), F.col("kind"), F.col("title"), root)).unionByName(node(touched, file_id, F.lit("pipeline"), F.col("path"), root))
+    contains = nodes.filter("parent IS NOT NULL").select(F.col("parent").alias("source"), F.col("id").alias("target"), F.lit("contains").alias("relation"))
+    return nodes, contains.unionByName(episode_edges(found).select("source", "target", "relation"))

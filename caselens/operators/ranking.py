@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import stash
 from .relational import first_by_priority
 
 best_row = first_by_priority
@@ -43,9 +44,9 @@ def scalarise(long: DataFrame, subject: str, config: str, largest_first: list[st
 
 
 def constrained_best(df: DataFrame, allowed: Column, order: list[Column]) -> DataFrame:
-    """The first allowed row; of all rows, if none is allowed."""
-    tagged = df.withColumn("relaxed", ~F.max(allowed).over(Window.partitionBy()))
-    return tagged.filter(allowed | F.col("relaxed")).orderBy(*order).limit(1)
+    """The first allowed row; of all rows, if none is allowed. Tasks keep their first row only."""
+    tagged = df.withColumn("relaxed", ~F.coalesce(allowed, F.lit(False)))
+    return tagged.orderBy("relaxed", *order).limit(1)
 
 
 def nearest(df: DataFrame, keys: list[str], value: str, wanted: Column, tie: str) -> DataFrame:
@@ -53,25 +54,61 @@ def nearest(df: DataFrame, keys: list[str], value: str, wanted: Column, tie: str
     return first_by_priority(df, keys, [F.round(F.abs(F.col(value) - wanted), 12), F.col(tie)])
 
 
+def numbered(df: DataFrame, order: list[Column], name: str = "__i") -> DataFrame:
+    """df with the number of each row, from 0, in an order without ties.
+
+    Rows are dealt by ranges of the order; ranges are numbered apart, and counts
+    of the ranges before, one row each, are added. No task sorts the table.
+    """
+    parts = stash(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
+    counts = parts.groupBy("__part").agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # over ranges
+    ahead = F.broadcast(counts.select("__part", before.alias("__ahead")))
+    own = F.row_number().over(Window.partitionBy("__part").orderBy(*order)) - 1
+    return parts.withColumn(name, own).join(ahead, "__part").withColumn(name, F.col(name) + F.col("__ahead")).drop("__part", "__ahead")
+
+
 def representative(df: DataFrame, metric: str, case: str, worst: int = 3, middle: int = 2, best: int = 2) -> DataFrame:
     """The worst, middle and best cases, each case once, with its role."""
-    ordered = Window.orderBy(F.col(metric).asc_nulls_last(), case)
-    ranked = df.withColumns({"__i": F.row_number().over(ordered) - 1, "__n": F.count("*").over(Window.partitionBy())})
-    half = F.floor(F.col("__n") / 2) - middle // 2
-    role = F.when(F.col("__i") < worst, "worst").when((F.col("__i") >= half) & (F.col("__i") < half + middle), "middle").when(F.col("__i") >= F.col("__n") - best, "best")
-    return ranked.withColumn("role", role).filter("role IS NOT NULL").drop("__i", "__n")
+    n = df.count()
+    half = n // 2 - middle // 2
+    ranked = numbered(df, [F.col(metric).asc_nulls_last(), F.col(case)])
+    i = F.col("__i")
+    role = F.when(i < worst, "worst").when((i >= half) & (i < half + middle), "middle").when(i >= n - best, "best")
+    return ranked.withColumn("role", role).filter("role IS NOT NULL").drop("__i")
 
 
 def quantile_nearest(df: DataFrame, value: str, case: str, at=(0.25, 0.5, 0.75, 0.95)) -> DataFrame:
-    """For each quantile, the row whose average rank over n is nearest."""
-    n = F.count("*").over(Window.partitionBy())
-    ranked = df.filter(F.col(value).isNotNull()).withColumn("pct", average_rank([], F.col(value)) / n)
-    grid = df.sparkSession.createDataFrame([(float(q),) for q in at], "quantile double")
-    return first_by_priority(ranked.crossJoin(F.broadcast(grid)), ["quantile"], [F.abs(F.col("pct") - F.col("quantile")), F.col(case)])
+    """For each quantile, the row whose average rank over n is nearest; of ties, the first case.
+
+    Average ranks come from the counts of distinct values, and only the rows of
+    the two values on either side of a quantile are looked at.
+    """
+    rows = df.filter(F.col(value).isNotNull())
+    counts = stash(rows.groupBy(value).agg(F.count("*").alias("__k"), F.min(case).alias("__first")))
+    n = counts.agg(F.sum("__k")).first()[0] or 0
+    ranges = numbered(counts, [F.col(value)], "__i").withColumn("__part", F.floor(F.col("__i") / 4096))
+    sums = ranges.groupBy("__part").agg(F.sum("__k").alias("__s"))
+    before = F.coalesce(F.sum("__s").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # over blocks of values
+    inside = F.coalesce(F.sum("__k").over(Window.partitionBy("__part").orderBy("__i").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranked = ranges.withColumn("__in", inside).join(F.broadcast(sums.select("__part", before.alias("__before"))), "__part")
+    pct = ranked.withColumn("pct", (F.col("__before") + F.col("__in") + (F.col("__k") + 1) / 2.0) / n)
+    best = None
+    for q in at:
+        one = pct.orderBy(F.abs(F.col("pct") - q), "__first").limit(1).withColumn("quantile", F.lit(float(q)))
+        best = one if best is None else best.unionByName(one)
+    picked = best.select("quantile", F.col(value), F.col("__first").alias(case), "pct")
+    return picked if set(df.columns) <= {value, case} else picked.join(df, [value, case])
 
 
 def every_kth(df: DataFrame, order: list[Column], k: int) -> DataFrame:
-    return df.withColumn("__i", F.row_number().over(Window.orderBy(*order)) - 1).filter(F.pmod("__i", F.lit(k)) == 0).drop("__i")
+    return numbered(df, order).filter(F.pmod("__i", F.lit(k)) == 0).drop("__i")
+
+
+def best_so_far(df: DataFrame, keys: list[str], step: str, metric: str) -> DataFrame:
+    """The step of each key whose metric no step exceeds; of equal ones the earliest; NaN and NULL never count."""
+    usable = df.filter(F.col(metric).isNotNull() & ~F.isnan(F.col(metric).cast("double")))
+    return first_by_priority(usable, keys, [F.col(metric).desc(), F.col(step)])
 
 
 def hash_order(seed: int | str, key: str) -> Column:

@@ -98,14 +98,17 @@ def split_violations(splits: DataFrame, cases: DataFrame, case: str, center: str
     sides = labelled.groupBy("fold", center).agg(F.count_distinct("subset").alias("k")).filter("k > 1")
     covered = cases.select(case).join(val.groupBy(case).count(), case, "left").filter("count IS NULL OR count <> 1")
     folds = splits.select("fold").distinct()
-    whole = F.broadcast(folds).crossJoin(cases.select(case).distinct())
+    every = folds.agg(F.array_sort(F.collect_set("fold")).alias("__every"))  # one row
+    held = splits.groupBy(case).agg(F.collect_set("fold").alias("__held"))
+    lacking = cases.select(case).distinct().join(held, case, "left").crossJoin(F.broadcast(every))
+    lacking = lacking.select(F.explode(F.array_except("__every", F.coalesce("__held", F.array_except("__every", "__every")))).alias("fold"), case)
     return reduce(
         DataFrame.unionByName,
         [
             row(duplicates(splits, ["fold", "subset", case]), "duplicate", fold, item),
             row(splits.join(cases.select(case), case, "left_anti"), "unknown", fold, item),
             row(val.select("fold", case).intersect(train.select("fold", case)), "overlap", fold, item),
-            row(whole.join(splits.select("fold", case), ["fold", case], "left_anti"), "incomplete", fold, item),
+            row(lacking, "incomplete", fold, item),
             row(folds.join(val.select("fold"), "fold", "left_anti"), "empty", fold, F.lit("val")),
             row(sides, "center leak", fold, F.col(center)),
             row(covered, "coverage", F.lit(None), item),
@@ -140,11 +143,75 @@ def skip_reasons(df: DataFrame, rules: list[tuple[str, Column]]) -> DataFrame:
     return df.withColumn("reason", out)
 
 
-def certificate(df: DataFrame, keys: list[str], ids: str, sizes: str) -> DataFrame:
-    """Inventory of each collection: count, bytes, and a hash that does not depend on row order.
+def certificate(df: DataFrame, keys: list[str], row: list[str], size: str | None = None, digits: int = 2) -> DataFrame:
+    """Inventory of each collection: number of rows, total of a size column, and a SHA-256 of its sorted rows, as a tree.
 
-    The hash folds row hashes, so no list of rows is ever gathered.
+    A row's text is its columns joined by commas. Rows are dealt by the first
+    digits of their own hashes; a leaf is the hash of its rows' sorted hashes, the
+    root the hash of the leaves in order. The result depends on the rows alone,
+    not on their order, and no task gathers a collection: with more rows take more digits.
     """
-    row = F.sha2(F.concat_ws("\x1f", F.col(ids).cast("string"), F.col(sizes).cast("string")), 256)
-    half = lambda at: F.sum(F.conv(F.substring(row, at, 12), 16, 10).cast("decimal(38,0)"))
-    return df.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(sizes).cast("bigint").alias("bytes"), half(1).alias("__a"), half(13).alias("__b")).select(*keys, "n", "bytes", F.sha2(F.concat_ws(":", F.col("n").cast("string"), F.col("__a").cast("string"), F.col("__b").cast("string")), 256).alias("content_sha256"))
+    text = F.concat_ws(",", *(F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in row))
+    hashed = df.select(*keys, F.sha2(text, 256).alias("__h"), (F.col(size) if size else F.lit(0)).alias("__size")).withColumn("__leaf", F.substring("__h", 1, digits))
+    leaves = hashed.groupBy(*keys, "__leaf").agg(F.count("*").alias("n"), F.sum("__size").alias("bytes"), F.sha2(F.array_join(F.array_sort(F.collect_list("__h")), ""), 256).alias("__of"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("__leaf", "__of"))), lambda x: x["__of"])
+    return leaves.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("bytes").cast("bigint").alias("bytes"), F.sha2(F.array_join(ordered, ""), 256).alias("content_sha256"))
+
+
+def reconcile_values(expected: DataFrame, actual: DataFrame, on: list[str], columns: list[str]) -> DataFrame:
+    """(on, field, expected, actual) for every value that differs; rows that one side lacks have a NULL there. Values are compared as text."""
+    named = lambda df, side: df.select(*on, F.explode(F.array(*(F.struct(F.lit(c).alias("field"), F.col(c).cast("string").alias(side)) for c in columns))).alias("__v")).select(*on, "__v.*")
+    both = named(expected, "expected").join(named(actual, "actual"), [*on, "field"], "full")
+    return both.filter(~F.col("expected").eqNullSafe(F.col("actual"))).select(*on, "field", "expected", "actual")
+
+
+def lineage_faults(recorded: DataFrame, actual: DataFrame, lists: dict[str, tuple[DataFrame, DataFrame]], item: str) -> DataFrame:
+    """(kind, item, detail): all that a run's record and its artefacts disagree in. recorded and actual: key, value.
+
+    lists: name -> (expected, found) tables of items; every failure is a row, none stops the others.
+    """
+    values = reconcile_values(recorded, actual, ["key"], ["value"])
+    shown = F.concat_ws(" <> ", F.coalesce("expected", F.lit("none")), F.coalesce("actual", F.lit("none")))
+    out = values.select(F.lit("value").alias("kind"), F.col("key").cast("string").alias("item"), shown.alias("detail"))
+    for name, (expected, found) in lists.items():
+        sets = reconcile(expected, found, [item])
+        out = out.unionByName(sets.select(F.lit(name).alias("kind"), F.col(item).cast("string").alias("item"), F.col("status").alias("detail")))
+    return out
+
+
+def identity_conflicts(left: DataFrame, right: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, left, right): ids that stand for different things in two collections."""
+    a, b = left.select(key, F.col(value).alias("left")).distinct(), right.select(key, F.col(value).alias("right")).distinct()
+    return a.join(b, key).filter(~F.col("left").eqNullSafe(F.col("right")))
+
+
+def coverage(df: DataFrame, config: str, subject: str) -> DataFrame:
+    """(config, n_subjects, uneven): uneven where configurations differ in the number of subjects."""
+    counts = df.groupBy(config).agg(F.count_distinct(subject).alias("n_subjects"))
+    span = counts.agg((F.max("n_subjects") != F.min("n_subjects")).alias("uneven"))
+    return counts.crossJoin(F.broadcast(span))  # one row
+
+
+def count_gate(files: DataFrame, splits: DataFrame) -> DataFrame:
+    """One row: the number of files over all folders against the number of validation cases over all folds."""
+    found, wanted = files.agg(F.count("*").alias("n_files")), splits.filter("subset = 'val'").agg(F.count("*").alias("n_cases"))
+    return found.crossJoin(wanted).withColumn("ok", F.col("n_files") == F.col("n_cases"))  # one row each
+
+
+def with_predictions(cases: DataFrame, predictions: DataFrame, on: list[str], counts: list[str], missing: str = "skip") -> DataFrame:
+    """Cases with the counts of their predictions. missing: "skip" leaves out cases without any, "empty" counts 0, "error" fails."""
+    if missing not in ("skip", "empty", "error"):
+        raise ValueError(f"unknown policy: {missing}")
+    if missing == "error":
+        require_empty(cases.select(*on).join(predictions.select(*on), on, "left_anti"), "cases without a prediction")
+    joined = cases.join(predictions.select(*on, *counts), on, "left" if missing == "empty" else "inner")
+    return joined.fillna(0, counts) if missing == "empty" else joined
+
+
+def manifest_status(manifest: DataFrame, tables: dict[str, DataFrame], on: list[str]) -> DataFrame:
+    """manifest with ``lacks``: the names of the tables that have no row for a case, joined by commas; empty where it is complete."""
+    out = manifest
+    for name, table in tables.items():
+        out = out.join(table.select(*on).distinct().withColumn(f"__{name}", F.lit(True)), on, "left")
+    lacks = F.array_compact(F.array(*(F.when(F.col(f"__{name}").isNull(), F.lit(name)) for name in tables)))
+    return out.withColumn("lacks", F.array_join(lacks, ",")).drop(*(f"__{name}" for name in tables))

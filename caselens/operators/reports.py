@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import finite, ratio
@@ -113,3 +113,64 @@ def markdown_table(df: DataFrame, columns: Sequence[str]) -> list[str]:
     """Lines of a Markdown table, for reports of a few rows."""
     cells = df.select(F.concat(F.lit("| "), F.concat_ws(" | ", *(F.coalesce(F.col(c).cast("string"), F.lit("—")) for c in columns)), F.lit(" |")).alias("line"))
     return ["| " + " | ".join(columns) + " |", "|" + "---|" * len(columns), *(r.line for r in cells.toLocalIterator())]
+
+
+def config_extras(df: DataFrame, config: str, flat: str, predicted_empty: Column, truth_empty: Column, constants: list[str]) -> DataFrame:
+    """For each configuration: rows, mean of the flattened score, empty predictions and truths, and columns that are constant within it."""
+    return df.groupBy(config).agg(F.count("*").alias("n"), F.avg(flat).alias("mean_flat"), F.count_if(predicted_empty).alias("n_pred_empty"), F.count_if(truth_empty).alias("n_gt_empty"), *(F.min(c).alias(c) for c in constants))
+
+
+def volume_summary(df: DataFrame, keys: list[str], volume: str) -> DataFrame:
+    """n_known, n_missing, sum, mean, median and sum of log1p."""
+    v = finite(volume)
+    return df.groupBy(*keys).agg(F.count(v).alias("n_known"), F.count_if(v.isNull()).alias("n_missing"), F.sum(v).alias("sum"), F.avg(v).alias("mean"), F.percentile(v, 0.5).alias("median"), F.sum(F.log1p(v)).alias("sum_log1p"))
+
+
+def group_report(df: DataFrame, group: str, metrics: Sequence[str]) -> DataFrame:
+    """n of each group, and n, mean, median, min and max of each metric; the largest groups first, ties by name."""
+    each = [f(finite(m)).alias(f"{m}_{name}") for m in metrics for name, f in (("n", F.count), ("mean", F.avg), ("median", lambda c: F.percentile(c, 0.5)), ("min", F.min), ("max", F.max))]
+    return df.groupBy(group).agg(F.count("*").alias("n"), *each).orderBy(F.col("n").desc(), group)
+
+
+def dense_matrix(results: DataFrame, rows: DataFrame, columns: DataFrame, reference: DataFrame | None = None) -> DataFrame:
+    """Every row with every column (both small dimensions), NULL where results have nothing; reference rows come with it."""
+    full = rows.crossJoin(F.broadcast(columns)).join(results, [*rows.columns, *columns.columns], "left")  # of two dimensions
+    return full if reference is None else reference.unionByName(full, allowMissingColumns=True)
+
+
+def sweep_summary(cases: DataFrame, threshold: str = "threshold") -> DataFrame:
+    """A row for each threshold of case rows with voxel and lesion counts: means over cases, pooled ratios, sums.
+
+    cases: threshold, dice, iou, sensitivity, precision, tp, fp, fn, tn, gt_count, pred_count, detected_gt, tp_pred, pred_ml, gt_ml.
+    """
+    means = [F.avg(finite(m)).alias(f"mean_{m}") for m in ("dice", "iou", "sensitivity", "precision")]
+    sums = [F.sum(c).cast("bigint").alias(f"sum_{c}") for c in ("tp", "fp", "fn", "tn", "gt_count", "pred_count", "detected_gt", "tp_pred")]
+    volumes = [F.avg(F.abs(F.col("pred_ml") - F.col("gt_ml"))).alias("mean_abs_ml"), F.avg(F.abs(F.col("pred_count") - F.col("gt_count"))).alias("mean_abs_count")]
+    out = cases.groupBy(threshold).agg(F.count("*").alias("n_cases"), *means, F.percentile(finite("dice"), 0.5).alias("median_dice"), *sums, *volumes)
+    p, r = ratio("sum_tp_pred", "sum_pred_count"), ratio("sum_detected_gt", "sum_gt_count")
+    out = out.withColumns({"pooled_dice": ratio(2 * F.col("sum_tp"), 2 * F.col("sum_tp") + F.col("sum_fp") + F.col("sum_fn")), "lesion_precision": p, "lesion_recall": r})
+    f1 = ratio(2 * F.col("lesion_precision") * F.col("lesion_recall"), F.col("lesion_precision") + F.col("lesion_recall"), 0.0)
+    out = out.withColumns({"lesion_f1": f1, "fp_lesions": F.col("sum_pred_count") - F.col("sum_tp_pred"), "fn_lesions": F.col("sum_gt_count") - F.col("sum_detected_gt")})
+    return out.withColumn("harmonic", ratio(2 * F.col("mean_dice") * F.col("lesion_f1"), F.col("mean_dice") + F.col("lesion_f1"), 0.0))
+
+
+def status_counts(df: DataFrame, status: str, case: str, examples: int = 20) -> DataFrame:
+    """Rows of each status, and its first cases by name, as a report's examples."""
+    first = F.row_number().over(Window.partitionBy(status).orderBy(case)) <= examples
+    named = df.withColumn("__e", F.when(first, F.col(case)))
+    return named.groupBy(status).agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("__e")), ",").alias("examples"))
+
+
+def clean_arms(df: DataFrame, case: str, arm: str, value: str, used: Column, held: Column, a: str, b: str) -> DataFrame:
+    """(case, a, b, delta) of two arms, over cases that no arm was trained with: ``used`` folds must be the held-out one."""
+    flagged = df.withColumn("__dirty", ~used.eqNullSafe(held))
+    side = lambda name: F.avg(F.when((F.col(arm) == name) & ~F.col("__dirty"), F.col(value)))
+    both = flagged.groupBy(case).agg(side(a).alias("a"), side(b).alias("b"), F.count_if("__dirty").alias("n_contaminated"))
+    return both.select(case, "a", "b", (F.col("b") - F.col("a")).alias("delta"), "n_contaminated")
+
+
+def provenance_document(df: DataFrame, keys: list[str], case: str, checks: dict[str, Column], name: str) -> DataFrame:
+    """A JSON text for each group: the results of its checks, and its cases in order."""
+    out = df.groupBy(*keys).agg(*(c.alias(f"__{k}") for k, c in checks.items()), F.array_sort(F.collect_list(case)).alias("__cases"))
+    body = F.struct(*(F.col(f"__{k}").alias(k) for k in checks), F.col("__cases").alias(name))
+    return out.select(*keys, F.to_json(body).alias("document"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,24 +66,34 @@ def nested(df: DataFrame, fold: str, config: str, value: str) -> DataFrame:
     return first_by_priority(table, [fold], [F.col("outside").desc_nulls_last(), F.col(config)]).select(fold, config, "outside", "inside")
 
 
+def _poisson(most: int = 8) -> tuple[float, ...]:
+    """Probabilities that a Poisson number of mean 1 is at most k, for k below ``most``."""
+    out, total, term = [], 0.0, math.exp(-1)
+    for k in range(1, most + 1):
+        total += term
+        out.append(total)
+        term /= k
+    return tuple(out)
+
+
+POISSON = _poisson()
+
+
 def poisson_draws(cases: DataFrame, case: str, n_boot: int, seed: int) -> DataFrame:
-    """(case, boot, weight): how often each case is drawn in each resample, from hashes; zero weights are left out.
+    """cases, with boot and weight: how often each is drawn in each resample, from hashes; zero weights are left out.
 
-    Poisson resampling needs no index table and no shuffle; cases can be split over any number of tasks.
+    Poisson resampling needs no index table and no join; cases can be split over any number of tasks.
     """
-    boots = cases.select(case, F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("boot"))
-    u = F.pmod(F.xxhash64(F.col(case), F.col("boot"), F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)
-    weight, total, term = F.lit(0), 0.0, 0.36787944117144233
-    for k in range(1, 9):
-        total += term
-        weight = F.when(u >= total, k).otherwise(weight)
-        term /= k
+    boots = cases.withColumn("boot", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
+    digest = F.md5(F.concat_ws(":", F.col(case).cast("string"), F.col("boot").cast("string"), F.lit(str(seed))))
+    u = F.conv(F.substring(digest, 1, 10), 16, 10).cast("bigint") / float(1 << 40)
+    weight = sum((F.when(u >= c, 1).otherwise(0) for c in POISSON), F.lit(0))
     return boots.withColumn("weight", weight).filter("weight > 0")
 
 
 def bootstrap(pairs: DataFrame, case: str, n_boot: int = 2000, seed: int = 0) -> DataFrame:
     """pairs: case, a, b. Effect mean(b) - mean(a), its bootstrap error and 95% interval."""
-    drawn = poisson_draws(pairs, case, n_boot, seed).join(pairs.select(case, (F.col("b") - F.col("a")).alias("d")), case)
+    drawn = poisson_draws(pairs.select(case, (F.col("b") - F.col("a")).alias("d")), case, n_boot, seed)
     means = drawn.groupBy("boot").agg(ratio(F.sum(F.col("d") * F.col("weight")), F.sum("weight")).alias("m"))
     spread = means.agg(F.stddev_samp("m").alias("se"), F.percentile("m", 0.025).alias("ci_lo"), F.percentile("m", 0.975).alias("ci_hi"), F.count("*").alias("n_boot"))
     effect = pairs.agg((F.avg("b") - F.avg("a")).alias("effect"), F.count("*").alias("n_cases"))
@@ -133,3 +146,29 @@ def fit_log_volume(train: DataFrame, features: list[str], volume: str):
     stages = [SQLTransformer(statement=f"SELECT *, log1p({volume}) AS __y FROM __THIS__"), VectorAssembler(inputCols=features, outputCol="__x", handleInvalid="keep"), GBTRegressor(featuresCol="__x", labelCol="__y", predictionCol="__p", maxIter=20, maxDepth=3, seed=1), SQLTransformer(statement="SELECT *, expm1(__p) AS predicted_volume FROM __THIS__")]
     return Pipeline(stages=stages).fit(train)
 
+
+def nested_predictions(df: DataFrame, fold: str, fit, outputs: list[str]) -> DataFrame:
+    """df's rows with what a model fitted on all other folds says: fit(train) gives a model. Folds are few."""
+    folds = sorted(r[0] for r in df.select(fold).distinct().collect())
+    parts = [fit(df.filter(F.col(fold) != k)).transform(df.filter(F.col(fold) == k)).select(*df.columns, *outputs) for k in folds]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def fit_configuration(train: DataFrame, features: list[str], config: str):
+    """A forest that names the configuration for a case; transform() gives ``predicted_config``."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import RandomForestClassifier
+    from pyspark.ml.feature import IndexToString, StringIndexer, VectorAssembler
+
+    index = StringIndexer(inputCol=config, outputCol="__y", handleInvalid="keep").fit(train)
+    stages = [index, VectorAssembler(inputCols=features, outputCol="__x", handleInvalid="keep"), RandomForestClassifier(featuresCol="__x", labelCol="__y", predictionCol="__p", numTrees=30, maxDepth=5, seed=1), IndexToString(inputCol="__p", outputCol="predicted_config", labels=index.labels)]
+    return Pipeline(stages=stages).fit(train)
+
+
+def best_below_and_above(df: DataFrame, fold: str, size: str, cut: float, config: str, value: str) -> DataFrame:
+    """(fold, below, above): for each fold, the best configuration of small and of large cases outside it; of ties, the first."""
+    both = None
+    for side, part in (("below", F.col(size) < cut), ("above", F.col(size) >= cut)):
+        best = nested(df.filter(part), fold, config, value).select(fold, F.col(config).alias(side))
+        both = best if both is None else both.join(best, fold, "full")
+    return both

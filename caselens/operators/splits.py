@@ -109,3 +109,13 @@ def fold_summary(assigned: DataFrame, fold: str, measures: dict[str, Column]) ->
     loads = assigned.groupBy(fold).agg(*(m.cast("double").alias(n) for n, m in measures.items()))
     means = loads.agg(*(F.avg(n).alias(f"__{n}") for n in measures))
     return loads.crossJoin(means).select(fold, *measures, *((F.col(n) - F.col(f"__{n}")).alias(f"{n}_deviation") for n in measures))  # one row of means
+
+
+def objective(loads: DataFrame, fold: str, weights: dict[str, float]) -> DataFrame:
+    """imbalance() as aggregates over (fold, feature): one row, ``objective``."""
+    long = loads.unpivot([fold], list(weights), "feature", "load")
+    target = long.groupBy("feature").agg(F.avg("load").alias("target")).filter("target > 1e-12")
+    square = ((F.col("load") - F.col("target")) / F.greatest("target", F.lit(1.0))) ** 2
+    weight = F.create_map(*(x for k, v in weights.items() for x in (F.lit(k), F.lit(float(v)))))[F.col("feature")]
+    each = long.join(F.broadcast(target), "feature").groupBy("feature").agg(F.avg(square).alias("mse"))
+    return each.agg(F.sum(weight * F.col("mse")).alias("objective"))

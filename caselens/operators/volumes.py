@@ -10,9 +10,11 @@ from itertools import product
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import ratio
+from ..functions.scalars import range_bin, ratio, voxel_ml
 from ..storage import stash
 from .graph import components
+from .metrics import detection, overlap, volume_difference, with_tn
+from .relational import require_empty
 
 XYZ = ["x", "y", "z"]
 
@@ -35,17 +37,20 @@ def _moved(voxels: DataFrame, steps: list[tuple[int, int, int]], keep: list[str]
 
 
 def label(voxels: DataFrame, connectivity: int = 26) -> DataFrame:
-    """voxels (not negative, below 2^14 on each side) with ``comp``: the connected component, named by its least run.
+    """voxels with ``comp``: the connected component, named by its least run (by case, z, y and x).
 
     Runs along x are found with a window; only runs are joined to runs of
     neighbouring lines, and their graph's components are found by rounds of joins.
+    Coordinates from 0 to 2^14 - 1, and up to 2^21 cases at once; anything else is an error.
     """
     line = Window.partitionBy("case", "y", "z").orderBy("x")
     begin = F.when(F.col("x") - F.lag("x").over(line) == 1, None).otherwise(F.col("x"))
     runs = stash(voxels.select("case", *XYZ).distinct().withColumn("x0", F.last(begin, ignorenulls=True).over(line)).groupBy("case", "y", "z", "x0").agg(F.max("x").alias("x1")))
     numbers = runs.select("case").distinct().withColumn("no", F.row_number().over(Window.orderBy("case")) - 1)  # over cases
     packed = (F.col("no").cast("bigint") * (1 << 42)) + F.col("z").cast("bigint") * (1 << 28) + F.col("y").cast("bigint") * (1 << 14) + F.col("x0")
-    named = stash(runs.join(F.broadcast(numbers), "case").withColumn("run", packed))
+    fits = (F.least("x0", "y", "z") >= 0) & (F.greatest("x1", "y", "z") < 1 << 14) & (F.col("no") < 1 << 21)
+    packed = F.when(fits, packed).otherwise(F.raise_error(F.concat(F.lit("label: too large a place or too many cases, at case "), F.col("case").cast("string"))).cast("bigint"))
+    named = stash(runs.join(numbers, "case").withColumn("run", packed))
     steps = sorted({(o[1], o[2]) for o in offsets(connectivity) if (o[1], o[2]) > (0, 0)})
     reach = {s: 1 if any((dx, *s) in offsets(connectivity) for dx in (-1, 1)) else 0 for s in steps}
     table = F.array(*(F.struct(F.lit(dy).alias("dy"), F.lit(dz).alias("dz"), F.lit(r).alias("r")) for (dy, dz), r in reach.items()))
@@ -156,6 +161,26 @@ def lenient(truth: DataFrame, predicted: DataFrame, cases: DataFrame, least: int
     return cases.select("case").distinct().join(count(truth, "gt_count"), "case", "left").join(count(predicted, "pred_count"), "case", "left").join(hits, "case", "left").fillna(0)
 
 
+def overlap_maxima(truth: DataFrame, predicted: DataFrame) -> DataFrame:
+    """(case, side, comp, n_voxels, shared): for each component of either side, its largest overlap with one of the other; 0 for none."""
+    met = overlaps(truth, predicted)
+    out = None
+    for side, own, name in (("gt", truth, "gt"), ("pred", predicted, "pred")):
+        best = met.groupBy("case", F.col(name).alias("comp")).agg(F.max("shared").alias("shared"))
+        one = component_sizes(own).join(best, ["case", "comp"], "left").select("case", F.lit(side).alias("side"), "comp", "n_voxels", F.coalesce("shared", F.lit(0)).alias("shared"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def binned_recall(truth: DataFrame, predicted: DataFrame, cases: DataFrame, bins) -> DataFrame:
+    """(case, size_bin, n_gt, n_detected, recall) of true components by size; every case has every bin."""
+    sizes = overlap_maxima(truth, predicted).filter("side = 'gt'")
+    counts = sizes.groupBy("case", range_bin("n_voxels", bins).alias("size_bin")).agg(F.count("*").alias("n_gt"), F.count_if(F.col("shared") > 0).alias("n_detected"))
+    every = cases.select("case").distinct().select("case", F.explode(F.array(*(F.lit(b[0]) for b in bins))).alias("size_bin"))
+    full = every.join(counts, ["case", "size_bin"], "left").fillna(0, ["n_gt", "n_detected"])
+    return full.select("case", "size_bin", "n_gt", "n_detected", ratio("n_detected", "n_gt").alias("recall"))
+
+
 def match_one_to_one(pairs: DataFrame, least: float = 0.25) -> DataFrame:
     """Greedy pairs by falling IoU (ties: gt, pred), each component once: rounds of mutually best pairs."""
     left = stash(pairs.filter(F.col("iou") >= least).select("case", "gt", "pred", "iou"))
@@ -192,7 +217,7 @@ def nearest_distance(points: DataFrame, targets: DataFrame, sizes: DataFrame, st
     cubes; a distance up to the cube's side is final, the others go on with
     cubes of twice the side. Cases without targets get NULL.
     """
-    place = lambda df: df.join(F.broadcast(sizes.select("case", "vx", "vy", "vz")), "case").select("case", *XYZ, *((F.col(a) * F.col(f"v{a}")).alias(f"m{a}") for a in XYZ))
+    place = lambda df: df.join(sizes.select("case", "vx", "vy", "vz"), "case").select("case", *XYZ, *((F.col(a) * F.col(f"v{a}")).alias(f"m{a}") for a in XYZ))
     rest, goals = stash(place(points)), stash(place(targets))
     done = rest.limit(0).select("case", *XYZ, F.lit(0.0).alias("distance"))
     rest = stash(rest.join(goals.select("case").distinct(), "case", "left_semi"))
@@ -224,7 +249,7 @@ def boundary_metrics(truth: DataFrame, predicted: DataFrame, sizes: DataFrame, t
 
 def reorient(voxels: DataFrame, grid: DataFrame, axes: tuple[int, int, int], flips: tuple[bool, bool, bool]) -> DataFrame:
     """New axis k runs along old axis axes[k], turned round where flips[k]. reorient_back() undoes it."""
-    joined = voxels.join(F.broadcast(grid.select("case", "nx", "ny", "nz")), "case")
+    joined = voxels.join(grid.select("case", "nx", "ny", "nz"), "case")
     new = []
     for k, a in enumerate(XYZ):
         old = XYZ[axes[k]]
@@ -234,7 +259,7 @@ def reorient(voxels: DataFrame, grid: DataFrame, axes: tuple[int, int, int], fli
 
 def reorient_back(voxels: DataFrame, grid: DataFrame, axes: tuple[int, int, int], flips: tuple[bool, bool, bool]) -> DataFrame:
     """grid: the original one."""
-    joined = voxels.join(F.broadcast(grid.select("case", "nx", "ny", "nz")), "case")
+    joined = voxels.join(grid.select("case", "nx", "ny", "nz"), "case")
     new = []
     for a in range(3):
         k = axes.index(a)
@@ -255,11 +280,51 @@ def best_permutation(masks: DataFrame, reference: DataFrame, most: float = 1e-3)
     return ranked.select("case", "axes", "mismatch", ((F.col("mismatch") <= most) & (F.col("next").isNull() | (F.col("next") > F.col("mismatch")))).alias("ok"))
 
 
+def resolve_permutation(best: DataFrame) -> DataFrame:
+    """best: of best_permutation(). (case, axes, source): a case's own order where it is ok, else the one that most ok cases have (ties: the first)."""
+    votes = best.filter("ok").groupBy("axes").agg(F.count("*").alias("k"))
+    most = votes.orderBy(F.col("k").desc(), "axes").limit(1).select(F.col("axes").alias("__most"))
+    every = best.join(F.broadcast(most), how="left")  # one row
+    source = F.when(F.col("ok"), "own").when(F.col("__most").isNotNull(), "consensus").otherwise("none")
+    return every.select("case", F.when(F.col("ok"), F.col("axes")).otherwise(F.col("__most")).alias("axes"), source.alias("source"))
+
+
+def _target_cells(grid: DataFrame) -> DataFrame:
+    """Every cell (tx, ty, tz) of the target grids, with its place in the source (sx, sy, sz)."""
+    cells = grid
+    for a in XYZ:
+        cells = cells.withColumn(f"t{a}", F.explode(F.sequence(F.lit(0), F.col(f"n{a}") - 1)))
+    at = lambda k: sum((F.col("m")[4 * k + j] * F.col(f"t{a}") for j, a in enumerate(XYZ)), F.col("m")[4 * k + 3])
+    return cells.select("case", *(f"t{a}" for a in XYZ), *(at(k).alias(f"s{a}") for k, a in enumerate(XYZ)))
+
+
+def resample_linear(soft: DataFrame, grid: DataFrame) -> DataFrame:
+    """soft: case, x, y, z, p (0 where there is no row). The map on another grid (as of resample_nearest()) by trilinear interpolation; cells of 0 are left out."""
+    corners = F.array(*(F.struct(*(F.lit(d).alias(f"d{a}") for a, d in zip(XYZ, o))) for o in product((0, 1), repeat=3)))
+    near = _target_cells(grid).withColumn("o", F.explode(corners))
+    place = {a: (F.floor(f"s{a}") + F.col(f"o.d{a}")).cast("int") for a in XYZ}
+    weight = F.lit(1.0)
+    for a in XYZ:
+        rest = F.col(f"s{a}") - F.floor(f"s{a}")
+        weight = weight * F.when(F.col(f"o.d{a}") == 1, rest).otherwise(1 - rest)
+    near = near.select("case", *(f"t{a}" for a in XYZ), *(place[a].alias(a) for a in XYZ), weight.alias("w")).filter("w > 0")
+    found = near.join(soft.select("case", *XYZ, "p"), ["case", *XYZ]).groupBy("case", *(f"t{a}" for a in XYZ)).agg(F.sum(F.col("w") * F.col("p")).alias("p"))
+    return found.filter("p <> 0").select("case", *(F.col(f"t{a}").alias(a) for a in XYZ), "p")
+
+
+def require_grid(grid: DataFrame, reference: DataFrame, strict: bool = True) -> DataFrame:
+    """(case, status) of shapes: on_grid or resampled. Strict: any case that is not on its reference's grid is an error."""
+    shape = lambda df, name: df.select("case", F.array("nx", "ny", "nz").alias(name))
+    both = shape(grid, "a").join(shape(reference, "b"), "case", "left")
+    out = both.select("case", F.when(F.col("b").isNull(), "refused").when(F.col("a") == F.col("b"), "on_grid").otherwise("resampled").alias("status"))
+    if strict:
+        require_empty(out.filter("status <> 'on_grid'"), "off the reference's grid")
+    return out
+
+
 def resample_nearest(voxels: DataFrame, grid: DataFrame) -> DataFrame:
     """The mask on another grid. grid: case, nx, ny, nz of the target, and m, a flat 3 x 4 matrix from its indexes to the source's."""
-    cells = grid.withColumn("tx", F.explode(F.sequence(F.lit(0), F.col("nx") - 1))).withColumn("ty", F.explode(F.sequence(F.lit(0), F.col("ny") - 1))).withColumn("tz", F.explode(F.sequence(F.lit(0), F.col("nz") - 1)))
-    row = lambda k: F.rint(F.col("m")[4 * k] * F.col("tx") + F.col("m")[4 * k + 1] * F.col("ty") + F.col("m")[4 * k + 2] * F.col("tz") + F.col("m")[4 * k + 3]).cast("int")
-    placed = cells.select("case", "tx", "ty", "tz", *(row(k).alias(a) for k, a in enumerate(XYZ)))
+    placed = _target_cells(grid).select("case", *(f"t{a}" for a in XYZ), *(F.rint(f"s{a}").cast("int").alias(a) for a in XYZ))
     return placed.join(voxels.select("case", *XYZ), ["case", *XYZ], "left_semi").select("case", *(F.col(f"t{a}").alias(a) for a in XYZ))
 
 
@@ -286,3 +351,23 @@ def soft_features(soft: DataFrame, case: str, p: str, thresholds: tuple[float, .
     fg = F.when(F.col(p) > 0.05, F.col(p))
     volumes = [(F.count_if(F.col(p) >= t) * voxel_ml).alias(f"ml_at_{t:g}") for t in thresholds]
     return soft.groupBy(case).agg(F.sum(p).alias("mass"), F.max(p).alias("max"), F.avg(fg).alias("fg_mean"), F.stddev_pop(fg).alias("fg_std"), F.count(fg).alias("fg_voxels"), F.avg(F.when(F.col(p) > 0.05, ((F.col(p) > 0.25) & (F.col(p) < 0.75)).cast("double"))).alias("ambiguous"), *volumes)
+
+
+def case_record(truth: DataFrame, predicted: DataFrame, sizes: DataFrame, connectivity: int = 26, bins=None) -> DataFrame:
+    """One record a case: voxel overlap, volumes, boundary distances, components and, with bins, recall by size (as a map).
+
+    sizes: case, nx, ny, nz, vx, vy, vz of every case; cases without any voxel have a record, too.
+    """
+    count = lambda k: F.count_if(F.col("class") == k).alias(k.lower())
+    counts = overlay(truth, predicted).groupBy("case").agg(count("TP"), count("FP"), count("FN"))
+    grid = sizes.select("case", (F.col("nx") * F.col("ny") * F.col("nz")).alias("cells"), voxel_ml("vx", "vy", "vz").alias("ml"))
+    base = with_tn(grid.join(counts, "case", "left").fillna(0, ["tp", "fp", "fn"]), "cells")
+    gt_ml, pred_ml = (F.col("tp") + F.col("fn")) * F.col("ml"), (F.col("tp") + F.col("fp")) * F.col("ml")
+    base = base.select("case", "tp", "fp", "fn", "tn", *overlap(), gt_ml.alias("gt_ml"), pred_ml.alias("pred_ml"), *volume_difference(pred_ml, gt_ml))
+    a, b = stash(label(truth, connectivity)), stash(label(predicted, connectivity))
+    lesions = detection(lenient(a, b, sizes))
+    out = base.join(boundary_metrics(truth, predicted, sizes), "case", "left").join(lesions, "case")
+    if bins:
+        each = F.map_from_entries(F.array_sort(F.collect_list(F.struct("size_bin", F.struct("n_gt", "n_detected", "recall")))))
+        out = out.join(binned_recall(a, b, sizes, bins).groupBy("case").agg(each.alias("size_bins")), "case")
+    return out

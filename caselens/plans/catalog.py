@@ -8,11 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import ensemble, graph, metrics, provenance, ranking, relational, reports, selection, splits
+from ..operators import ensemble, graph, leakage, metrics, provenance, ranking, relational, reports, selection, splits
 from ..sources import readers
 from ..streaming import jobs
 
@@ -138,7 +138,7 @@ def _swept(counts):
 @query(_SWEEP)
 def threshold_sweep(table):
     rows = _scored(table).withColumn("score", F.floor(F.col("score") * 20 + 1e-9) / 20.0)
-    return _swept(metrics.sweep_by_join(rows, ["arm"], "score", F.col("truth"), readers.grid(rows.sparkSession, "0.05:0.95:0.05")))
+    return _swept(metrics.sweep_at(rows, ["arm"], "score", F.col("truth"), [r[0] for r in readers.grid(rows.sparkSession, "0.05:0.95:0.05").collect()]))
 
 
 @query(_SWEEP)
@@ -239,10 +239,10 @@ def nested_selection(table):
     return selection.nested(table("events").withColumn("fold", F.col("user_id") % 5), "fold", "event_type", "value").withColumnRenamed("event_type", "config")
 
 
-@query(f"""WITH s AS (SELECT * FROM ({_SWEEP}) WHERE arm = 0), a AS (SELECT *, sensitivity >= 0.5 AS ok FROM s) SELECT round(threshold, 6) AS threshold, dice, sensitivity, NOT (SELECT max(ok) FROM a) AS relaxed FROM a WHERE ok OR NOT (SELECT max(ok) FROM a) ORDER BY dice DESC, threshold LIMIT 1""")
+@query(f"""WITH a AS (SELECT *, sensitivity >= 0.5 AS ok FROM ({_SWEEP})) SELECT arm, round(threshold, 6) AS threshold, dice, sensitivity, NOT (SELECT max(ok) FROM a) AS relaxed FROM a WHERE ok OR NOT (SELECT max(ok) FROM a) ORDER BY dice DESC, threshold, arm LIMIT 1""")
 def constrained_argmax(table):
-    rows = plain(_swept(metrics.sweep(_scored(table).filter("arm = 0"), ["arm"], "score", F.col("truth"), 19)))
-    return ranking.constrained_best(rows, F.col("sensitivity") >= 0.5, [F.col("dice").desc(), F.col("threshold")]).select("threshold", "dice", "sensitivity", "relaxed")
+    rows = plain(_swept(metrics.sweep(_scored(table), ["arm"], "score", F.col("truth"), 19)))
+    return ranking.constrained_best(rows, F.col("sensitivity") >= 0.5, [F.col("dice").desc(), F.col("threshold"), F.col("arm")]).select("arm", "threshold", "dice", "sensitivity", "relaxed")
 
 
 @query(f"""WITH {_MODELS}, h AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_type) AS n FROM m), p AS (SELECT avg(v) AS policy FROM h WHERE n = 1), f AS (SELECT avg(v) AS fixed FROM m WHERE event_type = 'view'), o AS (SELECT avg(x) AS oracle FROM (SELECT max(v) AS x FROM m GROUP BY user_id))
@@ -271,14 +271,7 @@ def group_fold_certificate(table):
 
 @query("SELECT doc_id, item_id FROM documents, benchmark WHERE contains(documents.text, benchmark.text)")
 def leakage_check(table):
-    """Documents that contain a whole benchmark text: candidates share a hashed window of the item's first words."""
-    words = lambda c: F.split(F.trim(F.regexp_replace(c, r"\s+", " ")), " ")
-    items = table("benchmark").select("item_id", F.col("text").alias("item")).withColumn("w", words("item"))
-    items = items.withColumn("key", F.xxhash64(F.array_join(F.slice("w", 2, 4), " ")))  # whole words, so the first one is left out
-    docs = table("documents").select("doc_id", "text").withColumn("w", words("text")).filter(F.size("w") >= 6)
-    grams = docs.select("doc_id", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - 3), lambda i: F.xxhash64(F.array_join(F.slice(F.col("w"), i, 4), " ")))).alias("key")).distinct()
-    found = grams.join(items.select("item_id", "key"), "key").select("doc_id", "item_id").distinct()
-    return found.join(docs.select("doc_id", "text"), "doc_id").join(items.select("item_id", "item"), "item_id").filter(F.contains("text", F.col("item"))).select("doc_id", "item_id")
+    return leakage.contained(table("documents"), table("benchmark"), "doc_id", "item_id")
 
 
 @query("""SELECT sha256(text) AS sha, count(*) AS n, min(doc_id) AS first_id, substr(sha256(text), 1, 16) AS prefix FROM documents GROUP BY text HAVING count(*) > 1""")
@@ -321,10 +314,11 @@ def dedupe_priority(table):
     return relational.first_by_priority(table("conversations"), ["conv_id"], [order, F.col("turn")]).select("conv_id", "turn", "role", F.length("text").cast("bigint").alias("n_chars"))
 
 
-@query("""WITH h AS (SELECT doc_id, text FROM documents), d AS (SELECT text, count(*) AS n FROM h GROUP BY 1) SELECT count(*) AS n, CAST(sum(n) AS BIGINT) AS bytes FROM d""")
+@query("""WITH d AS (SELECT text, count(*) AS n FROM documents GROUP BY 1), h AS (SELECT n, sha256(text || ',' || n) AS h FROM d), l AS (SELECT substr(h, 1, 2) AS leaf, count(*) AS n, sum(n) AS bytes, sha256(string_agg(h, '' ORDER BY h)) AS s FROM h GROUP BY 1)
+SELECT CAST(sum(n) AS BIGINT) AS n, CAST(sum(bytes) AS BIGINT) AS bytes, sha256(string_agg(s, '' ORDER BY leaf)) AS content_sha256 FROM l""")
 def inventory_counts(table):
-    rows = table("documents").groupBy("text").agg(F.count("*").alias("n")).withColumn("all", F.lit("all"))
-    return relational.certificate(rows, ["all"], "text", "n").select("n", "bytes")
+    rows = table("documents").groupBy("text").agg(F.count("*").alias("n"))
+    return relational.certificate(rows, [], ["text", "n"], "n")
 
 
 # --- ensembles ----------------------------------------------------------------------------------
@@ -343,10 +337,10 @@ def weighted_ensemble(table):
 SELECT round(w, 6) AS w, round(err, 6) AS err, err = (SELECT min(err) FROM c) AS is_best FROM c""")
 def blend_grid(table):
     rows = table("documents").join(table("labels"), "doc_id")
-    a, b = rows.select("doc_id", F.least(F.col("n_chars") / 10000.0, F.lit(1.0)).alias("p")), rows.select("doc_id", F.col("quality").cast("double").alias("p"))
-    grid = readers.grid(rows.sparkSession, "0:1:0.2", "w")
-    mixed = ensemble.blend(a.crossJoin(F.broadcast(grid)), b.crossJoin(F.broadcast(grid)), ["doc_id", "w"], "p", F.col("w"))
-    errors = mixed.join(rows.select("doc_id", "toxic"), "doc_id").groupBy("w").agg(F.round(F.avg(F.abs(F.col("p") - F.col("toxic"))), 9).alias("err"))
+    weights = [r[0] for r in readers.grid(rows.sparkSession, "0:1:0.2", "w").collect()]
+    a, b = F.least(F.col("n_chars") / 10000.0, F.lit(1.0)), F.col("quality").cast("double")
+    mixed = ensemble.blends(rows, a, b, weights)
+    errors = mixed.groupBy("w").agg(F.round(F.avg(F.abs(F.col("p") - F.col("toxic"))), 9).alias("err"))
     best = ensemble.best_cells(errors.withColumn("family", F.lit("all")).withColumn("score", -F.col("err")), "family", "score", ["w"])
     return errors.crossJoin(best.select(F.col("err").alias("__e"))).select("w", "err", (F.col("err") == F.col("__e")).alias("is_best"))
 
@@ -386,12 +380,15 @@ def parent_cycles(table):
     return graph.cyclic(nodes)
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT l_orderkey AS a, min(l_orderkey) OVER (PARTITION BY l_partkey, l_suppkey) AS b FROM lineitem WHERE l_quantity >= 48), s AS (SELECT a, b FROM e WHERE a <> b UNION SELECT b, a FROM e WHERE a <> b), r(node, seen) AS (SELECT a, a FROM s UNION SELECT r.node, s.b FROM r JOIN s ON r.seen = s.a) SELECT node, min(seen) AS root FROM r GROUP BY 1""")
+@query("""WITH l AS (SELECT *, CASE WHEN epoch(ts) - epoch(lag(ts) OVER w) <= 43200 THEN 0 ELSE 1 END AS late FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), s AS (SELECT *, sum(late) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS k FROM l)
+SELECT event_id AS node, root FROM (SELECT event_id, min(event_id) OVER g AS root, count(*) OVER g AS n FROM s WINDOW g AS (PARTITION BY user_id, k)) WHERE n > 1""")
 def components_demo(table):
-    """Orders that share a part of one supplier in large quantity."""
-    rows = table("lineitem").filter("l_quantity >= 48").select("l_orderkey", "l_partkey", "l_suppkey")
-    first = rows.groupBy("l_partkey", "l_suppkey").agg(F.min("l_orderkey").alias("b"))
-    return graph.components(rows.join(first, ["l_partkey", "l_suppkey"]).select(F.col("l_orderkey").alias("a"), "b"))
+    """Events of a user that follow each other within twelve hours hang together."""
+    own = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    second = lambda c: c.cast("timestamp").cast("double")
+    near = second(F.col("ts")) - second(F.lag("ts").over(own)) <= 43200
+    edges = table("events").select(F.col("event_id").alias("a"), F.when(near, F.lag("event_id").over(own)).alias("b"))
+    return graph.components(edges.filter("b IS NOT NULL"))
 
 
 # --- scalars, streams, resampling ---------------------------------------------------------------
@@ -403,9 +400,9 @@ def path_ids(table):
 
 
 @query("""SELECT p_partkey, round(p_size * 1.0 / least(p_size, 10), 6) AS anisotropy, abs(p_size - 10) < 0.01 AS iso, round(p_size * 10.0 * 10.0 / 1000, 6) AS ml, CAST(ceil(250.0 / greatest(p_size * 100.0, 1e-9)) AS BIGINT) AS least, printf('thr%.2f_k%d', p_size / 100.0, p_size) AS config, rtrim(rtrim(printf('%.6f', p_size / 100.0), '0'), '.') AS short,
-CASE WHEN p_size > 25 AND p_size < 180 THEN 'lt180d' WHEN p_size % 2 = 1 THEN 'ge180d' ELSE 'unknown' END AS bin FROM (SELECT p_partkey, p_size FROM part WHERE p_size >= 10)""")
+CASE WHEN p_size > 25 AND p_size < 180 THEN 'lt180d' WHEN p_size % 2 = 1 THEN 'ge180d' ELSE 'unknown' END AS bin FROM (SELECT p_partkey, p_size + 10 AS p_size FROM part)""")
 def case_scalars(table):
-    rows = table("part").filter("p_size >= 10").select("p_partkey", F.col("p_size").alias("x"), F.lit(10).alias("y"), F.lit(10).alias("z"))
+    rows = table("part").select("p_partkey", (F.col("p_size") + 10).alias("x"), F.lit(10).alias("y"), F.lit(10).alias("z"))
     days = F.when(F.col("x") > 25, F.col("x"))
     return rows.select("p_partkey", S.anisotropy("x", "y", "z").alias("anisotropy"), S.isotropic("x", "y", "z").alias("iso"), S.voxel_ml("x", "y", "z").alias("ml"), S.least_voxels(250, F.col("x") * 100.0).alias("least"), S.config_name(F.col("x") / 100.0, "x").alias("config"), S.short_threshold(F.col("x") / 100.0).alias("short"), S.chronicity(days, F.col("x") % 2)["bin"].alias("bin"))
 
@@ -421,7 +418,13 @@ def stream_sessions(table):
     return jobs.session_windows(table("events"), "ts", "12 hours", "1 hour", ["user_id"])
 
 
-@query()
+_BOOT = f"""WITH {_PAIRS}, b AS (SELECT user_id, b - a AS d, boot, ('0x' || substr(md5(user_id || ':' || boot || ':1'), 1, 10))::BIGINT / 1099511627776.0 AS u FROM p, range(0, 500) r(boot)),
+w AS (SELECT boot, d, {" + ".join(f"CASE WHEN u >= {c!r} THEN 1 ELSE 0 END" for c in selection.POISSON)} AS w FROM b), m AS (SELECT boot, sum(d * w) / sum(w) AS m FROM w WHERE w > 0 GROUP BY 1),
+g AS (SELECT (SELECT avg(b) - avg(a) FROM p) AS effect, (SELECT count(*) FROM p) AS n_cases, stddev_samp(m) AS se, quantile_cont(m, 0.025) AS ci_lo, quantile_cont(m, 0.975) AS ci_hi, count(*) AS n_boot FROM m)
+SELECT round(effect, 6) AS effect, n_cases, round(se, 6) AS se, round(ci_lo, 6) AS ci_lo, round(ci_hi, 6) AS ci_hi, n_boot, round(effect / nullif(se, 0), 6) AS z, effect > se AS deviates, 'effect ' || CASE WHEN effect < 0 THEN '-' ELSE '+' END || printf('%.5f', abs(effect)) || CASE WHEN effect > se THEN ' exceeds ' ELSE ' does not exceed ' END || printf('%.5f', se) AS reason FROM g"""
+
+
+@query(_BOOT)
 def bootstrap_gate(table):
     boot = selection.gate(selection.bootstrap(_pairs(table), "user_id", 500, 1))
     return boot.select("effect", "n_cases", "se", "ci_lo", "ci_hi", "n_boot", "z", "deviates", "reason")
@@ -435,4 +438,4 @@ def balanced_folds(table):
     return splits.assign_folds(profiles, "c_nationkey", 5, {"case_count": 4.0, "c_mktsegment": 3.0}, restarts=8)
 
 
-from . import table_queries, volume_queries  # noqa: E402, F401  they register theirs
+from . import check_queries, log_queries, table_queries, volume_queries  # noqa: E402, F401  they register theirs

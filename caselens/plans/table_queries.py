@@ -95,7 +95,7 @@ def reproduced_summary(table):
     return a.join(off, "l_returnflag", "left").select("l_returnflag", "v", F.coalesce("reproduced", F.lit(True)).alias("reproduced"))
 
 
-@query("""WITH a AS (SELECT doc_id, toxic FROM labels), m AS (SELECT avg(abs(quality - toxic)) AS x, max(abs(quality - toxic)) AS y, count(*) AS n FROM labels WHERE quality > 0) SELECT n, round(x, 6) AS mean_abs, round(CAST(y AS DOUBLE), 6) AS max_abs, round((SELECT avg(100.0 * (toxic - quality) / quality) FROM labels WHERE quality > 0), 6) AS mean_change_percent FROM m""")
+@query("""WITH a AS (SELECT doc_id, toxic FROM labels), m AS (SELECT avg(abs(quality - toxic)) AS x, max(abs(quality - toxic)) AS y, count(*) AS n FROM labels) SELECT n, round(x, 6) AS mean_abs, round(CAST(y AS DOUBLE), 6) AS max_abs, round((SELECT avg(100.0 * (toxic - quality) / nullif(quality, 0)) FROM labels), 6) AS mean_change_percent FROM m""")
 def stored_deployed_agreement(table):
-    rows = table("labels").filter("quality > 0").select(F.col("quality").cast("double"), F.col("toxic").cast("double"))
+    rows = table("labels").select(F.col("quality").cast("double"), F.col("toxic").cast("double"))
     return ensemble.agreement(rows, "quality", "toxic")

@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from ..operators import metrics, ranking, reports
 from ..operators import volumes as V
-from .catalog import _METRICS, query
+from ..sources import readers, sinks
+from ..streaming import jobs
+from .catalog import _METRICS, ORACLES, query
 
 _PLACE = "event_type AS c, user_id % 20 AS x, hour(ts) AS y, dayofyear(ts) % 10 AS z"
 _MASKS = f"""gt AS (SELECT DISTINCT {_PLACE} FROM events WHERE value < 60), pr AS (SELECT DISTINCT {_PLACE} FROM events WHERE value >= 30 AND value < 90), tissue AS (SELECT DISTINCT {_PLACE} FROM events)"""
@@ -22,6 +24,7 @@ def _components(mask: str) -> str:
 
 
 def _voxels(table, condition="true"):
+    """Distinct places of the events; condition: SQL or a column."""
     rows = table("events").filter(condition)
     return rows.select(F.col("event_type").alias("case"), (F.col("user_id") % 20).cast("int").alias("x"), F.hour("ts").alias("y"), (F.dayofyear("ts") % 10).cast("int").alias("z")).distinct()
 
@@ -137,3 +140,158 @@ def contrast_statistics(table):
     side = lambda k: F.avg(F.when(F.col("event_type") == k, F.col("value")))
     rows = table("events").groupBy("user_id").agg(side("click").alias("inside"), side("view").alias("around"), F.stddev_pop("value").alias("spread"))
     return reports.contrast(rows, "inside", "around", "spread")
+
+
+# --- matching, records, forms -------------------------------------------------------------------
+
+
+def _parts(*masks: str) -> str:
+    return ", ".join([_MASKS, *map(_components, masks)])
+
+
+_PAIRS = """gn AS (SELECT c, comp AS a, count(*) AS n_gt FROM gt_c GROUP BY ALL), pn AS (SELECT c, comp AS b, count(*) AS n_pred FROM pr_c GROUP BY ALL),
+met AS (SELECT g.c, g.comp AS a, p.comp AS b, count(*) AS shared FROM gt_c g JOIN pr_c p ON g.c = p.c AND g.x = p.x AND g.y = p.y AND g.z = p.z GROUP BY ALL),
+pairs AS (SELECT c, a, b, shared, CAST(shared AS DOUBLE) / (n_gt + n_pred - shared) AS iou FROM met JOIN gn USING (c, a) JOIN pn USING (c, b))"""
+
+
+@query(f"""WITH RECURSIVE {_parts("gt", "pr")}, {_PAIRS}, o AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY iou DESC, a, b) AS k FROM pairs WHERE iou >= 0.25),
+r(c, k, used_a, used_b, tp) AS (SELECT DISTINCT c, 0::BIGINT, []::BIGINT[], []::BIGINT[], 0::BIGINT FROM tissue UNION ALL SELECT r.c, o.k, CASE WHEN list_contains(used_a, o.a) OR list_contains(used_b, o.b) THEN used_a ELSE list_append(used_a, o.a) END, CASE WHEN list_contains(used_a, o.a) OR list_contains(used_b, o.b) THEN used_b ELSE list_append(used_b, o.b) END, tp + CASE WHEN list_contains(used_a, o.a) OR list_contains(used_b, o.b) THEN 0 ELSE 1 END FROM r JOIN o ON o.c = r.c AND o.k = r.k + 1),
+f AS (SELECT c, max(tp) AS tp FROM r GROUP BY 1), q AS (SELECT f.c, tp, coalesce(n_p, 0) - tp AS fp, coalesce(n_g, 0) - tp AS fn, coalesce(n_g, 0) AS n_g, coalesce(n_p, 0) AS n_p FROM f LEFT JOIN (SELECT c, count(*) AS n_g FROM gn GROUP BY 1) USING (c) LEFT JOIN (SELECT c, count(*) AS n_p FROM pn GROUP BY 1) USING (c)),
+d AS (SELECT c, 2.0 * coalesce(s, 0) / (g + p) AS dice FROM (SELECT c, count(*) AS g FROM gt GROUP BY 1) JOIN (SELECT c, count(*) AS p FROM pr GROUP BY 1) USING (c) LEFT JOIN (SELECT c, sum(shared) AS s FROM met GROUP BY 1) USING (c))
+SELECT c AS case_id, tp, fp, fn, round(CASE WHEN tp + fp + fn = 0 THEN 1.0 ELSE tp / (tp + (fp + fn) / 2.0) END, 6) AS rq, round(CASE WHEN tp = 0 AND n_g > 0 AND n_p > 0 THEN 0.0 ELSE dice END, 6) AS dice FROM q LEFT JOIN d USING (c)""")
+def voxel_recognition(table):
+    """Components paired one to one by falling overlap; Dice falls to 0 where none is."""
+    truth, predicted = V.label(_gt(table), 6), V.label(_pr(table), 6)
+    found = V.recognition(_voxels(table), truth, predicted)
+    count = lambda k: F.count_if(F.col("class") == k)
+    voxels = V.overlay(_gt(table), _pr(table)).groupBy("case").agg((2.0 * count("TP") / (2 * count("TP") + count("FP") + count("FN"))).alias("d"))
+    n_gt, n_pred = F.col("tp") + F.col("fn"), F.col("tp") + F.col("fp")
+    return found.join(voxels, "case", "left").select(F.col("case").alias("case_id"), "tp", "fp", "fn", "rq", V.collapsed_dice(F.col("d"), F.col("tp"), n_gt, n_pred).alias("dice"))
+
+
+@query(f"""WITH RECURSIVE {_parts("gt", "pr")}, {_PAIRS} SELECT c AS case_id, 'gt' AS side, n_gt AS n_voxels, coalesce(max(shared), 0) AS shared, CAST(a % 100 AS BIGINT) AS x FROM gn LEFT JOIN met USING (c, a) GROUP BY c, a, n_gt UNION ALL SELECT c, 'pred', n_pred, coalesce(max(shared), 0), CAST(b % 100 AS BIGINT) FROM pn LEFT JOIN met USING (c, b) GROUP BY c, b, n_pred""")
+def voxel_overlap_maxima(table):
+    best = V.overlap_maxima(V.label(_gt(table), 6), V.label(_pr(table), 6))
+    return best.select(F.col("case").alias("case_id"), "side", "n_voxels", "shared", F.pmod("comp", F.lit(1 << 14)).alias("x"))
+
+
+_BINS = (("one", 0, 2), ("few", 2, 5), ("some", 5, 20), ("many", 20, None))
+
+
+@query(f"""WITH RECURSIVE {_parts("gt", "pr")}, {_PAIRS}, s AS (SELECT c, a, n_gt, max(shared) AS shared FROM gn LEFT JOIN met USING (c, a) GROUP BY ALL), k AS (SELECT c, CASE WHEN n_gt < 2 THEN 'one' WHEN n_gt < 5 THEN 'few' WHEN n_gt < 20 THEN 'some' ELSE 'many' END AS size_bin, count(*) AS n, count(shared) AS d FROM s GROUP BY 1, 2)
+SELECT c AS case_id, size_bin, coalesce(n, 0) AS n_gt, coalesce(d, 0) AS n_detected, round(CAST(d AS DOUBLE) / n, 6) AS recall FROM (SELECT DISTINCT c FROM tissue) CROSS JOIN (SELECT unnest(['one', 'few', 'some', 'many']) AS size_bin) LEFT JOIN k USING (c, size_bin)""")
+def voxel_binned_recall(table):
+    truth, predicted = V.label(_gt(table), 6), V.label(_pr(table), 6)
+    return V.binned_recall(truth, predicted, _voxels(table), _BINS).withColumnRenamed("case", "case_id")
+
+
+_TURNED = " UNION ALL ".join(f"SELECT c, '{''.join(map(str, p))}' AS axes, {', '.join(f'{"xyz"[p[k]]} AS {a}' for k, a in enumerate('xyz'))} FROM masks" for p in ((0, 1, 2), (0, 2, 1), (1, 0, 2), (1, 2, 0), (2, 0, 1), (2, 1, 0)))
+
+
+@query(f"""WITH {_MASKS}, masks AS (SELECT c, z AS x, x AS y, y AS z FROM gt), ref AS (SELECT * FROM gt WHERE c <> 'click' UNION ALL SELECT * FROM pr WHERE c = 'click'), t AS ({_TURNED}),
+h AS (SELECT t.c, axes, count(*) AS n, count(r.c) AS hits FROM t LEFT JOIN ref r ON r.c = t.c AND r.x = t.x AND r.y = t.y AND r.z = t.z GROUP BY ALL), m AS (SELECT c, axes, CAST(n + k - 2 * hits AS DOUBLE) / (n + k) AS mismatch FROM h JOIN (SELECT c, count(*) AS k FROM ref GROUP BY 1) USING (c)),
+q AS (SELECT *, row_number() OVER w AS i, lead(mismatch) OVER w AS next FROM m WINDOW w AS (PARTITION BY c ORDER BY mismatch, axes)), b AS (SELECT c, axes, mismatch, mismatch <= 0.001 AND (next IS NULL OR next > mismatch) AS ok FROM q WHERE i = 1), v AS (SELECT axes AS most FROM b WHERE ok GROUP BY axes ORDER BY count(*) DESC, axes LIMIT 1)
+SELECT c AS case_id, CASE WHEN ok THEN axes ELSE most END AS axes, CASE WHEN ok THEN 'own' WHEN most IS NOT NULL THEN 'consensus' ELSE 'none' END AS source FROM b LEFT JOIN v ON true""")
+def voxel_axis_permutation(table):
+    """Masks with turned axes against their references; one case has a reference that fits no order, so the others decide."""
+    masks = _gt(table).select("case", F.col("z").alias("x"), F.col("x").alias("y"), F.col("y").alias("z"))
+    reference = _gt(table).filter("case <> 'click'").unionByName(_pr(table).filter("case = 'click'"))
+    return V.resolve_permutation(V.best_permutation(masks, reference)).withColumnRenamed("case", "case_id")
+
+
+@query(f"""WITH RECURSIVE {_MASKS}, box AS (SELECT c, min(x) - 1 AS x0, max(x) + 1 AS x1, min(y) - 1 AS y0, max(y) + 1 AS y1, min(z) - 1 AS z0, max(z) + 1 AS z1 FROM tissue GROUP BY 1),
+cells AS (SELECT c, x, y, z FROM (SELECT *, unnest(range(x0, x1 + 1)) AS x FROM box), (SELECT c AS c2, unnest(range(y0, y1 + 1)) AS y FROM box), (SELECT c AS c3, unnest(range(z0, z1 + 1)) AS z FROM box) WHERE c = c2 AND c = c3), free AS (SELECT * FROM cells ANTI JOIN tissue USING (c, x, y, z)),
+out(c, x, y, z) AS (SELECT c, x0, y0, z0 FROM box UNION SELECT f.c, f.x, f.y, f.z FROM out o JOIN free f ON f.c = o.c AND abs(f.x - o.x) + abs(f.y - o.y) + abs(f.z - o.z) = 1), holes AS (SELECT * FROM free ANTI JOIN out USING (c, x, y, z))
+SELECT c AS case_id, count(*) AS n_voxels, CAST(sum(hole) AS BIGINT) AS n_holes FROM (SELECT c, 0 AS hole FROM tissue UNION ALL SELECT c, 1 FROM holes) GROUP BY 1""")
+def voxel_filled_holes(table):
+    tissue = _voxels(table)
+    full = V.fill_holes(tissue)
+    holes = full.join(tissue, ["case", "x", "y", "z"], "left_anti").groupBy("case").agg(F.count("*").alias("n_holes"))
+    return full.groupBy("case").agg(F.count("*").alias("n_voxels")).join(holes, "case", "left").fillna(0).withColumnRenamed("case", "case_id")
+
+
+@query(f"""WITH RECURSIVE {_parts("gt")}, n AS (SELECT c, comp, count(*) AS k FROM gt_c GROUP BY ALL), b AS (SELECT c, comp FROM (SELECT *, row_number() OVER (PARTITION BY c ORDER BY k DESC, comp) AS i FROM n) WHERE i = 1) SELECT g.c AS case_id, x, CAST(y AS BIGINT) AS y, CAST(z AS BIGINT) AS z FROM gt_c g JOIN b USING (c, comp)""")
+def voxel_largest_component(table):
+    return V.largest_component(_gt(table), 6).withColumnRenamed("case", "case_id")
+
+
+_ALL = " ".join(f"WHEN {v} THEN {k}" for k, v in enumerate(V.TISSUE_LABELS))
+_GROUPED = " ".join(f"WHEN {v} THEN {k}" for k, vs in V.TISSUE_GROUPS.items() for v in vs)
+
+
+@query(f"""WITH l AS (SELECT event_id, user_id % 64 AS label, value > 450 AS lesion FROM events) SELECT event_id, CAST(CASE WHEN lesion THEN {len(V.TISSUE_LABELS)} ELSE coalesce(CASE label {_ALL} END, 0) END AS BIGINT) AS every, CAST(CASE WHEN lesion THEN {1 + max(V.TISSUE_GROUPS)} ELSE coalesce(CASE label {_GROUPED} END, 0) END AS BIGINT) AS grouped FROM l""")
+def tissue_remap(table):
+    rows = table("events").select("event_id", (F.col("user_id") % 64).alias("label"), (F.col("value") > 450).alias("lesion"))
+    return V.remap(V.remap(rows).withColumnRenamed("class", "every"), "grouped").select("event_id", "every", F.col("class").alias("grouped"))
+
+
+@query(f"""WITH s AS (SELECT {_PLACE}, max(value) / 600 AS p FROM events GROUP BY ALL), t AS (SELECT c, tx, ty, tz, tx * 1.37::DOUBLE + 0.21::DOUBLE AS sx, ty * 0.83::DOUBLE AS sy, tz * 0.43::DOUBLE AS sz FROM (SELECT DISTINCT c FROM s), range(0, 12) a(tx), range(0, 24) b(ty), range(0, 18) e(tz)),
+n AS (SELECT *, floor(sx) + i AS x, floor(sy) + j AS y, floor(sz) + k AS z, (CASE WHEN i = 1 THEN sx - floor(sx) ELSE 1 - (sx - floor(sx)) END) * (CASE WHEN j = 1 THEN sy - floor(sy) ELSE 1 - (sy - floor(sy)) END) * (CASE WHEN k = 1 THEN sz - floor(sz) ELSE 1 - (sz - floor(sz)) END) AS w FROM t, range(0, 2) f(i), range(0, 2) g(j), range(0, 2) h(k))
+SELECT c AS case_id, tx AS x, ty AS y, tz AS z, round(sum(w * p), 6) AS p FROM n JOIN s USING (c, x, y, z) WHERE w > 0 GROUP BY ALL HAVING sum(w * p) <> 0""")
+def voxel_linear(table):
+    """Soft maps on a grid of other steps, by trilinear interpolation."""
+    place = [F.col("event_type").alias("case"), (F.col("user_id") % 20).cast("int").alias("x"), F.hour("ts").alias("y"), (F.dayofyear("ts") % 10).cast("int").alias("z")]
+    soft = table("events").groupBy(*place).agg((F.max("value") / 600).alias("p"))
+    m = F.array(*(F.lit(float(v)) for v in (1.37, 0, 0, 0.21, 0, 0.83, 0, 0, 0, 0, 0.43, 0)))
+    grid = soft.select("case").distinct().select("case", F.lit(12).alias("nx"), F.lit(24).alias("ny"), F.lit(18).alias("nz"), m.alias("m"))
+    return V.resample_linear(soft, grid).withColumnRenamed("case", "case_id")
+
+
+_RECORD = ("tp", "fp", "fn", "tn", "dice", "iou", "sensitivity", "specificity", "precision", "npv", "hd95", "assd", "masd", "surface_dice", "gt_count", "pred_count", "detected_gt", "tp_pred", "lesion_precision", "lesion_recall", "lesion_f1")
+
+
+def _record_sql() -> str:
+    lenient = ORACLES["voxel_lenient_detection"].replace("HAVING count(*) >= 2", "HAVING count(*) >= 1")
+    volumes = "round((tp + fn) * 0.003::DOUBLE, 6) AS gt_ml, round((tp + fp) * 0.003::DOUBLE, 6) AS pred_ml, round(abs(fp - fn) * 0.003::DOUBLE, 6) AS abs_diff"
+    return f"SELECT case_id, {', '.join(_RECORD)}, {volumes} FROM ({ORACLES['voxel_overlap']}) JOIN ({ORACLES['voxel_boundary_metrics']}) USING (case_id) JOIN ({lenient}) USING (case_id)"
+
+
+@query(_record_sql())
+def voxel_case_record(table):
+    """Everything that is measured of a case, as one row."""
+    record = V.case_record(_gt(table), _pr(table), _sizes(table), 6)
+    return record.select(F.col("case").alias("case_id"), *_RECORD, "gt_ml", "pred_ml", "abs_diff")
+
+
+_POINTS = (0.5, 0.65)
+
+
+def _points_sql() -> str:
+    one = """SELECT {t} AS threshold, {k} AS least, p.c AS case_id, count(*) FILTER (WHERE kept) AS n_voxels, count(*) FILTER (WHERE kept AND hit) AS tp FROM (SELECT m.c, coalesce(n >= {k}, false) AS kept, EXISTS (SELECT 1 FROM gt WHERE gt.c = m.c AND gt.x = m.x AND gt.y = m.y AND gt.z = m.z) AS hit FROM {m}_c m JOIN (SELECT c, comp, count(*) AS n FROM {m}_c GROUP BY ALL) s ON s.c = m.c AND s.comp = m.comp) p GROUP BY ALL"""
+    masks = ", ".join(f"m{i} AS (SELECT DISTINCT {_PLACE} FROM events WHERE value >= {t * 600})" for i, t in enumerate(_POINTS))
+    parts = " UNION ALL ".join(one.format(t=t, k=k, m=f"m{i}") for i, t in enumerate(_POINTS) for k in (1, 3))
+    return f"WITH RECURSIVE {_MASKS}, {masks}, {', '.join(_components(f'm{i}') for i in range(len(_POINTS)))} SELECT CAST(threshold AS DOUBLE) AS threshold, CAST(least AS BIGINT) AS least, case_id, n_voxels, tp FROM ({parts})"
+
+
+@query(_points_sql())
+def operating_points(table):
+    """Every case at several thresholds and least sizes of a component."""
+    out, gt = None, _gt(table).withColumn("hit", F.lit(1))
+    for t in _POINTS:
+        mask = V.label(_voxels(table, F.col("value") >= t * 600), 6)
+        for k in (1, 3):
+            kept = V.drop_small(mask, k).withColumn("kept", F.lit(1)).select("case", "x", "y", "z", "kept")
+            rows = mask.join(kept, ["case", "x", "y", "z"], "left").join(gt, ["case", "x", "y", "z"], "left")
+            one = rows.groupBy(F.lit(t).alias("threshold"), F.lit(k).alias("least"), F.col("case").alias("case_id")).agg(F.count("kept").alias("n_voxels"), F.count_if(F.col("kept").isNotNull() & F.col("hit").isNotNull()).alias("tp"))
+            out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query(f"""WITH {_MASKS} SELECT c AS case_id, CASE WHEN c = 'click' THEN NULL ELSE count(*) END AS n_voxels, CASE WHEN c = 'click' THEN NULL ELSE CAST(sum(x + 100 * y + 10000 * z) AS BIGINT) END AS places, c = 'click' AS failed FROM gt GROUP BY 1""")
+def volume_round_trip(table):
+    """Masks as files and back; one file is cut short, becomes a row with its error, and the others go on."""
+    files = sinks.encoded(_gt(table), _sizes(table))
+    broken = F.when(F.col("case") == "click", F.substring("content", 1, 400)).otherwise(F.col("content"))
+    rows = readers.decoded(files.select("case", F.lit("").alias("path"), broken.alias("content")), strict=False)
+    place = F.col("x") + 100 * F.col("y") + 10000 * F.col("z")
+    return rows.groupBy(F.col("case").alias("case_id")).agg(F.nullif(F.count("p"), F.lit(0)).alias("n_voxels"), F.sum(place).alias("places"), F.max(F.col("error").isNotNull()).alias("failed"))
+
+
+@query(f"""WITH RECURSIVE {_MASKS}, s AS (SELECT {_PLACE}, max(value) / 600 AS p FROM events GROUP BY ALL), m AS (SELECT c, x, y, z FROM s WHERE p >= 0.7), {_components("m")}, n AS (SELECT c, comp, count(*) AS k FROM m_c GROUP BY ALL), kept AS (SELECT m_c.* FROM m_c JOIN n USING (c, comp) WHERE k >= 3)
+SELECT c AS case_id, count(*) FILTER (WHERE kept) AS n_served, round(avg(p) FILTER (WHERE kept), 6) AS mean_served, CASE WHEN count(*) FILTER (WHERE kept) = 0 THEN round(avg(p), 6) END AS flat FROM (SELECT s.*, k.c IS NOT NULL AS kept FROM s LEFT JOIN kept k ON k.c = s.c AND k.x = s.x AND k.y = s.y AND k.z = s.z) GROUP BY 1""")
+def served_requests(table):
+    """Requests after post-processing: the voxels of components that are large enough at the threshold, or a flat map."""
+    place = [F.col("event_type").alias("request"), (F.col("user_id") % 20).cast("int").alias("x"), F.hour("ts").alias("y"), (F.dayofyear("ts") % 10).cast("int").alias("z")]
+    out = jobs.serve(table("events").groupBy(*place).agg((F.max("value") / 600).alias("p")), "request", "p", 0.7, 3)
+    served = F.when(F.col("x").isNotNull(), F.col("p"))
+    return out.groupBy(F.col("request").alias("case_id")).agg(F.count(served).alias("n_served"), F.avg(served).alias("mean_served"), F.max(F.when(F.col("x").isNull(), F.col("p"))).alias("flat"))

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import gzip
+import io
 import struct
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -182,8 +184,8 @@ def decode_nifti(raw: bytes) -> tuple[np.ndarray, list[float]]:
     return (data * slope + shift if slope not in (0.0, 1.0) or shift else data), [float(v) for v in sizes[1:4]]
 
 
-def encode_nifti(array: np.ndarray, sizes: tuple[float, float, float]) -> bytes:
-    """A minimal single-file NIfTI-1 of float32 or uint8."""
+def encode_nifti(array: np.ndarray, sizes: tuple[float, float, float], matrix: list[float] | None = None) -> bytes:
+    """A minimal single-file NIfTI-1 of float32 or uint8; matrix: a flat 3 x 4 one from voxels to mm."""
     code = {"u1": 2, "f4": 16}[array.dtype.str[1:]]
     head = bytearray(352)
     struct.pack_into("<i", head, 0, 348)
@@ -191,33 +193,128 @@ def encode_nifti(array: np.ndarray, sizes: tuple[float, float, float]) -> bytes:
     struct.pack_into("<2h", head, 70, code, array.dtype.itemsize * 8)
     struct.pack_into("<8f", head, 76, 1.0, *sizes, 0, 0, 0, 0)
     struct.pack_into("<3f", head, 108, 352.0, 1.0, 0.0)
+    if matrix is not None:
+        struct.pack_into("<2h", head, 252, 0, 1)
+        struct.pack_into("<12f", head, 280, *matrix)
     head[344:348] = b"n+1\0"
     return bytes(head) + array.tobytes(order="F")
 
 
-def voxels(spark: SparkSession, root: str, case: str, least: float = 0.0, glob: str = "*.nii*") -> DataFrame:
-    """(case, x, y, z, p) of all voxels above ``least``; NaN and infinities are errors. case: regular expression on the path."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root)
+def decode_mha(raw: bytes) -> tuple[np.ndarray, list[float]]:
+    """(array in x, y, z, voxel sizes) of a single-file .mha volume, compressed or not; anything but three axes is refused."""
+    head, at = {}, 0
+    while "ElementDataFile" not in head:
+        end = raw.index(b"\n", at)
+        name, _, value = raw[at:end].decode("ascii").partition("=")
+        head[name.strip()] = value.strip()
+        at = end + 1
+    shape = [int(x) for x in head["DimSize"].split()]
+    if len(shape) != 3 or head["ElementDataFile"] != "LOCAL":
+        raise ValueError(f"not a 3-D volume in one file: {shape}")
+    kind = {"MET_UCHAR": "u1", "MET_CHAR": "i1", "MET_SHORT": "i2", "MET_USHORT": "u2", "MET_INT": "i4", "MET_UINT": "u4", "MET_FLOAT": "f4", "MET_DOUBLE": "f8"}[head["ElementType"]]
+    order = ">" if head.get("BinaryDataByteOrderMSB", "False").lower() == "true" else "<"
+    body = zlib.decompress(raw[at:]) if head.get("CompressedData", "False").lower() == "true" else raw[at:]
+    data = np.frombuffer(body, np.dtype(order + kind), int(np.prod(shape))).reshape(shape, order="F")
+    return data, [float(x) for x in head.get("ElementSpacing", "1 1 1").split()]
+
+
+def decode_softmax(raw: bytes, channel: int = 1) -> tuple[np.ndarray, list[float]]:
+    """(one class of an .npz archive of probabilities (class, z, y, x), as x, y, z; voxel sizes of 1)."""
+    with np.load(io.BytesIO(raw), allow_pickle=False) as archive:
+        p = archive["probabilities"]
+    if p.ndim != 4 or p.shape[0] < 2 or not 0 <= channel < p.shape[0]:
+        raise ValueError(f"not a map of several classes: {p.shape}")
+    return np.ascontiguousarray(p[channel].T), [1.0, 1.0, 1.0]
+
+
+def affine(raw: bytes) -> list[float]:
+    """The 3 x 4 matrix of a NIfTI volume from voxels to mm, flat: its sform, else its sizes along the axes."""
+    raw = gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw
+    order = "<" if struct.unpack("<i", raw[:4])[0] == 348 else ">"
+    if struct.unpack(f"{order}h", raw[254:256])[0] > 0:
+        return [float(v) for v in struct.unpack(f"{order}12f", raw[280:328])]
+    sizes = struct.unpack(f"{order}8f", raw[76:108])[1:4]
+    return [float(sizes[i]) if i == j else 0.0 for i in range(3) for j in range(4)]
+
+
+_DECODERS = {".mha": decode_mha, ".npz": decode_softmax}
+
+
+def decode(name: str, raw: bytes) -> tuple[np.ndarray, list[float]]:
+    """A volume by its file's suffix; NIfTI by default."""
+    return next((f for suffix, f in _DECODERS.items() if name.endswith(suffix)), decode_nifti)(raw)
+
+
+def _checked(name: str, raw: bytes, low: float | None, high: float | None) -> tuple[np.ndarray, list[float]]:
+    data, sizes = decode(name, raw)
+    if data.dtype.kind == "f" and not np.isfinite(data).all():
+        raise ValueError("values that are not finite")
+    if low is not None and data.size and (data.min() < low or data.max() > high):
+        raise ValueError(f"values beyond {low} to {high}")
+    return data, sizes
+
+
+_VOXELS = "case string, x int, y int, z int, p double, error string"
+
+
+def decoded(files: DataFrame, least: float = 0.0, strict: bool = True, low: float | None = None, high: float | None = None) -> DataFrame:
+    """files: case, path, content. (case, x, y, z, p, error) of all voxels above ``least``.
+
+    A volume that can't be read, has values that are not finite or, with low and
+    high, lie beyond them, is one row with the reason in ``error``, and the others
+    go on; strict: it fails instead.
+    """
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for name, content in zip(batch["case"], batch["content"]):
-                data, _ = decode_nifti(content)
-                if data.dtype.kind == "f" and not np.isfinite(data).all():
-                    raise ValueError(f"{name}: values that are not finite")
+            for case, path, content in zip(batch["case"], batch["path"], batch["content"]):
+                try:
+                    data, _ = _checked(path, content, low, high)
+                except Exception as e:  # whatever a broken file leads to
+                    if strict:
+                        raise ValueError(f"{case}: {e}") from e
+                    yield pd.DataFrame({"case": [case], "x": [None], "y": [None], "z": [None], "p": [None], "error": [f"{type(e).__name__}: {e}"]})
+                    continue
                 at = np.nonzero(data > least)
-                yield pd.DataFrame({"case": name, **{a: c.astype("int32") for a, c in zip("xyz", at)}, "p": data[at].astype("float64")})
+                yield pd.DataFrame({"case": case, **{a: c.astype("int32") for a, c in zip("xyz", at)}, "p": data[at].astype("float64"), "error": None})
 
-    return files.select(F.regexp_extract("path", case, 1).alias("case"), "content").mapInPandas(rows, "case string, x int, y int, z int, p double")
+    return files.select("case", "path", "content").mapInPandas(rows, _VOXELS)
 
 
-def grids(spark: SparkSession, root: str, case: str, glob: str = "*.nii*") -> DataFrame:
-    """(case, nx, ny, nz, vx, vy, vz) of volumes."""
+def _files(spark: SparkSession, root: str, case: str, glob: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root)
+    return files.select(F.regexp_extract("path", case, 1).alias("case"), "path", "content")
+
+
+def voxels(spark: SparkSession, root: str, case: str, least: float = 0.0, glob: str = "*.nii*") -> DataFrame:
+    """(case, x, y, z, p) of all voxels above ``least``; a file that can't be read is an error. case: regular expression on the path."""
+    return decoded(_files(spark, root, case, glob), least).drop("error")
+
+
+def voxels_or_errors(spark: SparkSession, root: str, case: str, least: float = 0.0, glob: str = "*.nii*", low: float | None = None, high: float | None = None) -> DataFrame:
+    """The same with ``error``: a file that can't be read is one row with the reason."""
+    return decoded(_files(spark, root, case, glob), least, False, low, high)
+
+
+def grids(spark: SparkSession, root: str, case: str, glob: str = "*.nii*") -> DataFrame:
+    """(case, nx, ny, nz, vx, vy, vz, affine) of volumes; affine: a flat 3 x 4 matrix, NULL for other formats than NIfTI."""
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = [(name, *(d := decode_nifti(content))[0].shape, *d[1]) for name, content in zip(batch["case"], batch["content"])]
-            yield pd.DataFrame(found, columns=["case", "nx", "ny", "nz", "vx", "vy", "vz"])
-
-    return files.select(F.regexp_extract("path", case, 1).alias("case"), "content").mapInPandas(rows, "case string, nx int, ny int, nz int, vx double, vy double, vz double")
+            found = []
+            for name, path, content in zip(batch["case"], batch["path"], batch["content"]):
+                data, sizes = decode(path, content)
+                found.append((name, *data.shape, *sizes, None if path.endswith(tuple(_DECODERS)) else affine(content)))
+            yield pd.DataFrame(found, columns=["case", "nx", "ny", "nz", "vx", "vy", "vz", "affine"])
+
+    return _files(spark, root, case, glob).mapInPandas(rows, "case string, nx int, ny int, nz int, vx double, vy double, vz double, affine array<double>")
+
+
+def select_folds(df: DataFrame, text: str, fold: str = "fold", n_folds: int = 5) -> DataFrame:
+    """Rows of the folds of "all" or "0,2,..."; a number beyond the folds, or none, is an error."""
+    if text.strip() == "all":
+        return df
+    folds = [int(x) for x in text.split(",") if x.strip()]
+    if not folds or any(not 0 <= k < n_folds for k in folds):
+        raise ValueError(f"bad folds: {text}")
+    return df.filter(F.col(fold).isin(folds))

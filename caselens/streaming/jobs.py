@@ -26,14 +26,38 @@ def session_windows(events: DataFrame, ts: str, gap: str, late: str, keys: list[
 
 
 def incremental(source: DataFrame, target: str, checkpoint: str, key: str, transform: Callable[[DataFrame], DataFrame]) -> StreamingQuery:
-    """Process what is new and append it by key. The checkpoint remembers what was read; a batch that is run again replaces itself."""
+    """Process what is new and append it by key; a key that an earlier batch has written is not written again.
+
+    The checkpoint remembers what was read; a batch that is run again replaces itself.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
-        transform(batch.dropDuplicates([key])).write.mode("overwrite").parquet(f"{target}/batch={number}")
+        spark, new = batch.sparkSession, batch.dropDuplicates([key])
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(target)
+        if place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
+            done = spark.read.option("basePath", target).parquet(f"{target}/batch=*").filter(F.col("batch") != number)
+            new = new.join(done.select(key), key, "left_anti")
+        transform(new).write.mode("overwrite").parquet(f"{target}/batch={number}")
 
     return source.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def serve(requests: DataFrame, request: str, p: str, threshold: float, least: int) -> DataFrame:
+    """Requests' soft maps (request, x, y, z, p) to what is served: the mask at the threshold without small components, and a flat map where it is empty.
+
+    (request, x, y, z, p): the voxels of the mask; requests whose mask is empty get one row without a place and with their mean p.
+    """
+    from ..operators.volumes import drop_small, label
+
+    above = requests.filter(F.col(p) >= threshold)
+    mask = drop_small(label(above.select(F.col(request).alias("case"), "x", "y", "z")), least).withColumnRenamed("case", request)
+    kept = above.join(mask.select(request, "x", "y", "z"), [request, "x", "y", "z"], "left_semi").select(request, "x", "y", "z", p)
+    means = requests.groupBy(request).agg(F.avg(p).alias(p))
+    flat = means.join(kept.select(request).distinct(), request, "left_anti")
+    nowhere = F.lit(None).cast("int")
+    return kept.unionByName(flat.select(request, *(nowhere.alias(a) for a in "xyz"), p))
+
+
 def postprocess(requests: DataFrame, p: str, threshold: float, n_voxels: Column, least: int) -> DataFrame:
     """Requests (case, comp, p ...) reduced to the voxels that are served: at or above the threshold, in components that are large enough."""
     return requests.filter((F.col(p) >= threshold) & (n_voxels >= least))

@@ -66,8 +66,8 @@ def test_guards(spark):
     assert {tuple(r) for r in relational.any_key_matches(keys, other, ["path", "sha"], "id", "id").collect()} == {("p", "r", "path"), ("q", "r", "sha")}
     now = spark.createDataFrame([("a", 1), ("b", 2)], "id string, v int")
     assert {r.id: r.action for r in relational.reuse(now, now.withColumn("v", F.lit(1)), "id", ["v"]).collect()} == {"a": "reuse", "b": "convert"}
-    first, second = (relational.certificate(t, [], "id", "v").first().content_sha256 for t in (now, now.orderBy(F.col("id").desc()).repartition(3)))
-    assert first == second != relational.certificate(now.withColumn("v", F.col("v") + 1), [], "id", "v").first().content_sha256
+    first, second = (relational.certificate(t, [], ["id", "v"], "v").first().content_sha256 for t in (now, now.orderBy(F.col("id").desc()).repartition(3)))
+    assert first == second != relational.certificate(now.withColumn("v", F.col("v") + 1), [], ["id", "v"], "v").first().content_sha256
     cases = spark.createDataFrame([("c1", "A"), ("c1", "A"), (None, "A"), ("c2", " ")], "id string, center string")
     assert {tuple(r) for r in relational.record_violations(cases, "id", "center").collect()} == {("duplicate id", "c1"), ("missing id", ""), ("blank center", "c2")}
 
@@ -162,3 +162,59 @@ def test_components_equal_union_find(spark):
         got = {r.node: r.root for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
         assert got == {x: find(x) for x in ends}
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_numbers_follow_the_order(spark):
+    rows = spark.range(1000).select("id", F.pmod(F.xxhash64("id"), F.lit(7)).alias("v")).repartition(5)
+    got = sorted((r["__i"], r.v, r.id) for r in ranking.numbered(rows, [F.col("v").desc(), F.col("id")]).collect())
+    assert [(v, i) for _, v, i in got] == sorted(((v, i) for _, v, i in got), key=lambda x: (-x[0], x[1])) and [k for k, _, _ in got] == list(range(1000))
+    steps = spark.createDataFrame([("a", 1, 0.5), ("a", 2, 0.7), ("a", 3, 0.7), ("a", 4, float("nan")), ("b", 1, None)], "k string, step int, v double")
+    assert [(r.k, r.step) for r in ranking.best_so_far(steps, ["k"], "step", "v").collect()] == [("a", 2)]
+
+
+def test_policies_and_guards(spark):
+    cases, found = spark.createDataFrame([("a",), ("b",)], "id string"), spark.createDataFrame([("a", 3)], "id string, n int")
+    with_n = lambda how: {r.id: r.n for r in relational.with_predictions(cases, found, ["id"], ["n"], how).collect()}
+    assert with_n("skip") == {"a": 3} and with_n("empty") == {"a": 3, "b": 0}
+    with pytest.raises(ValueError, match="without a prediction"):
+        with_n("error")
+    with pytest.raises(ValueError, match="unknown policy"):
+        with_n("guess")
+    manifest = relational.manifest_status(cases, {"pred": found, "truth": cases}, ["id"])
+    assert {r.id: r.lacks for r in manifest.collect()} == {"a": "", "b": "pred"}
+
+
+def test_contained_texts_equal_a_plain_search(spark):
+    import random
+
+    from caselens.operators.leakage import contained
+
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abc") for _ in range(rng.randint(1, 4)))
+    texts = [rng.choice(["", " "]) + rng.choice([" ", "  "]).join(word() for _ in range(rng.randint(0, 40))) for _ in range(60)] + [None]
+    cut = lambda t: t[(a := rng.randrange(len(t))) : a + rng.randint(1, 40)]
+    items = [cut(t) for t in texts if t] + ["one two three four five", "zz", " ", None]
+    docs = [*enumerate(texts), (100, "one two three four five"), (101, "x one two three four fives")]
+    want = {(d, i) for d, t in docs for i, x in enumerate(items) if t is not None and x is not None and x in t}
+    got = contained(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([*enumerate(items)], "item_id long, text string"), "doc_id", "item_id")
+    assert {tuple(r) for r in got.collect()} == want and {d for d, _ in want} >= {100, 101}
+
+
+def test_models_over_folds(spark):
+    rows = spark.range(240).select((F.col("id") % 20).cast("double").alias("x"), (F.col("id") % 4).cast("int").alias("fold"), F.when(F.col("id") % 20 < 7, "low").when(F.col("id") % 20 < 14, "mid").otherwise("high").alias("config"))
+    found = selection.nested_predictions(rows, "fold", lambda train: selection.fit_configuration(train, ["x"], "config"), ["predicted_config"])
+    assert found.count() == 240 and found.filter("config = predicted_config").count() > 200
+    cells = spark.createDataFrame([(f, s, c, float(v)) for f in (0, 1) for s, c, v in ((1, "a", 3), (1, "b", 1), (9, "a", 1), (9, "b", 2))], "fold int, size int, config string, v double")
+    assert {tuple(r) for r in selection.best_below_and_above(cells, "fold", "size", 5, "config", "v").collect()} == {(0, "a", "b"), (1, "a", "b")}
+
+
+def test_shared_folder_is_asked_for_on_a_cluster(spark):
+    from types import SimpleNamespace
+
+    from caselens import storage
+
+    bare = lambda master: SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None, set=lambda *a: None), sparkContext=SimpleNamespace(master=master, applicationId="x"))
+    for master in ("yarn", "spark://h:7077", "local-cluster[2,1,1024]", "k8s://x"):
+        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+            storage.shared_dir(bare(master))
+    assert storage.shared_dir(bare("local[4]")).startswith("file:///")

@@ -69,7 +69,47 @@ def test_volumes_round_trip(spark, tmp_path):
     (tmp_path / "C1.nii").write_bytes(R.encode_nifti(data, (1.0, 2.0, 3.0)))
     rows = R.voxels(spark, str(tmp_path), r"(C\d)\.nii").collect()
     assert {(r.case, r.x, r.y, r.z, round(r.p, 4)) for r in rows} == {("C1", 1, 2, 3, 0.5), ("C1", 0, 0, 4, 0.9)}
-    assert tuple(R.grids(spark, str(tmp_path), r"(C\d)\.nii").first()) == ("C1", 3, 4, 5, 1.0, 2.0, 3.0)
+    assert tuple(R.grids(spark, str(tmp_path), r"(C\d)\.nii").first()) == ("C1", 3, 4, 5, 1.0, 2.0, 3.0, [1.0, 0, 0, 0, 0, 2.0, 0, 0, 0, 0, 3.0, 0])
+
+
+def test_other_formats_and_broken_files(spark, tmp_path):
+    import io
+    import zlib
+
+    data = np.arange(24, dtype="<i2").reshape((2, 3, 4), order="F")
+    head = "ObjectType = Image\nNDims = 3\nDimSize = 2 3 4\nElementSpacing = 1 2 3\nElementType = MET_SHORT\n"
+    (tmp_path / "C1.mha").write_bytes(f"{head}ElementDataFile = LOCAL\n".encode() + data.tobytes(order="F"))
+    (tmp_path / "C2.mha").write_bytes(f"{head}CompressedData = True\nElementDataFile = LOCAL\n".encode() + zlib.compress(data.tobytes(order="F")))
+    (tmp_path / "C3.mha").write_bytes(f"{head}ElementDataFile = LOCAL\n".encode() + b"\0\0")
+    p = np.zeros((2, 4, 3, 2), np.float32)
+    p[1, 3, 2, 1] = 0.75
+    buf = io.BytesIO()
+    np.savez(buf, probabilities=p)
+    (tmp_path / "C4.npz").write_bytes(buf.getvalue())
+    matrix = [1.0, 0, 0, -5, 0, 1, 0, 7, 0, 0, 2, 9]
+    (tmp_path / "C5.nii").write_bytes(R.encode_nifti(np.full((1, 1, 1), np.nan, "f4"), (1, 1, 1), matrix))
+    rows = R.voxels_or_errors(spark, str(tmp_path), r"(C\d)\.", 0.5, "C*").collect()
+    good = {c: {(r.x, r.y, r.z): r.p for r in rows if r.case == c and r.error is None} for c in ("C1", "C2", "C4")}
+    assert good["C1"] == good["C2"] == {(x, y, z): float(data[x, y, z]) for x in range(2) for y in range(3) for z in range(4) if data[x, y, z] > 0}
+    assert good["C4"] == {(1, 2, 3): 0.75}
+    assert {r.case for r in rows if r.error is not None} == {"C3", "C5"} and "not finite" in next(r.error for r in rows if r.case == "C5")
+    with pytest.raises(Exception, match="C3"):
+        R.voxels(spark, str(tmp_path), r"(C\d)\.", glob="C3*").collect()
+    assert {r.case for r in R.voxels_or_errors(spark, str(tmp_path), r"(C\d)\.", glob="C4*", low=0.0, high=0.5).filter("error IS NOT NULL").collect()} == {"C4"}
+    assert R.grids(spark, str(tmp_path), r"(C\d)\.", "C5*").first().affine == matrix
+
+
+def test_volumes_on_the_callers_grid(spark, tmp_path):
+    voxels = spark.createDataFrame([("A", 0, 1, 2), ("A", 1, 1, 1), ("B", 0, 0, 0)], "case string, x int, y int, z int")
+    grid = spark.createDataFrame([(c, 2, 3, 4, 1.0, 1.5, 2.0, [float(v) for v in (1, 0, 0, 4, 0, 1.5, 0, 5, 0, 0, 2, 6)]) for c in "ABC"], "case string, nx int, ny int, nz int, vx double, vy double, vz double, affine array<double>")
+    (tmp_path / "old.nii").write_bytes(b"stale")
+    sinks.write_volumes(voxels, grid, f"file://{tmp_path}")
+    assert sorted(p.name for p in tmp_path.glob("*.nii")) == ["A.nii", "B.nii", "C.nii"]
+    back = R.voxels(spark, str(tmp_path), r"([ABC])\.nii")
+    assert {(r.case, r.x, r.y, r.z) for r in back.collect()} == {tuple(r) for r in voxels.collect()}
+    assert {r["case"]: tuple(r)[1:] for r in R.grids(spark, str(tmp_path), r"([ABC])\.nii").collect()} == {r["case"]: tuple(r)[1:] for r in grid.collect()}
+    with pytest.raises(Exception, match="beyond the grid"):
+        sinks.encoded(voxels.withColumn("x", F.col("x") + 5), grid).collect()
 
 
 def test_sinks(spark, tmp_path):
@@ -85,6 +125,24 @@ def test_sinks(spark, tmp_path):
     with pytest.raises(ValueError):
         sinks.promote(df, str(tmp_path / "p"), lambda t: t.filter("id > 1"))
     assert spark.read.parquet(str(tmp_path / "p")).count() == 2 and not (tmp_path / "p.staged").exists()
+    sinks.promote(df.limit(1), str(tmp_path / "p"), lambda t: t.limit(0))
+    assert spark.read.parquet(str(tmp_path / "p")).count() == 1 and sorted(x.name for x in tmp_path.glob("p*")) == ["p"]
+    (tmp_path / "p.lock").write_text("")
+    with pytest.raises(RuntimeError, match="being written"):
+        sinks.promote(df, str(tmp_path / "p"), lambda t: t.limit(0))
+    with pytest.raises(ValueError, match="lies within"):
+        sinks.write_outside(df, str(tmp_path / "tree" / "out"), str(tmp_path / "tree"))
+    for shard in (0, 1, 1):
+        sinks.append_shard(df, str(tmp_path / "shards"), shard)
+    assert spark.read.csv(str(tmp_path / "shards"), header=True).count() == 4
+    names = spark.createDataFrame([("a,b", 'q"', 1.5), ("c", None, None)], "x string, y string, z double")
+    sinks.write_leaderboard(names, str(tmp_path / "board.csv"), ["m1", "m2"])
+    assert (tmp_path / "board.csv").read_text(newline="") == '# INCOMPLETE: m1, m2\r\nx,y,z\r\n"a,b","q""",1.5\r\nc,,\r\n'
+    sinks.write_report({"rows": df}, str(tmp_path / "report.json"))
+    assert json.loads((tmp_path / "report.json").read_text()) == {"rows": [{"id": 2, "v": None}, {"id": 1, "v": 0.5}]}
+    with pytest.raises(ValueError, match="bad folds"):
+        R.select_folds(spark.range(3), "0,9", "id")
+    assert R.select_folds(spark.range(3), "0,2", "id").count() == 2 and R.select_folds(spark.range(3), "all", "id").count() == 3
 
 
 def test_streams(spark, tmp_path):
@@ -100,6 +158,11 @@ def test_streams(spark, tmp_path):
         source = jobs.read_files(spark, str(tmp_path / "in"), events.schema)
         jobs.incremental(source, str(tmp_path / "out"), str(tmp_path / "cp"), "event_id", lambda b: b.select("event_id")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == events.count()
+    events.limit(5).unionByName(events.limit(1).withColumn("event_id", F.lit(-1).cast("bigint"))).write.mode("append").parquet(str(tmp_path / "in"))
+    source = jobs.read_files(spark, str(tmp_path / "in"), events.schema)
+    jobs.incremental(source, str(tmp_path / "out"), str(tmp_path / "cp"), "event_id", lambda b: b.select("event_id")).awaitTermination()
+    out = spark.read.parquet(str(tmp_path / "out"))
+    assert out.count() == out.select("event_id").distinct().count() == events.count() + 1
 
 
 def test_episodes(spark):
