@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import finite, ratio
+from ..storage import stash
 
 
 def to_long(df: DataFrame, ids: list[str], metrics: Sequence[str]) -> DataFrame:
@@ -17,14 +19,54 @@ def to_long(df: DataFrame, ids: list[str], metrics: Sequence[str]) -> DataFrame:
 
 
 def six(value: str) -> list[Column]:
-    """n_valid, mean, median (exact), population deviation, min and max."""
+    """n_valid, mean, median (exact), population deviation, min and max, for groups whose distinct values fit a task; see quantiles()."""
     v = F.col(value)
     return [F.count(v).alias("n_valid"), F.avg(v).alias("mean"), F.percentile(v, 0.5).alias("median"), F.stddev_pop(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max")]
 
 
+def quantiles(df: DataFrame, keys: list[str], value: str, at: Sequence[float], names: Sequence[str]) -> DataFrame:
+    """(keys, names): exact quantiles of each group, interpolated between ranks, NULL values left out.
+
+    Distinct values are counted, dealt over ranges of (group, value) and numbered by running sums within a range
+    and over ranges, so no task holds a group. Groups may have NULLs in their keys.
+    """
+    group = [F.coalesce(F.col(k).cast("string"), F.lit("\0")).alias(f"__k{i}") for i, k in enumerate(keys)]
+    g = [f"__k{i}" for i in range(len(keys))]
+    first = [F.first(k, ignorenulls=True).alias(k) for k in keys]
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*group, F.col(value).cast("double").alias("__v")).agg(F.count("*").alias("__k"), *first)
+    parts = stash(counts.repartitionByRange(*g, "__v").withColumn("__part", F.spark_partition_id()))
+    every = Window.partitionBy(*g)
+    sums = parts.groupBy(*g, "__part").agg(F.sum("__k").alias("__s"))
+    before = F.coalesce(F.sum("__s").over(every.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = sums.select(*g, "__part", before.alias("__before"), F.sum("__s").over(every).alias("__n"))
+    inside = F.sum("__k").over(Window.partitionBy(*g, "__part").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0))
+    ranked = parts.withColumn("__upto", inside).join(sums, [*g, "__part"]).withColumn("__upto", F.col("__upto") + F.col("__before"))
+    picked = []
+    for i, q in enumerate(at):
+        rank = F.lit(float(q)) * (F.col("__n") - 1)
+        for side, r in (("lo", F.floor(rank)), ("hi", F.ceil(rank))):
+            picked.append(F.max(F.when((F.col("__upto") - F.col("__k") <= r) & (r < F.col("__upto")), F.col("__v"))).alias(f"__{side}{i}"))
+    found = ranked.groupBy(*g).agg(F.max("__n").alias("__n"), *(F.first(k, ignorenulls=True).alias(k) for k in keys), *picked)
+    rest = lambda q: F.lit(float(q)) * (F.col("__n") - 1) - F.floor(F.lit(float(q)) * (F.col("__n") - 1))
+    return found.select(*keys, *((F.col(f"__lo{i}") + (F.col(f"__hi{i}") - F.col(f"__lo{i}")) * rest(q)).alias(name) for i, (q, name) in enumerate(zip(at, names))))
+
+
+def joined_groups(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Left join of two tables of groups on keys that may be NULL."""
+    if not keys:
+        return left.crossJoin(right)  # one row each
+    other = right.withColumnsRenamed({k: f"__{k}" for k in keys})
+    same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys))
+    return left.join(other, same, "left").drop(*(f"__{k}" for k in keys))
+
+
 def summarise(df: DataFrame, ids: list[str], metrics: Sequence[str]) -> DataFrame:
     """One row for each (ids, metric)."""
-    return to_long(df, ids, metrics).groupBy(*ids, "metric").agg(*six("value"))
+    long, keys = to_long(df, ids, metrics), [*ids, "metric"]
+    v = F.col("value")
+    plain = long.groupBy(*keys).agg(F.count(v).alias("n_valid"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"))
+    both = joined_groups(plain, quantiles(long, keys, "value", (0.5,), ("median",)), keys)
+    return both.select(*keys, "n_valid", "mean", "median", "std", "min", "max")
 
 
 def strata(df: DataFrame, dims: list[str], aggregates: list[Column]) -> DataFrame:
@@ -50,11 +92,10 @@ def pooled_bins(df: DataFrame, label: Column, detected: Column, bins: Sequence[t
 
 def profile(df: DataFrame, keys: list[str], value: str, at=(0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)) -> DataFrame:
     """count, min, exact percentiles, max, mean and sample deviation."""
-    v = finite(value)
-    points = F.percentile(v, list(at))
-    return df.groupBy(*keys).agg(F.count(v).alias("n"), F.min(v).alias("min"), points.alias("__p"), F.max(v).alias("max"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std")).select(
-        *keys, "n", "min", *(F.col("__p")[k].alias(f"p{round(q * 100):02d}") for k, q in enumerate(at)), "max", "mean", "std"
-    )
+    rows, names = df.withColumn(value, finite(value)), [f"p{round(q * 100):02d}" for q in at]
+    v = F.col(value)
+    plain = rows.groupBy(*keys).agg(F.count(v).alias("n"), F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"))
+    return joined_groups(plain, quantiles(rows, keys, value, at, names), keys).select(*keys, "n", "min", *names, "max", "mean", "std")
 
 
 def rollup(df: DataFrame, keys: list[str], value: str, empty: Column, flag: Column, least: int = 1) -> DataFrame:

@@ -15,6 +15,7 @@ from ..storage import stash
 from .graph import components
 from .metrics import detection, overlap, volume_difference, with_tn
 from .relational import require_empty
+from .reports import joined_groups, quantiles
 
 XYZ = ["x", "y", "z"]
 
@@ -329,16 +330,20 @@ def resample_nearest(voxels: DataFrame, grid: DataFrame) -> DataFrame:
 
 
 def intensity_statistics(values: DataFrame, keys: list[str], value: str) -> DataFrame:
-    v, above = F.col(value), F.when(F.col(value) > 0, F.col(value))
-    p = F.percentile(v, [0.01, 0.5, 0.99])
-    return values.groupBy(*keys).agg(F.min(v).alias("min"), p.alias("__p"), F.max(v).alias("max"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.avg((v != 0).cast("double")).alias("nonzero_frac"), F.percentile(above, 0.5).alias("brain_p50"), F.percentile(above, 0.99).alias("brain_p99")).select(*keys, "min", *(F.col("__p")[k].alias(n) for k, n in enumerate(("p01", "p50", "p99"))), "max", "mean", "std", "nonzero_frac", "brain_p50", "brain_p99")
+    """min, p01, p50, p99, max, mean, deviation and the share that is not 0; p50 and p99 of what is above 0. Percentiles are exact."""
+    v = F.col(value)
+    plain = values.groupBy(*keys).agg(F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.avg((v != 0).cast("double")).alias("nonzero_frac"))
+    every = quantiles(values, keys, value, (0.01, 0.5, 0.99), ("p01", "p50", "p99"))
+    brain = quantiles(values.filter(v > 0), keys, value, (0.5, 0.99), ("brain_p50", "brain_p99"))
+    both = joined_groups(joined_groups(plain, every, keys), brain, keys)
+    return both.select(*keys, "min", "p01", "p50", "p99", "max", "mean", "std", "nonzero_frac", "brain_p50", "brain_p99")
 
 
 def clip_normalise(values: DataFrame, keys: list[str], value: str, low: float = 0.01, high: float = 0.99) -> DataFrame:
     """Values from the low to the high percentile of their group, as 0 to 1."""
-    edges = values.groupBy(*keys).agg(F.percentile(value, [low, high]).alias("__p"))
-    scaled = F.coalesce(ratio(F.col(value) - F.col("__p")[0], F.col("__p")[1] - F.col("__p")[0]), F.lit(0.0))
-    return values.join(edges, keys).withColumn(value, F.greatest(F.lit(0.0), F.least(F.lit(1.0), scaled))).drop("__p")
+    edges = quantiles(values, keys, value, (low, high), ("__lo", "__hi"))
+    scaled = F.coalesce(ratio(F.col(value) - F.col("__lo"), F.col("__hi") - F.col("__lo")), F.lit(0.0))
+    return joined_groups(values, edges, keys).withColumn(value, F.greatest(F.lit(0.0), F.least(F.lit(1.0), scaled))).drop("__lo", "__hi")
 
 
 def overlay(truth: DataFrame, predicted: DataFrame) -> DataFrame:

@@ -218,3 +218,17 @@ def test_shared_folder_is_asked_for_on_a_cluster(spark):
         with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
             storage.shared_dir(bare(master))
     assert storage.shared_dir(bare("local[4]")).startswith("file:///")
+
+
+def test_quantiles_are_exact(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    rows = [(k, None if rng.random() < 0.1 else float(np.round(rng.normal(), 1))) for k in ("a", "b", None) for _ in range(int(rng.integers(1, 400)))] + [("one", 2.5), ("none", None)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(7)
+    at = (0.0, 0.01, 0.5, 0.95, 1.0)
+    got = {r.k: tuple(r)[1:] for r in reports.quantiles(df, ["k"], "v", at, [f"q{i}" for i in range(5)]).collect()}
+    want = {k: np.quantile([v for x, v in rows if x == k and v is not None], at) for k in ("a", "b", None, "one")}
+    assert set(got) == set(want) and all(np.allclose(got[k], want[k]) for k in want)
+    assert np.allclose(tuple(reports.quantiles(df, [], "v", at, [f"q{i}" for i in range(5)]).first()), np.quantile([v for _, v in rows if v is not None], at))
+    assert {r.k: r.n for r in reports.profile(df, ["k"], "v").collect()}["none"] == 0
