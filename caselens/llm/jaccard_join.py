@@ -11,8 +11,9 @@ sets are one from the start (sid), so copies never make pairs. Then:
    others. Its rarest ones - one more than may be missing - name its possible
    partners; groups are the components of that relation.
 3. In each group, sets are searched against those of smaller or equal size:
-   short inverted lists are merged, long ones are only probed for candidates
-   that can still reach the overlap. Pairs that are connected already are
+   short inverted lists are merged, the long ones (as many as the overlap allows,
+   one less than it) are searched by bisection for candidates that can still
+   reach the overlap. Pairs that are connected already are
    skipped, so a group of copies takes one probe each. Groups beyond MAX_GROUP
    are cut into blocks: first each by itself, then each with the first one,
    then all pairs of blocks that still hold different components.
@@ -275,6 +276,7 @@ def search(sets: list[np.ndarray], labels: np.ndarray, side: np.ndarray | None =
     number = np.empty(len(tokens), np.int64)
     number[by_token] = np.repeat(np.arange(len(length)), length)
     postings = owner[by_token]
+    entries = np.repeat(np.arange(len(length)), length) * len(order) + postings  # all inverted lists in one ascending array
     bounds = np.concatenate([[0], np.cumsum(sizes)])
     own = [number[a:b] for a, b in zip(bounds, bounds[1:])]  # sorted, as the tokens are
     links, found = Links(labels[order]), []
@@ -306,9 +308,9 @@ def search(sets: list[np.ndarray], labels: np.ndarray, side: np.ndarray | None =
             c = int(candidates[i])
             if links.find(c) == links.find(q):
                 continue
-            theirs = own[c]
-            at = np.searchsorted(theirs, probes)
-            overlap = int(count[i]) + int((theirs[np.minimum(at, len(theirs) - 1)] == probes).sum())
+            wanted = probes * len(order) + c  # where each long list has the candidate, if it does
+            at = np.searchsorted(entries, wanted)
+            overlap = int(count[i]) + int((entries[np.minimum(at, len(entries) - 1)] == wanted).sum())
             if linked(overlap, n, int(sizes[c])):
                 links.join(q, c)
                 found.append((order[q], order[c]))
