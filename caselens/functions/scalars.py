@@ -11,8 +11,13 @@ from pyspark.sql import functions as F
 MISSING = ("", "na", "n/a", "nan", "none", "null")
 
 # Half-open size bins (label, from, below); the last one has no end.
-VOXEL_BINS = (("tiny_<10", 0, 10), ("small_10-100", 10, 100), ("medium_100-1k", 100, 1000), ("large_1k-10k", 1000, 10000), ("huge_>=10k", 10000, None))
-ML_BINS = (("vsmall_<0.1mL", 0.0, 0.1), ("small_0.1-1mL", 0.1, 1.0), ("med_1-10mL", 1.0, 10.0), ("large_10-50mL", 10.0, 50.0), ("vlarge_>=50mL", 50.0, None))
+VOXEL_BINS = (
+    ("tiny_<10", 0, 10), ("small_10-100", 10, 100), ("medium_100-1k", 100, 1000), ("large_1k-10k", 1000, 10000), ("huge_>=10k", 10000, None),
+)
+ML_BINS = (
+    ("vsmall_<0.1mL", 0.0, 0.1), ("small_0.1-1mL", 0.1, 1.0), ("med_1-10mL", 1.0, 10.0), ("large_10-50mL", 10.0, 50.0),
+    ("vlarge_>=50mL", 50.0, None),
+)
 
 # Commit subjects, by the first expression that is found.
 SUBJECT_RULES = (
@@ -59,7 +64,9 @@ def require_amount(x: Column | str, case: Column | str, what: str = "value") ->
     """parse_float() that fails, naming the case, for text that is neither missing nor a number of at least 0."""
     value, text = parse_float(x), F.trim(_c(x))
     bad = (value.isNull() & ~F.lower(F.coalesce(text, F.lit(""))).isin(*MISSING)) | (value < 0)
-    return F.when(bad, F.raise_error(F.concat(F.lit(f"invalid {what} in case "), _c(case).cast("string"), F.lit(": "), text)).cast("double")).otherwise(value)
+    return F.when(
+        bad, F.raise_error(F.concat(F.lit(f"invalid {what} in case "), _c(case).cast("string"), F.lit(": "), text)).cast("double"),
+    ).otherwise(value)
 
 
 def parse_bool(x: Column | str) -> Column:
@@ -170,14 +177,18 @@ def orientation(axes: Column | str) -> Column:
         a = F.transform(v, F.abs)
         k = F.array_position(a, F.array_max(a)).cast("int")
         up = F.element_at(v, k) > 0
-        return F.when(k == 1, F.when(up, "R").otherwise("L")).when(k == 2, F.when(up, "A").otherwise("P")).otherwise(F.when(up, "S").otherwise("I"))
+        return F.when(
+            k == 1, F.when(up, "R").otherwise("L"),
+        ).when(k == 2, F.when(up, "A").otherwise("P")).otherwise(F.when(up, "S").otherwise("I"))
 
     return F.array_join(F.transform(_c(axes), letter), "")
 
 
 def determinant_sign(axes: Column | str) -> Column:
     m = lambda i, j: F.element_at(F.element_at(_c(axes), i + 1), j + 1)
-    d = m(0, 0) * (m(1, 1) * m(2, 2) - m(1, 2) * m(2, 1)) - m(0, 1) * (m(1, 0) * m(2, 2) - m(1, 2) * m(2, 0)) + m(0, 2) * (m(1, 0) * m(2, 1) - m(1, 1) * m(2, 0))
+    d = m(0, 0) * (
+        m(1, 1) * m(2, 2) - m(1, 2) * m(2, 1)
+    ) - m(0, 1) * (m(1, 0) * m(2, 2) - m(1, 2) * m(2, 0)) + m(0, 2) * (m(1, 0) * m(2, 1) - m(1, 1) * m(2, 0))
     return F.signum(d).cast("int")
 
 

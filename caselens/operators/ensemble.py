@@ -58,7 +58,9 @@ def candidate_scores(scores: DataFrame, candidates: DataFrame, case: str, member
     """candidates: candidate, member. Mean of the members of each candidate by case; cases that lack a member are out."""
     sizes = candidates.groupBy("candidate").agg(F.count("*").alias("__k"))
     joined = scores.join(F.broadcast(candidates.join(sizes, "candidate")), member)
-    return joined.groupBy("candidate", case).agg(F.avg(value).alias(value), F.count("*").alias("__n"), F.max("__k").alias("__k")).filter("__n = __k").drop("__n", "__k")
+    return joined.groupBy("candidate", case).agg(
+        F.avg(value).alias(value), F.count("*").alias("__n"), F.max("__k").alias("__k"),
+    ).filter("__n = __k").drop("__n", "__k")
 
 
 def best_cells(grid: DataFrame, family: str, score: str, ties: list[str]) -> DataFrame:
@@ -68,4 +70,7 @@ def best_cells(grid: DataFrame, family: str, score: str, ties: list[str]) -> Dat
 def agreement(df: DataFrame, stored: str, deployed: str) -> DataFrame:
     """Mean and least of a metric's pairs, and the mean relative change in percent."""
     change = F.abs(F.col(stored) - F.col(deployed))
-    return df.agg(F.count("*").alias("n"), F.avg(change).alias("mean_abs"), F.max(change).alias("max_abs"), F.avg(100 * ratio(F.col(deployed) - F.col(stored), stored)).alias("mean_change_percent"))
+    return df.agg(
+        F.count("*").alias("n"), F.avg(change).alias("mean_abs"), F.max(change).alias("max_abs"),
+        F.avg(100 * ratio(F.col(deployed) - F.col(stored), stored)).alias("mean_change_percent"),
+    )

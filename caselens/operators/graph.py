@@ -10,7 +10,9 @@ from ..storage import stash
 
 def _are_stars(edges: DataFrame) -> bool:
     """Whether every node has one edge to a smaller node that has none itself."""
-    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(
+        edges.select(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down"))
+    )
     seen = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
     return seen.filter("up > 1 OR (up = 1 AND down = 1)").isEmpty()
 
@@ -24,12 +26,16 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     now = stash(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
     for _ in range(most_rounds):
         if _are_stars(now):
-            return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+            return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
+                now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
+            )
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("m", "a"))
         large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
+        small = large.join(least, "a").select(
+            F.col("b").alias("a"), F.col("m").alias("b"),
+        ).unionByName(least.select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
         now = stash(small)
     raise RuntimeError(f"components: not stable after {most_rounds} rounds")
 
@@ -42,14 +48,18 @@ def dangling(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     out = end("source").unionByName(end("target"))
     if "parent" in nodes.columns:
         parents = ids.withColumnRenamed("id", "parent")
-        out = out.unionByName(nodes.filter("parent IS NOT NULL").join(parents, "parent", "left_anti").select(F.lit("no parent").alias("kind"), "id"))
+        out = out.unionByName(
+            nodes.filter("parent IS NOT NULL").join(parents, "parent", "left_anti").select(F.lit("no parent").alias("kind"), "id")
+        )
     return out
 
 
 def induced(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Edges with both ends among the nodes."""
     ids = nodes.select("id")
-    return edges.join(ids.withColumnRenamed("id", "source"), "source", "left_semi").join(ids.withColumnRenamed("id", "target"), "target", "left_semi")
+    return edges.join(
+        ids.withColumnRenamed("id", "source"), "source", "left_semi",
+    ).join(ids.withColumnRenamed("id", "target"), "target", "left_semi")
 
 
 def cyclic(nodes: DataFrame) -> DataFrame:
@@ -57,13 +67,19 @@ def cyclic(nodes: DataFrame) -> DataFrame:
     up = stash(nodes.select("id", "parent"))
     n = max(1, up.count())
     for _ in range(n.bit_length() + 1):
-        up = stash(up.join(up.select(F.col("id").alias("parent"), F.col("parent").alias("next")), "parent", "left").select("id", F.col("next").alias("parent")))
+        up = stash(
+            up.join(
+                up.select(F.col("id").alias("parent"), F.col("parent").alias("next")), "parent", "left",
+            ).select("id", F.col("next").alias("parent"))
+        )
         if up.filter("parent IS NOT NULL").isEmpty():
             break
     return up.filter("parent IS NOT NULL").select("id")
 
 
-def scope(nodes: DataFrame, edges: DataFrame, parent: str | None, lens: str | None = None, hidden: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+def scope(
+    nodes: DataFrame, edges: DataFrame, parent: str | None, lens: str | None = None, hidden: tuple[str, ...] = (),
+) -> tuple[DataFrame, DataFrame]:
     """Nodes of one level (children of the parent, or roots) seen through a lens, with the edges among them."""
     seen = nodes.filter(F.col("parent").isNull() if parent is None else F.col("parent") == parent)
     if lens is not None:

@@ -41,7 +41,9 @@ def contained(docs: DataFrame, items: DataFrame, doc: str, item: str) -> DataFra
         return pairs.join(rows, doc).filter(whole).select(doc, item)
 
     long = wanted.filter(F.size("__inner") >= WINDOW)
-    windows = F.transform(F.sequence(F.lit(1), F.size("__d") - WINDOW + 1), lambda i: F.xxhash64(F.array_join(F.slice(F.col("__d"), i, WINDOW), " ")))
+    windows = F.transform(
+        F.sequence(F.lit(1), F.size("__d") - WINDOW + 1), lambda i: F.xxhash64(F.array_join(F.slice(F.col("__d"), i, WINDOW), " ")),
+    )
     of_doc = F.when(F.size("__d") >= WINDOW, windows).otherwise(F.array().cast("array<bigint>"))
     rows_with_words = rows.withColumn("__d", _words("text"))
 
@@ -49,7 +51,9 @@ def contained(docs: DataFrame, items: DataFrame, doc: str, item: str) -> DataFra
         keyed = long.select(item, "__item", F.xxhash64(F.array_join(F.slice("__inner", 1, WINDOW), " ")).alias("__key"))
         few = keyed.count() <= MOST_KEYS
         side = F.broadcast(keyed) if few else keyed
-        near = rows_with_words.select(doc, F.explode(F.array_distinct(of_doc)).alias("__key")).join(side, "__key").select(doc, item, "__item").distinct()
+        near = rows_with_words.select(
+            doc, F.explode(F.array_distinct(of_doc)).alias("__key"),
+        ).join(side, "__key").select(doc, item, "__item").distinct()
         return near.join(rows, doc).filter(whole).select(doc, item)
 
     found = by_window()

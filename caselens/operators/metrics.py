@@ -11,7 +11,10 @@ from ..functions.scalars import ratio
 def confusion(df: DataFrame, keys: list[str], truth: Column, prediction: Column) -> DataFrame:
     """Counts tp, fp, fn, tn by keys, in one aggregation."""
     count = lambda c, name: F.count_if(c).cast("bigint").alias(name)
-    return df.groupBy(*keys).agg(count(truth & prediction, "tp"), count(~truth & prediction, "fp"), count(truth & ~prediction, "fn"), count(~truth & ~prediction, "tn"))
+    return df.groupBy(*keys).agg(
+        count(truth & prediction, "tp"), count(~truth & prediction, "fp"), count(truth & ~prediction, "fn"),
+        count(~truth & ~prediction, "tn"),
+    )
 
 
 def with_tn(counts: DataFrame, total: str) -> DataFrame:
@@ -36,7 +39,10 @@ def overlap(tp="tp", fp="fp", fn="fn", tn="tn") -> list[Column]:
 
 def volume_difference(predicted: Column, true: Column) -> list[Column]:
     """Absolute, signed, and relative difference (NULL for an empty truth)."""
-    return [F.abs(predicted - true).alias("abs_diff"), (predicted - true).alias("signed_diff"), F.when(true > 0, F.abs(predicted - true) / true).alias("relative_diff")]
+    return [
+        F.abs(predicted - true).alias("abs_diff"), (predicted - true).alias("signed_diff"),
+        F.when(true > 0, F.abs(predicted - true) / true).alias("relative_diff"),
+    ]
 
 
 def detection(counts: DataFrame, vacuous: bool = False) -> DataFrame:
@@ -48,8 +54,15 @@ def detection(counts: DataFrame, vacuous: bool = False) -> DataFrame:
     p = F.when(F.col("pred_count") == 0, empty_p).otherwise(ratio("tp_pred", "pred_count"))
     r = F.when(F.col("gt_count") == 0, F.lit(1.0 if vacuous else None).cast("double")).otherwise(ratio("detected_gt", "gt_count"))
     both = (F.col("gt_count") == 0) & (F.col("pred_count") == 0)
-    score = F.when(both, 1.0).when(F.coalesce(p, F.lit(0.0)) + F.coalesce(r, F.lit(0.0)) == 0, 0.0).otherwise(2 * F.coalesce(p, F.lit(0.0)) * F.coalesce(r, F.lit(0.0)) / (F.coalesce(p, F.lit(0.0)) + F.coalesce(r, F.lit(0.0))))
-    return counts.withColumns({"lesion_precision": p, "lesion_recall": r, "lesion_f1": score, "abs_count_diff": F.abs(F.col("pred_count") - F.col("gt_count")), "signed_count_diff": F.col("pred_count") - F.col("gt_count")})
+    score = F.when(both, 1.0).when(F.coalesce(p, F.lit(0.0)) + F.coalesce(r, F.lit(0.0)) == 0, 0.0).otherwise(
+        2 * F.coalesce(p, F.lit(0.0)) * F.coalesce(r, F.lit(0.0)) / (F.coalesce(p, F.lit(0.0)) + F.coalesce(r, F.lit(0.0)))
+    )
+    return counts.withColumns(
+        {
+            "lesion_precision": p, "lesion_recall": r, "lesion_f1": score, "abs_count_diff": F.abs(F.col("pred_count") - F.col("gt_count")),
+            "signed_count_diff": F.col("pred_count") - F.col("gt_count"),
+        }
+    )
 
 
 def pr_auc(df: DataFrame, keys: list[str], score: str, truth: Column) -> DataFrame:
@@ -62,11 +75,15 @@ def pr_auc(df: DataFrame, keys: list[str], score: str, truth: Column) -> DataFra
     falling = Window.partitionBy(*keys).orderBy(F.col(score).desc())
     upto = falling.rowsBetween(Window.unboundedPreceding, 0)
     every = Window.partitionBy(*keys)
-    curve = points.withColumns({"tp": F.sum("pos").over(upto), "fp": F.sum("neg").over(upto), "np": F.sum("pos").over(every), "levels": F.count("*").over(every)})
+    curve = points.withColumns(
+        {"tp": F.sum("pos").over(upto), "fp": F.sum("neg").over(upto), "np": F.sum("pos").over(every), "levels": F.count("*").over(every)}
+    )
     curve = curve.withColumns({"precision": F.col("tp").cast("double") / (F.col("tp") + F.col("fp")), "recall": ratio("tp", "np")})
     before = lambda c, first: F.coalesce(F.lag(c).over(falling), F.lit(first))
     curve = curve.withColumn("area", (F.col("recall") - before("recall", 0.0)) * (F.col("precision") + before("precision", 1.0)) / 2)
-    return curve.groupBy(*keys).agg(F.sum("area").alias("area"), F.max("np").alias("np"), F.max("levels").alias("levels")).select(*keys, F.when(F.col("np") == 0, F.when(F.col("levels") == 1, 1.0).otherwise(0.0)).otherwise(F.col("area")).alias("pr_auc"))
+    return curve.groupBy(*keys).agg(F.sum("area").alias("area"), F.max("np").alias("np"), F.max("levels").alias("levels")).select(
+        *keys, F.when(F.col("np") == 0, F.when(F.col("levels") == 1, 1.0).otherwise(0.0)).otherwise(F.col("area")).alias("pr_auc"),
+    )
 
 
 def flat_pr_auc(positives: Column, total: Column) -> Column:
@@ -81,24 +98,47 @@ def sweep(df: DataFrame, keys: list[str], score: str, truth: Column, steps: int)
     are reverse running sums. No row is multiplied by the number of thresholds.
     """
     level = F.floor(F.least(F.greatest(F.col(score), F.lit(0.0)), F.lit(1.0)) * (steps + 1) + 1e-9).cast("int")
-    buckets = df.filter(F.col(score).isNotNull()).groupBy(*keys, F.least(level, F.lit(steps)).alias("level")).agg(F.count_if(truth).alias("pos"), F.count_if(~truth).alias("neg"))
+    buckets = df.filter(F.col(score).isNotNull()).groupBy(*keys, F.least(level, F.lit(steps)).alias("level")).agg(
+        F.count_if(truth).alias("pos"), F.count_if(~truth).alias("neg"),
+    )
     groups = buckets.select(*keys).distinct() if keys else df.sparkSession.range(1).select()
-    grid = groups.crossJoin(F.broadcast(df.sparkSession.range(0, steps + 1).select(F.col("id").cast("int").alias("level"))))  # groups x thresholds, not rows
+    grid = groups.crossJoin(
+        F.broadcast(df.sparkSession.range(0, steps + 1).select(F.col("id").cast("int").alias("level")))
+    )  # groups x thresholds, not rows
     full = grid.join(buckets, [*keys, "level"], "left").fillna(0, ["pos", "neg"])
     above = Window.partitionBy(*keys).orderBy(F.col("level").desc()).rowsBetween(Window.unboundedPreceding, 0)
     every = Window.partitionBy(*keys)
-    counts = full.withColumns({"tp": F.sum("pos").over(above), "fp": F.sum("neg").over(above), "all_pos": F.sum("pos").over(every), "all_neg": F.sum("neg").over(every)})
-    return counts.filter("level > 0").select(*keys, (F.col("level") / float(steps + 1)).alias("threshold"), "tp", "fp", (F.col("all_pos") - F.col("tp")).alias("fn"), (F.col("all_neg") - F.col("fp")).alias("tn"))
+    counts = full.withColumns(
+        {
+            "tp": F.sum("pos").over(above), "fp": F.sum("neg").over(above), "all_pos": F.sum("pos").over(every),
+            "all_neg": F.sum("neg").over(every),
+        }
+    )
+    return counts.filter("level > 0").select(
+        *keys, (F.col("level") / float(steps + 1)).alias("threshold"), "tp", "fp", (F.col("all_pos") - F.col("tp")).alias("fn"),
+        (F.col("all_neg") - F.col("fp")).alias("tn"),
+    )
 
 
 def sweep_at(df: DataFrame, keys: list[str], score: str, truth: Column, thresholds: list[float]) -> DataFrame:
     """The same at any list of thresholds: a row falls between two of them, and counts at or above each are reverse running sums."""
     cuts = sorted(set(map(float, thresholds)))
     level = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda t: t <= F.col(score)))
-    buckets = df.filter(F.col(score).isNotNull()).groupBy(*keys, level.alias("level")).agg(F.count_if(truth).alias("pos"), F.count_if(~truth).alias("neg"))
+    buckets = df.filter(F.col(score).isNotNull()).groupBy(*keys, level.alias("level")).agg(
+        F.count_if(truth).alias("pos"), F.count_if(~truth).alias("neg"),
+    )
     grid = df.sparkSession.createDataFrame([(k, t) for k, t in enumerate(cuts, 1)] + [(0, None)], "level int, threshold double")
-    full = buckets.select(*keys).distinct().crossJoin(F.broadcast(grid)).join(buckets, [*keys, "level"], "left").fillna(0, ["pos", "neg"])  # groups x thresholds, not rows
+    full = buckets.select(*keys).distinct().crossJoin(F.broadcast(grid)).join(
+        buckets, [*keys, "level"], "left",
+    ).fillna(0, ["pos", "neg"])  # groups x thresholds, not rows
     every = Window.partitionBy(*keys)
     above = every.orderBy(F.col("level").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    counts = full.withColumns({"tp": F.sum("pos").over(above), "fp": F.sum("neg").over(above), "all_pos": F.sum("pos").over(every), "all_neg": F.sum("neg").over(every)})
-    return counts.filter("level > 0").select(*keys, "threshold", "tp", "fp", (F.col("all_pos") - F.col("tp")).alias("fn"), (F.col("all_neg") - F.col("fp")).alias("tn"))
+    counts = full.withColumns(
+        {
+            "tp": F.sum("pos").over(above), "fp": F.sum("neg").over(above), "all_pos": F.sum("pos").over(every),
+            "all_neg": F.sum("neg").over(every),
+        }
+    )
+    return counts.filter("level > 0").select(
+        *keys, "threshold", "tp", "fp", (F.col("all_pos") - F.col("tp")).alias("fn"), (F.col("all_neg") - F.col("fp")).alias("tn"),
+    )

@@ -15,7 +15,9 @@ from .relational import first_by_priority
 # Significance of the kinds of commits, and paths that are pipelines.
 SIGNIFICANCE = {"correction": 5, "negative": 4, "decision": 3, "result": 2, "artifact": 1}
 PIPELINE_NAME = r"(?i)^(Dockerfile|Makefile|package\.json|pyproject\.toml|compose\.ya?ml)$"
-PIPELINE_PATHS = (r"(?i)(^|/)(workflows?|pipelines?|scripts?)/", r"(?i)(^|/)analysis_[a-z0-9_-]+\.(sh|py)$", r"(?i)\.(workflow|pipeline)\.ya?ml$")
+PIPELINE_PATHS = (
+    r"(?i)(^|/)(workflows?|pipelines?|scripts?)/", r"(?i)(^|/)analysis_[a-z0-9_-]+\.(sh|py)$", r"(?i)\.(workflow|pipeline)\.ya?ml$",
+)
 
 
 def gap_sessions(df: DataFrame, keys: list[str], ts: str, order: list[str], gap_seconds: int) -> DataFrame:
@@ -30,7 +32,10 @@ def session_summary(sessions: DataFrame, keys: list[str], ts: str, last: int, va
     newest = F.row_number().over(Window.partitionBy(*keys, "session").orderBy(F.col(ts).desc(), F.col(tie).desc())) <= last
     kept = F.array_sort(F.collect_list(F.when(F.col("__new"), F.struct(ts, tie, value))))
     marked = sessions.withColumn("__new", newest)
-    return marked.groupBy(*keys, "session").agg(F.min(ts).alias("start"), F.max(ts).alias("end"), F.count("*").alias("n"), F.transform(kept, lambda x: x[value]).alias("last_values"))
+    return marked.groupBy(*keys, "session").agg(
+        F.min(ts).alias("start"), F.max(ts).alias("end"), F.count("*").alias("n"),
+        F.transform(kept, lambda x: x[value]).alias("last_values"),
+    )
 
 
 def _fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -56,18 +61,26 @@ def episodes(commits: DataFrame) -> DataFrame:
 
     Repositories are sorted by Spark and folded as they stream past; a task holds the running episode only.
     """
-    rows = commits.select("repo", "sha", F.col("ts").cast("timestamp").alias("ts"), top_level("files").alias("paths"), subject_words("subject").alias("words"))
-    return rows.repartition("repo").sortWithinPartitions("repo", "ts", "sha").mapInPandas(_fold, f"repo {dict(commits.dtypes)['repo']}, sha {dict(commits.dtypes)['sha']}, episode bigint")
+    rows = commits.select(
+        "repo", "sha", F.col("ts").cast("timestamp").alias("ts"), top_level("files").alias("paths"), subject_words("subject").alias("words"),
+    )
+    return rows.repartition("repo").sortWithinPartitions("repo", "ts", "sha").mapInPandas(
+        _fold, f"repo {dict(commits.dtypes)['repo']}, sha {dict(commits.dtypes)['sha']}, episode bigint",
+    )
 
 
 def episode_nodes(commits: DataFrame, membership: DataFrame, most: int = 14) -> DataFrame:
     """The last episodes of each repository, with time span, subjects and their most significant commit."""
     joined = commits.join(membership, ["repo", "sha"]).withColumn("kind", classify("subject"))
     rank = F.create_map(*(x for k, v in SIGNIFICANCE.items() for x in (F.lit(k), F.lit(v))))[F.col("kind")]
-    lead = first_by_priority(joined, ["repo", "episode"], [rank.desc(), F.col("ts"), F.col("sha")]).select("repo", "episode", F.col("sha").alias("lead_sha"), F.col("subject").alias("title"), "kind")
+    lead = first_by_priority(joined, ["repo", "episode"], [rank.desc(), F.col("ts"), F.col("sha")]).select(
+        "repo", "episode", F.col("sha").alias("lead_sha"), F.col("subject").alias("title"), "kind",
+    )
     spans = joined.groupBy("repo", "episode").agg(F.min("ts").alias("start"), F.max("ts").alias("end"), F.count("*").alias("n_commits"))
     newest = F.dense_rank().over(Window.partitionBy("repo").orderBy(F.col("episode").desc()))
-    return spans.join(lead, ["repo", "episode"]).withColumn("__n", newest).filter(F.col("__n") <= most).drop("__n").withColumn("id", F.concat_ws("-", F.lit("episode"), "repo", F.col("episode").cast("string")))
+    return spans.join(lead, ["repo", "episode"]).withColumn("__n", newest).filter(F.col("__n") <= most).drop("__n").withColumn(
+        "id", F.concat_ws("-", F.lit("episode"), "repo", F.col("episode").cast("string")),
+    )
 
 
 def episode_edges(nodes: DataFrame) -> DataFrame:
@@ -84,13 +97,18 @@ def pipeline_files(files: DataFrame, path: str) -> DataFrame:
 
 def last_touch(commits: DataFrame) -> DataFrame:
     """The newest commit of each path; of ties, the largest sha."""
-    return first_by_priority(commits.select("repo", F.explode("files").alias("path"), "sha", "ts"), ["repo", "path"], [F.col("ts").desc(), F.col("sha").desc()])
+    return first_by_priority(
+        commits.select("repo", F.explode("files").alias("path"), "sha", "ts"), ["repo", "path"], [F.col("ts").desc(), F.col("sha").desc()],
+    )
 
 
 def repository_statistics(commits: DataFrame, author: str = "author") -> DataFrame:
     kinds = commits.withColumn("kind", classify("subject"))
     files = commits.select("repo", F.explode_outer("files").alias("f")).groupBy("repo").agg(F.count_distinct("f").alias("n_files"))
-    return kinds.groupBy("repo").agg(F.count("*").alias("n_commits"), F.count_distinct(author).alias("n_contributors"), F.count_if(F.col("kind") == "decision").alias("n_decisions"), F.count_if(F.col("kind") == "correction").alias("n_corrections")).join(files, "repo")
+    return kinds.groupBy("repo").agg(
+        F.count("*").alias("n_commits"), F.count_distinct(author).alias("n_contributors"),
+        F.count_if(F.col("kind") == "decision").alias("n_decisions"), F.count_if(F.col("kind") == "correction").alias("n_corrections"),
+    ).join(files, "repo")
 
 
 def repository_graph(commits: DataFrame, most: int = 14) -> tuple[DataFrame, DataFrame]:
@@ -102,9 +120,15 @@ def repository_graph(commits: DataFrame, most: int = 14) -> tuple[DataFrame, Dat
     root = F.concat(F.lit("repo-"), F.col("repo"))
     touched = pipeline_files(last_touch(commits), "path")
     file_id = F.concat_ws("-", F.lit("file"), "repo", "path")
-    node = lambda df, i, kind, title, parent: df.select(i.alias("id"), kind.alias("kind"), title.alias("title"), parent.alias("parent"))
+    node = lambda df, i, kind, title, parent: df.select(
+        i.alias("id"), kind.alias("kind"), title.alias("title"), parent.alias("parent"),
+    )
     nothing = F.lit(None).cast("string")
     nodes = node(commits.select("repo").distinct(), root, F.lit("repository"), F.col("repo"), nothing)
-    nodes = nodes.unionByName(node(found, F.col("id"), F.col("kind"), F.col("title"), root)).unionByName(node(touched, file_id, F.lit("pipeline"), F.col("path"), root))
-    contains = nodes.filter("parent IS NOT NULL").select(F.col("parent").alias("source"), F.col("id").alias("target"), F.lit("contains").alias("relation"))
+    nodes = nodes.unionByName(node(found, F.col("id"), F.col("kind"), F.col("title"), root)).unionByName(
+        node(touched, file_id, F.lit("pipeline"), F.col("path"), root)
+    )
+    contains = nodes.filter("parent IS NOT NULL").select(
+        F.col("parent").alias("source"), F.col("id").alias("target"), F.lit("contains").alias("relation"),
+    )
     return nodes, contains.unionByName(episode_edges(found).select("source", "target", "relation"))

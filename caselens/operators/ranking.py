@@ -89,7 +89,9 @@ def quantile_nearest(df: DataFrame, value: str, case: str, at=(0.25, 0.5, 0.75,
     n = counts.agg(F.sum("__k")).first()[0] or 0
     ranges = numbered(counts, [F.col(value)], "__i").withColumn("__part", F.floor(F.col("__i") / 4096))
     sums = ranges.groupBy("__part").agg(F.sum("__k").alias("__s"))
-    before = F.coalesce(F.sum("__s").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # over blocks of values
+    before = F.coalesce(
+        F.sum("__s").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0),
+    )  # over blocks of values
     inside = F.coalesce(F.sum("__k").over(Window.partitionBy("__part").orderBy("__i").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     ranked = ranges.withColumn("__in", inside).join(F.broadcast(sums.select("__part", before.alias("__before"))), "__part")
     pct = ranked.withColumn("pct", (F.col("__before") + F.col("__in") + (F.col("__k") + 1) / 2.0) / n)
@@ -117,7 +119,9 @@ def hash_order(seed: int | str, key: str) -> Column:
 
 
 def stratified_sample(df: DataFrame, strata: list[str], key: str, k: int, seed: int | str = 0) -> DataFrame:
-    return df.withColumn("__n", F.row_number().over(Window.partitionBy(*strata).orderBy(hash_order(seed, key), key))).filter(F.col("__n") <= k).drop("__n")
+    return df.withColumn(
+        "__n", F.row_number().over(Window.partitionBy(*strata).orderBy(hash_order(seed, key), key)),
+    ).filter(F.col("__n") <= k).drop("__n")
 
 
 def round_robin(df: DataFrame, strata: list[str], key: str, folds: int, seed: int | str = 0) -> DataFrame:
@@ -142,4 +146,6 @@ def centers(voxels: DataFrame, case: str) -> DataFrame:
 
 def chain(df: DataFrame, keys: list[str], order: list[Column], node: str) -> DataFrame:
     """(source, target) of nodes that follow each other."""
-    return df.withColumn("target", F.lead(node).over(Window.partitionBy(*keys).orderBy(*order))).filter("target IS NOT NULL").select(*keys, F.col(node).alias("source"), "target")
+    return df.withColumn(
+        "target", F.lead(node).over(Window.partitionBy(*keys).orderBy(*order)),
+    ).filter("target IS NOT NULL").select(*keys, F.col(node).alias("source"), "target")

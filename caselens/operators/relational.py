@@ -26,7 +26,9 @@ def missing(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
 
 def reconcile(expected: DataFrame, actual: DataFrame, on: list[str]) -> DataFrame:
     """(on, status): keys that are missing or unexpected."""
-    return missing(expected, actual, on).withColumn("status", F.lit("missing")).unionByName(missing(actual, expected, on).withColumn("status", F.lit("unexpected")))
+    return missing(expected, actual, on).withColumn("status", F.lit("missing")).unionByName(
+        missing(actual, expected, on).withColumn("status", F.lit("unexpected"))
+    )
 
 
 def require_empty(df: DataFrame, message: str) -> None:
@@ -49,12 +51,16 @@ def common_subjects(df: DataFrame, subject: str, config: str) -> DataFrame:
 def paired(df: DataFrame, subject: str, arm: str, value: str, a: str, b: str) -> DataFrame:
     """(subject, a, b): both arms' mean value in one aggregation, for subjects that have both."""
     side = lambda name: F.avg(F.when(F.col(arm) == name, F.col(value)))
-    return df.filter(F.col(arm).isin(a, b)).groupBy(subject).agg(side(a).alias("a"), side(b).alias("b")).filter("a IS NOT NULL AND b IS NOT NULL")
+    return df.filter(F.col(arm).isin(a, b)).groupBy(subject).agg(
+        side(a).alias("a"), side(b).alias("b"),
+    ).filter("a IS NOT NULL AND b IS NOT NULL")
 
 
 def pairs(names: DataFrame, name: str) -> DataFrame:
     """Unordered pairs of a small dimension."""
-    return names.select(F.col(name).alias("first")).join(F.broadcast(names.select(F.col(name).alias("second"))), F.col("first") < F.col("second"))
+    return names.select(F.col(name).alias("first")).join(
+        F.broadcast(names.select(F.col(name).alias("second"))), F.col("first") < F.col("second"),
+    )
 
 
 def any_key_matches(left: DataFrame, right: DataFrame, keys: list[str], id_left: str, id_right: str) -> DataFrame:
@@ -91,7 +97,9 @@ def split_violations(splits: DataFrame, cases: DataFrame, case: str, center: str
 
     Kinds: duplicate, unknown, overlap, incomplete, empty, center leak, coverage.
     """
-    row = lambda df, kind, fold, item: df.select(F.lit(kind).alias("kind"), fold.cast("int").alias("fold"), item.cast("string").alias("item"))
+    row = lambda df, kind, fold, item: df.select(
+        F.lit(kind).alias("kind"), fold.cast("int").alias("fold"), item.cast("string").alias("item"),
+    )
     fold, item = F.col("fold"), F.col(case)
     val, train = splits.filter("subset = 'val'"), splits.filter("subset = 'train'")
     labelled = splits.join(cases.select(case, center), case)
@@ -101,7 +109,9 @@ def split_violations(splits: DataFrame, cases: DataFrame, case: str, center: str
     every = folds.agg(F.array_sort(F.collect_set("fold")).alias("__every"))  # one row
     held = splits.groupBy(case).agg(F.collect_set("fold").alias("__held"))
     lacking = cases.select(case).distinct().join(held, case, "left").crossJoin(F.broadcast(every))
-    lacking = lacking.select(F.explode(F.array_except("__every", F.coalesce("__held", F.array_except("__every", "__every")))).alias("fold"), case)
+    lacking = lacking.select(
+        F.explode(F.array_except("__every", F.coalesce("__held", F.array_except("__every", "__every")))).alias("fold"), case,
+    )
     return reduce(
         DataFrame.unionByName,
         [
@@ -152,15 +162,24 @@ def certificate(df: DataFrame, keys: list[str], row: list[str], size: str | None
     not on their order, and no task gathers a collection: with more rows take more digits.
     """
     text = F.concat_ws(",", *(F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in row))
-    hashed = df.select(*keys, F.sha2(text, 256).alias("__h"), (F.col(size) if size else F.lit(0)).alias("__size")).withColumn("__leaf", F.substring("__h", 1, digits))
-    leaves = hashed.groupBy(*keys, "__leaf").agg(F.count("*").alias("n"), F.sum("__size").alias("bytes"), F.sha2(F.array_join(F.array_sort(F.collect_list("__h")), ""), 256).alias("__of"))
+    hashed = df.select(
+        *keys, F.sha2(text, 256).alias("__h"), (F.col(size) if size else F.lit(0)).alias("__size"),
+    ).withColumn("__leaf", F.substring("__h", 1, digits))
+    leaves = hashed.groupBy(*keys, "__leaf").agg(
+        F.count("*").alias("n"), F.sum("__size").alias("bytes"),
+        F.sha2(F.array_join(F.array_sort(F.collect_list("__h")), ""), 256).alias("__of"),
+    )
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("__leaf", "__of"))), lambda x: x["__of"])
-    return leaves.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("bytes").cast("bigint").alias("bytes"), F.sha2(F.array_join(ordered, ""), 256).alias("content_sha256"))
+    return leaves.groupBy(*keys).agg(
+        F.sum("n").alias("n"), F.sum("bytes").cast("bigint").alias("bytes"), F.sha2(F.array_join(ordered, ""), 256).alias("content_sha256"),
+    )
 
 
 def reconcile_values(expected: DataFrame, actual: DataFrame, on: list[str], columns: list[str]) -> DataFrame:
     """(on, field, expected, actual) for every value that differs; rows that one side lacks have a NULL there. Values are compared as text."""
-    named = lambda df, side: df.select(*on, F.explode(F.array(*(F.struct(F.lit(c).alias("field"), F.col(c).cast("string").alias(side)) for c in columns))).alias("__v")).select(*on, "__v.*")
+    named = lambda df, side: df.select(
+        *on, F.explode(F.array(*(F.struct(F.lit(c).alias("field"), F.col(c).cast("string").alias(side)) for c in columns))).alias("__v"),
+    ).select(*on, "__v.*")
     both = named(expected, "expected").join(named(actual, "actual"), [*on, "field"], "full")
     return both.filter(~F.col("expected").eqNullSafe(F.col("actual"))).select(*on, "field", "expected", "actual")
 
@@ -175,7 +194,9 @@ def lineage_faults(recorded: DataFrame, actual: DataFrame, lists: dict[str, tupl
     out = values.select(F.lit("value").alias("kind"), F.col("key").cast("string").alias("item"), shown.alias("detail"))
     for name, (expected, found) in lists.items():
         sets = reconcile(expected, found, [item])
-        out = out.unionByName(sets.select(F.lit(name).alias("kind"), F.col(item).cast("string").alias("item"), F.col("status").alias("detail")))
+        out = out.unionByName(
+            sets.select(F.lit(name).alias("kind"), F.col(item).cast("string").alias("item"), F.col("status").alias("detail"))
+        )
     return out
 
 

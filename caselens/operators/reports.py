@@ -21,7 +21,10 @@ def to_long(df: DataFrame, ids: list[str], metrics: Sequence[str]) -> DataFrame:
 def six(value: str) -> list[Column]:
     """n_valid, mean, median (exact), population deviation, min and max, for groups whose distinct values fit a task; see quantiles()."""
     v = F.col(value)
-    return [F.count(v).alias("n_valid"), F.avg(v).alias("mean"), F.percentile(v, 0.5).alias("median"), F.stddev_pop(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max")]
+    return [
+        F.count(v).alias("n_valid"), F.avg(v).alias("mean"), F.percentile(v, 0.5).alias("median"), F.stddev_pop(v).alias("std"),
+        F.min(v).alias("min"), F.max(v).alias("max"),
+    ]
 
 
 def quantiles(df: DataFrame, keys: list[str], value: str, at: Sequence[float], names: Sequence[str]) -> DataFrame:
@@ -33,7 +36,9 @@ def quantiles(df: DataFrame, keys: list[str], value: str, at: Sequence[float], n
     group = [F.coalesce(F.col(k).cast("string"), F.lit("\0")).alias(f"__k{i}") for i, k in enumerate(keys)]
     g = [f"__k{i}" for i in range(len(keys))]
     first = [F.first(k, ignorenulls=True).alias(k) for k in keys]
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*group, F.col(value).cast("double").alias("__v")).agg(F.count("*").alias("__k"), *first)
+    counts = df.filter(F.col(value).isNotNull()).groupBy(
+        *group, F.col(value).cast("double").alias("__v"),
+    ).agg(F.count("*").alias("__k"), *first)
     parts = stash(counts.repartitionByRange(*g, "__v").withColumn("__part", F.spark_partition_id()))
     every = Window.partitionBy(*g)
     sums = parts.groupBy(*g, "__part").agg(F.sum("__k").alias("__s"))
@@ -48,7 +53,13 @@ def quantiles(df: DataFrame, keys: list[str], value: str, at: Sequence[float], n
             picked.append(F.max(F.when((F.col("__upto") - F.col("__k") <= r) & (r < F.col("__upto")), F.col("__v"))).alias(f"__{side}{i}"))
     found = ranked.groupBy(*g).agg(F.max("__n").alias("__n"), *(F.first(k, ignorenulls=True).alias(k) for k in keys), *picked)
     rest = lambda q: F.lit(float(q)) * (F.col("__n") - 1) - F.floor(F.lit(float(q)) * (F.col("__n") - 1))
-    return found.select(*keys, *((F.col(f"__lo{i}") + (F.col(f"__hi{i}") - F.col(f"__lo{i}")) * rest(q)).alias(name) for i, (q, name) in enumerate(zip(at, names))))
+    return found.select(
+        *keys,
+        *(
+            (F.col(f"__lo{i}") + (F.col(f"__hi{i}") - F.col(f"__lo{i}")) * rest(q)).alias(name) for i,
+            (q, name) in enumerate(zip(at, names))
+        ),
+    )
 
 
 def joined_groups(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
@@ -64,7 +75,9 @@ def summarise(df: DataFrame, ids: list[str], metrics: Sequence[str]) -> DataFram
     """One row for each (ids, metric)."""
     long, keys = to_long(df, ids, metrics), [*ids, "metric"]
     v = F.col("value")
-    plain = long.groupBy(*keys).agg(F.count(v).alias("n_valid"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"))
+    plain = long.groupBy(*keys).agg(
+        F.count(v).alias("n_valid"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"),
+    )
     both = joined_groups(plain, quantiles(long, keys, "value", (0.5,), ("median",)), keys)
     return both.select(*keys, "n_valid", "mean", "median", "std", "min", "max")
 
@@ -94,14 +107,19 @@ def profile(df: DataFrame, keys: list[str], value: str, at=(0.01, 0.05, 0.25, 0.
     """count, min, exact percentiles, max, mean and sample deviation."""
     rows, names = df.withColumn(value, finite(value)), [f"p{round(q * 100):02d}" for q in at]
     v = F.col(value)
-    plain = rows.groupBy(*keys).agg(F.count(v).alias("n"), F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"))
+    plain = rows.groupBy(*keys).agg(
+        F.count(v).alias("n"), F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"),
+    )
     return joined_groups(plain, quantiles(rows, keys, value, at, names), keys).select(*keys, "n", "min", *names, "max", "mean", "std")
 
 
 def rollup(df: DataFrame, keys: list[str], value: str, empty: Column, flag: Column, least: int = 1) -> DataFrame:
     """n, median, p95, empties and the share of a flag for each group of at least ``least`` rows; largest first."""
     v = F.col(value)
-    out = df.groupBy(*keys).agg(F.count("*").alias("n"), F.percentile(v, 0.5).alias("median"), F.percentile(v, 0.95).alias("p95"), F.count_if(empty).alias("n_empty"), F.avg(flag.cast("double")).alias("share"))
+    out = df.groupBy(*keys).agg(
+        F.count("*").alias("n"), F.percentile(v, 0.5).alias("median"), F.percentile(v, 0.95).alias("p95"),
+        F.count_if(empty).alias("n_empty"), F.avg(flag.cast("double")).alias("share"),
+    )
     return out.filter(F.col("n") >= least).orderBy(F.col("n").desc(), *keys)
 
 
@@ -119,13 +137,18 @@ def flags(df: DataFrame, conditions: dict[str, Column]) -> DataFrame:
 def pooled_and_macro(df: DataFrame, group: str, value: str) -> DataFrame:
     """The mean over rows, the mean of group means, and the number of each."""
     inner = df.groupBy(group).agg(F.avg(value).alias("m"), F.sum(value).alias("s"), F.count(value).alias("n"))
-    return inner.agg(ratio(F.sum("s"), F.sum("n")).alias("pooled"), F.avg("m").alias("macro"), F.sum("n").alias("n_rows"), F.count("*").alias("n_groups"))
+    return inner.agg(
+        ratio(F.sum("s"), F.sum("n")).alias("pooled"), F.avg("m").alias("macro"), F.sum("n").alias("n_rows"), F.count("*").alias("n_groups"),
+    )
 
 
 def distribution(df: DataFrame, group: str, value: Column, groups: int) -> DataFrame:
     """How evenly a total is spread over groups: target, min, max, range and coefficient of variation."""
     loads = df.groupBy(group).agg(F.sum(value).cast("double").alias("load"))
-    return loads.agg((F.sum("load") / groups).alias("target"), F.min("load").alias("min"), F.max("load").alias("max"), (F.max("load") - F.min("load")).alias("range"), ratio(F.stddev_pop("load"), F.avg("load")).alias("cv"))
+    return loads.agg(
+        (F.sum("load") / groups).alias("target"), F.min("load").alias("min"), F.max("load").alias("max"),
+        (F.max("load") - F.min("load")).alias("range"), ratio(F.stddev_pop("load"), F.avg("load")).alias("cv"),
+    )
 
 
 def leaderboard(summary: DataFrame, method: str, metrics: Sequence[str], by: str, largest_first: bool = True) -> DataFrame:
@@ -143,7 +166,11 @@ def label_set(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 def contrast(df: DataFrame, inside: str, around: str, spread: str) -> DataFrame:
     """Contrast-to-noise statistics over cases: mean and median of the absolute value, and shares by sign."""
     cnr = df.withColumn("cnr", ratio(F.col(inside) - F.col(around), spread))
-    return cnr.agg(F.count("cnr").alias("n"), F.avg(F.abs("cnr")).alias("mean_abs"), F.percentile(F.abs("cnr"), 0.5).alias("median_abs"), F.avg((F.abs("cnr") < 0.5).cast("double")).alias("invisible"), F.avg((F.col("cnr") > 0.5).cast("double")).alias("bright"), F.avg((F.col("cnr") < -0.5).cast("double")).alias("dark"))
+    return cnr.agg(
+        F.count("cnr").alias("n"), F.avg(F.abs("cnr")).alias("mean_abs"), F.percentile(F.abs("cnr"), 0.5).alias("median_abs"),
+        F.avg((F.abs("cnr") < 0.5).cast("double")).alias("invisible"), F.avg((F.col("cnr") > 0.5).cast("double")).alias("bright"),
+        F.avg((F.col("cnr") < -0.5).cast("double")).alias("dark"),
+    )
 
 
 def worst_first(df: DataFrame, metric: str, case: str) -> DataFrame:
@@ -158,18 +185,27 @@ def markdown_table(df: DataFrame, columns: Sequence[str]) -> list[str]:
 
 def config_extras(df: DataFrame, config: str, flat: str, predicted_empty: Column, truth_empty: Column, constants: list[str]) -> DataFrame:
     """For each configuration: rows, mean of the flattened score, empty predictions and truths, and columns that are constant within it."""
-    return df.groupBy(config).agg(F.count("*").alias("n"), F.avg(flat).alias("mean_flat"), F.count_if(predicted_empty).alias("n_pred_empty"), F.count_if(truth_empty).alias("n_gt_empty"), *(F.min(c).alias(c) for c in constants))
+    return df.groupBy(config).agg(
+        F.count("*").alias("n"), F.avg(flat).alias("mean_flat"), F.count_if(predicted_empty).alias("n_pred_empty"),
+        F.count_if(truth_empty).alias("n_gt_empty"), *(F.min(c).alias(c) for c in constants),
+    )
 
 
 def volume_summary(df: DataFrame, keys: list[str], volume: str) -> DataFrame:
     """n_known, n_missing, sum, mean, median and sum of log1p."""
     v = finite(volume)
-    return df.groupBy(*keys).agg(F.count(v).alias("n_known"), F.count_if(v.isNull()).alias("n_missing"), F.sum(v).alias("sum"), F.avg(v).alias("mean"), F.percentile(v, 0.5).alias("median"), F.sum(F.log1p(v)).alias("sum_log1p"))
+    return df.groupBy(*keys).agg(
+        F.count(v).alias("n_known"), F.count_if(v.isNull()).alias("n_missing"), F.sum(v).alias("sum"), F.avg(v).alias("mean"),
+        F.percentile(v, 0.5).alias("median"), F.sum(F.log1p(v)).alias("sum_log1p"),
+    )
 
 
 def group_report(df: DataFrame, group: str, metrics: Sequence[str]) -> DataFrame:
     """n of each group, and n, mean, median, min and max of each metric; the largest groups first, ties by name."""
-    each = [f(finite(m)).alias(f"{m}_{name}") for m in metrics for name, f in (("n", F.count), ("mean", F.avg), ("median", lambda c: F.percentile(c, 0.5)), ("min", F.min), ("max", F.max))]
+    each = [
+        f(finite(m)).alias(f"{m}_{name}") for m in metrics for name,
+        f in (("n", F.count), ("mean", F.avg), ("median", lambda c: F.percentile(c, 0.5)), ("min", F.min), ("max", F.max))
+    ]
     return df.groupBy(group).agg(F.count("*").alias("n"), *each).orderBy(F.col("n").desc(), group)
 
 
@@ -186,12 +222,27 @@ def sweep_summary(cases: DataFrame, threshold: str = "threshold") -> DataFrame:
     """
     means = [F.avg(finite(m)).alias(f"mean_{m}") for m in ("dice", "iou", "sensitivity", "precision")]
     sums = [F.sum(c).cast("bigint").alias(f"sum_{c}") for c in ("tp", "fp", "fn", "tn", "gt_count", "pred_count", "detected_gt", "tp_pred")]
-    volumes = [F.avg(F.abs(F.col("pred_ml") - F.col("gt_ml"))).alias("mean_abs_ml"), F.avg(F.abs(F.col("pred_count") - F.col("gt_count"))).alias("mean_abs_count")]
-    out = cases.groupBy(threshold).agg(F.count("*").alias("n_cases"), *means, F.percentile(finite("dice"), 0.5).alias("median_dice"), *sums, *volumes)
+    volumes = [
+        F.avg(F.abs(F.col("pred_ml") - F.col("gt_ml"))).alias("mean_abs_ml"),
+        F.avg(F.abs(F.col("pred_count") - F.col("gt_count"))).alias("mean_abs_count"),
+    ]
+    out = cases.groupBy(threshold).agg(
+        F.count("*").alias("n_cases"), *means, F.percentile(finite("dice"), 0.5).alias("median_dice"), *sums, *volumes,
+    )
     p, r = ratio("sum_tp_pred", "sum_pred_count"), ratio("sum_detected_gt", "sum_gt_count")
-    out = out.withColumns({"pooled_dice": ratio(2 * F.col("sum_tp"), 2 * F.col("sum_tp") + F.col("sum_fp") + F.col("sum_fn")), "lesion_precision": p, "lesion_recall": r})
+    out = out.withColumns(
+        {
+            "pooled_dice": ratio(2 * F.col("sum_tp"), 2 * F.col("sum_tp") + F.col("sum_fp") + F.col("sum_fn")), "lesion_precision": p,
+            "lesion_recall": r,
+        }
+    )
     f1 = ratio(2 * F.col("lesion_precision") * F.col("lesion_recall"), F.col("lesion_precision") + F.col("lesion_recall"), 0.0)
-    out = out.withColumns({"lesion_f1": f1, "fp_lesions": F.col("sum_pred_count") - F.col("sum_tp_pred"), "fn_lesions": F.col("sum_gt_count") - F.col("sum_detected_gt")})
+    out = out.withColumns(
+        {
+            "lesion_f1": f1, "fp_lesions": F.col("sum_pred_count") - F.col("sum_tp_pred"),
+            "fn_lesions": F.col("sum_gt_count") - F.col("sum_detected_gt"),
+        }
+    )
     return out.withColumn("harmonic", ratio(2 * F.col("mean_dice") * F.col("lesion_f1"), F.col("mean_dice") + F.col("lesion_f1"), 0.0))
 
 

@@ -15,11 +15,21 @@ from .relational import first_by_priority
 def paired_statistics(pairs: DataFrame, keys: list[str], case: str) -> DataFrame:
     """pairs: keys, case, a, b. Mean difference b - a with spread, t, better / worse / equal counts and the most influential case."""
     d = pairs.withColumn("d", F.col("b") - F.col("a"))
-    top = first_by_priority(d, keys, [F.abs("d").desc(), F.col(case)]).select(*keys, F.col(case).alias("most_influential"), F.col("d").alias("__top"))
-    out = d.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("d").alias("mean_diff"), F.stddev_samp("d").alias("sd"), F.sum("d").alias("__sum"), F.count_if(F.col("d") > 0).alias("better"), F.count_if(F.col("d") < 0).alias("worse"), F.count_if(F.col("d") == 0).alias("unchanged"))
+    top = first_by_priority(d, keys, [F.abs("d").desc(), F.col(case)]).select(
+        *keys, F.col(case).alias("most_influential"), F.col("d").alias("__top"),
+    )
+    out = d.groupBy(*keys).agg(
+        F.count("*").alias("n"), F.avg("d").alias("mean_diff"), F.stddev_samp("d").alias("sd"), F.sum("d").alias("__sum"),
+        F.count_if(F.col("d") > 0).alias("better"), F.count_if(F.col("d") < 0).alias("worse"),
+        F.count_if(F.col("d") == 0).alias("unchanged"),
+    )
     out = out.join(top, keys) if keys else out.crossJoin(top)  # one row each
     se = F.col("sd") / F.sqrt(F.col("n"))
-    return out.select(*keys, "n", "mean_diff", "sd", se.alias("se"), F.when(se == 0, 0.0).otherwise(F.col("mean_diff") / F.nullif(se, F.lit(0.0))).alias("t"), "better", "worse", "unchanged", "most_influential", ratio(F.col("__sum") - F.col("__top"), F.col("n") - 1).alias("mean_without"))
+    return out.select(
+        *keys, "n", "mean_diff", "sd", se.alias("se"),
+        F.when(se == 0, 0.0).otherwise(F.col("mean_diff") / F.nullif(se, F.lit(0.0))).alias("t"), "better", "worse", "unchanged",
+        "most_influential", ratio(F.col("__sum") - F.col("__top"), F.col("n") - 1).alias("mean_without"),
+    )
 
 
 def complementarity(df: DataFrame, case: str, model: str, value: str) -> DataFrame:
@@ -27,7 +37,11 @@ def complementarity(df: DataFrame, case: str, model: str, value: str) -> DataFra
     a = df.select(case, F.col(model).alias("first"), F.col(value).alias("x"))
     b = df.select(case, F.col(model).alias("second"), F.col(value).alias("y"))
     joined = a.join(b, case).filter("first < second")
-    stats = joined.groupBy("first", "second").agg(F.avg((F.col("x") > F.col("y")).cast("double")).alias("p_first_better"), F.avg(F.abs(F.col("x") - F.col("y"))).alias("mean_abs_diff"), F.corr("x", "y").alias("__r"), F.stddev_pop("x").alias("__sx"), F.stddev_pop("y").alias("__sy"), F.count("*").alias("n"))
+    stats = joined.groupBy("first", "second").agg(
+        F.avg((F.col("x") > F.col("y")).cast("double")).alias("p_first_better"),
+        F.avg(F.abs(F.col("x") - F.col("y"))).alias("mean_abs_diff"), F.corr("x", "y").alias("__r"), F.stddev_pop("x").alias("__sx"),
+        F.stddev_pop("y").alias("__sy"), F.count("*").alias("n"),
+    )
     good = (F.col("n") >= 2) & (F.col("__sx") > 0) & (F.col("__sy") > 0)
     return stats.select("first", "second", "p_first_better", "mean_abs_diff", F.when(good, F.col("__r")).alias("r"), "n")
 
@@ -35,7 +49,9 @@ def complementarity(df: DataFrame, case: str, model: str, value: str) -> DataFra
 def oracle(df: DataFrame, case: str, model: str, value: str) -> DataFrame:
     """Mean of the best model of each case, the best single model's mean, and the gap."""
     best = df.groupBy(case).agg(F.max(value).alias("m")).agg(F.avg("m").alias("oracle"))
-    single = df.groupBy(model).agg(F.avg(value).alias("m")).orderBy(F.col("m").desc(), model).limit(1).select(F.col(model).alias("best_single"), F.col("m").alias("best_mean"))
+    single = df.groupBy(model).agg(F.avg(value).alias("m")).orderBy(F.col("m").desc(), model).limit(1).select(
+        F.col(model).alias("best_single"), F.col("m").alias("best_mean"),
+    )
     return best.crossJoin(single).withColumn("headroom", F.col("oracle") - F.col("best_mean"))  # one row each
 
 
@@ -44,7 +60,9 @@ def policy(scores: DataFrame, chosen: DataFrame, case: str, config: str, value:
     own = scores.join(chosen.select(case, config), [case, config]).agg(F.avg(value).alias("policy"))
     fixed = scores.filter(F.col(config) == default).agg(F.avg(value).alias("fixed"))
     top = scores.groupBy(case).agg(F.max(value).alias("m")).agg(F.avg("m").alias("oracle"))
-    return own.crossJoin(fixed).crossJoin(top).withColumn("headroom_taken", ratio(F.col("policy") - F.col("fixed"), F.col("oracle") - F.col("fixed")))  # one row each
+    return own.crossJoin(fixed).crossJoin(top).withColumn(
+        "headroom_taken", ratio(F.col("policy") - F.col("fixed"), F.col("oracle") - F.col("fixed")),
+    )  # one row each
 
 
 def leave_one_out(cells: DataFrame, case: str, cell: str, value: str) -> DataFrame:
@@ -62,7 +80,9 @@ def nested(df: DataFrame, fold: str, config: str, value: str) -> DataFrame:
     """For each fold, the configuration with the best mean outside it, and that one's mean inside."""
     by_fold = df.groupBy(fold, config).agg(F.sum(value).alias("s"), F.count(value).alias("n"))
     every = Window.partitionBy(config)
-    table = by_fold.withColumns({"outside": ratio(F.sum("s").over(every) - F.col("s"), F.sum("n").over(every) - F.col("n")), "inside": ratio("s", "n")})
+    table = by_fold.withColumns(
+        {"outside": ratio(F.sum("s").over(every) - F.col("s"), F.sum("n").over(every) - F.col("n")), "inside": ratio("s", "n")}
+    )
     return first_by_priority(table, [fold], [F.col("outside").desc_nulls_last(), F.col(config)]).select(fold, config, "outside", "inside")
 
 
@@ -95,7 +115,10 @@ def bootstrap(pairs: DataFrame, case: str, n_boot: int = 2000, seed: int = 0) ->
     """pairs: case, a, b. Effect mean(b) - mean(a), its bootstrap error and 95% interval."""
     drawn = poisson_draws(pairs.select(case, (F.col("b") - F.col("a")).alias("d")), case, n_boot, seed)
     means = drawn.groupBy("boot").agg(ratio(F.sum(F.col("d") * F.col("weight")), F.sum("weight")).alias("m"))
-    spread = means.agg(F.stddev_samp("m").alias("se"), F.percentile("m", 0.025).alias("ci_lo"), F.percentile("m", 0.975).alias("ci_hi"), F.count("*").alias("n_boot"))
+    spread = means.agg(
+        F.stddev_samp("m").alias("se"), F.percentile("m", 0.025).alias("ci_lo"), F.percentile("m", 0.975).alias("ci_hi"),
+        F.count("*").alias("n_boot"),
+    )
     effect = pairs.agg((F.avg("b") - F.avg("a")).alias("effect"), F.count("*").alias("n_cases"))
     return effect.crossJoin(spread)  # one row each
 
@@ -123,13 +146,17 @@ def promotion(rq_gain: Column, avd_change: Column, dice_change: Column) -> Colum
 
 def on_edge(df: DataFrame, threshold: str, chosen: Column) -> DataFrame:
     """Whether the chosen threshold lies on the edge of the grid (of more than one)."""
-    return df.agg(F.min(threshold).alias("lo"), F.max(threshold).alias("hi")).select(((F.col("lo") < F.col("hi")) & ((F.abs(chosen - F.col("lo")) <= 1e-9) | (F.abs(chosen - F.col("hi")) <= 1e-9))).alias("on_edge"))
+    return df.agg(F.min(threshold).alias("lo"), F.max(threshold).alias("hi")).select(
+        ((F.col("lo") < F.col("hi")) & ((F.abs(chosen - F.col("lo")) <= 1e-9) | (F.abs(chosen - F.col("hi")) <= 1e-9))).alias("on_edge")
+    )
 
 
 def reproduces(a: DataFrame, b: DataFrame, on: list[str], value: str, tolerance: float = 1e-6) -> DataFrame:
     """Rows whose value differs between two summaries, or that only one has."""
     right = b.select(*on, F.col(value).alias("__b"))
-    return a.select(*on, value).join(right, on, "full").filter(F.col(value).isNull() | F.col("__b").isNull() | (F.abs(F.col(value) - F.col("__b")) > tolerance))
+    return a.select(*on, value).join(right, on, "full").filter(
+        F.col(value).isNull() | F.col("__b").isNull() | (F.abs(F.col(value) - F.col("__b")) > tolerance)
+    )
 
 
 def size_rule(df: DataFrame, size: str, cut: float, below: int, above: int) -> DataFrame:
@@ -143,7 +170,12 @@ def fit_log_volume(train: DataFrame, features: list[str], volume: str):
     from pyspark.ml.feature import SQLTransformer, VectorAssembler
     from pyspark.ml.regression import GBTRegressor
 
-    stages = [SQLTransformer(statement=f"SELECT *, log1p({volume}) AS __y FROM __THIS__"), VectorAssembler(inputCols=features, outputCol="__x", handleInvalid="keep"), GBTRegressor(featuresCol="__x", labelCol="__y", predictionCol="__p", maxIter=20, maxDepth=3, seed=1), SQLTransformer(statement="SELECT *, expm1(__p) AS predicted_volume FROM __THIS__")]
+    stages = [
+        SQLTransformer(statement=f"SELECT *, log1p({volume}) AS __y FROM __THIS__"),
+        VectorAssembler(inputCols=features, outputCol="__x", handleInvalid="keep"),
+        GBTRegressor(featuresCol="__x", labelCol="__y", predictionCol="__p", maxIter=20, maxDepth=3, seed=1),
+        SQLTransformer(statement="SELECT *, expm1(__p) AS predicted_volume FROM __THIS__"),
+    ]
     return Pipeline(stages=stages).fit(train)
 
 
@@ -161,7 +193,11 @@ def fit_configuration(train: DataFrame, features: list[str], config: str):
     from pyspark.ml.feature import IndexToString, StringIndexer, VectorAssembler
 
     index = StringIndexer(inputCol=config, outputCol="__y", handleInvalid="keep").fit(train)
-    stages = [index, VectorAssembler(inputCols=features, outputCol="__x", handleInvalid="keep"), RandomForestClassifier(featuresCol="__x", labelCol="__y", predictionCol="__p", numTrees=30, maxDepth=5, seed=1), IndexToString(inputCol="__p", outputCol="predicted_config", labels=index.labels)]
+    stages = [
+        index, VectorAssembler(inputCols=features, outputCol="__x", handleInvalid="keep"),
+        RandomForestClassifier(featuresCol="__x", labelCol="__y", predictionCol="__p", numTrees=30, maxDepth=5, seed=1),
+        IndexToString(inputCol="__p", outputCol="predicted_config", labels=index.labels),
+    ]
     return Pipeline(stages=stages).fit(train)
 
 

@@ -18,7 +18,10 @@ def group_profiles(cases: DataFrame, group: str, strata: dict[str, Sequence[str]
     columns = [F.count("*").cast("double").alias("case_count")]
     columns += [F.count_if(F.col(s) == v).cast("double").alias(f"{s}={v}") for s, values in strata.items() for v in values]
     if volume:
-        columns += [F.count(volume).cast("double").alias("volume_known"), F.coalesce(F.sum(volume), F.lit(0.0)).alias("volume_sum"), F.coalesce(F.sum(F.log1p(volume)), F.lit(0.0)).alias("volume_log1p")]
+        columns += [
+            F.count(volume).cast("double").alias("volume_known"), F.coalesce(F.sum(volume), F.lit(0.0)).alias("volume_sum"),
+            F.coalesce(F.sum(F.log1p(volume)), F.lit(0.0)).alias("volume_log1p"),
+        ]
     return cases.groupBy(group).agg(*columns)
 
 
@@ -66,7 +69,9 @@ def _attempt(profiles: np.ndarray, weights: np.ndarray, folds: int, seed: int) -
     return imbalance(loads, weights), at
 
 
-def assign_folds(profiles: DataFrame, group: str, folds: int = 5, weights: dict[str, float] | None = None, restarts: int = 64, seed: int = 42) -> DataFrame:
+def assign_folds(
+    profiles: DataFrame, group: str, folds: int = 5, weights: dict[str, float] | None = None, restarts: int = 64, seed: int = 42,
+) -> DataFrame:
     """(group, fold): whole groups dealt so that all counts are even; restarts of the search run as Spark tasks.
 
     Deterministic: ties between restarts go to the smaller seed, and fold 0 holds the first group.
@@ -88,27 +93,35 @@ def assign_folds(profiles: DataFrame, group: str, folds: int = 5, weights: dict[
     best = tries.orderBy("cost", "seed").first()
     first: dict[int, int] = {}
     numbers = [first.setdefault(k, len(first)) for k in (best["at"] if best else [])]
-    return spark.createDataFrame([(g, n) for g, n in zip(rows[group].tolist(), numbers)], f"{group} {dict(profiles.dtypes)[group]}, fold int")
+    return spark.createDataFrame(
+        [(g, n) for g, n in zip(rows[group].tolist(), numbers)], f"{group} {dict(profiles.dtypes)[group]}, fold int",
+    )
 
 
 def splits(cases: DataFrame, assignment: DataFrame, case: str, group: str) -> DataFrame:
     """(fold, subset, case): every fold validates on its own groups and trains on all others."""
     placed = cases.select(case, group).join(F.broadcast(assignment.withColumnRenamed("fold", "own")), group)
     folds = assignment.select("fold").distinct()
-    return placed.crossJoin(F.broadcast(folds)).select("fold", F.when(F.col("own") == F.col("fold"), "val").otherwise("train").alias("subset"), case)
+    return placed.crossJoin(F.broadcast(folds)).select(
+        "fold", F.when(F.col("own") == F.col("fold"), "val").otherwise("train").alias("subset"), case,
+    )
 
 
 def leave_group_out(cases: DataFrame, case: str, group: str, least: int = 1) -> DataFrame:
     """One fold for each group of at least ``least`` cases, which validates on it."""
     groups = cases.groupBy(group).count().filter(F.col("count") >= least).select(F.col(group).alias("held"))
-    return cases.select(case, group).crossJoin(F.broadcast(groups)).select("held", F.when(F.col(group) == F.col("held"), "val").otherwise("train").alias("subset"), case)
+    return cases.select(case, group).crossJoin(F.broadcast(groups)).select(
+        "held", F.when(F.col(group) == F.col("held"), "val").otherwise("train").alias("subset"), case,
+    )
 
 
 def fold_summary(assigned: DataFrame, fold: str, measures: dict[str, Column]) -> DataFrame:
     """Loads of each fold and their deviation from the mean over folds."""
     loads = assigned.groupBy(fold).agg(*(m.cast("double").alias(n) for n, m in measures.items()))
     means = loads.agg(*(F.avg(n).alias(f"__{n}") for n in measures))
-    return loads.crossJoin(means).select(fold, *measures, *((F.col(n) - F.col(f"__{n}")).alias(f"{n}_deviation") for n in measures))  # one row of means
+    return loads.crossJoin(means).select(
+        fold, *measures, *((F.col(n) - F.col(f"__{n}")).alias(f"{n}_deviation") for n in measures),
+    )  # one row of means
 
 
 def objective(loads: DataFrame, fold: str, weights: dict[str, float]) -> DataFrame:

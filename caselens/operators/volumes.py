@@ -20,8 +20,13 @@ from .reports import joined_groups, quantiles
 XYZ = ["x", "y", "z"]
 
 # Tissue labels in order of their index, and their grouping into five classes.
-TISSUE_LABELS = (0, 2, 3, 4, 5, 7, 8, 10, 11, 12, 13, 14, 15, 16, 17, 18, 24, 26, 28, 41, 42, 43, 44, 46, 47, 49, 50, 51, 52, 53, 54, 58, 60)
-TISSUE_GROUPS = {1: (4, 5, 14, 15, 24, 43, 44), 2: (3, 10, 11, 12, 13, 17, 18, 26, 42, 49, 50, 51, 52, 53, 54, 58), 3: (2, 41), 4: (7, 8, 16, 28, 46, 47, 60)}
+TISSUE_LABELS = (
+    0, 2, 3, 4, 5, 7, 8, 10, 11, 12, 13, 14, 15, 16, 17, 18, 24, 26, 28, 41, 42, 43, 44, 46, 47, 49, 50, 51, 52, 53, 54, 58, 60,
+)
+TISSUE_GROUPS = {
+    1: (4, 5, 14, 15, 24, 43, 44), 2: (3, 10, 11, 12, 13, 17, 18, 26, 42, 49, 50, 51, 52, 53, 54, 58), 3: (2, 41),
+    4: (7, 8, 16, 28, 46, 47, 60),
+}
 
 
 def offsets(connectivity: int) -> list[tuple[int, int, int]]:
@@ -46,17 +51,30 @@ def label(voxels: DataFrame, connectivity: int = 26) -> DataFrame:
     """
     line = Window.partitionBy("case", "y", "z").orderBy("x")
     begin = F.when(F.col("x") - F.lag("x").over(line) == 1, None).otherwise(F.col("x"))
-    runs = stash(voxels.select("case", *XYZ).distinct().withColumn("x0", F.last(begin, ignorenulls=True).over(line)).groupBy("case", "y", "z", "x0").agg(F.max("x").alias("x1")))
+    runs = stash(
+        voxels.select("case", *XYZ).distinct().withColumn(
+            "x0", F.last(begin, ignorenulls=True).over(line),
+        ).groupBy("case", "y", "z", "x0").agg(F.max("x").alias("x1"))
+    )
     numbers = runs.select("case").distinct().withColumn("no", F.row_number().over(Window.orderBy("case")) - 1)  # over cases
-    packed = (F.col("no").cast("bigint") * (1 << 42)) + F.col("z").cast("bigint") * (1 << 28) + F.col("y").cast("bigint") * (1 << 14) + F.col("x0")
+    packed = (
+        F.col("no").cast("bigint") * (1 << 42)
+    ) + F.col("z").cast("bigint") * (1 << 28) + F.col("y").cast("bigint") * (1 << 14) + F.col("x0")
     fits = (F.least("x0", "y", "z") >= 0) & (F.greatest("x1", "y", "z") < 1 << 14) & (F.col("no") < 1 << 21)
-    packed = F.when(fits, packed).otherwise(F.raise_error(F.concat(F.lit("label: too large a place or too many cases, at case "), F.col("case").cast("string"))).cast("bigint"))
+    packed = F.when(fits, packed).otherwise(
+        F.raise_error(F.concat(F.lit("label: too large a place or too many cases, at case "), F.col("case").cast("string"))).cast("bigint")
+    )
     named = stash(runs.join(numbers, "case").withColumn("run", packed))
     steps = sorted({(o[1], o[2]) for o in offsets(connectivity) if (o[1], o[2]) > (0, 0)})
     reach = {s: 1 if any((dx, *s) in offsets(connectivity) for dx in (-1, 1)) else 0 for s in steps}
     table = F.array(*(F.struct(F.lit(dy).alias("dy"), F.lit(dz).alias("dz"), F.lit(r).alias("r")) for (dy, dz), r in reach.items()))
-    far = named.select("case", F.explode(table).alias("s"), "y", "z", "x0", "x1", "run").select("case", (F.col("y") + F.col("s.dy")).alias("y"), (F.col("z") + F.col("s.dz")).alias("z"), F.col("x0").alias("a0"), F.col("x1").alias("a1"), F.col("s.r").alias("r"), F.col("run").alias("a"))
-    touch = far.join(named.select("case", "y", "z", "x0", "x1", F.col("run").alias("b")), ["case", "y", "z"]).filter("a0 <= x1 + r AND x0 <= a1 + r")
+    far = named.select("case", F.explode(table).alias("s"), "y", "z", "x0", "x1", "run").select(
+        "case", (F.col("y") + F.col("s.dy")).alias("y"), (F.col("z") + F.col("s.dz")).alias("z"), F.col("x0").alias("a0"),
+        F.col("x1").alias("a1"), F.col("s.r").alias("r"), F.col("run").alias("a"),
+    )
+    touch = far.join(
+        named.select("case", "y", "z", "x0", "x1", F.col("run").alias("b")), ["case", "y", "z"],
+    ).filter("a0 <= x1 + r AND x0 <= a1 + r")
     roots = components(touch.select("a", "b")).toDF("run", "root")
     labelled = named.join(roots, "run", "left").withColumn("comp", F.coalesce("root", "run"))
     return labelled.select("case", F.explode(F.sequence("x0", "x1")).alias("x"), "y", "z", "comp")
@@ -104,7 +122,9 @@ def dilate(voxels: DataFrame, rounds: int = 1, connectivity: int = 26) -> DataFr
 def boundary_classes(classed: DataFrame, rounds: int = 1) -> DataFrame:
     """Boundary voxels of class s get 2s - 1, interior ones 2s; a component that erodes to nothing is all boundary."""
     inner = erode(classed, rounds).withColumn("__in", F.lit(1))
-    return classed.join(inner, ["case", *XYZ], "left").withColumn("class", 2 * F.col("class") - F.when(F.col("__in") == 1, 0).otherwise(1)).drop("__in")
+    return classed.join(inner, ["case", *XYZ], "left").withColumn(
+        "class", 2 * F.col("class") - F.when(F.col("__in") == 1, 0).otherwise(1),
+    ).drop("__in")
 
 
 def remap(labels: DataFrame, scheme: str = "all") -> DataFrame:
@@ -122,7 +142,9 @@ def remap(labels: DataFrame, scheme: str = "all") -> DataFrame:
 def fill_holes(voxels: DataFrame) -> DataFrame:
     """The mask with all background that the border of its box does not reach (by faces)."""
     box = voxels.groupBy("case").agg(*(f(a).alias(f"{n}{a}") for a in XYZ for n, f in (("lo", F.min), ("hi", F.max))))
-    cells = box.withColumn("x", F.explode(F.sequence(F.col("lox") - 1, F.col("hix") + 1))).withColumn("y", F.explode(F.sequence(F.col("loy") - 1, F.col("hiy") + 1))).withColumn("z", F.explode(F.sequence(F.col("loz") - 1, F.col("hiz") + 1)))
+    cells = box.withColumn(
+        "x", F.explode(F.sequence(F.col("lox") - 1, F.col("hix") + 1)),
+    ).withColumn("y", F.explode(F.sequence(F.col("loy") - 1, F.col("hiy") + 1))).withColumn("z", F.explode(F.sequence(F.col("loz") - 1, F.col("hiz") + 1)))
     empty = stash(cells.select("case", *((F.col(a) - F.col(f"lo{a}") + 1).cast("int").alias(a) for a in XYZ), *(F.col(f"lo{a}") for a in XYZ)).join(voxels.join(box, "case").select("case", *((F.col(a) - F.col(f"lo{a}") + 1).cast("int").alias(a) for a in XYZ)), ["case", *XYZ], "left_anti"))
     marked = label(empty, 6)
     outer = marked.filter("x = 0 AND y = 0 AND z = 0").select("case", "comp")
@@ -133,7 +155,9 @@ def fill_holes(voxels: DataFrame) -> DataFrame:
 def largest_component(voxels: DataFrame, connectivity: int = 26) -> DataFrame:
     """The largest component of each case; of ties, the one with the least voxel."""
     marked = stash(label(voxels, connectivity))
-    best = component_sizes(marked).withColumn("__n", F.row_number().over(Window.partitionBy("case").orderBy(F.col("n_voxels").desc(), "comp"))).filter("__n = 1").select("case", "comp")
+    best = component_sizes(marked).withColumn(
+        "__n", F.row_number().over(Window.partitionBy("case").orderBy(F.col("n_voxels").desc(), "comp")),
+    ).filter("__n = 1").select("case", "comp")
     return marked.join(best, ["case", "comp"], "left_semi").select("case", *XYZ)
 
 
@@ -147,19 +171,27 @@ def ring(lesion: DataFrame, tissue: DataFrame, rounds: int = 3) -> DataFrame:
 
 def overlaps(truth: DataFrame, predicted: DataFrame) -> DataFrame:
     """(case, gt, pred, shared, iou) of components that share voxels."""
-    pairs = truth.select("case", *XYZ, F.col("comp").alias("gt")).join(predicted.select("case", *XYZ, F.col("comp").alias("pred")), ["case", *XYZ]).groupBy("case", "gt", "pred").agg(F.count("*").alias("shared"))
+    pairs = truth.select("case", *XYZ, F.col("comp").alias("gt")).join(
+        predicted.select("case", *XYZ, F.col("comp").alias("pred")), ["case", *XYZ],
+    ).groupBy("case", "gt", "pred").agg(F.count("*").alias("shared"))
     a = component_sizes(truth).select("case", F.col("comp").alias("gt"), F.col("n_voxels").alias("n_gt"))
     b = component_sizes(predicted).select("case", F.col("comp").alias("pred"), F.col("n_voxels").alias("n_pred"))
-    return pairs.join(a, ["case", "gt"]).join(b, ["case", "pred"]).withColumn("iou", ratio("shared", F.col("n_gt") + F.col("n_pred") - F.col("shared")))
+    return pairs.join(a, ["case", "gt"]).join(b, ["case", "pred"]).withColumn(
+        "iou", ratio("shared", F.col("n_gt") + F.col("n_pred") - F.col("shared")),
+    )
 
 
 def lenient(truth: DataFrame, predicted: DataFrame, cases: DataFrame, least: int = 1) -> DataFrame:
     """Counts for detection(): any overlap of at least ``least`` voxels counts, many to many."""
     if least < 1:
         raise ValueError("least must be 1 or more")
-    hits = overlaps(truth, predicted).filter(F.col("shared") >= least).groupBy("case").agg(F.count_distinct("gt").alias("detected_gt"), F.count_distinct("pred").alias("tp_pred"))
+    hits = overlaps(truth, predicted).filter(F.col("shared") >= least).groupBy("case").agg(
+        F.count_distinct("gt").alias("detected_gt"), F.count_distinct("pred").alias("tp_pred"),
+    )
     count = lambda t, n: component_sizes(t).groupBy("case").agg(F.count("*").alias(n))
-    return cases.select("case").distinct().join(count(truth, "gt_count"), "case", "left").join(count(predicted, "pred_count"), "case", "left").join(hits, "case", "left").fillna(0)
+    return cases.select("case").distinct().join(count(truth, "gt_count"), "case", "left").join(
+        count(predicted, "pred_count"), "case", "left",
+    ).join(hits, "case", "left").fillna(0)
 
 
 def overlap_maxima(truth: DataFrame, predicted: DataFrame) -> DataFrame:
@@ -168,7 +200,9 @@ def overlap_maxima(truth: DataFrame, predicted: DataFrame) -> DataFrame:
     out = None
     for side, own, name in (("gt", truth, "gt"), ("pred", predicted, "pred")):
         best = met.groupBy("case", F.col(name).alias("comp")).agg(F.max("shared").alias("shared"))
-        one = component_sizes(own).join(best, ["case", "comp"], "left").select("case", F.lit(side).alias("side"), "comp", "n_voxels", F.coalesce("shared", F.lit(0)).alias("shared"))
+        one = component_sizes(own).join(best, ["case", "comp"], "left").select(
+            "case", F.lit(side).alias("side"), "comp", "n_voxels", F.coalesce("shared", F.lit(0)).alias("shared"),
+        )
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -176,7 +210,9 @@ def overlap_maxima(truth: DataFrame, predicted: DataFrame) -> DataFrame:
 def binned_recall(truth: DataFrame, predicted: DataFrame, cases: DataFrame, bins) -> DataFrame:
     """(case, size_bin, n_gt, n_detected, recall) of true components by size; every case has every bin."""
     sizes = overlap_maxima(truth, predicted).filter("side = 'gt'")
-    counts = sizes.groupBy("case", range_bin("n_voxels", bins).alias("size_bin")).agg(F.count("*").alias("n_gt"), F.count_if(F.col("shared") > 0).alias("n_detected"))
+    counts = sizes.groupBy("case", range_bin("n_voxels", bins).alias("size_bin")).agg(
+        F.count("*").alias("n_gt"), F.count_if(F.col("shared") > 0).alias("n_detected"),
+    )
     every = cases.select("case").distinct().select("case", F.explode(F.array(*(F.lit(b[0]) for b in bins))).alias("size_bin"))
     full = every.join(counts, ["case", "size_bin"], "left").fillna(0, ["n_gt", "n_detected"])
     return full.select("case", "size_bin", "n_gt", "n_detected", ratio("n_detected", "n_gt").alias("recall"))
@@ -188,9 +224,17 @@ def match_one_to_one(pairs: DataFrame, least: float = 0.25) -> DataFrame:
     found = left.limit(0)
     order = [F.col("iou").desc(), F.col("gt"), F.col("pred")]
     while not left.isEmpty():
-        best = stash(left.withColumn("a", F.row_number().over(Window.partitionBy("case", "gt").orderBy(*order))).withColumn("b", F.row_number().over(Window.partitionBy("case", "pred").orderBy(*order))).filter("a = 1 AND b = 1").select("case", "gt", "pred", "iou"))
+        best = stash(
+            left.withColumn("a", F.row_number().over(Window.partitionBy("case", "gt").orderBy(*order))).withColumn(
+                "b", F.row_number().over(Window.partitionBy("case", "pred").orderBy(*order)),
+            ).filter("a = 1 AND b = 1").select("case", "gt", "pred", "iou")
+        )
         found = found.unionByName(best)
-        left = stash(left.join(best.select("case", "gt"), ["case", "gt"], "left_anti").join(best.select("case", "pred"), ["case", "pred"], "left_anti"))
+        left = stash(
+            left.join(best.select("case", "gt"), ["case", "gt"], "left_anti").join(
+                best.select("case", "pred"), ["case", "pred"], "left_anti",
+            )
+        )
     return found
 
 
@@ -198,7 +242,9 @@ def recognition(cases: DataFrame, truth: DataFrame, predicted: DataFrame, least:
     """(case, tp, fp, fn, rq): TP / (TP + FP / 2 + FN / 2); 1 where both sides are empty."""
     tp = match_one_to_one(overlaps(truth, predicted), least).groupBy("case").agg(F.count("*").alias("tp"))
     count = lambda t, n: component_sizes(t).groupBy("case").agg(F.count("*").alias(n))
-    rows = cases.select("case").distinct().join(count(truth, "n_gt"), "case", "left").join(count(predicted, "n_pred"), "case", "left").join(tp, "case", "left").fillna(0)
+    rows = cases.select("case").distinct().join(count(truth, "n_gt"), "case", "left").join(
+        count(predicted, "n_pred"), "case", "left",
+    ).join(tp, "case", "left").fillna(0)
     rows = rows.select("case", "tp", (F.col("n_pred") - F.col("tp")).alias("fp"), (F.col("n_gt") - F.col("tp")).alias("fn"))
     return rows.withColumn("rq", ratio("tp", F.col("tp") + (F.col("fp") + F.col("fn")) / 2.0, 1.0))
 
@@ -218,16 +264,22 @@ def nearest_distance(points: DataFrame, targets: DataFrame, sizes: DataFrame, st
     cubes; a distance up to the cube's side is final, the others go on with
     cubes of twice the side. Cases without targets get NULL.
     """
-    place = lambda df: df.join(sizes.select("case", "vx", "vy", "vz"), "case").select("case", *XYZ, *((F.col(a) * F.col(f"v{a}")).alias(f"m{a}") for a in XYZ))
+    place = lambda df: df.join(sizes.select("case", "vx", "vy", "vz"), "case").select(
+        "case", *XYZ, *((F.col(a) * F.col(f"v{a}")).alias(f"m{a}") for a in XYZ),
+    )
     rest, goals = stash(place(points)), stash(place(targets))
     done = rest.limit(0).select("case", *XYZ, F.lit(0.0).alias("distance"))
     rest = stash(rest.join(goals.select("case").distinct(), "case", "left_semi"))
-    lost = points.select("case", *XYZ).join(goals.select("case").distinct(), "case", "left_anti").withColumn("distance", F.lit(None).cast("double"))
+    lost = points.select("case", *XYZ).join(
+        goals.select("case").distinct(), "case", "left_anti",
+    ).withColumn("distance", F.lit(None).cast("double"))
     side = start
     steps = F.array(*(F.struct(*(F.lit(d).alias(f"d{a}") for a, d in zip(XYZ, o))) for o in product((-1, 0, 1), repeat=3)))
     while not rest.isEmpty():
         cell = lambda df, s: df.withColumns({f"c{a}": F.floor(F.col(f"m{a}") / s).cast("bigint") for a in XYZ})
-        far = cell(goals, side).withColumn("s", F.explode(steps)).select("case", *((F.col(f"c{a}") + F.col(f"s.d{a}")).alias(f"c{a}") for a in XYZ), *(F.col(f"m{a}").alias(f"g{a}") for a in XYZ))
+        far = cell(goals, side).withColumn("s", F.explode(steps)).select(
+            "case", *((F.col(f"c{a}") + F.col(f"s.d{a}")).alias(f"c{a}") for a in XYZ), *(F.col(f"m{a}").alias(f"g{a}") for a in XYZ),
+        )
         near = cell(rest, side).join(far, ["case", "cx", "cy", "cz"])
         square = sum(((F.col(f"m{a}") - F.col(f"g{a}")) ** 2 for a in XYZ[1:]), (F.col("mx") - F.col("gx")) ** 2)
         least = stash(near.groupBy("case", *XYZ).agg(F.sqrt(F.min(square)).alias("distance")).filter(F.col("distance") <= side))
@@ -240,9 +292,14 @@ def nearest_distance(points: DataFrame, targets: DataFrame, sizes: DataFrame, st
 def boundary_metrics(truth: DataFrame, predicted: DataFrame, sizes: DataFrame, tolerance: float = 3.0) -> DataFrame:
     """hd95, assd, masd and surface dice of each case that has both masks."""
     a, b = stash(surface(truth)), stash(surface(predicted))
-    d = nearest_distance(a, b, sizes).withColumn("side", F.lit("gt")).unionByName(nearest_distance(b, a, sizes).withColumn("side", F.lit("pred"))).filter("distance IS NOT NULL")
+    d = nearest_distance(a, b, sizes).withColumn("side", F.lit("gt")).unionByName(
+        nearest_distance(b, a, sizes).withColumn("side", F.lit("pred"))
+    ).filter("distance IS NOT NULL")
     side = d.groupBy("case", "side").agg(F.avg("distance").alias("m")).groupBy("case").agg(F.avg("m").alias("masd"))
-    return d.groupBy("case").agg(F.percentile("distance", 0.95).alias("hd95"), F.avg("distance").alias("assd"), F.avg((F.col("distance") <= tolerance).cast("double")).alias("surface_dice")).join(side, "case").select("case", "hd95", "assd", "masd", "surface_dice")
+    return d.groupBy("case").agg(
+        F.percentile("distance", 0.95).alias("hd95"), F.avg("distance").alias("assd"),
+        F.avg((F.col("distance") <= tolerance).cast("double")).alias("surface_dice"),
+    ).join(side, "case").select("case", "hd95", "assd", "masd", "surface_dice")
 
 
 # --- grids and intensities --------------------------------------------------------------------
@@ -274,11 +331,18 @@ def best_permutation(masks: DataFrame, reference: DataFrame, most: float = 1e-3)
     perms = [(0, 1, 2), (0, 2, 1), (1, 0, 2), (1, 2, 0), (2, 0, 1), (2, 1, 0)]
     table = F.array(*(F.struct(F.lit("".join(map(str, p))).alias("axes"), *(F.col(XYZ[p[k]]).alias(a) for k, a in enumerate(XYZ))) for p in perms))
     turned = masks.select("case", F.explode(table).alias("t")).select("case", "t.axes", *(F.col(f"t.{a}").alias(a) for a in XYZ))
-    hits = turned.join(reference.select("case", *XYZ).withColumn("hit", F.lit(1)), ["case", *XYZ], "left").groupBy("case", "axes").agg(F.count("*").alias("n"), F.count("hit").alias("both"))
-    scored = hits.join(size, "case").withColumn("mismatch", ratio(F.col("n") + F.col("n_ref") - 2 * F.col("both"), F.col("n") + F.col("n_ref")))
+    hits = turned.join(
+        reference.select("case", *XYZ).withColumn("hit", F.lit(1)), ["case", *XYZ], "left",
+    ).groupBy("case", "axes").agg(F.count("*").alias("n"), F.count("hit").alias("both"))
+    scored = hits.join(size, "case").withColumn(
+        "mismatch", ratio(F.col("n") + F.col("n_ref") - 2 * F.col("both"), F.col("n") + F.col("n_ref")),
+    )
     order = Window.partitionBy("case").orderBy("mismatch", "axes")
     ranked = scored.withColumns({"__n": F.row_number().over(order), "next": F.lead("mismatch").over(order)}).filter("__n = 1")
-    return ranked.select("case", "axes", "mismatch", ((F.col("mismatch") <= most) & (F.col("next").isNull() | (F.col("next") > F.col("mismatch")))).alias("ok"))
+    return ranked.select(
+        "case", "axes", "mismatch",
+        ((F.col("mismatch") <= most) & (F.col("next").isNull() | (F.col("next") > F.col("mismatch")))).alias("ok"),
+    )
 
 
 def resolve_permutation(best: DataFrame) -> DataFrame:
@@ -309,7 +373,9 @@ def resample_linear(soft: DataFrame, grid: DataFrame) -> DataFrame:
         rest = F.col(f"s{a}") - F.floor(f"s{a}")
         weight = weight * F.when(F.col(f"o.d{a}") == 1, rest).otherwise(1 - rest)
     near = near.select("case", *(f"t{a}" for a in XYZ), *(place[a].alias(a) for a in XYZ), weight.alias("w")).filter("w > 0")
-    found = near.join(soft.select("case", *XYZ, "p"), ["case", *XYZ]).groupBy("case", *(f"t{a}" for a in XYZ)).agg(F.sum(F.col("w") * F.col("p")).alias("p"))
+    found = near.join(
+        soft.select("case", *XYZ, "p"), ["case", *XYZ],
+    ).groupBy("case", *(f"t{a}" for a in XYZ)).agg(F.sum(F.col("w") * F.col("p")).alias("p"))
     return found.filter("p <> 0").select("case", *(F.col(f"t{a}").alias(a) for a in XYZ), "p")
 
 
@@ -317,7 +383,9 @@ def require_grid(grid: DataFrame, reference: DataFrame, strict: bool = True) ->
     """(case, status) of shapes: on_grid or resampled. Strict: any case that is not on its reference's grid is an error."""
     shape = lambda df, name: df.select("case", F.array("nx", "ny", "nz").alias(name))
     both = shape(grid, "a").join(shape(reference, "b"), "case", "left")
-    out = both.select("case", F.when(F.col("b").isNull(), "refused").when(F.col("a") == F.col("b"), "on_grid").otherwise("resampled").alias("status"))
+    out = both.select(
+        "case", F.when(F.col("b").isNull(), "refused").when(F.col("a") == F.col("b"), "on_grid").otherwise("resampled").alias("status"),
+    )
     if strict:
         require_empty(out.filter("status <> 'on_grid'"), "off the reference's grid")
     return out
@@ -332,7 +400,10 @@ def resample_nearest(voxels: DataFrame, grid: DataFrame) -> DataFrame:
 def intensity_statistics(values: DataFrame, keys: list[str], value: str) -> DataFrame:
     """min, p01, p50, p99, max, mean, deviation and the share that is not 0; p50 and p99 of what is above 0. Percentiles are exact."""
     v = F.col(value)
-    plain = values.groupBy(*keys).agg(F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.avg((v != 0).cast("double")).alias("nonzero_frac"))
+    plain = values.groupBy(*keys).agg(
+        F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"),
+        F.avg((v != 0).cast("double")).alias("nonzero_frac"),
+    )
     every = quantiles(values, keys, value, (0.01, 0.5, 0.99), ("p01", "p50", "p99"))
     brain = quantiles(values.filter(v > 0), keys, value, (0.5, 0.99), ("brain_p50", "brain_p99"))
     both = joined_groups(joined_groups(plain, every, keys), brain, keys)
@@ -348,14 +419,20 @@ def clip_normalise(values: DataFrame, keys: list[str], value: str, low: float =
 
 def overlay(truth: DataFrame, predicted: DataFrame) -> DataFrame:
     """Every foreground voxel as TP, FP or FN."""
-    return truth.select("case", *XYZ, F.lit(1).alias("g")).join(predicted.select("case", *XYZ, F.lit(1).alias("p")), ["case", *XYZ], "full").select("case", *XYZ, F.when(F.col("g").isNull(), "FP").when(F.col("p").isNull(), "FN").otherwise("TP").alias("class"))
+    return truth.select("case", *XYZ, F.lit(1).alias("g")).join(predicted.select("case", *XYZ, F.lit(1).alias("p")), ["case", *XYZ], "full").select(
+        "case", *XYZ, F.when(F.col("g").isNull(), "FP").when(F.col("p").isNull(), "FN").otherwise("TP").alias("class"),
+    )
 
 
 def soft_features(soft: DataFrame, case: str, p: str, thresholds: tuple[float, ...], voxel_ml: Column) -> DataFrame:
     """Mass, maximum, foreground (p > 0.05) statistics, the ambiguous share, and a volume for each threshold."""
     fg = F.when(F.col(p) > 0.05, F.col(p))
     volumes = [(F.count_if(F.col(p) >= t) * voxel_ml).alias(f"ml_at_{t:g}") for t in thresholds]
-    return soft.groupBy(case).agg(F.sum(p).alias("mass"), F.max(p).alias("max"), F.avg(fg).alias("fg_mean"), F.stddev_pop(fg).alias("fg_std"), F.count(fg).alias("fg_voxels"), F.avg(F.when(F.col(p) > 0.05, ((F.col(p) > 0.25) & (F.col(p) < 0.75)).cast("double"))).alias("ambiguous"), *volumes)
+    return soft.groupBy(case).agg(
+        F.sum(p).alias("mass"), F.max(p).alias("max"), F.avg(fg).alias("fg_mean"), F.stddev_pop(fg).alias("fg_std"),
+        F.count(fg).alias("fg_voxels"),
+        F.avg(F.when(F.col(p) > 0.05, ((F.col(p) > 0.25) & (F.col(p) < 0.75)).cast("double"))).alias("ambiguous"), *volumes,
+    )
 
 
 def case_record(truth: DataFrame, predicted: DataFrame, sizes: DataFrame, connectivity: int = 26, bins=None) -> DataFrame:
@@ -368,7 +445,9 @@ def case_record(truth: DataFrame, predicted: DataFrame, sizes: DataFrame, connec
     grid = sizes.select("case", (F.col("nx") * F.col("ny") * F.col("nz")).alias("cells"), voxel_ml("vx", "vy", "vz").alias("ml"))
     base = with_tn(grid.join(counts, "case", "left").fillna(0, ["tp", "fp", "fn"]), "cells")
     gt_ml, pred_ml = (F.col("tp") + F.col("fn")) * F.col("ml"), (F.col("tp") + F.col("fp")) * F.col("ml")
-    base = base.select("case", "tp", "fp", "fn", "tn", *overlap(), gt_ml.alias("gt_ml"), pred_ml.alias("pred_ml"), *volume_difference(pred_ml, gt_ml))
+    base = base.select(
+        "case", "tp", "fp", "fn", "tn", *overlap(), gt_ml.alias("gt_ml"), pred_ml.alias("pred_ml"), *volume_difference(pred_ml, gt_ml),
+    )
     a, b = stash(label(truth, connectivity)), stash(label(predicted, connectivity))
     lesions = detection(lenient(a, b, sizes))
     out = base.join(boundary_metrics(truth, predicted, sizes), "case", "left").join(lesions, "case")

@@ -54,7 +54,9 @@ _COUNTS = "count(*) FILTER (WHERE t AND p) AS tp, count(*) FILTER (WHERE NOT t A
 m AS (SELECT *, {_METRICS} FROM c) SELECT lang, source, tp, fp, fn, tn, {_ROUND} FROM m""")
 def confusion_by_source(table):
     rows = relational.matched(table("labels"), table("documents").select("doc_id", "lang", "source"), ["doc_id"])
-    return metrics.confusion(rows, ["lang", "source"], F.col("quality") == 1, F.col("toxic") == 1).select("lang", "source", "tp", "fp", "fn", "tn", *metrics.overlap())
+    return metrics.confusion(
+        rows, ["lang", "source"], F.col("quality") == 1, F.col("toxic") == 1,
+    ).select("lang", "source", "tp", "fp", "fn", "tn", *metrics.overlap())
 
 
 @query("""WITH l AS (UNPIVOT (SELECT l_returnflag, CAST(l_quantity AS DOUBLE) AS l_quantity, l_extendedprice, l_discount, l_tax FROM lineitem) ON l_quantity, l_extendedprice, l_discount, l_tax INTO NAME metric VALUE value)
@@ -67,7 +69,9 @@ def metric_summary_long(table):
 SELECT CASE WHEN grouping(status) = 0 THEN 'status' WHEN grouping(segment) = 0 THEN 'segment' ELSE 'all' END AS dim, coalesce(status, segment, 'all') AS stratum, count(*) AS n, count(o_totalprice) AS n_valid, round(avg(o_totalprice), 6) AS mean, round(quantile_cont(o_totalprice, 0.5), 6) AS median, round(stddev_pop(o_totalprice), 6) AS std
 FROM d GROUP BY GROUPING SETS ((status), (segment), ())""")
 def strata_grouping_sets(table):
-    rows = table("orders").join(table("customer"), F.col("o_custkey") == F.col("c_custkey")).select(S.category("o_orderstatus").alias("status"), S.category("c_mktsegment").alias("segment"), "o_totalprice")
+    rows = table("orders").join(table("customer"), F.col("o_custkey") == F.col("c_custkey")).select(
+        S.category("o_orderstatus").alias("status"), S.category("c_mktsegment").alias("segment"), "o_totalprice",
+    )
     return reports.strata(rows, ["status", "segment"], [F.count("*").alias("n"), *reports.six("o_totalprice")[:4]])
 
 
@@ -83,15 +87,21 @@ def pooled_bin_recall(table):
 SELECT o_orderkey, round(abs(total - o_totalprice), 6) AS abs_diff, round(total - o_totalprice, 6) AS signed_diff, round(CASE WHEN o_totalprice > 0 THEN abs(total - o_totalprice) / o_totalprice END, 6) AS relative_diff FROM (SELECT l_orderkey, round(total, 4) AS total FROM s) JOIN orders ON o_orderkey = l_orderkey""")
 def volume_diff(table):
     totals = table("lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.round(F.sum("l_extendedprice"), 4).alias("total"))
-    return totals.join(table("orders"), "o_orderkey").select("o_orderkey", *metrics.volume_difference(F.col("total"), F.col("o_totalprice")))
+    return totals.join(table("orders"), "o_orderkey").select(
+        "o_orderkey", *metrics.volume_difference(F.col("total"), F.col("o_totalprice")),
+    )
 
 
 @query("""WITH e AS (SELECT event_id, json_extract_string(props, '$.k') AS cell FROM events), t AS (SELECT event_id, cell, CASE WHEN event_id % 7 = 0 THEN 'N/A' WHEN event_id % 11 = 0 THEN 'NaN' WHEN event_id % 13 = 0 THEN ' ' || cell || ' ' ELSE cell END AS raw FROM e)
 SELECT event_id, CASE WHEN lower(trim(raw)) IN ('', 'na', 'n/a', 'nan', 'none', 'null') THEN NULL ELSE round(TRY_CAST(trim(raw) AS DOUBLE), 6) END AS number, CASE WHEN trim(raw) IN ('1') THEN true WHEN trim(raw) IN ('0') THEN false END AS flag, CASE WHEN trim(raw) IS NULL OR trim(raw) = '' THEN 'unknown' ELSE trim(raw) END AS category FROM t""")
 def clean_parse(table):
     cell = F.get_json_object("props", "$.k")
-    raw = F.when(F.col("event_id") % 7 == 0, "N/A").when(F.col("event_id") % 11 == 0, "NaN").when(F.col("event_id") % 13 == 0, F.concat(F.lit(" "), cell, F.lit(" "))).otherwise(cell)
-    return table("events").select("event_id", raw.alias("raw")).select("event_id", S.parse_float("raw").alias("number"), S.parse_bool("raw").alias("flag"), S.category("raw").alias("category"))
+    raw = F.when(F.col("event_id") % 7 == 0, "N/A").when(F.col("event_id") % 11 == 0, "NaN").when(
+        F.col("event_id") % 13 == 0, F.concat(F.lit(" "), cell, F.lit(" ")),
+    ).otherwise(cell)
+    return table("events").select("event_id", raw.alias("raw")).select(
+        "event_id", S.parse_float("raw").alias("number"), S.parse_bool("raw").alias("flag"), S.category("raw").alias("category"),
+    )
 
 
 @query("""SELECT l_returnflag, count(l_extendedprice) AS n, round(min(l_extendedprice), 6) AS min, """ + ", ".join(f"round(quantile_cont(l_extendedprice, {q}), 6) AS p{round(q * 100):02d}" for q in (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)) + """, round(max(l_extendedprice), 6) AS max, round(avg(l_extendedprice), 6) AS mean, round(stddev_samp(l_extendedprice), 6) AS std FROM lineitem GROUP BY 1""")
@@ -102,7 +112,9 @@ def numeric_profile(table):
 @query("""SELECT n_name, count(*) AS n, round(quantile_cont(l_quantity, 0.5), 6) AS median, round(quantile_cont(l_quantity, 0.95), 6) AS p95, count(*) FILTER (WHERE l_discount = 0) AS n_empty, round(avg(CASE WHEN l_returnflag = 'R' THEN 1.0 ELSE 0.0 END), 6) AS share
 FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey GROUP BY 1 HAVING count(*) >= 100""")
 def site_rollup(table):
-    rows = table("lineitem").join(table("supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(table("nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    rows = table("lineitem").join(table("supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(
+        table("nation"), F.col("s_nationkey") == F.col("n_nationkey"),
+    )
     return reports.rollup(rows, ["n_name"], "l_quantity", F.col("l_discount") == 0, F.col("l_returnflag") == "R", 100)
 
 
@@ -110,14 +122,25 @@ def site_rollup(table):
 UNION ALL SELECT 'source', value, n FROM (SELECT source AS value, count(*) AS n FROM documents GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10) UNION ALL SELECT 'distinct brands', NULL, count(DISTINCT p_brand) FROM part""")
 def value_counts_top(table):
     top = lambda t, c, what: reports.value_counts(table(t), c, 10).select(F.lit(what).alias("what"), "value", "n")
-    brands = table("part").agg(F.count_distinct("p_brand").alias("n")).select(F.lit("distinct brands").alias("what"), F.lit(None).cast("string").alias("value"), "n")
+    brands = table("part").agg(F.count_distinct("p_brand").alias("n")).select(
+        F.lit("distinct brands").alias("what"), F.lit(None).cast("string").alias("value"), "n",
+    )
     return top("part", "p_brand", "brand").unionByName(top("documents", "source", "source")).unionByName(brands)
 
 
-@query("""SELECT count(*) FILTER (WHERE quality IS NULL) AS n_unlabelled, count(*) FILTER (WHERE n_chars < 200) AS n_short, count(*) FILTER (WHERE n_chars > 20000) AS n_long, count(*) FILTER (WHERE text IS NULL OR trim(text) = '') AS n_empty, count(*) FILTER (WHERE length(text) <> n_chars) AS n_mismatch, count(*) FILTER (WHERE toxic = 1) AS n_toxic FROM documents LEFT JOIN labels USING (doc_id)""")
+@query(
+    """SELECT count(*) FILTER (WHERE quality IS NULL) AS n_unlabelled, count(*) FILTER (WHERE n_chars < 200) AS n_short, count(*) FILTER (WHERE n_chars > 20000) AS n_long, count(*) FILTER (WHERE text IS NULL OR trim(text) = '') AS n_empty, count(*) FILTER (WHERE length(text) <> n_chars) AS n_mismatch, count(*) FILTER (WHERE toxic = 1) AS n_toxic FROM documents LEFT JOIN labels USING (doc_id)"""
+)
 def sanity_flags(table):
     rows = table("documents").join(table("labels"), "doc_id", "left")
-    return reports.flags(rows, {"n_unlabelled": F.col("quality").isNull(), "n_short": F.col("n_chars") < 200, "n_long": F.col("n_chars") > 20000, "n_empty": F.col("text").isNull() | (F.trim("text") == ""), "n_mismatch": F.length("text") != F.col("n_chars"), "n_toxic": F.col("toxic") == 1})
+    return reports.flags(
+        rows,
+        {
+            "n_unlabelled": F.col("quality").isNull(), "n_short": F.col("n_chars") < 200, "n_long": F.col("n_chars") > 20000,
+            "n_empty": F.col("text").isNull() | (F.trim("text") == ""), "n_mismatch": F.length("text") != F.col("n_chars"),
+            "n_toxic": F.col("toxic") == 1,
+        },
+    )
 
 
 # --- sweeps, ranks, curves ----------------------------------------------------------------------
@@ -128,11 +151,16 @@ SELECT arm, round(threshold, 6) AS threshold, tp, fp, fn, tn, {_ROUND}, round(co
 
 
 def _scored(table):
-    return table("events").select("event_id", "user_id", (F.col("user_id") % 3).alias("arm"), (F.col("event_type") == "purchase").alias("truth"), (F.col("value") / 600.0).alias("score"))
+    return table("events").select(
+        "event_id", "user_id", (F.col("user_id") % 3).alias("arm"), (F.col("event_type") == "purchase").alias("truth"),
+        (F.col("value") / 600.0).alias("score"),
+    )
 
 
 def _swept(counts):
-    return counts.select("arm", "threshold", "tp", "fp", "fn", "tn", *metrics.overlap()).withColumn("hmean", S.harmonic(F.coalesce("precision", F.lit(0.0)), F.coalesce("sensitivity", F.lit(0.0))))
+    return counts.select("arm", "threshold", "tp", "fp", "fn", "tn", *metrics.overlap()).withColumn(
+        "hmean", S.harmonic(F.coalesce("precision", F.lit(0.0)), F.coalesce("sensitivity", F.lit(0.0))),
+    )
 
 
 @query(_SWEEP)
@@ -153,9 +181,16 @@ w AS (SELECT u.* FROM u WHERE subject IN (SELECT subject FROM u GROUP BY 1 HAVIN
 
 def _configs(table):
     """Brand as subject, the supplier's nation as configuration, three metrics; subjects that all configurations have."""
-    rows = table("lineitem").join(table("part"), F.col("l_partkey") == F.col("p_partkey")).join(table("supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(table("nation"), F.col("s_nationkey") == F.col("n_nationkey"))
-    wide = rows.groupBy(F.col("p_brand").alias("subject"), F.col("n_name").alias("config")).agg(F.avg("l_extendedprice").alias("price"), F.avg("l_discount").alias("discount"), F.sum("l_quantity").alias("quantity"))
-    return relational.common_subjects(reports.to_long(wide, ["subject", "config"], ["price", "discount", "quantity"]).withColumn("value", F.round("value", 6)), "subject", "config")
+    rows = table("lineitem").join(table("part"), F.col("l_partkey") == F.col("p_partkey")).join(table("supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(
+        table("nation"), F.col("s_nationkey") == F.col("n_nationkey"),
+    )
+    wide = rows.groupBy(F.col("p_brand").alias("subject"), F.col("n_name").alias("config")).agg(
+        F.avg("l_extendedprice").alias("price"), F.avg("l_discount").alias("discount"), F.sum("l_quantity").alias("quantity"),
+    )
+    return relational.common_subjects(
+        reports.to_long(wide, ["subject", "config"], ["price", "discount", "quantity"]).withColumn("value", F.round("value", 6)), "subject",
+        "config",
+    )
 
 
 @query(f"""WITH {_LONG}, k AS (SELECT *, CASE WHEN metric = 'discount' THEN value ELSE -value END AS key FROM w),
@@ -195,13 +230,17 @@ _PAIRS = "p AS (SELECT user_id, round(a, 6) AS a, round(b, 6) AS b FROM (SELECT
 
 
 def _pairs(table):
-    return relational.paired(table("events"), "user_id", "event_type", "value", "view", "click").withColumns({"a": F.round("a", 6), "b": F.round("b", 6)})
+    return relational.paired(
+        table("events"), "user_id", "event_type", "value", "view", "click",
+    ).withColumns({"a": F.round("a", 6), "b": F.round("b", 6)})
 
 
 @query(f"""WITH {_PAIRS}, d AS (SELECT user_id, round(b - a, 6) AS d FROM p), s AS (SELECT count(*) AS n, avg(d) AS m, stddev_samp(d) AS sd, sum(d) AS total, count(*) FILTER (WHERE d > 0) AS better, count(*) FILTER (WHERE d < 0) AS worse, count(*) FILTER (WHERE d = 0) AS unchanged FROM d), t AS (SELECT user_id, d FROM d ORDER BY abs(d) DESC, user_id LIMIT 1)
 SELECT n, round(m, 6) AS mean_diff, round(sd, 6) AS sd, round(sd / sqrt(n), 6) AS se, round(CASE WHEN sd = 0 THEN 0 ELSE m / (sd / sqrt(n)) END, 6) AS t, better, worse, unchanged, user_id AS most_influential, round((total - d) / (n - 1), 6) AS mean_without FROM s, t""")
 def paired_delta(table):
-    return selection.paired_statistics(_pairs(table).select("user_id", F.lit(0.0).alias("a"), F.round(F.col("b") - F.col("a"), 6).alias("b")), [], "user_id")
+    return selection.paired_statistics(
+        _pairs(table).select("user_id", F.lit(0.0).alias("a"), F.round(F.col("b") - F.col("a"), 6).alias("b")), [], "user_id",
+    )
 
 
 _MODELS = "m AS (SELECT user_id, event_type, round(avg(value), 6) AS v FROM events GROUP BY ALL)"
@@ -227,8 +266,12 @@ def oracle_headroom(table):
 o AS (SELECT case_id, cell, v, round((sum(v) OVER w - v) / nullif(count(*) OVER w - 1, 0), 6) AS mean_of_others FROM d WINDOW w AS (PARTITION BY cell))
 SELECT CAST(case_id AS BIGINT) AS case_id, cell, v, mean_of_others FROM (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY mean_of_others DESC NULLS LAST, cell) AS n FROM o) WHERE n = 1""")
 def loo_selection(table):
-    rows = table("lineitem").join(table("part"), F.col("l_partkey") == F.col("p_partkey")).join(table("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
-    cells = rows.groupBy(F.col("s_nationkey").alias("case_id"), F.col("p_brand").alias("cell")).agg(F.round(F.avg("l_quantity"), 6).alias("v"))
+    rows = table("lineitem").join(table("part"), F.col("l_partkey") == F.col("p_partkey")).join(
+        table("supplier"), F.col("l_suppkey") == F.col("s_suppkey"),
+    )
+    cells = rows.groupBy(
+        F.col("s_nationkey").alias("case_id"), F.col("p_brand").alias("cell"),
+    ).agg(F.round(F.avg("l_quantity"), 6).alias("v"))
     return selection.leave_one_out(cells, "case_id", "cell", "v").select("case_id", "cell", "v", "mean_of_others")
 
 
@@ -236,13 +279,19 @@ def loo_selection(table):
 o AS (SELECT fold, config, (sum(s) OVER w - s) / (sum(n) OVER w - n) AS outside, s / n AS inside FROM f WINDOW w AS (PARTITION BY config))
 SELECT fold, config, round(outside, 6) AS outside, round(inside, 6) AS inside FROM (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY outside DESC, config) AS k FROM o) WHERE k = 1""")
 def nested_selection(table):
-    return selection.nested(table("events").withColumn("fold", F.col("user_id") % 5), "fold", "event_type", "value").withColumnRenamed("event_type", "config")
+    return selection.nested(
+        table("events").withColumn("fold", F.col("user_id") % 5), "fold", "event_type", "value",
+    ).withColumnRenamed("event_type", "config")
 
 
-@query(f"""WITH a AS (SELECT *, sensitivity >= 0.5 AS ok FROM ({_SWEEP})) SELECT arm, round(threshold, 6) AS threshold, dice, sensitivity, NOT (SELECT max(ok) FROM a) AS relaxed FROM a WHERE ok OR NOT (SELECT max(ok) FROM a) ORDER BY dice DESC, threshold, arm LIMIT 1""")
+@query(
+    f"""WITH a AS (SELECT *, sensitivity >= 0.5 AS ok FROM ({_SWEEP})) SELECT arm, round(threshold, 6) AS threshold, dice, sensitivity, NOT (SELECT max(ok) FROM a) AS relaxed FROM a WHERE ok OR NOT (SELECT max(ok) FROM a) ORDER BY dice DESC, threshold, arm LIMIT 1"""
+)
 def constrained_argmax(table):
     rows = plain(_swept(metrics.sweep(_scored(table), ["arm"], "score", F.col("truth"), 19)))
-    return ranking.constrained_best(rows, F.col("sensitivity") >= 0.5, [F.col("dice").desc(), F.col("threshold"), F.col("arm")]).select("arm", "threshold", "dice", "sensitivity", "relaxed")
+    return ranking.constrained_best(
+        rows, F.col("sensitivity") >= 0.5, [F.col("dice").desc(), F.col("threshold"), F.col("arm")],
+    ).select("arm", "threshold", "dice", "sensitivity", "relaxed")
 
 
 @query(f"""WITH {_MODELS}, h AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_type) AS n FROM m), p AS (SELECT avg(v) AS policy FROM h WHERE n = 1), f AS (SELECT avg(v) AS fixed FROM m WHERE event_type = 'view'), o AS (SELECT avg(x) AS oracle FROM (SELECT max(v) AS x FROM m GROUP BY user_id))
@@ -262,10 +311,14 @@ _FOLDED = "f AS (SELECT c_custkey, n_name, crc AS fold FROM (SELECT c_custkey, n
 SELECT 'center leak' AS kind, CAST(held AS BIGINT) AS fold, n_name AS item FROM (SELECT k.held, b.n_name FROM (SELECT DISTINCT held FROM b) k, b GROUP BY ALL HAVING count(*) FILTER (WHERE b.held = k.held) > 0 AND count(*) FILTER (WHERE b.held <> k.held) > 0)""")
 def group_fold_certificate(table):
     """Customers whose key divides by 97 are put into the wrong fold: each leaks its nation into two."""
-    cases = table("customer").join(table("nation"), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "n_name", (F.col("n_nationkey") % 5).alias("fold"))
+    cases = table("customer").join(table("nation"), F.col("c_nationkey") == F.col("n_nationkey")).select(
+        "c_custkey", "n_name", (F.col("n_nationkey") % 5).alias("fold"),
+    )
     held = cases.withColumn("held", F.when(F.col("c_custkey") % 97 == 0, (F.col("fold") + 1) % 5).otherwise(F.col("fold")))
     folds = held.select(F.col("held").alias("k")).distinct()
-    rows = held.crossJoin(F.broadcast(folds)).select(F.col("k").alias("fold"), F.when(F.col("held") == F.col("k"), "val").otherwise("train").alias("subset"), "c_custkey")
+    rows = held.crossJoin(F.broadcast(folds)).select(
+        F.col("k").alias("fold"), F.when(F.col("held") == F.col("k"), "val").otherwise("train").alias("subset"), "c_custkey",
+    )
     return relational.split_violations(rows, cases, "c_custkey", "n_name")
 
 
@@ -274,29 +327,41 @@ def leakage_check(table):
     return leakage.contained(table("documents"), table("benchmark"), "doc_id", "item_id")
 
 
-@query("""SELECT sha256(text) AS sha, count(*) AS n, min(doc_id) AS first_id, substr(sha256(text), 1, 16) AS prefix FROM documents GROUP BY text HAVING count(*) > 1""")
+@query(
+    """SELECT sha256(text) AS sha, count(*) AS n, min(doc_id) AS first_id, substr(sha256(text), 1, 16) AS prefix FROM documents GROUP BY text HAVING count(*) > 1"""
+)
 def duplicate_hash_groups(table):
-    return table("documents").groupBy(F.sha2("text", 256).alias("sha")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id")).filter("n > 1").select("sha", "n", "first_id", F.substring("sha", 1, 16).alias("prefix"))
+    return table("documents").groupBy(F.sha2("text", 256).alias("sha")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id")).filter("n > 1").select(
+        "sha", "n", "first_id", F.substring("sha", 1, 16).alias("prefix"),
+    )
 
 
-@query("""SELECT doc_id, 'missing' AS status FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) UNION ALL SELECT doc_id, 'unexpected' FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)""")
+@query(
+    """SELECT doc_id, 'missing' AS status FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) UNION ALL SELECT doc_id, 'unexpected' FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)"""
+)
 def set_reconcile(table):
     return relational.reconcile(table("documents"), table("labels"), ["doc_id"])
 
 
-@query("""WITH h AS (SELECT doc_id, lang, source, sha256('7:' || doc_id) AS h FROM documents) SELECT doc_id, lang, CAST((row_number() OVER (PARTITION BY lang ORDER BY h, doc_id) - 1) % 5 AS BIGINT) AS place FROM h""")
+@query(
+    """WITH h AS (SELECT doc_id, lang, source, sha256('7:' || doc_id) AS h FROM documents) SELECT doc_id, lang, CAST((row_number() OVER (PARTITION BY lang ORDER BY h, doc_id) - 1) % 5 AS BIGINT) AS place FROM h"""
+)
 def stratified_round_robin(table):
     dealt = ranking.round_robin(table("documents"), ["lang"], "doc_id", 5, seed=7)
     offset = F.pmod(F.crc32(F.concat_ws(":", F.lit("7"), "lang")), F.lit(5))
     return dealt.select("doc_id", "lang", F.pmod(F.col("fold") - offset, F.lit(5)).cast("bigint").alias("place"))
 
 
-@query("""WITH h AS (SELECT doc_id, source, sha256('3:' || doc_id) AS h FROM documents) SELECT source, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY h, doc_id) AS n FROM h) WHERE n <= 3""")
+@query(
+    """WITH h AS (SELECT doc_id, source, sha256('3:' || doc_id) AS h FROM documents) SELECT source, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY h, doc_id) AS n FROM h) WHERE n <= 3"""
+)
 def stratified_sample(table):
     return ranking.stratified_sample(table("documents"), ["source"], "doc_id", 3, seed=3).select("source", "doc_id")
 
 
-@query("""SELECT round(avg(l_extendedprice), 6) AS pooled, (SELECT round(avg(m), 6) FROM (SELECT avg(l_extendedprice) AS m FROM lineitem GROUP BY l_suppkey)) AS macro, count(l_extendedprice) AS n_rows, count(DISTINCT l_suppkey) AS n_groups FROM lineitem""")
+@query(
+    """SELECT round(avg(l_extendedprice), 6) AS pooled, (SELECT round(avg(m), 6) FROM (SELECT avg(l_extendedprice) AS m FROM lineitem GROUP BY l_suppkey)) AS macro, count(l_extendedprice) AS n_rows, count(DISTINCT l_suppkey) AS n_groups FROM lineitem"""
+)
 def case_pooled_vs_macro(table):
     return reports.pooled_and_macro(table("lineitem"), "l_suppkey", "l_extendedprice")
 
@@ -305,13 +370,20 @@ def case_pooled_vs_macro(table):
 SELECT method, round(max(mean) FILTER (WHERE metric = 'l_quantity'), 6) AS l_quantity, round(max(mean) FILTER (WHERE metric = 'l_discount'), 6) AS l_discount, round(max(mean) FILTER (WHERE metric = 'l_tax'), 6) AS l_tax FROM s GROUP BY 1""")
 def leaderboard_pivot(table):
     rows = table("lineitem").withColumn("method", F.concat("l_linestatus", "l_returnflag"))
-    return reports.leaderboard(reports.summarise(rows, ["method"], ["l_quantity", "l_discount", "l_tax"]), "method", ["l_quantity", "l_discount", "l_tax"], "l_quantity")
+    return reports.leaderboard(
+        reports.summarise(rows, ["method"], ["l_quantity", "l_discount", "l_tax"]), "method", ["l_quantity", "l_discount", "l_tax"],
+        "l_quantity",
+    )
 
 
-@query("""SELECT conv_id, turn, role, length(text) AS n_chars FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY CASE role WHEN 'assistant' THEN 0 WHEN 'user' THEN 1 ELSE 2 END, turn) AS n FROM conversations) WHERE n = 1""")
+@query(
+    """SELECT conv_id, turn, role, length(text) AS n_chars FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY CASE role WHEN 'assistant' THEN 0 WHEN 'user' THEN 1 ELSE 2 END, turn) AS n FROM conversations) WHERE n = 1"""
+)
 def dedupe_priority(table):
     order = F.when(F.col("role") == "assistant", 0).when(F.col("role") == "user", 1).otherwise(2)
-    return relational.first_by_priority(table("conversations"), ["conv_id"], [order, F.col("turn")]).select("conv_id", "turn", "role", F.length("text").cast("bigint").alias("n_chars"))
+    return relational.first_by_priority(table("conversations"), ["conv_id"], [order, F.col("turn")]).select(
+        "conv_id", "turn", "role", F.length("text").cast("bigint").alias("n_chars"),
+    )
 
 
 @query("""WITH d AS (SELECT text, count(*) AS n FROM documents GROUP BY 1), h AS (SELECT n, sha256(text || ',' || n) AS h FROM d), l AS (SELECT substr(h, 1, 2) AS leaf, count(*) AS n, sum(n) AS bytes, sha256(string_agg(h, '' ORDER BY h)) AS s FROM h GROUP BY 1)
@@ -352,23 +424,31 @@ def blend_grid(table):
 SELECT user_id, CAST(session AS BIGINT) AS session, min(ts) AS start, max(ts) AS "end", count(*) AS n, array_to_string(list_slice(list(event_type ORDER BY ts, event_id), -3, -1), ',') AS last_values FROM s GROUP BY 1, 2""")
 def gap_sessions(table):
     marked = provenance.gap_sessions(table("events"), ["user_id"], "ts", ["event_id"], 43200)
-    return provenance.session_summary(marked, ["user_id"], "ts", 3, "event_type", "event_id").withColumn("last_values", F.array_join("last_values", ","))
+    return provenance.session_summary(
+        marked, ["user_id"], "ts", 3, "event_type", "event_id",
+    ).withColumn("last_values", F.array_join("last_values", ","))
 
 
 @query(r"""WITH t AS (SELECT conv_id, turn, lower(text) AS x FROM conversations) SELECT conv_id, turn, CASE WHEN regexp_matches(x, '\b(correct|fix|invalidate|retract|repair|restore|regression)\w*') THEN 'correction' WHEN regexp_matches(x, '\b(abandon|fail|negative|no gain|regress|worse)\w*') THEN 'negative' WHEN regexp_matches(x, '\b(adopt|choose|deprecat|drop|replace|retire|select|ship|stop|switch)\w*') THEN 'decision' WHEN regexp_matches(x, '\b(benchmark|complete|done|eval|result|score|summary|win)\w*') THEN 'result' ELSE 'artifact' END AS kind,
 len(list_filter(list_distinct(string_split(trim(regexp_replace(x, '[^a-z0-9]+', ' ', 'g')), ' ')), lambda w: length(w) > 2 AND w NOT IN ('add', 'after', 'and', 'before', 'for', 'from', 'into', 'latest', 'more', 'next', 'run', 'the', 'this', 'update', 'with'))) AS n_words FROM t""")
 def classify_text_rules(table):
-    return table("conversations").select("conv_id", "turn", S.classify("text").alias("kind"), F.size(S.subject_words("text")).cast("bigint").alias("n_words"))
+    return table("conversations").select(
+        "conv_id", "turn", S.classify("text").alias("kind"), F.size(S.subject_words("text")).cast("bigint").alias("n_words"),
+    )
 
 
-@query("""WITH e AS (SELECT conv_id, turn AS source, lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS target FROM conversations) SELECT conv_id, source, target, target - source AS step FROM e WHERE target IS NOT NULL""")
+@query(
+    """WITH e AS (SELECT conv_id, turn AS source, lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS target FROM conversations) SELECT conv_id, source, target, target - source AS step FROM e WHERE target IS NOT NULL"""
+)
 def graph_integrity(table):
     """Edges from each turn to the next one, as far as both ends are turns of the table (all are)."""
     rows = table("conversations").withColumn("id", F.concat_ws("-", "conv_id", "turn"))
     edges = ranking.chain(rows, ["conv_id"], [F.col("turn")], "id").withColumn("id", F.concat("source", F.lit(">"), "target"))
     relational.require_empty(graph.dangling(rows.select("id"), edges), "dangling edges")
     place = lambda c: F.split(c, "-")[1].cast("bigint")
-    return graph.induced(rows.select("id"), edges).select("conv_id", place("source").alias("source"), place("target").alias("target"), (place("target") - place("source")).alias("step"))
+    return graph.induced(rows.select("id"), edges).select(
+        "conv_id", place("source").alias("source"), place("target").alias("target"), (place("target") - place("source")).alias("step"),
+    )
 
 
 @query("""WITH RECURSIVE c AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 10 = 1 THEN NULL WHEN c_custkey % 50 = 42 THEN c_custkey + 5 ELSE c_custkey - 1 END AS parent FROM customer),
@@ -394,9 +474,14 @@ def components_demo(table):
 # --- scalars, streams, resampling ---------------------------------------------------------------
 
 
-@query(r"""SELECT page_id, regexp_extract(url, '^https?://([^/]+)/', 1) AS host, coalesce(nullif(regexp_extract(url, '(\d+)', 1), ''), 'none') AS id, sha256(url)[1:16] AS prefix FROM pages""")
+@query(
+    r"""SELECT page_id, regexp_extract(url, '^https?://([^/]+)/', 1) AS host, coalesce(nullif(regexp_extract(url, '(\d+)', 1), ''), 'none') AS id, sha256(url)[1:16] AS prefix FROM pages"""
+)
 def path_ids(table):
-    return table("pages").select("page_id", F.regexp_extract("url", r"^https?://([^/]+)/", 1).alias("host"), F.coalesce(F.nullif(F.regexp_extract("url", r"(\d+)", 1), F.lit("")), F.lit("none")).alias("id"), S.hash16("url").alias("prefix"))
+    return table("pages").select(
+        "page_id", F.regexp_extract("url", r"^https?://([^/]+)/", 1).alias("host"),
+        F.coalesce(F.nullif(F.regexp_extract("url", r"(\d+)", 1), F.lit("")), F.lit("none")).alias("id"), S.hash16("url").alias("prefix"),
+    )
 
 
 @query("""SELECT p_partkey, round(p_size * 1.0 / least(p_size, 10), 6) AS anisotropy, abs(p_size - 10) < 0.01 AS iso, round(p_size * 10.0 * 10.0 / 1000, 6) AS ml, CAST(ceil(250.0 / greatest(p_size * 100.0, 1e-9)) AS BIGINT) AS least, printf('thr%.2f_k%d', p_size / 100.0, p_size) AS config, rtrim(rtrim(printf('%.6f', p_size / 100.0), '0'), '.') AS short,
@@ -404,16 +489,25 @@ CASE WHEN p_size > 25 AND p_size < 180 THEN 'lt180d' WHEN p_size % 2 = 1 THEN 'g
 def case_scalars(table):
     rows = table("part").select("p_partkey", (F.col("p_size") + 10).alias("x"), F.lit(10).alias("y"), F.lit(10).alias("z"))
     days = F.when(F.col("x") > 25, F.col("x"))
-    return rows.select("p_partkey", S.anisotropy("x", "y", "z").alias("anisotropy"), S.isotropic("x", "y", "z").alias("iso"), S.voxel_ml("x", "y", "z").alias("ml"), S.least_voxels(250, F.col("x") * 100.0).alias("least"), S.config_name(F.col("x") / 100.0, "x").alias("config"), S.short_threshold(F.col("x") / 100.0).alias("short"), S.chronicity(days, F.col("x") % 2)["bin"].alias("bin"))
+    return rows.select(
+        "p_partkey", S.anisotropy("x", "y", "z").alias("anisotropy"), S.isotropic("x", "y", "z").alias("iso"),
+        S.voxel_ml("x", "y", "z").alias("ml"), S.least_voxels(250, F.col("x") * 100.0).alias("least"),
+        S.config_name(F.col("x") / 100.0, "x").alias("config"), S.short_threshold(F.col("x") / 100.0).alias("short"),
+        S.chronicity(days, F.col("x") % 2)["bin"].alias("bin"),
+    )
 
 
-@query("""SELECT time_bucket(INTERVAL 6 HOUR, ts) AS start, time_bucket(INTERVAL 6 HOUR, ts) + INTERVAL 6 HOUR AS "end", event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL""")
+@query(
+    """SELECT time_bucket(INTERVAL 6 HOUR, ts) AS start, time_bucket(INTERVAL 6 HOUR, ts) + INTERVAL 6 HOUR AS "end", event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL"""
+)
 def stream_tumbling(table):
     """The batch form of the stream: the same function, over a table."""
     return jobs.tumbling(table("events"), "ts", "6 hours", "1 hour", ["event_type"], "value").withColumn("total", F.round("total", 6))
 
 
-@query("""WITH l AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w >= INTERVAL 12 HOUR THEN 1 ELSE 0 END AS late FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(late) OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS k FROM l) SELECT min(ts) AS start, max(ts) + INTERVAL 12 HOUR AS "end", user_id, count(*) AS n FROM s GROUP BY user_id, k""")
+@query(
+    """WITH l AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w >= INTERVAL 12 HOUR THEN 1 ELSE 0 END AS late FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(late) OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS k FROM l) SELECT min(ts) AS start, max(ts) + INTERVAL 12 HOUR AS "end", user_id, count(*) AS n FROM s GROUP BY user_id, k"""
+)
 def stream_sessions(table):
     return jobs.session_windows(table("events"), "ts", "12 hours", "1 hour", ["user_id"])
 

@@ -9,7 +9,9 @@ from ..operators import graph, provenance
 from .catalog import query
 
 _STOP = ", ".join(f"'{w}'" for w in S.STOP_WORDS)
-_KIND = "CASE " + " ".join(f"WHEN regexp_matches(lower(subject), '{rule.removeprefix('(?i)')}') THEN '{name}'" for name, rule in S.SUBJECT_RULES) + " ELSE 'artifact' END"
+_KIND = "CASE " + " ".join(
+    f"WHEN regexp_matches(lower(subject), '{rule.removeprefix('(?i)')}') THEN '{name}'" for name, rule in S.SUBJECT_RULES
+) + " ELSE 'artifact' END"
 _RANK = "CASE kind " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in provenance.SIGNIFICANCE.items()) + " END"
 _LOG = """l AS (SELECT CAST(user_id AS VARCHAR) AS repo, CAST(event_id AS VARCHAR) AS sha, ts, CASE WHEN value < 50 THEN 'fix ' WHEN value < 120 THEN 'adopt the ' WHEN value > 470 THEN 'score of ' ELSE '' END || event_type AS subject, [CASE WHEN value < 100 THEN 'scripts/run.sh' ELSE event_type || '/data' END, event_type || '/' || user_id % 3] AS files FROM events)"""
 _EPISODES = f"""{_LOG}, o AS (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY ts, sha) AS k, list_distinct(list_transform(files, lambda f: split_part(f, '/', 1))) AS paths, list_distinct(list_filter(string_split(trim(regexp_replace(lower(subject), '[^a-z0-9]+', ' ', 'g')), ' '), lambda w: length(w) > 2 AND w NOT IN ({_STOP}))) AS words FROM l),
@@ -26,8 +28,14 @@ _PIPELINE = "(regexp_matches(regexp_extract(path, '[^/]*$'), '" + provenance.PIP
 def _commits(table):
     v, kind = F.col("value"), F.col("event_type")
     subject = F.concat(F.when(v < 50, "fix ").when(v < 120, "adopt the ").when(v > 470, "score of ").otherwise(""), kind)
-    files = F.array(F.when(v < 100, "scripts/run.sh").otherwise(F.concat(kind, F.lit("/data"))), F.concat(kind, F.lit("/"), (F.col("user_id") % 3).cast("string")))
-    return table("events").select(F.col("user_id").cast("string").alias("repo"), F.col("event_id").cast("string").alias("sha"), "ts", subject.alias("subject"), files.alias("files"))
+    files = F.array(
+        F.when(v < 100, "scripts/run.sh").otherwise(F.concat(kind, F.lit("/data"))),
+        F.concat(kind, F.lit("/"), (F.col("user_id") % 3).cast("string")),
+    )
+    return table("events").select(
+        F.col("user_id").cast("string").alias("repo"), F.col("event_id").cast("string").alias("sha"), "ts", subject.alias("subject"),
+        files.alias("files"),
+    )
 
 
 @query(f"WITH RECURSIVE {_EPISODES} SELECT repo, sha, episode FROM m")
@@ -38,7 +46,9 @@ def commit_episodes(table):
 @query(f"WITH RECURSIVE {_NODES} SELECT repo, episode, n_commits, lead_sha, title, kind FROM n")
 def episode_nodes(table):
     commits = _commits(table)
-    return provenance.episode_nodes(commits, provenance.episodes(commits)).select("repo", "episode", "n_commits", "lead_sha", "title", "kind")
+    return provenance.episode_nodes(commits, provenance.episodes(commits)).select(
+        "repo", "episode", "n_commits", "lead_sha", "title", "kind",
+    )
 
 
 @query(f"WITH {_LOG}, {_TOUCH} SELECT repo, path, sha FROM t")
@@ -51,7 +61,9 @@ def pipeline_candidates(table):
     return provenance.pipeline_files(provenance.last_touch(_commits(table)), "path").select("repo", "path")
 
 
-@query(f"""WITH {_LOG}, k AS (SELECT repo, {_KIND} AS kind, split_part(subject, ' ', -1) AS author, files FROM l) SELECT repo, count(*) AS n_commits, count(DISTINCT author) AS n_contributors, count(*) FILTER (WHERE kind = 'decision') AS n_decisions, count(*) FILTER (WHERE kind = 'correction') AS n_corrections, (SELECT count(DISTINCT f) FROM (SELECT unnest(files) AS f FROM l WHERE l.repo = k.repo)) AS n_files FROM k GROUP BY repo""")
+@query(
+    f"""WITH {_LOG}, k AS (SELECT repo, {_KIND} AS kind, split_part(subject, ' ', -1) AS author, files FROM l) SELECT repo, count(*) AS n_commits, count(DISTINCT author) AS n_contributors, count(*) FILTER (WHERE kind = 'decision') AS n_decisions, count(*) FILTER (WHERE kind = 'correction') AS n_corrections, (SELECT count(DISTINCT f) FROM (SELECT unnest(files) AS f FROM l WHERE l.repo = k.repo)) AS n_files FROM k GROUP BY repo"""
+)
 def repository_statistics(table):
     """The last word of a subject plays the author."""
     return provenance.repository_statistics(_commits(table).withColumn("author", F.element_at(F.split("subject", " "), -1)))
@@ -70,7 +82,10 @@ def _nodes(table):
     k = F.col("n_nationkey")
     rows = table("nation").join(table("region"), F.col("n_regionkey") == F.col("r_regionkey"))
     lenses = F.array(F.lower("r_name"), F.when(k % 2 == 0, "even").otherwise("odd"))
-    return rows.select(k.cast("bigint").alias("id"), F.when(k % 3 > 0, F.col("n_regionkey").cast("bigint")).alias("parent"), lenses.alias("lenses"), F.when(k % 7 == 0, "hidden").otherwise("shown").alias("status"))
+    return rows.select(
+        k.cast("bigint").alias("id"), F.when(k % 3 > 0, F.col("n_regionkey").cast("bigint")).alias("parent"), lenses.alias("lenses"),
+        F.when(k % 7 == 0, "hidden").otherwise("shown").alias("status"),
+    )
 
 
 @query(f"WITH {_LENSES} SELECT lens, count(*) AS count FROM (SELECT unnest(lenses) AS lens FROM n) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1")
@@ -78,7 +93,9 @@ def inferred_lens(table):
     return graph.best_lens(_nodes(table))
 
 
-@query(f"WITH {_LENSES}, v AS (SELECT * FROM n WHERE parent IS NULL AND list_contains(lenses, 'even') AND status <> 'hidden') SELECT a.id AS source, b.id AS target FROM v a JOIN v b ON b.id = a.id + 6")
+@query(
+    f"WITH {_LENSES}, v AS (SELECT * FROM n WHERE parent IS NULL AND list_contains(lenses, 'even') AND status <> 'hidden') SELECT a.id AS source, b.id AS target FROM v a JOIN v b ON b.id = a.id + 6"
+)
 def scoped_edges(table):
     """Roots seen through a lens without hidden ones, and the edges among them."""
     nodes = _nodes(table)
@@ -86,7 +103,9 @@ def scoped_edges(table):
     return graph.scope(nodes, edges, None, "even", ("hidden",))[1].select("source", "target")
 
 
-@query(f"WITH {_LENSES} SELECT 'bad status' AS kind, id FROM n WHERE status <> 'shown' UNION ALL SELECT 'no parent', id FROM n WHERE parent IS NOT NULL AND parent NOT IN (SELECT id FROM n) UNION ALL SELECT 'no target', id FROM n WHERE id + 6 NOT IN (SELECT id FROM n)")
+@query(
+    f"WITH {_LENSES} SELECT 'bad status' AS kind, id FROM n WHERE status <> 'shown' UNION ALL SELECT 'no parent', id FROM n WHERE parent IS NOT NULL AND parent NOT IN (SELECT id FROM n) UNION ALL SELECT 'no target', id FROM n WHERE id + 6 NOT IN (SELECT id FROM n)"
+)
 def graph_faults(table):
     nodes = _nodes(table)
     edges = nodes.select("id", F.col("id").alias("source"), (F.col("id") + 6).alias("target"))

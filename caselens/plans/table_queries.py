@@ -8,27 +8,42 @@ from ..operators import ensemble, ranking, relational, reports, selection, split
 from .catalog import query
 
 
-@query("""SELECT c_custkey, coalesce(l.price, c_acctbal) AS c_acctbal, coalesce(l.status, c_mktsegment) AS c_mktsegment FROM (SELECT c_custkey, round(c_acctbal, 6) AS c_acctbal, c_mktsegment FROM customer) LEFT JOIN (SELECT o_custkey AS c_custkey, round(max(o_totalprice), 6) AS price, max(o_orderstatus) AS status FROM orders WHERE o_totalprice > 200000 GROUP BY 1) l USING (c_custkey)""")
+@query(
+    """SELECT c_custkey, coalesce(l.price, c_acctbal) AS c_acctbal, coalesce(l.status, c_mktsegment) AS c_mktsegment FROM (SELECT c_custkey, round(c_acctbal, 6) AS c_acctbal, c_mktsegment FROM customer) LEFT JOIN (SELECT o_custkey AS c_custkey, round(max(o_totalprice), 6) AS price, max(o_orderstatus) AS status FROM orders WHERE o_totalprice > 200000 GROUP BY 1) l USING (c_custkey)"""
+)
 def join_with_fallback(table):
-    right = table("orders").filter("o_totalprice > 200000").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max("o_totalprice").alias("c_acctbal"), F.max("o_orderstatus").alias("c_mktsegment"))
-    return relational.with_fallback(table("customer").select("c_custkey", "c_acctbal", "c_mktsegment"), right, ["c_custkey"], ["c_acctbal", "c_mktsegment"])
+    right = table("orders").filter("o_totalprice > 200000").groupBy(F.col("o_custkey").alias("c_custkey")).agg(
+        F.max("o_totalprice").alias("c_acctbal"), F.max("o_orderstatus").alias("c_mktsegment"),
+    )
+    return relational.with_fallback(
+        table("customer").select("c_custkey", "c_acctbal", "c_mktsegment"), right, ["c_custkey"], ["c_acctbal", "c_mktsegment"],
+    )
 
 
 @query("""WITH d AS (SELECT doc_id, sha256(text) AS sha, substr(text, 1, 40) AS head, CAST(n_chars AS VARCHAR) || source AS place FROM documents), a AS (SELECT * FROM d WHERE doc_id % 2 = 0), b AS (SELECT * FROM d WHERE doc_id % 2 = 1)
 SELECT a.doc_id AS left_id, b.doc_id AS right_id, 'sha' AS reason FROM a JOIN b ON a.sha = b.sha UNION SELECT a.doc_id, b.doc_id, 'head' FROM a JOIN b ON a.head = b.head UNION SELECT a.doc_id, b.doc_id, 'place' FROM a JOIN b ON a.place = b.place""")
 def contamination_any_key(table):
     """Documents with even ids play the pseudo-labelled set, those with odd ids the labelled one."""
-    rows = table("documents").select("doc_id", F.sha2("text", 256).alias("sha"), F.substring("text", 1, 40).alias("head"), F.concat(F.col("n_chars").cast("string"), "source").alias("place"))
-    return relational.any_key_matches(rows.filter("doc_id % 2 = 0"), rows.filter("doc_id % 2 = 1"), ["sha", "head", "place"], "doc_id", "doc_id")
-
-
-@query("""SELECT CAST(k AS BIGINT) AS fold, c_custkey FROM (SELECT c_custkey, c_nationkey % 3 AS held FROM customer), (SELECT DISTINCT c_nationkey % 3 AS k FROM customer) WHERE held <> k""")
+    rows = table("documents").select(
+        "doc_id", F.sha2("text", 256).alias("sha"), F.substring("text", 1, 40).alias("head"),
+        F.concat(F.col("n_chars").cast("string"), "source").alias("place"),
+    )
+    return relational.any_key_matches(
+        rows.filter("doc_id % 2 = 0"), rows.filter("doc_id % 2 = 1"), ["sha", "head", "place"], "doc_id", "doc_id",
+    )
+
+
+@query(
+    """SELECT CAST(k AS BIGINT) AS fold, c_custkey FROM (SELECT c_custkey, c_nationkey % 3 AS held FROM customer), (SELECT DISTINCT c_nationkey % 3 AS k FROM customer) WHERE held <> k"""
+)
 def fold_complement(table):
     held = table("customer").select("c_custkey", (F.col("c_nationkey") % 3).alias("fold"))
     return relational.complement(held, held, "c_custkey", "fold").select("fold", "c_custkey")
 
 
-@query("""WITH r AS (SELECT doc_id, n_chars, row_number() OVER (ORDER BY n_chars, doc_id) - 1 AS i, count(*) OVER () AS n FROM documents) SELECT doc_id, n_chars, CASE WHEN i < 3 THEN 'worst' WHEN i >= n // 2 - 1 AND i < n // 2 + 1 THEN 'middle' ELSE 'best' END AS role FROM r WHERE i < 3 OR (i >= n // 2 - 1 AND i < n // 2 + 1) OR i >= n - 2""")
+@query(
+    """WITH r AS (SELECT doc_id, n_chars, row_number() OVER (ORDER BY n_chars, doc_id) - 1 AS i, count(*) OVER () AS n FROM documents) SELECT doc_id, n_chars, CASE WHEN i < 3 THEN 'worst' WHEN i >= n // 2 - 1 AND i < n // 2 + 1 THEN 'middle' ELSE 'best' END AS role FROM r WHERE i < 3 OR (i >= n // 2 - 1 AND i < n // 2 + 1) OR i >= n - 2"""
+)
 def representative_cases(table):
     return ranking.representative(table("documents").select("doc_id", "n_chars"), "n_chars", "doc_id")
 
@@ -39,33 +54,47 @@ def quantile_cases(table):
     return ranking.quantile_nearest(table("documents").select("doc_id", "n_chars"), "n_chars", "doc_id").select("quantile", "doc_id", "pct")
 
 
-@query("""SELECT doc_id, n_chars FROM (SELECT doc_id, n_chars, row_number() OVER (ORDER BY n_chars DESC, doc_id) - 1 AS i FROM documents) WHERE i % 50 = 0""")
+@query(
+    """SELECT doc_id, n_chars FROM (SELECT doc_id, n_chars, row_number() OVER (ORDER BY n_chars DESC, doc_id) - 1 AS i FROM documents) WHERE i % 50 = 0"""
+)
 def size_ranked_cases(table):
     return ranking.every_kth(table("documents").select("doc_id", "n_chars"), [F.col("n_chars").desc(), F.col("doc_id")], 50)
 
 
-@query("""SELECT o_orderpriority, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC, o_orderkey) AS k FROM orders) WHERE k <= 3""")
+@query(
+    """SELECT o_orderpriority, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC, o_orderkey) AS k FROM orders) WHERE k <= 3"""
+)
 def top_orders(table):
-    return ranking.top_per_group(table("orders"), ["o_orderpriority"], [F.col("o_totalprice").desc(), F.col("o_orderkey")], 3).select("o_orderpriority", "o_orderkey")
+    return ranking.top_per_group(
+        table("orders"), ["o_orderpriority"], [F.col("o_totalprice").desc(), F.col("o_orderkey")], 3,
+    ).select("o_orderpriority", "o_orderkey")
 
 
-@query("""WITH g AS (SELECT source AS held FROM documents GROUP BY 1 HAVING count(*) >= 5) SELECT held, CASE WHEN source = held THEN 'val' ELSE 'train' END AS subset, count(*) AS n FROM documents, g GROUP BY ALL""")
+@query(
+    """WITH g AS (SELECT source AS held FROM documents GROUP BY 1 HAVING count(*) >= 5) SELECT held, CASE WHEN source = held THEN 'val' ELSE 'train' END AS subset, count(*) AS n FROM documents, g GROUP BY ALL"""
+)
 def leave_group_out(table):
     return splits.leave_group_out(table("documents"), "doc_id", "source", 5).groupBy("held", "subset").agg(F.count("*").alias("n"))
 
 
-@query("""WITH f AS (SELECT c_nationkey % 5 AS fold, count(*) AS n, sum(round(c_acctbal * 100)) / 100 AS balance FROM customer GROUP BY 1) SELECT CAST(fold AS BIGINT) AS fold, round(CAST(n AS DOUBLE), 6) AS n, round(balance, 6) AS balance, round(n - avg(n) OVER (), 6) AS n_deviation, round(balance - avg(balance) OVER (), 6) AS balance_deviation FROM f""")
+@query(
+    """WITH f AS (SELECT c_nationkey % 5 AS fold, count(*) AS n, sum(round(c_acctbal * 100)) / 100 AS balance FROM customer GROUP BY 1) SELECT CAST(fold AS BIGINT) AS fold, round(CAST(n AS DOUBLE), 6) AS n, round(balance, 6) AS balance, round(n - avg(n) OVER (), 6) AS n_deviation, round(balance - avg(balance) OVER (), 6) AS balance_deviation FROM f"""
+)
 def fold_loads(table):
     rows = table("customer").withColumn("fold", (F.col("c_nationkey") % 5).cast("bigint"))
     return splits.fold_summary(rows, "fold", {"n": F.count("*"), "balance": F.sum(F.round(F.col("c_acctbal") * 100)) / 100})
 
 
-@query("""WITH f AS (SELECT c_nationkey % 5 AS fold, CAST(count(*) AS DOUBLE) AS load FROM customer GROUP BY 1) SELECT round(sum(load) / 5, 6) AS target, round(min(load), 6) AS min, round(max(load), 6) AS max, round(max(load) - min(load), 6) AS range, round(stddev_pop(load) / avg(load), 6) AS cv FROM f""")
+@query(
+    """WITH f AS (SELECT c_nationkey % 5 AS fold, CAST(count(*) AS DOUBLE) AS load FROM customer GROUP BY 1) SELECT round(sum(load) / 5, 6) AS target, round(min(load), 6) AS min, round(max(load), 6) AS max, round(max(load) - min(load), 6) AS range, round(stddev_pop(load) / avg(load), 6) AS cv FROM f"""
+)
 def fold_distribution(table):
     return reports.distribution(table("customer").withColumn("fold", F.col("c_nationkey") % 5), "fold", F.lit(1), 5)
 
 
-@query("""SELECT l_returnflag, array_to_string(list_sort(list(DISTINCT CAST(round(l_quantity / 10) AS INT))), ',') AS labels FROM lineitem GROUP BY 1""")
+@query(
+    """SELECT l_returnflag, array_to_string(list_sort(list(DISTINCT CAST(round(l_quantity / 10) AS INT))), ',') AS labels FROM lineitem GROUP BY 1"""
+)
 def label_sets(table):
     return reports.label_set(table("lineitem").withColumn("q", F.col("l_quantity") / 10), ["l_returnflag"], "q")
 
@@ -82,12 +111,16 @@ def arm_decision(table):
 SELECT candidate, count(*) AS n, round(avg(round(v, 6)), 6) AS mean FROM j JOIN (SELECT candidate, count(*) AS k FROM c GROUP BY 1) USING (candidate) WHERE n = k GROUP BY 1""")
 def candidate_means(table):
     scores = table("events").groupBy("user_id", "event_type").agg(F.round(F.avg("value"), 6).alias("v"))
-    members = scores.sparkSession.createDataFrame([("pair", "click"), ("pair", "view"), ("single", "view")], "candidate string, event_type string")
+    members = scores.sparkSession.createDataFrame(
+        [("pair", "click"), ("pair", "view"), ("single", "view")], "candidate string, event_type string",
+    )
     means = ensemble.candidate_scores(scores, members, "user_id", "event_type", "v").withColumn("v", F.round("v", 6))
     return means.groupBy("candidate").agg(F.count("*").alias("n"), F.avg("v").alias("mean"))
 
 
-@query("""WITH a AS (SELECT l_returnflag, round(avg(l_tax), 6) AS v FROM lineitem GROUP BY 1), b AS (SELECT l_returnflag, round(avg(l_tax), 6) AS v FROM lineitem WHERE l_linenumber < 7 GROUP BY 1) SELECT a.l_returnflag, a.v, abs(a.v - b.v) <= 1e-6 AS reproduced FROM a JOIN b USING (l_returnflag)""")
+@query(
+    """WITH a AS (SELECT l_returnflag, round(avg(l_tax), 6) AS v FROM lineitem GROUP BY 1), b AS (SELECT l_returnflag, round(avg(l_tax), 6) AS v FROM lineitem WHERE l_linenumber < 7 GROUP BY 1) SELECT a.l_returnflag, a.v, abs(a.v - b.v) <= 1e-6 AS reproduced FROM a JOIN b USING (l_returnflag)"""
+)
 def reproduced_summary(table):
     mean = lambda t: t.groupBy("l_returnflag").agg(F.round(F.avg("l_tax"), 6).alias("v"))
     a, b = mean(table("lineitem")), mean(table("lineitem").filter("l_linenumber < 7"))
@@ -95,7 +128,9 @@ def reproduced_summary(table):
     return a.join(off, "l_returnflag", "left").select("l_returnflag", "v", F.coalesce("reproduced", F.lit(True)).alias("reproduced"))
 
 
-@query("""WITH a AS (SELECT doc_id, toxic FROM labels), m AS (SELECT avg(abs(quality - toxic)) AS x, max(abs(quality - toxic)) AS y, count(*) AS n FROM labels) SELECT n, round(x, 6) AS mean_abs, round(CAST(y AS DOUBLE), 6) AS max_abs, round((SELECT avg(100.0 * (toxic - quality) / nullif(quality, 0)) FROM labels), 6) AS mean_change_percent FROM m""")
+@query(
+    """WITH a AS (SELECT doc_id, toxic FROM labels), m AS (SELECT avg(abs(quality - toxic)) AS x, max(abs(quality - toxic)) AS y, count(*) AS n FROM labels) SELECT n, round(x, 6) AS mean_abs, round(CAST(y AS DOUBLE), 6) AS max_abs, round((SELECT avg(100.0 * (toxic - quality) / nullif(quality, 0)) FROM labels), 6) AS mean_change_percent FROM m"""
+)
 def stored_deployed_agreement(table):
     rows = table("labels").select(F.col("quality").cast("double"), F.col("toxic").cast("double"))
     return ensemble.agreement(rows, "quality", "toxic")

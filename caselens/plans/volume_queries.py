@@ -26,7 +26,10 @@ def _components(mask: str) -> str:
 def _voxels(table, condition="true"):
     """Distinct places of the events; condition: SQL or a column."""
     rows = table("events").filter(condition)
-    return rows.select(F.col("event_type").alias("case"), (F.col("user_id") % 20).cast("int").alias("x"), F.hour("ts").alias("y"), (F.dayofyear("ts") % 10).cast("int").alias("z")).distinct()
+    return rows.select(
+        F.col("event_type").alias("case"), (F.col("user_id") % 20).cast("int").alias("x"), F.hour("ts").alias("y"),
+        (F.dayofyear("ts") % 10).cast("int").alias("z"),
+    ).distinct()
 
 
 def _gt(table):
@@ -38,7 +41,10 @@ def _pr(table):
 
 
 def _sizes(table):
-    return table("events").select(F.col("event_type").alias("case")).distinct().select("case", F.lit(20).alias("nx"), F.lit(24).alias("ny"), F.lit(10).alias("nz"), F.lit(1.0).alias("vx"), F.lit(1.5).alias("vy"), F.lit(2.0).alias("vz"))
+    return table("events").select(F.col("event_type").alias("case")).distinct().select(
+        "case", F.lit(20).alias("nx"), F.lit(24).alias("ny"), F.lit(10).alias("nz"), F.lit(1.0).alias("vx"), F.lit(1.5).alias("vy"),
+        F.lit(2.0).alias("vz"),
+    )
 
 
 @query(f"""WITH {_MASKS}, o AS (SELECT coalesce(gt.c, pr.c) AS c, gt.c IS NOT NULL AS t, pr.c IS NOT NULL AS p FROM gt FULL JOIN pr ON gt.c = pr.c AND gt.x = pr.x AND gt.y = pr.y AND gt.z = pr.z),
@@ -67,7 +73,10 @@ def voxel_ring(table):
 SELECT c AS case_id, count(*) AS n_components, max(n) AS largest, sum(n) FILTER (WHERE n >= 3)::BIGINT AS kept_voxels FROM s GROUP BY 1""")
 def voxel_components(table):
     sizes = V.component_sizes(V.label(_gt(table), 6))
-    return sizes.groupBy(F.col("case").alias("case_id")).agg(F.count("*").alias("n_components"), F.max("n_voxels").alias("largest"), F.sum(F.when(F.col("n_voxels") >= 3, F.col("n_voxels"))).alias("kept_voxels"))
+    return sizes.groupBy(F.col("case").alias("case_id")).agg(
+        F.count("*").alias("n_components"), F.max("n_voxels").alias("largest"),
+        F.sum(F.when(F.col("n_voxels") >= 3, F.col("n_voxels"))).alias("kept_voxels"),
+    )
 
 
 @query(f"""WITH RECURSIVE {_MASKS}, {_components("gt")}, {_components("pr")}, h AS (SELECT g.c, g.comp AS a, p.comp AS b FROM gt_c g JOIN pr_c p ON g.c = p.c AND g.x = p.x AND g.y = p.y AND g.z = p.z GROUP BY ALL HAVING count(*) >= 2),
@@ -78,12 +87,18 @@ SELECT c AS case_id, gt_count, pred_count, detected_gt, tp_pred, round(pc, 6) AS
 def voxel_lenient_detection(table):
     truth, predicted = V.label(_gt(table), 6), V.label(_pr(table), 6)
     counts = metrics.detection(V.lenient(truth, predicted, _gt(table).select("case"), 2))
-    return counts.select(F.col("case").alias("case_id"), "gt_count", "pred_count", "detected_gt", "tp_pred", "lesion_precision", "lesion_recall", "lesion_f1")
+    return counts.select(
+        F.col("case").alias("case_id"), "gt_count", "pred_count", "detected_gt", "tp_pred", "lesion_precision", "lesion_recall", "lesion_f1",
+    )
 
 
-@query(f"""WITH RECURSIVE {_MASKS}, {_components("gt")}, s AS (SELECT c, comp, count(*) AS n FROM gt_c GROUP BY ALL) SELECT c AS case_id, CAST(CASE WHEN n < 3 THEN 1 WHEN n < 10 THEN 2 ELSE 3 END AS BIGINT) AS size_class, sum(n)::BIGINT AS n FROM s GROUP BY 1, 2""")
+@query(
+    f"""WITH RECURSIVE {_MASKS}, {_components("gt")}, s AS (SELECT c, comp, count(*) AS n FROM gt_c GROUP BY ALL) SELECT c AS case_id, CAST(CASE WHEN n < 3 THEN 1 WHEN n < 10 THEN 2 ELSE 3 END AS BIGINT) AS size_class, sum(n)::BIGINT AS n FROM s GROUP BY 1, 2"""
+)
 def voxel_size_classes(table):
-    return V.size_classes(V.label(_gt(table), 6), (3, 10)).groupBy(F.col("case").alias("case_id"), F.col("class").alias("size_class")).agg(F.count("*").alias("n"))
+    return V.size_classes(V.label(_gt(table), 6), (3, 10)).groupBy(
+        F.col("case").alias("case_id"), F.col("class").alias("size_class"),
+    ).agg(F.count("*").alias("n"))
 
 
 @query(f"""WITH {_MASKS}, {_STEPS6}, gs AS (SELECT gt.c, gt.x, gt.y, gt.z FROM gt CROSS JOIN n6 LEFT JOIN gt o ON o.c = gt.c AND o.x = gt.x + dx AND o.y = gt.y + dy AND o.z = gt.z + dz GROUP BY ALL HAVING count(o.c) < 6),
@@ -100,36 +115,56 @@ def voxel_reorient(table):
     return V.reorient(_gt(table), _sizes(table), (2, 0, 1), (True, False, True)).withColumnRenamed("case", "case_id")
 
 
-@query(f"""WITH {_MASKS}, s AS (SELECT c, z, count(*) AS n FROM gt GROUP BY ALL), m AS (SELECT c, round(avg(x), 6) AS mx, round(avg(y), 6) AS my, round(avg(z), 6) AS mz FROM gt GROUP BY 1) SELECT c AS case_id, CAST(z AS BIGINT) AS z, n, mx, my, mz FROM (SELECT *, row_number() OVER (PARTITION BY c ORDER BY n DESC, z) AS k FROM s) JOIN m USING (c) WHERE k = 1""")
+@query(
+    f"""WITH {_MASKS}, s AS (SELECT c, z, count(*) AS n FROM gt GROUP BY ALL), m AS (SELECT c, round(avg(x), 6) AS mx, round(avg(y), 6) AS my, round(avg(z), 6) AS mz FROM gt GROUP BY 1) SELECT c AS case_id, CAST(z AS BIGINT) AS z, n, mx, my, mz FROM (SELECT *, row_number() OVER (PARTITION BY c ORDER BY n DESC, z) AS k FROM s) JOIN m USING (c) WHERE k = 1"""
+)
 def voxel_best_slice(table):
     centers = ranking.centers(_gt(table), "case").toDF("case", "mx", "my", "mz")
-    return ranking.best_slice(_gt(table), "case", "z").join(centers, "case").select(F.col("case").alias("case_id"), "z", "n", "mx", "my", "mz")
+    return ranking.best_slice(_gt(table), "case", "z").join(centers, "case").select(
+        F.col("case").alias("case_id"), "z", "n", "mx", "my", "mz",
+    )
 
 
-@query(f"""WITH {_MASKS}, {_STEPS26}, k AS (SELECT t.c, t.x, t.y, t.z, count(o.c) AS n FROM tissue t CROSS JOIN n26 LEFT JOIN tissue o ON o.c = t.c AND o.x = t.x + dx AND o.y = t.y + dy AND o.z = t.z + dz GROUP BY ALL) SELECT c AS case_id, CAST(CASE WHEN n = 26 THEN 2 ELSE 1 END AS BIGINT) AS class, count(*) AS n FROM k GROUP BY 1, 2""")
+@query(
+    f"""WITH {_MASKS}, {_STEPS26}, k AS (SELECT t.c, t.x, t.y, t.z, count(o.c) AS n FROM tissue t CROSS JOIN n26 LEFT JOIN tissue o ON o.c = t.c AND o.x = t.x + dx AND o.y = t.y + dy AND o.z = t.z + dz GROUP BY ALL) SELECT c AS case_id, CAST(CASE WHEN n = 26 THEN 2 ELSE 1 END AS BIGINT) AS class, count(*) AS n FROM k GROUP BY 1, 2"""
+)
 def voxel_boundary_classes(table):
-    return V.boundary_classes(_voxels(table).withColumn("class", F.lit(1))).groupBy(F.col("case").alias("case_id"), "class").agg(F.count("*").alias("n"))
+    return V.boundary_classes(
+        _voxels(table).withColumn("class", F.lit(1))
+    ).groupBy(F.col("case").alias("case_id"), "class").agg(F.count("*").alias("n"))
 
 
-@query(f"""WITH {_MASKS}, g AS (SELECT DISTINCT c FROM gt), t AS (SELECT g.c, i AS x, j AS y, k AS z FROM g, range(0, 10) a(i), range(0, 12) b(j), range(0, 5) e(k)) SELECT t.c AS case_id, t.x, t.y, t.z FROM t JOIN gt ON gt.c = t.c AND gt.x = 2 * t.x + 1 AND gt.y = 2 * t.y AND gt.z = 2 * t.z""")
+@query(
+    f"""WITH {_MASKS}, g AS (SELECT DISTINCT c FROM gt), t AS (SELECT g.c, i AS x, j AS y, k AS z FROM g, range(0, 10) a(i), range(0, 12) b(j), range(0, 5) e(k)) SELECT t.c AS case_id, t.x, t.y, t.z FROM t JOIN gt ON gt.c = t.c AND gt.x = 2 * t.x + 1 AND gt.y = 2 * t.y AND gt.z = 2 * t.z"""
+)
 def voxel_resample(table):
     m = F.array(*(F.lit(float(v)) for v in (2, 0, 0, 1, 0, 2, 0, 0, 0, 0, 2, 0)))
-    grid = _gt(table).select("case").distinct().select("case", F.lit(10).alias("nx"), F.lit(12).alias("ny"), F.lit(5).alias("nz"), m.alias("m"))
+    grid = _gt(table).select("case").distinct().select(
+        "case", F.lit(10).alias("nx"), F.lit(12).alias("ny"), F.lit(5).alias("nz"), m.alias("m"),
+    )
     return V.resample_nearest(_gt(table), grid).withColumnRenamed("case", "case_id")
 
 
-@query("""WITH s AS (SELECT event_type, value / 600.0 AS p FROM events) SELECT event_type, round(sum(p), 6) AS mass, round(max(p), 6) AS max, round(avg(p) FILTER (WHERE p > 0.05), 6) AS fg_mean, round(stddev_pop(p) FILTER (WHERE p > 0.05), 6) AS fg_std, count(*) FILTER (WHERE p > 0.05) AS fg_voxels, round(avg(CASE WHEN p > 0.25 AND p < 0.75 THEN 1.0 ELSE 0.0 END) FILTER (WHERE p > 0.05), 6) AS ambiguous, round(CAST(count(*) FILTER (WHERE p >= 0.35) * 0.5 AS DOUBLE), 6) AS ml_35, round(CAST(count(*) FILTER (WHERE p >= 0.5) * 0.5 AS DOUBLE), 6) AS ml_50 FROM s GROUP BY 1""")
+@query(
+    """WITH s AS (SELECT event_type, value / 600.0 AS p FROM events) SELECT event_type, round(sum(p), 6) AS mass, round(max(p), 6) AS max, round(avg(p) FILTER (WHERE p > 0.05), 6) AS fg_mean, round(stddev_pop(p) FILTER (WHERE p > 0.05), 6) AS fg_std, count(*) FILTER (WHERE p > 0.05) AS fg_voxels, round(avg(CASE WHEN p > 0.25 AND p < 0.75 THEN 1.0 ELSE 0.0 END) FILTER (WHERE p > 0.05), 6) AS ambiguous, round(CAST(count(*) FILTER (WHERE p >= 0.35) * 0.5 AS DOUBLE), 6) AS ml_35, round(CAST(count(*) FILTER (WHERE p >= 0.5) * 0.5 AS DOUBLE), 6) AS ml_50 FROM s GROUP BY 1"""
+)
 def soft_map_features(table):
     rows = table("events").select("event_type", (F.col("value") / 600.0).alias("p"))
-    return V.soft_features(rows, "event_type", "p", (0.35, 0.5), F.lit(0.5)).withColumnsRenamed({"ml_at_0.35": "ml_35", "ml_at_0.5": "ml_50"})
+    return V.soft_features(
+        rows, "event_type", "p", (0.35, 0.5), F.lit(0.5),
+    ).withColumnsRenamed({"ml_at_0.35": "ml_35", "ml_at_0.5": "ml_50"})
 
 
-@query("""SELECT event_type, round(min(value), 6) AS min, round(quantile_cont(value, 0.01), 6) AS p01, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.99), 6) AS p99, round(max(value), 6) AS max, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std, round(avg(CASE WHEN value <> 0 THEN 1.0 ELSE 0.0 END), 6) AS nonzero_frac, round(quantile_cont(value, 0.5) FILTER (WHERE value > 0), 6) AS brain_p50, round(quantile_cont(value, 0.99) FILTER (WHERE value > 0), 6) AS brain_p99 FROM events GROUP BY 1""")
+@query(
+    """SELECT event_type, round(min(value), 6) AS min, round(quantile_cont(value, 0.01), 6) AS p01, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.99), 6) AS p99, round(max(value), 6) AS max, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std, round(avg(CASE WHEN value <> 0 THEN 1.0 ELSE 0.0 END), 6) AS nonzero_frac, round(quantile_cont(value, 0.5) FILTER (WHERE value > 0), 6) AS brain_p50, round(quantile_cont(value, 0.99) FILTER (WHERE value > 0), 6) AS brain_p99 FROM events GROUP BY 1"""
+)
 def intensity_statistics(table):
     return V.intensity_statistics(table("events"), ["event_type"], "value")
 
 
-@query("""WITH q AS (SELECT event_type, quantile_cont(value, 0.01) AS lo, quantile_cont(value, 0.99) AS hi FROM events GROUP BY 1) SELECT event_id, round(greatest(0.0, least(1.0, (value - lo) / (hi - lo))), 6) AS value FROM events JOIN q USING (event_type)""")
+@query(
+    """WITH q AS (SELECT event_type, quantile_cont(value, 0.01) AS lo, quantile_cont(value, 0.99) AS hi FROM events GROUP BY 1) SELECT event_id, round(greatest(0.0, least(1.0, (value - lo) / (hi - lo))), 6) AS value FROM events JOIN q USING (event_type)"""
+)
 def clip_normalise(table):
     return V.clip_normalise(table("events").select("event_id", "event_type", "value"), ["event_type"], "value").select("event_id", "value")
 
@@ -138,7 +173,9 @@ def clip_normalise(table):
 SELECT count(cnr) AS n, round(avg(abs(cnr)), 6) AS mean_abs, round(quantile_cont(abs(cnr), 0.5), 6) AS median_abs, round(avg(CASE WHEN cnr IS NULL THEN NULL WHEN abs(cnr) < 0.5 THEN 1.0 ELSE 0.0 END), 6) AS invisible, round(avg(CASE WHEN cnr IS NULL THEN NULL WHEN cnr > 0.5 THEN 1.0 ELSE 0.0 END), 6) AS bright, round(avg(CASE WHEN cnr IS NULL THEN NULL WHEN cnr < -0.5 THEN 1.0 ELSE 0.0 END), 6) AS dark FROM d""")
 def contrast_statistics(table):
     side = lambda k: F.avg(F.when(F.col("event_type") == k, F.col("value")))
-    rows = table("events").groupBy("user_id").agg(side("click").alias("inside"), side("view").alias("around"), F.stddev_pop("value").alias("spread"))
+    rows = table("events").groupBy("user_id").agg(
+        side("click").alias("inside"), side("view").alias("around"), F.stddev_pop("value").alias("spread"),
+    )
     return reports.contrast(rows, "inside", "around", "spread")
 
 
@@ -164,12 +201,18 @@ def voxel_recognition(table):
     truth, predicted = V.label(_gt(table), 6), V.label(_pr(table), 6)
     found = V.recognition(_voxels(table), truth, predicted)
     count = lambda k: F.count_if(F.col("class") == k)
-    voxels = V.overlay(_gt(table), _pr(table)).groupBy("case").agg((2.0 * count("TP") / (2 * count("TP") + count("FP") + count("FN"))).alias("d"))
+    voxels = V.overlay(_gt(table), _pr(table)).groupBy("case").agg(
+        (2.0 * count("TP") / (2 * count("TP") + count("FP") + count("FN"))).alias("d")
+    )
     n_gt, n_pred = F.col("tp") + F.col("fn"), F.col("tp") + F.col("fp")
-    return found.join(voxels, "case", "left").select(F.col("case").alias("case_id"), "tp", "fp", "fn", "rq", V.collapsed_dice(F.col("d"), F.col("tp"), n_gt, n_pred).alias("dice"))
+    return found.join(voxels, "case", "left").select(
+        F.col("case").alias("case_id"), "tp", "fp", "fn", "rq", V.collapsed_dice(F.col("d"), F.col("tp"), n_gt, n_pred).alias("dice"),
+    )
 
 
-@query(f"""WITH RECURSIVE {_parts("gt", "pr")}, {_PAIRS} SELECT c AS case_id, 'gt' AS side, n_gt AS n_voxels, coalesce(max(shared), 0) AS shared, CAST(a % 100 AS BIGINT) AS x FROM gn LEFT JOIN met USING (c, a) GROUP BY c, a, n_gt UNION ALL SELECT c, 'pred', n_pred, coalesce(max(shared), 0), CAST(b % 100 AS BIGINT) FROM pn LEFT JOIN met USING (c, b) GROUP BY c, b, n_pred""")
+@query(
+    f"""WITH RECURSIVE {_parts("gt", "pr")}, {_PAIRS} SELECT c AS case_id, 'gt' AS side, n_gt AS n_voxels, coalesce(max(shared), 0) AS shared, CAST(a % 100 AS BIGINT) AS x FROM gn LEFT JOIN met USING (c, a) GROUP BY c, a, n_gt UNION ALL SELECT c, 'pred', n_pred, coalesce(max(shared), 0), CAST(b % 100 AS BIGINT) FROM pn LEFT JOIN met USING (c, b) GROUP BY c, b, n_pred"""
+)
 def voxel_overlap_maxima(table):
     best = V.overlap_maxima(V.label(_gt(table), 6), V.label(_pr(table), 6))
     return best.select(F.col("case").alias("case_id"), "side", "n_voxels", "shared", F.pmod("comp", F.lit(1 << 14)).alias("x"))
@@ -207,10 +250,14 @@ def voxel_filled_holes(table):
     tissue = _voxels(table)
     full = V.fill_holes(tissue)
     holes = full.join(tissue, ["case", "x", "y", "z"], "left_anti").groupBy("case").agg(F.count("*").alias("n_holes"))
-    return full.groupBy("case").agg(F.count("*").alias("n_voxels")).join(holes, "case", "left").fillna(0).withColumnRenamed("case", "case_id")
+    return full.groupBy("case").agg(
+        F.count("*").alias("n_voxels")
+    ).join(holes, "case", "left").fillna(0).withColumnRenamed("case", "case_id")
 
 
-@query(f"""WITH RECURSIVE {_parts("gt")}, n AS (SELECT c, comp, count(*) AS k FROM gt_c GROUP BY ALL), b AS (SELECT c, comp FROM (SELECT *, row_number() OVER (PARTITION BY c ORDER BY k DESC, comp) AS i FROM n) WHERE i = 1) SELECT g.c AS case_id, x, CAST(y AS BIGINT) AS y, CAST(z AS BIGINT) AS z FROM gt_c g JOIN b USING (c, comp)""")
+@query(
+    f"""WITH RECURSIVE {_parts("gt")}, n AS (SELECT c, comp, count(*) AS k FROM gt_c GROUP BY ALL), b AS (SELECT c, comp FROM (SELECT *, row_number() OVER (PARTITION BY c ORDER BY k DESC, comp) AS i FROM n) WHERE i = 1) SELECT g.c AS case_id, x, CAST(y AS BIGINT) AS y, CAST(z AS BIGINT) AS z FROM gt_c g JOIN b USING (c, comp)"""
+)
 def voxel_largest_component(table):
     return V.largest_component(_gt(table), 6).withColumnRenamed("case", "case_id")
 
@@ -219,10 +266,14 @@ _ALL = " ".join(f"WHEN {v} THEN {k}" for k, v in enumerate(V.TISSUE_LABELS))
 _GROUPED = " ".join(f"WHEN {v} THEN {k}" for k, vs in V.TISSUE_GROUPS.items() for v in vs)
 
 
-@query(f"""WITH l AS (SELECT event_id, user_id % 64 AS label, value > 450 AS lesion FROM events) SELECT event_id, CAST(CASE WHEN lesion THEN {len(V.TISSUE_LABELS)} ELSE coalesce(CASE label {_ALL} END, 0) END AS BIGINT) AS every, CAST(CASE WHEN lesion THEN {1 + max(V.TISSUE_GROUPS)} ELSE coalesce(CASE label {_GROUPED} END, 0) END AS BIGINT) AS grouped FROM l""")
+@query(
+    f"""WITH l AS (SELECT event_id, user_id % 64 AS label, value > 450 AS lesion FROM events) SELECT event_id, CAST(CASE WHEN lesion THEN {len(V.TISSUE_LABELS)} ELSE coalesce(CASE label {_ALL} END, 0) END AS BIGINT) AS every, CAST(CASE WHEN lesion THEN {1 + max(V.TISSUE_GROUPS)} ELSE coalesce(CASE label {_GROUPED} END, 0) END AS BIGINT) AS grouped FROM l"""
+)
 def tissue_remap(table):
     rows = table("events").select("event_id", (F.col("user_id") % 64).alias("label"), (F.col("value") > 450).alias("lesion"))
-    return V.remap(V.remap(rows).withColumnRenamed("class", "every"), "grouped").select("event_id", "every", F.col("class").alias("grouped"))
+    return V.remap(
+        V.remap(rows).withColumnRenamed("class", "every"), "grouped",
+    ).select("event_id", "every", F.col("class").alias("grouped"))
 
 
 @query(f"""WITH s AS (SELECT {_PLACE}, max(value) / 600 AS p FROM events GROUP BY ALL), t AS (SELECT c, tx, ty, tz, tx * 1.37::DOUBLE + 0.21::DOUBLE AS sx, ty * 0.83::DOUBLE AS sy, tz * 0.43::DOUBLE AS sz FROM (SELECT DISTINCT c FROM s), range(0, 12) a(tx), range(0, 24) b(ty), range(0, 18) e(tz)),
@@ -230,14 +281,20 @@ n AS (SELECT *, floor(sx) + i AS x, floor(sy) + j AS y, floor(sz) + k AS z, (CAS
 SELECT c AS case_id, tx AS x, ty AS y, tz AS z, round(sum(w * p), 6) AS p FROM n JOIN s USING (c, x, y, z) WHERE w > 0 GROUP BY ALL HAVING sum(w * p) <> 0""")
 def voxel_linear(table):
     """Soft maps on a grid of other steps, by trilinear interpolation."""
-    place = [F.col("event_type").alias("case"), (F.col("user_id") % 20).cast("int").alias("x"), F.hour("ts").alias("y"), (F.dayofyear("ts") % 10).cast("int").alias("z")]
+    place = [
+        F.col("event_type").alias("case"), (F.col("user_id") % 20).cast("int").alias("x"), F.hour("ts").alias("y"),
+        (F.dayofyear("ts") % 10).cast("int").alias("z"),
+    ]
     soft = table("events").groupBy(*place).agg((F.max("value") / 600).alias("p"))
     m = F.array(*(F.lit(float(v)) for v in (1.37, 0, 0, 0.21, 0, 0.83, 0, 0, 0, 0, 0.43, 0)))
     grid = soft.select("case").distinct().select("case", F.lit(12).alias("nx"), F.lit(24).alias("ny"), F.lit(18).alias("nz"), m.alias("m"))
     return V.resample_linear(soft, grid).withColumnRenamed("case", "case_id")
 
 
-_RECORD = ("tp", "fp", "fn", "tn", "dice", "iou", "sensitivity", "specificity", "precision", "npv", "hd95", "assd", "masd", "surface_dice", "gt_count", "pred_count", "detected_gt", "tp_pred", "lesion_precision", "lesion_recall", "lesion_f1")
+_RECORD = (
+    "tp", "fp", "fn", "tn", "dice", "iou", "sensitivity", "specificity", "precision", "npv", "hd95", "assd", "masd", "surface_dice",
+    "gt_count", "pred_count", "detected_gt", "tp_pred", "lesion_precision", "lesion_recall", "lesion_f1",
+)
 
 
 def _record_sql() -> str:
@@ -272,26 +329,37 @@ def operating_points(table):
         for k in (1, 3):
             kept = V.drop_small(mask, k).withColumn("kept", F.lit(1)).select("case", "x", "y", "z", "kept")
             rows = mask.join(kept, ["case", "x", "y", "z"], "left").join(gt, ["case", "x", "y", "z"], "left")
-            one = rows.groupBy(F.lit(t).alias("threshold"), F.lit(k).alias("least"), F.col("case").alias("case_id")).agg(F.count("kept").alias("n_voxels"), F.count_if(F.col("kept").isNotNull() & F.col("hit").isNotNull()).alias("tp"))
+            one = rows.groupBy(F.lit(t).alias("threshold"), F.lit(k).alias("least"), F.col("case").alias("case_id")).agg(
+                F.count("kept").alias("n_voxels"), F.count_if(F.col("kept").isNotNull() & F.col("hit").isNotNull()).alias("tp"),
+            )
             out = one if out is None else out.unionByName(one)
     return out
 
 
-@query(f"""WITH {_MASKS} SELECT c AS case_id, CASE WHEN c = 'click' THEN NULL ELSE count(*) END AS n_voxels, CASE WHEN c = 'click' THEN NULL ELSE CAST(sum(x + 100 * y + 10000 * z) AS BIGINT) END AS places, c = 'click' AS failed FROM gt GROUP BY 1""")
+@query(
+    f"""WITH {_MASKS} SELECT c AS case_id, CASE WHEN c = 'click' THEN NULL ELSE count(*) END AS n_voxels, CASE WHEN c = 'click' THEN NULL ELSE CAST(sum(x + 100 * y + 10000 * z) AS BIGINT) END AS places, c = 'click' AS failed FROM gt GROUP BY 1"""
+)
 def volume_round_trip(table):
     """Masks as files and back; one file is cut short, becomes a row with its error, and the others go on."""
     files = sinks.encoded(_gt(table), _sizes(table))
     broken = F.when(F.col("case") == "click", F.substring("content", 1, 400)).otherwise(F.col("content"))
     rows = readers.decoded(files.select("case", F.lit("").alias("path"), broken.alias("content")), strict=False)
     place = F.col("x") + 100 * F.col("y") + 10000 * F.col("z")
-    return rows.groupBy(F.col("case").alias("case_id")).agg(F.nullif(F.count("p"), F.lit(0)).alias("n_voxels"), F.sum(place).alias("places"), F.max(F.col("error").isNotNull()).alias("failed"))
+    return rows.groupBy(F.col("case").alias("case_id")).agg(
+        F.nullif(F.count("p"), F.lit(0)).alias("n_voxels"), F.sum(place).alias("places"), F.max(F.col("error").isNotNull()).alias("failed"),
+    )
 
 
 @query(f"""WITH RECURSIVE {_MASKS}, s AS (SELECT {_PLACE}, max(value) / 600 AS p FROM events GROUP BY ALL), m AS (SELECT c, x, y, z FROM s WHERE p >= 0.7), {_components("m")}, n AS (SELECT c, comp, count(*) AS k FROM m_c GROUP BY ALL), kept AS (SELECT m_c.* FROM m_c JOIN n USING (c, comp) WHERE k >= 3)
 SELECT c AS case_id, count(*) FILTER (WHERE kept) AS n_served, round(avg(p) FILTER (WHERE kept), 6) AS mean_served, CASE WHEN count(*) FILTER (WHERE kept) = 0 THEN round(avg(p), 6) END AS flat FROM (SELECT s.*, k.c IS NOT NULL AS kept FROM s LEFT JOIN kept k ON k.c = s.c AND k.x = s.x AND k.y = s.y AND k.z = s.z) GROUP BY 1""")
 def served_requests(table):
     """Requests after post-processing: the voxels of components that are large enough at the threshold, or a flat map."""
-    place = [F.col("event_type").alias("request"), (F.col("user_id") % 20).cast("int").alias("x"), F.hour("ts").alias("y"), (F.dayofyear("ts") % 10).cast("int").alias("z")]
+    place = [
+        F.col("event_type").alias("request"), (F.col("user_id") % 20).cast("int").alias("x"), F.hour("ts").alias("y"),
+        (F.dayofyear("ts") % 10).cast("int").alias("z"),
+    ]
     out = jobs.serve(table("events").groupBy(*place).agg((F.max("value") / 600).alias("p")), "request", "p", 0.7, 3)
     served = F.when(F.col("x").isNotNull(), F.col("p"))
-    return out.groupBy(F.col("request").alias("case_id")).agg(F.count(served).alias("n_served"), F.avg(served).alias("mean_served"), F.max(F.when(F.col("x").isNull(), F.col("p"))).alias("flat"))
+    return out.groupBy(F.col("request").alias("case_id")).agg(
+        F.count(served).alias("n_served"), F.avg(served).alias("mean_served"), F.max(F.when(F.col("x").isNull(), F.col("p"))).alias("flat"),
+    )

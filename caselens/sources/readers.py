@@ -19,7 +19,9 @@ from ..operators.relational import duplicates, require_empty
 
 def listing(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
     """(path, length) of all files below a folder; contents are not read."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root).select("path", "length")
+    return spark.read.format("binaryFile").option(
+        "recursiveFileLookup", "true",
+    ).option("pathGlobFilter", glob).load(root).select("path", "length")
 
 
 def subjects(files: DataFrame, roles: dict[str, str], subject: str = r"/(sub-[^/]+)/") -> DataFrame:
@@ -31,7 +33,9 @@ def subjects(files: DataFrame, roles: dict[str, str], subject: str = r"/(sub-[^/
 def sessions(files: DataFrame, roles: dict[str, str], site: str = r"/(R\d+[^/]*)/") -> DataFrame:
     """The same by site, subject and session."""
     keys = {"site": site, "subject": r"/(sub-[^/]+)/", "session": r"/(ses-[^/]+)/"}
-    found = files.select("path", *(F.regexp_extract("path", p, 1).alias(k) for k, p in keys.items())).filter("site <> '' AND subject <> '' AND session <> ''")
+    found = files.select(
+        "path", *(F.regexp_extract("path", p, 1).alias(k) for k, p in keys.items()),
+    ).filter("site <> '' AND subject <> '' AND session <> ''")
     return found.groupBy(*keys).agg(*(F.min(F.when(F.col("path").rlike(p), F.col("path"))).alias(name) for name, p in roles.items()))
 
 
@@ -70,12 +74,18 @@ def csv(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame
 
 def csv_faults(spark: SparkSession, path: str) -> DataFrame:
     """(path, line, fault): repeated names in the header, and lines with too many or too few cells. Cells hold no line breaks."""
-    lines = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.posexplode(F.split(F.regexp_replace("value", r"\r?\n$", ""), r"\r?\n")).alias("line", "text"))
+    lines = spark.read.text(path, wholetext=True).select(
+        F.input_file_name().alias("path"), F.posexplode(F.split(F.regexp_replace("value", r"\r?\n$", ""), r"\r?\n")).alias("line", "text"),
+    )
     cells = F.size(F.split(F.regexp_replace("text", r'"[^"]*"', "q"), ","))
     counted = lines.withColumn("cells", cells)
     head = counted.filter("line = 0").select("path", F.col("cells").alias("wanted"), F.split("text", ",").alias("names"))
-    repeated = head.filter(F.size(F.array_distinct("names")) < F.size("names")).select("path", F.lit(0).alias("line"), F.lit("repeated name").alias("fault"))
-    uneven = counted.filter("line > 0").join(F.broadcast(head), "path").filter("cells <> wanted").select("path", "line", F.when(F.col("cells") > F.col("wanted"), "too many cells").otherwise("too few cells").alias("fault"))
+    repeated = head.filter(F.size(F.array_distinct("names")) < F.size("names")).select(
+        "path", F.lit(0).alias("line"), F.lit("repeated name").alias("fault"),
+    )
+    uneven = counted.filter("line > 0").join(F.broadcast(head), "path").filter("cells <> wanted").select(
+        "path", "line", F.when(F.col("cells") > F.col("wanted"), "too many cells").otherwise("too few cells").alias("fault"),
+    )
     return repeated.unionByName(uneven)
 
 
@@ -102,42 +112,61 @@ def shards(spark: SparkSession, path: str, row_schema: str, shard_count: int | N
 def case_list(spark: SparkSession, path: str, suffix: str = "") -> DataFrame:
     """Distinct ids of a list file: trimmed, without blanks, comments and a suffix."""
     text = F.trim("value")
-    return spark.read.text(path).select(text.alias("id")).filter("id <> '' AND NOT startswith(id, '#')").select(F.regexp_replace("id", f"{suffix}$", "").alias("id") if suffix else F.col("id")).distinct()
+    return spark.read.text(path).select(text.alias("id")).filter("id <> '' AND NOT startswith(id, '#')").select(
+        F.regexp_replace("id", f"{suffix}$", "").alias("id") if suffix else F.col("id")
+    ).distinct()
 
 
 def git_log(spark: SparkSession, path: str) -> DataFrame:
     """Commits from a log of NUL-separated sha, date and subject; a broken log fails."""
     parts = F.split(F.regexp_replace("value", r"\x00?\n?$", ""), r"\x00\n?")
     table = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("repo"), parts.alias("p"))
-    whole = table.withColumn("p", F.when(F.size("p") % 3 == 0, F.col("p")).otherwise(F.raise_error(F.lit("broken log")).cast("array<string>")))
-    return whole.select("repo", F.explode(F.sequence(F.lit(0), F.expr("size(p) div 3 - 1").cast("int"))).alias("i"), "p").select("repo", F.col("p")[F.col("i") * 3].alias("sha"), F.to_timestamp(F.col("p")[F.col("i") * 3 + 1]).alias("ts"), F.col("p")[F.col("i") * 3 + 2].alias("subject"))
+    whole = table.withColumn(
+        "p", F.when(F.size("p") % 3 == 0, F.col("p")).otherwise(F.raise_error(F.lit("broken log")).cast("array<string>")),
+    )
+    return whole.select("repo", F.explode(F.sequence(F.lit(0), F.expr("size(p) div 3 - 1").cast("int"))).alias("i"), "p").select(
+        "repo", F.col("p")[F.col("i") * 3].alias("sha"), F.to_timestamp(F.col("p")[F.col("i") * 3 + 1]).alias("ts"),
+        F.col("p")[F.col("i") * 3 + 2].alias("subject"),
+    )
 
 
 def name_status(spark: SparkSession, path: str) -> DataFrame:
     """(repo, status, path) from NUL-separated pairs, without deletions."""
     parts = F.split(F.regexp_replace("value", r"\x00?\n?$", ""), r"\x00")
     table = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("repo"), parts.alias("p"))
-    rows = table.select("repo", F.explode(F.sequence(F.lit(0), F.expr("size(p) div 2 - 1").cast("int"))).alias("i"), "p").select("repo", F.col("p")[(F.col("i") * 2).cast("int")].alias("status"), F.col("p")[(F.col("i") * 2 + 1).cast("int")].alias("path"))
+    rows = table.select("repo", F.explode(F.sequence(F.lit(0), F.expr("size(p) div 2 - 1").cast("int"))).alias("i"), "p").select(
+        "repo", F.col("p")[(F.col("i") * 2).cast("int")].alias("status"), F.col("p")[(F.col("i") * 2 + 1).cast("int")].alias("path"),
+    )
     return rows.filter(~F.col("status").startswith("D"))
 
 
 def case_metadata(df: DataFrame, text: str) -> DataFrame:
     """CENTER, CHRONICITY and DAYS_POST_STROKE of JSON texts; NULLs for broken ones."""
-    return df.withColumn("__m", F.from_json(text, "CENTER string, CHRONICITY double, DAYS_POST_STROKE double", {"mode": "PERMISSIVE"})).select("*", "__m.*").drop("__m")
+    return df.withColumn(
+        "__m", F.from_json(text, "CENTER string, CHRONICITY double, DAYS_POST_STROKE double", {"mode": "PERMISSIVE"}),
+    ).select("*", "__m.*").drop("__m")
 
 
 def summary_rows(spark: SparkSession, path: str, label: str = "1") -> DataFrame:
     """A flat row for each case of nested summaries {metric_per_case: [{prediction_file, metrics: {label: {...}}}]}."""
     schema = "metric_per_case array<struct<prediction_file string, metrics map<string, struct<Dice double, IoU double, TP double, FP double, FN double, TN double>>>>"
     cases = json_documents(spark, path, schema).select(F.explode("metric_per_case").alias("c"))
-    return cases.select(F.col("c.prediction_file").alias("path"), F.col("c.metrics")[label].alias("m")).filter("m IS NOT NULL").select("path", *(F.nanvl(f"m.{k}", F.lit(None).cast("double")).alias(k.lower()) for k in ("Dice", "IoU", "TP", "FP", "FN", "TN")))
+    return cases.select(F.col("c.prediction_file").alias("path"), F.col("c.metrics")[label].alias("m")).filter("m IS NOT NULL").select(
+        "path", *(F.nanvl(f"m.{k}", F.lit(None).cast("double")).alias(k.lower()) for k in ("Dice", "IoU", "TP", "FP", "FN", "TN")),
+    )
 
 
 def split_document(spark: SparkSession, path: str) -> DataFrame:
     """(fold, subset, case) of a list of {train, val}; a case in two folds' val is an error."""
     folds = F.from_json("value", "array<struct<train array<string>, val array<string>>>")
-    rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.coalesce(folds, F.from_json("value", "folds array<struct<train array<string>, val array<string>>>")["folds"])).alias("fold", "f"))
-    out = rows.select("fold", F.lit("train").alias("subset"), F.explode("f.train").alias("case")).unionByName(rows.select("fold", F.lit("val").alias("subset"), F.explode("f.val").alias("case")))
+    rows = spark.read.text(path, wholetext=True).select(
+        F.posexplode(
+            F.coalesce(folds, F.from_json("value", "folds array<struct<train array<string>, val array<string>>>")["folds"])
+        ).alias("fold", "f")
+    )
+    out = rows.select("fold", F.lit("train").alias("subset"), F.explode("f.train").alias("case")).unionByName(
+        rows.select("fold", F.lit("val").alias("subset"), F.explode("f.val").alias("case"))
+    )
     require_empty(duplicates(out.filter("subset = 'val'"), ["case"]), "cases that several folds validate on")
     return out
 
@@ -211,7 +240,10 @@ def decode_mha(raw: bytes) -> tuple[np.ndarray, list[float]]:
     shape = [int(x) for x in head["DimSize"].split()]
     if len(shape) != 3 or head["ElementDataFile"] != "LOCAL":
         raise ValueError(f"not a 3-D volume in one file: {shape}")
-    kind = {"MET_UCHAR": "u1", "MET_CHAR": "i1", "MET_SHORT": "i2", "MET_USHORT": "u2", "MET_INT": "i4", "MET_UINT": "u4", "MET_FLOAT": "f4", "MET_DOUBLE": "f8"}[head["ElementType"]]
+    kind = {
+        "MET_UCHAR": "u1", "MET_CHAR": "i1", "MET_SHORT": "i2", "MET_USHORT": "u2", "MET_INT": "i4", "MET_UINT": "u4", "MET_FLOAT": "f4",
+        "MET_DOUBLE": "f8",
+    }[head["ElementType"]]
     order = ">" if head.get("BinaryDataByteOrderMSB", "False").lower() == "true" else "<"
     body = zlib.decompress(raw[at:]) if head.get("CompressedData", "False").lower() == "true" else raw[at:]
     data = np.frombuffer(body, np.dtype(order + kind), int(np.prod(shape))).reshape(shape, order="F")
@@ -273,7 +305,9 @@ def decoded(files: DataFrame, least: float = 0.0, strict: bool = True, low: floa
                 except Exception as e:  # whatever a broken file leads to
                     if strict:
                         raise ValueError(f"{case}: {e}") from e
-                    yield pd.DataFrame({"case": [case], "x": [None], "y": [None], "z": [None], "p": [None], "error": [f"{type(e).__name__}: {e}"]})
+                    yield pd.DataFrame(
+                        {"case": [case], "x": [None], "y": [None], "z": [None], "p": [None], "error": [f"{type(e).__name__}: {e}"]}
+                    )
                     continue
                 at = np.nonzero(data > least)
                 yield pd.DataFrame({"case": case, **{a: c.astype("int32") for a, c in zip("xyz", at)}, "p": data[at].astype("float64"), "error": None})
@@ -291,7 +325,9 @@ def voxels(spark: SparkSession, root: str, case: str, least: float = 0.0, glob:
     return decoded(_files(spark, root, case, glob), least).drop("error")
 
 
-def voxels_or_errors(spark: SparkSession, root: str, case: str, least: float = 0.0, glob: str = "*.nii*", low: float | None = None, high: float | None = None) -> DataFrame:
+def voxels_or_errors(
+    spark: SparkSession, root: str, case: str, least: float = 0.0, glob: str = "*.nii*", low: float | None = None, high: float | None = None,
+) -> DataFrame:
     """The same with ``error``: a file that can't be read is one row with the reason."""
     return decoded(_files(spark, root, case, glob), least, False, low, high)
 
@@ -307,7 +343,9 @@ def grids(spark: SparkSession, root: str, case: str, glob: str = "*.nii*") -> Da
                 found.append((name, *data.shape, *sizes, None if path.endswith(tuple(_DECODERS)) else affine(content)))
             yield pd.DataFrame(found, columns=["case", "nx", "ny", "nz", "vx", "vy", "vz", "affine"])
 
-    return _files(spark, root, case, glob).mapInPandas(rows, "case string, nx int, ny int, nz int, vx double, vy double, vz double, affine array<double>")
+    return _files(spark, root, case, glob).mapInPandas(
+        rows, "case string, nx int, ny int, nz int, vx double, vy double, vz double, affine array<double>",
+    )
 
 
 def select_folds(df: DataFrame, text: str, fold: str = "fold", n_folds: int = 5) -> DataFrame:

@@ -107,7 +107,12 @@ def append_shard(df: DataFrame, path: str, shard: int) -> None:
 
 def write_leaderboard(df: DataFrame, path: str, incomplete: list[str] = ()) -> None:
     """A small table as one CSV file, its cells quoted where needed, below a line that names what is missing from it."""
-    cell = lambda c: F.when(F.col(c).isNull(), "").otherwise(F.when(F.col(c).cast("string").rlike('[",\\r\\n]'), F.concat(F.lit('"'), F.replace(F.col(c).cast("string"), F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(F.col(c).cast("string")))
+    cell = lambda c: F.when(F.col(c).isNull(), "").otherwise(
+        F.when(
+            F.col(c).cast("string").rlike('[",\\r\\n]'),
+            F.concat(F.lit('"'), F.replace(F.col(c).cast("string"), F.lit('"'), F.lit('""')), F.lit('"')),
+        ).otherwise(F.col(c).cast("string"))
+    )
     lines = [r[0] for r in df.select(F.concat_ws(",", *map(cell, df.columns))).toLocalIterator()]
     banner = [f"# INCOMPLETE: {', '.join(incomplete)}"] if incomplete else []
     write_text(df.sparkSession, path, "\r\n".join([*banner, ",".join(df.columns), *lines, ""]))
@@ -116,7 +121,10 @@ def write_leaderboard(df: DataFrame, path: str, incomplete: list[str] = ()) -> N
 def write_report(report: dict[str, DataFrame], path: str) -> None:
     """One pretty JSON document of small tables, each a list of rows; numbers that are not finite are null."""
     spark = next(iter(report.values())).sparkSession
-    body = {name: [json.loads(r[0]) for r in finite_columns(df).select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"})).toLocalIterator()] for name, df in report.items()}
+    body = {
+        name: [json.loads(r[0]) for r in finite_columns(df).select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"})).toLocalIterator()] for name,
+        df in report.items()
+    }
     write_text(spark, path, json.dumps(body, indent=2, sort_keys=True))
 
 

@@ -16,13 +16,17 @@ def read_files(spark: SparkSession, path: str, schema, file_format: str = "parqu
 def tumbling(events: DataFrame, ts: str, width: str, late: str, keys: list[str], value: str, slide: str | None = None) -> DataFrame:
     """Counts and sums by window and keys; rows later than the watermark are dropped. Works on streams and tables alike."""
     marked = events.withWatermark(ts, late) if events.isStreaming else events
-    return marked.groupBy(F.window(ts, width, slide) if slide else F.window(ts, width), *keys).agg(F.count("*").alias("n"), F.sum(value).alias("total")).select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), *keys, "n", "total")
+    return marked.groupBy(F.window(ts, width, slide) if slide else F.window(ts, width), *keys).agg(F.count("*").alias("n"), F.sum(value).alias("total")).select(
+        F.col("window.start").alias("start"), F.col("window.end").alias("end"), *keys, "n", "total",
+    )
 
 
 def session_windows(events: DataFrame, ts: str, gap: str, late: str, keys: list[str]) -> DataFrame:
     """Sessions of each key that end after a gap."""
     marked = events.withWatermark(ts, late) if events.isStreaming else events
-    return marked.groupBy(F.session_window(ts, gap), *keys).agg(F.count("*").alias("n")).select(F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), *keys, "n")
+    return marked.groupBy(F.session_window(ts, gap), *keys).agg(F.count("*").alias("n")).select(
+        F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), *keys, "n",
+    )
 
 
 def incremental(source: DataFrame, target: str, checkpoint: str, key: str, transform: Callable[[DataFrame], DataFrame]) -> StreamingQuery:

@@ -18,8 +18,13 @@ def test_scalars(spark):
     assert one(spark, S.ratio(lit(1), lit(0))) is None and one(spark, S.harmonic(lit(0.0), lit(0.0))) == 0.0
     assert [one(spark, S.parse_float(lit(x))) for x in (" 1.5 ", "N/A", "NaN", "inf", "x", "")] == [1.5, None, None, None, None, None]
     assert [one(spark, S.parse_bool(lit(x))) for x in ("Yes", "1.0", "f", "?")] == [True, True, False, None]
-    assert [one(spark, S.range_bin(lit(x))) for x in (0, 9, 10, 9999, 10000, -1)] == ["tiny_<10", "tiny_<10", "small_10-100", "large_1k-10k", "huge_>=10k", "unknown"]
-    assert [tuple(one(spark, S.chronicity(lit(d).cast("double"), lit(f).cast("double")))) for d, f in ((5, None), (180, 0), (0, 1), (None, None))] == [("lt180d", "days_post_stroke"), ("ge180d", "days_post_stroke"), ("ge180d", "chronicity_flag"), ("unknown", "")]
+    assert [one(spark, S.range_bin(lit(x))) for x in (0, 9, 10, 9999, 10000, -1)] == [
+        "tiny_<10", "tiny_<10", "small_10-100", "large_1k-10k", "huge_>=10k", "unknown",
+    ]
+    assert [
+        tuple(one(spark, S.chronicity(lit(d).cast("double"), lit(f).cast("double")))) for d,
+        f in ((5, None), (180, 0), (0, 1), (None, None))
+    ] == [("lt180d", "days_post_stroke"), ("ge180d", "days_post_stroke"), ("ge180d", "chronicity_flag"), ("unknown", "")]
     assert one(spark, S.chronicity(lit(-4.0), lit(1.0), legacy=True)["bin"]) == "unknown"
     name = S.config_name(lit(0.35), lit(20))
     assert (one(spark, name), one(spark, S.config_threshold(name)), one(spark, S.config_least(name))) == ("thr0.35_k20", 0.35, 20)
@@ -42,13 +47,18 @@ def test_overlap_of_empty_masks(spark):
 
 
 def test_detection_with_nothing_to_find(spark):
-    counts = spark.createDataFrame([(0, 0, 0, 0), (0, 2, 0, 0), (2, 0, 0, 0)], "gt_count long, pred_count long, detected_gt long, tp_pred long")
+    counts = spark.createDataFrame(
+        [(0, 0, 0, 0), (0, 2, 0, 0), (2, 0, 0, 0)], "gt_count long, pred_count long, detected_gt long, tp_pred long",
+    )
     assert [(r.lesion_precision, r.lesion_recall, r.lesion_f1) for r in metrics.detection(counts).collect()] == [(None, None, 1.0), (0.0, None, 0.0), (None, 0.0, 0.0)]
     assert [(r.lesion_precision, r.lesion_recall) for r in metrics.detection(counts, vacuous=True).collect()] == [(1.0, 1.0), (0.0, 1.0), (0.0, 0.0)]
 
 
 def test_pr_auc_does_not_change_under_monotone_maps(spark):
-    rows = spark.range(500).select(F.lit("a").alias("k"), (F.pmod(F.xxhash64("id"), F.lit(97)) / 97.0).alias("s"), (F.pmod(F.xxhash64("id", F.lit(1)), F.lit(4)) == 0).alias("t"))
+    rows = spark.range(500).select(
+        F.lit("a").alias("k"), (F.pmod(F.xxhash64("id"), F.lit(97)) / 97.0).alias("s"),
+        (F.pmod(F.xxhash64("id", F.lit(1)), F.lit(4)) == 0).alias("t"),
+    )
     value = lambda df: metrics.pr_auc(df, ["k"], "s", F.col("t")).first().pr_auc
     assert math.isclose(value(rows), value(rows.withColumn("s", F.exp("s") * 3)))
     assert value(rows.withColumn("t", F.lit(False))) == 0.0 and value(rows.withColumn("t", F.lit(False)).withColumn("s", F.lit(0.5))) == 1.0
@@ -74,7 +84,9 @@ def test_guards(spark):
 
 def test_folds_are_even_whole_and_stable(spark):
     sizes = [31, 3, 9, 14, 2, 7, 5, 11, 1, 8, 4, 4]
-    cases = spark.createDataFrame([(f"{g}-{k}", f"g{g:02d}", "ab"[k % 2]) for g, n in enumerate(sizes) for k in range(n)], "case string, center string, bin string")
+    cases = spark.createDataFrame(
+        [(f"{g}-{k}", f"g{g:02d}", "ab"[k % 2]) for g, n in enumerate(sizes) for k in range(n)], "case string, center string, bin string",
+    )
     profiles = splits.group_profiles(cases, "center", {"bin": ["a", "b"]})
     found = splits.assign_folds(profiles, "center", 5, restarts=6)
     again = splits.assign_folds(profiles.repartition(3), "center", 5, restarts=6)
@@ -97,7 +109,9 @@ def test_gates_and_decisions(spark):
     arms = spark.createDataFrame([("x", 0.1, 3.0), ("y", 0.2, 2.0), ("z", -0.1, 1.0)], "arm string, gain double, cost double")
     rows = {r.arm: r for r in selection.decide(arms, "arm", [("no gain", F.col("gain") > 0)], "cost").collect()}
     assert rows["y"].chosen and not rows["x"].chosen and rows["z"].decision == "REJECT" and rows["z"].reasons == "no gain"
-    assert one(spark, selection.promotion(F.lit(0.02), F.lit(0.0), F.lit(-0.005))) and not one(spark, selection.promotion(F.lit(0.5), F.lit(0.0), F.lit(-0.006)))
+    assert one(
+        spark, selection.promotion(F.lit(0.02), F.lit(0.0), F.lit(-0.005)),
+    ) and not one(spark, selection.promotion(F.lit(0.5), F.lit(0.0), F.lit(-0.006)))
 
 
 def test_ensembles(spark):
@@ -117,7 +131,9 @@ def test_ranks_and_picks(spark):
     rows = spark.createDataFrame([(i, float(v)) for i, v in enumerate([3, 1, 1, 7, 9])], "id int, v double")
     assert {r.id: r["rank"] for r in rows.withColumn("rank", ranking.average_rank([], F.col("v"))).collect()} == {0: 3.0, 1: 1.5, 2: 1.5, 3: 4.0, 4: 5.0}
     roles = ranking.representative(spark.range(10).select("id", F.col("id").cast("double").alias("v")), "v", "id").collect()
-    assert sorted((r.id, r.role) for r in roles) == [(0, "worst"), (1, "worst"), (2, "worst"), (4, "middle"), (5, "middle"), (8, "best"), (9, "best")]
+    assert sorted((r.id, r.role) for r in roles) == [
+        (0, "worst"), (1, "worst"), (2, "worst"), (4, "middle"), (5, "middle"), (8, "best"), (9, "best"),
+    ]
     assert {r["quantile"]: r.id for r in ranking.quantile_nearest(rows, "v", "id", (0.6, 1.0)).collect()} == {0.6: 0, 1.0: 4}
     near = ranking.nearest(spark.createDataFrame([(1, 0.4), (1, 0.6)], "k int, t double"), ["k"], "t", F.lit(0.5), "t")
     assert near.first().t == 0.4
@@ -125,7 +141,10 @@ def test_ranks_and_picks(spark):
 
 
 def test_graphs(spark):
-    nodes = spark.createDataFrame([("a", None, ["x"], "ok"), ("b", "a", ["x", "y"], "ok"), ("c", "d", ["y"], "old"), ("d", "c", [], "ok"), ("e", "zz", ["y"], "ok")], "id string, parent string, lenses array<string>, status string")
+    nodes = spark.createDataFrame(
+        [("a", None, ["x"], "ok"), ("b", "a", ["x", "y"], "ok"), ("c", "d", ["y"], "old"), ("d", "c", [], "ok"), ("e", "zz", ["y"], "ok")],
+        "id string, parent string, lenses array<string>, status string",
+    )
     edges = spark.createDataFrame([("e1", "a", "b"), ("e2", "b", "nope")], "id string, source string, target string")
     assert {tuple(r) for r in graph.dangling(nodes, edges).collect()} == {("no target", "e2"), ("no parent", "e")}
     assert {r.id for r in graph.cyclic(nodes).collect()} == {"c", "d"}
@@ -167,8 +186,12 @@ def test_components_equal_union_find(spark):
 def test_numbers_follow_the_order(spark):
     rows = spark.range(1000).select("id", F.pmod(F.xxhash64("id"), F.lit(7)).alias("v")).repartition(5)
     got = sorted((r["__i"], r.v, r.id) for r in ranking.numbered(rows, [F.col("v").desc(), F.col("id")]).collect())
-    assert [(v, i) for _, v, i in got] == sorted(((v, i) for _, v, i in got), key=lambda x: (-x[0], x[1])) and [k for k, _, _ in got] == list(range(1000))
-    steps = spark.createDataFrame([("a", 1, 0.5), ("a", 2, 0.7), ("a", 3, 0.7), ("a", 4, float("nan")), ("b", 1, None)], "k string, step int, v double")
+    assert [(v, i) for _, v, i in got] == sorted(
+        ((v, i) for _, v, i in got), key=lambda x: (-x[0], x[1]),
+    ) and [k for k, _, _ in got] == list(range(1000))
+    steps = spark.createDataFrame(
+        [("a", 1, 0.5), ("a", 2, 0.7), ("a", 3, 0.7), ("a", 4, float("nan")), ("b", 1, None)], "k string, step int, v double",
+    )
     assert [(r.k, r.step) for r in ranking.best_so_far(steps, ["k"], "step", "v").collect()] == [("a", 2)]
 
 
@@ -196,15 +219,26 @@ def test_contained_texts_equal_a_plain_search(spark):
     items = [cut(t) for t in texts if t] + ["one two three four five", "zz", " ", None]
     docs = [*enumerate(texts), (100, "one two three four five"), (101, "x one two three four fives")]
     want = {(d, i) for d, t in docs for i, x in enumerate(items) if t is not None and x is not None and x in t}
-    got = contained(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([*enumerate(items)], "item_id long, text string"), "doc_id", "item_id")
+    got = contained(
+        spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([*enumerate(items)], "item_id long, text string"),
+        "doc_id", "item_id",
+    )
     assert {tuple(r) for r in got.collect()} == want and {d for d, _ in want} >= {100, 101}
 
 
 def test_models_over_folds(spark):
-    rows = spark.range(240).select((F.col("id") % 20).cast("double").alias("x"), (F.col("id") % 4).cast("int").alias("fold"), F.when(F.col("id") % 20 < 7, "low").when(F.col("id") % 20 < 14, "mid").otherwise("high").alias("config"))
-    found = selection.nested_predictions(rows, "fold", lambda train: selection.fit_configuration(train, ["x"], "config"), ["predicted_config"])
+    rows = spark.range(240).select(
+        (F.col("id") % 20).cast("double").alias("x"), (F.col("id") % 4).cast("int").alias("fold"),
+        F.when(F.col("id") % 20 < 7, "low").when(F.col("id") % 20 < 14, "mid").otherwise("high").alias("config"),
+    )
+    found = selection.nested_predictions(
+        rows, "fold", lambda train: selection.fit_configuration(train, ["x"], "config"), ["predicted_config"],
+    )
     assert found.count() == 240 and found.filter("config = predicted_config").count() > 200
-    cells = spark.createDataFrame([(f, s, c, float(v)) for f in (0, 1) for s, c, v in ((1, "a", 3), (1, "b", 1), (9, "a", 1), (9, "b", 2))], "fold int, size int, config string, v double")
+    cells = spark.createDataFrame(
+        [(f, s, c, float(v)) for f in (0, 1) for s, c, v in ((1, "a", 3), (1, "b", 1), (9, "a", 1), (9, "b", 2))],
+        "fold int, size int, config string, v double",
+    )
     assert {tuple(r) for r in selection.best_below_and_above(cells, "fold", "size", 5, "config", "v").collect()} == {(0, "a", "b"), (1, "a", "b")}
 
 
@@ -213,7 +247,9 @@ def test_shared_folder_is_asked_for_on_a_cluster(spark):
 
     from caselens import storage
 
-    bare = lambda master: SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None, set=lambda *a: None), sparkContext=SimpleNamespace(master=master, applicationId="x"))
+    bare = lambda master: SimpleNamespace(
+        conf=SimpleNamespace(get=lambda *a: None, set=lambda *a: None), sparkContext=SimpleNamespace(master=master, applicationId="x"),
+    )
     for master in ("yarn", "spark://h:7077", "local-cluster[2,1,1024]", "k8s://x"):
         with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
             storage.shared_dir(bare(master))
@@ -230,5 +266,8 @@ def test_quantiles_are_exact(spark):
     got = {r.k: tuple(r)[1:] for r in reports.quantiles(df, ["k"], "v", at, [f"q{i}" for i in range(5)]).collect()}
     want = {k: np.quantile([v for x, v in rows if x == k and v is not None], at) for k in ("a", "b", None, "one")}
     assert set(got) == set(want) and all(np.allclose(got[k], want[k]) for k in want)
-    assert np.allclose(tuple(reports.quantiles(df, [], "v", at, [f"q{i}" for i in range(5)]).first()), np.quantile([v for _, v in rows if v is not None], at))
+    assert np.allclose(
+        tuple(reports.quantiles(df, [], "v", at, [f"q{i}" for i in range(5)]).first()),
+        np.quantile([v for _, v in rows if v is not None], at),
+    )
     assert {r.k: r.n for r in reports.profile(df, ["k"], "v").collect()}["none"] == 0

@@ -38,7 +38,11 @@ def test_text_formats(spark, tmp_path):
     assert {r.id for r in R.case_list(spark, str(tmp_path / "ids.txt"), r"\.nii").collect()} == {"a", "b"}
     (tmp_path / "shards").mkdir()
     for k in range(2):
-        (tmp_path / "shards" / f"s{k}.json").write_text(json.dumps({"shard_index": k, "shard_count": 2, "rows": [{"id": k, "dice": float("nan") if k else 0.5}], "errors": {f"e{k}": "bad"}}))
+        (tmp_path / "shards" / f"s{k}.json").write_text(
+            json.dumps(
+                {"shard_index": k, "shard_count": 2, "rows": [{"id": k, "dice": float("nan") if k else 0.5}], "errors": {f"e{k}": "bad"}}
+            )
+        )
     rows, errors = R.shards(spark, str(tmp_path / "shards"), "id int, dice double", 2)
     assert rows.count() == 2 and errors.count() == 2
     with pytest.raises(ValueError):
@@ -69,7 +73,9 @@ def test_volumes_round_trip(spark, tmp_path):
     (tmp_path / "C1.nii").write_bytes(R.encode_nifti(data, (1.0, 2.0, 3.0)))
     rows = R.voxels(spark, str(tmp_path), r"(C\d)\.nii").collect()
     assert {(r.case, r.x, r.y, r.z, round(r.p, 4)) for r in rows} == {("C1", 1, 2, 3, 0.5), ("C1", 0, 0, 4, 0.9)}
-    assert tuple(R.grids(spark, str(tmp_path), r"(C\d)\.nii").first()) == ("C1", 3, 4, 5, 1.0, 2.0, 3.0, [1.0, 0, 0, 0, 0, 2.0, 0, 0, 0, 0, 3.0, 0])
+    assert tuple(R.grids(spark, str(tmp_path), r"(C\d)\.nii").first()) == (
+        "C1", 3, 4, 5, 1.0, 2.0, 3.0, [1.0, 0, 0, 0, 0, 2.0, 0, 0, 0, 0, 3.0, 0],
+    )
 
 
 def test_other_formats_and_broken_files(spark, tmp_path):
@@ -79,7 +85,9 @@ def test_other_formats_and_broken_files(spark, tmp_path):
     data = np.arange(24, dtype="<i2").reshape((2, 3, 4), order="F")
     head = "ObjectType = Image\nNDims = 3\nDimSize = 2 3 4\nElementSpacing = 1 2 3\nElementType = MET_SHORT\n"
     (tmp_path / "C1.mha").write_bytes(f"{head}ElementDataFile = LOCAL\n".encode() + data.tobytes(order="F"))
-    (tmp_path / "C2.mha").write_bytes(f"{head}CompressedData = True\nElementDataFile = LOCAL\n".encode() + zlib.compress(data.tobytes(order="F")))
+    (tmp_path / "C2.mha").write_bytes(
+        f"{head}CompressedData = True\nElementDataFile = LOCAL\n".encode() + zlib.compress(data.tobytes(order="F"))
+    )
     (tmp_path / "C3.mha").write_bytes(f"{head}ElementDataFile = LOCAL\n".encode() + b"\0\0")
     p = np.zeros((2, 4, 3, 2), np.float32)
     p[1, 3, 2, 1] = 0.75
@@ -101,7 +109,10 @@ def test_other_formats_and_broken_files(spark, tmp_path):
 
 def test_volumes_on_the_callers_grid(spark, tmp_path):
     voxels = spark.createDataFrame([("A", 0, 1, 2), ("A", 1, 1, 1), ("B", 0, 0, 0)], "case string, x int, y int, z int")
-    grid = spark.createDataFrame([(c, 2, 3, 4, 1.0, 1.5, 2.0, [float(v) for v in (1, 0, 0, 4, 0, 1.5, 0, 5, 0, 0, 2, 6)]) for c in "ABC"], "case string, nx int, ny int, nz int, vx double, vy double, vz double, affine array<double>")
+    grid = spark.createDataFrame(
+        [(c, 2, 3, 4, 1.0, 1.5, 2.0, [float(v) for v in (1, 0, 0, 4, 0, 1.5, 0, 5, 0, 0, 2, 6)]) for c in "ABC"],
+        "case string, nx int, ny int, nz int, vx double, vy double, vz double, affine array<double>",
+    )
     (tmp_path / "old.nii").write_bytes(b"stale")
     sinks.write_volumes(voxels, grid, f"file://{tmp_path}")
     assert sorted(p.name for p in tmp_path.glob("*.nii")) == ["A.nii", "B.nii", "C.nii"]
@@ -116,7 +127,9 @@ def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([(2, float("nan")), (1, 0.5)], "id int, v double")
     sinks.write_json(df, str(tmp_path / "j"), ["id"])
     assert [json.loads(x) for p in sorted((tmp_path / "j").glob("part*")) for x in p.read_text().splitlines()] == [{"id": 1, "v": 0.5}, {"id": 2, "v": None}]
-    assert json.loads(sinks.document(sinks.finite_columns(df), "rows", ["id"]).first().document) == {"rows": [{"id": 1, "v": 0.5}, {"id": 2, "v": None}]}
+    assert json.loads(
+        sinks.document(sinks.finite_columns(df), "rows", ["id"]).first().document
+    ) == {"rows": [{"id": 1, "v": 0.5}, {"id": 2, "v": None}]}
     sinks.write_new(df, str(tmp_path / "n"))
     with pytest.raises(Exception, match="exists"):
         sinks.write_new(df, str(tmp_path / "n"))
@@ -149,7 +162,9 @@ def test_streams(spark, tmp_path):
     events = spark.read.parquet("/root/testdata/sf0.001/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
     events.repartition(3).write.parquet(str(tmp_path / "in"))
     stream = jobs.read_files(spark, str(tmp_path / "in"), events.schema, files_per_trigger=1)
-    q = jobs.tumbling(stream, "ts", "6 hours", "1000 days", ["event_type"], "value").writeStream.outputMode("complete").format("memory").queryName("tumbling_out").start()
+    q = jobs.tumbling(
+        stream, "ts", "6 hours", "1000 days", ["event_type"], "value",
+    ).writeStream.outputMode("complete").format("memory").queryName("tumbling_out").start()
     q.processAllAvailable()
     q.stop()
     want = {tuple(r)[:4] for r in jobs.tumbling(events, "ts", "6 hours", "1 hour", ["event_type"], "value").collect()}
@@ -158,7 +173,9 @@ def test_streams(spark, tmp_path):
         source = jobs.read_files(spark, str(tmp_path / "in"), events.schema)
         jobs.incremental(source, str(tmp_path / "out"), str(tmp_path / "cp"), "event_id", lambda b: b.select("event_id")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == events.count()
-    events.limit(5).unionByName(events.limit(1).withColumn("event_id", F.lit(-1).cast("bigint"))).write.mode("append").parquet(str(tmp_path / "in"))
+    events.limit(5).unionByName(
+        events.limit(1).withColumn("event_id", F.lit(-1).cast("bigint"))
+    ).write.mode("append").parquet(str(tmp_path / "in"))
     source = jobs.read_files(spark, str(tmp_path / "in"), events.schema)
     jobs.incremental(source, str(tmp_path / "out"), str(tmp_path / "cp"), "event_id", lambda b: b.select("event_id")).awaitTermination()
     out = spark.read.parquet(str(tmp_path / "out"))
@@ -166,12 +183,20 @@ def test_streams(spark, tmp_path):
 
 
 def test_episodes(spark):
-    rows = [("r", "a", "2026-01-01", "Alpha thing", ["x/1"]), ("r", "b", "2026-01-02", "Other", ["y/1"]), ("r", "c", "2026-01-03", "Third", ["z/1"]), ("r", "d", "2026-01-04", "Third again", ["q/1"]), ("r", "e", "2026-02-01", "Fix third", ["q/1"])]
-    commits = spark.createDataFrame(rows, "repo string, sha string, ts string, subject string, files array<string>").withColumn("ts", F.to_timestamp("ts"))
+    rows = [
+        ("r", "a", "2026-01-01", "Alpha thing", ["x/1"]), ("r", "b", "2026-01-02", "Other", ["y/1"]),
+        ("r", "c", "2026-01-03", "Third", ["z/1"]), ("r", "d", "2026-01-04", "Third again", ["q/1"]),
+        ("r", "e", "2026-02-01", "Fix third", ["q/1"]),
+    ]
+    commits = spark.createDataFrame(
+        rows, "repo string, sha string, ts string, subject string, files array<string>",
+    ).withColumn("ts", F.to_timestamp("ts"))
     found = provenance.episodes(commits)
     assert {r.sha: r.episode for r in found.collect()} == {"a": 0, "b": 0, "c": 1, "d": 1, "e": 2}
     nodes = provenance.episode_nodes(commits, found)
     assert {(r.episode, r.kind, r.n_commits) for r in nodes.collect()} == {(0, "artifact", 2), (1, "artifact", 2), (2, "correction", 1)}
     assert provenance.episode_edges(nodes).count() == 2
     assert {(r.path, r.sha) for r in provenance.last_touch(commits).collect()} >= {("q/1", "e"), ("z/1", "c")}
-    assert provenance.pipeline_files(commits.select(F.explode("files").alias("p")).union(spark.createDataFrame([("scripts/x.py",), ("a/Makefile",)], "p string")), "p").count() == 2
+    assert provenance.pipeline_files(
+        commits.select(F.explode("files").alias("p")).union(spark.createDataFrame([("scripts/x.py",), ("a/Makefile",)], "p string")), "p",
+    ).count() == 2

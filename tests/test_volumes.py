@@ -19,7 +19,10 @@ def table(spark):
 
 @pytest.fixture(scope="module")
 def sizes(spark):
-    return spark.createDataFrame([("a", 20, 20, 20, 1.0, 1.0, 1.0), ("b", 30, 30, 30, 0.5, 0.5, 3.0)], "case string, nx int, ny int, nz int, vx double, vy double, vz double")
+    return spark.createDataFrame(
+        [("a", 20, 20, 20, 1.0, 1.0, 1.0), ("b", 30, 30, 30, 0.5, 0.5, 3.0)],
+        "case string, nx int, ny int, nz int, vx double, vy double, vz double",
+    )
 
 
 def test_components_by_connectivity(table):
@@ -65,7 +68,9 @@ def test_surface_and_distances(table, sizes):
     assert V.surface(table(a)).count() == 64 - 8
     same = V.boundary_metrics(table(a), table(a), sizes).first()
     assert (same.hd95, same.assd, same.masd, same.surface_dice) == (0, 0, 0, 1)
-    far = V.nearest_distance(table([("a", 0, 0, 0), ("b", 0, 0, 0)]), table([("a", 3, 4, 0), ("a", 30, 0, 0), ("b", 0, 0, 2), ("b", 13, 0, 0)]), sizes)
+    far = V.nearest_distance(
+        table([("a", 0, 0, 0), ("b", 0, 0, 0)]), table([("a", 3, 4, 0), ("a", 30, 0, 0), ("b", 0, 0, 2), ("b", 13, 0, 0)]), sizes,
+    )
     assert {r.case: r.distance for r in far.collect()} == {"a": 5.0, "b": 6.0}
     assert V.nearest_distance(table([("a", 0, 0, 0)]), table([("b", 0, 0, 2)]), sizes).first().distance is None
     shifted = V.boundary_metrics(table(cube("b", 0, 0, 0, 1)), table(cube("b", 0, 0, 9, 1)), sizes).first()
@@ -113,7 +118,10 @@ def test_orientations_round_trip(table, sizes):
 
 
 def test_resampling(spark, table):
-    grid = spark.createDataFrame([("a", 4, 4, 4, [2.0, 0.0, 0.0, 0.0, 0.0, 2.0, 0.0, 0.0, 0.0, 0.0, 2.0, 0.0])], "case string, nx int, ny int, nz int, m array<double>")
+    grid = spark.createDataFrame(
+        [("a", 4, 4, 4, [2.0, 0.0, 0.0, 0.0, 0.0, 2.0, 0.0, 0.0, 0.0, 0.0, 2.0, 0.0])],
+        "case string, nx int, ny int, nz int, m array<double>",
+    )
     assert sorted((r.x, r.y, r.z) for r in V.resample_nearest(table(cube("a", 2, 2, 2, 2)), grid).collect()) == [(1, 1, 1)]
 
 
