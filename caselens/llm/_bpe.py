@@ -72,7 +72,9 @@ def is_lower_word_level(tokenizer) -> bool:
     norm = [x["type"] for x in (parts["normalizer"] or {}).get("normalizers", [])]
     pre = (parts["pre_tokenizer"] or {}).get("pretokenizers", [])
     cut = [x.get("pattern", {}).get("Regex") for x in pre[:1]]
-    return norm == ["NFC", "Replace", "Lowercase"] and cut == ["'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"] and len(pre) == 2 and not pre[1].get("use_regex") and parts["model"].get("end_of_word_suffix") == "</w>"
+    return norm == ["NFC", "Replace", "Lowercase"] and cut == [
+        "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+    ] and len(pre) == 2 and not pre[1].get("use_regex") and parts["model"].get("end_of_word_suffix") == "</w>"
 
 
 def closing_ids(tokenizer):

@@ -11,7 +11,10 @@ from pyspark.sql import functions as F
 from ..operators.graph import components
 from ..storage import release, shared_dir, stash
 
-__all__ = ["arrow", "by_bucket", "by_key", "components", "look_up", "most_frequent", "partitions", "release", "runs", "sampled", "shared_dir", "small_batches", "stash", "text_or_empty", "unused"]
+__all__ = [
+    "arrow", "by_bucket", "by_key", "components", "look_up", "most_frequent", "partitions", "release", "runs", "sampled", "shared_dir",
+    "small_batches", "stash", "text_or_empty", "unused",
+]
 
 #: A key counts as hot from this share of all rows on; so at most 1 / HOT_SHARE keys are hot.
 HOT_SHARE = 1 / 2000

@@ -40,8 +40,12 @@ _MARKS = {"n_words": T.LongType(), "n_hit": T.LongType(), "hits": T.BinaryType()
 def benchmark_windows(benchmark: DataFrame, n: int) -> DataFrame:
     """(item_id as string, words): every window of every item, as words joined by single blanks."""
     lower = F.translate(text_or_empty(), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    words = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.regexp_extract_all(lower, F.lit(_WORD), 0).alias("w")).filter(F.size("w") > 0)
-    return words.select("item_id", F.explode(F.sequence(F.lit(0), F.greatest(F.size("w") - n, F.lit(0)))).alias("i"), "w").select("item_id", F.array_join(F.slice("w", F.col("i") + 1, n), " ").alias("window"))
+    words = benchmark.select(
+        F.col("item_id").cast("string").alias("item_id"), F.regexp_extract_all(lower, F.lit(_WORD), 0).alias("w"),
+    ).filter(F.size("w") > 0)
+    return words.select(
+        "item_id", F.explode(F.sequence(F.lit(0), F.greatest(F.size("w") - n, F.lit(0)))).alias("i"), "w",
+    ).select("item_id", F.array_join(F.slice("w", F.col("i") + 1, n), " ").alias("window"))
 
 
 class WindowSet:
@@ -119,7 +123,10 @@ def _mark(batches: Iterator[pa.RecordBatch], windows: WindowSet, names: dict[str
                 hit[upto[i] - words[i] : upto[i]] |= np.unpackbits(np.frombuffer(before, np.uint8), count=words[i]).astype(bool)
         n_hit = np.bincount(owner[hit], minlength=batch.num_rows)
         bits = [np.packbits(hit[e - w : e]).tobytes() if x else b"" for w, e, x in zip(words.tolist(), upto.tolist(), n_hit)]
-        marks = [pa.array(words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(bits, pa.binary()), pa.array([sorted(x) for x in own], pa.list_(pa.string()))]
+        marks = [
+            pa.array(words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(bits, pa.binary()),
+            pa.array([sorted(x) for x in own], pa.list_(pa.string())),
+        ]
         yield pa.RecordBatch.from_arrays([*batch.columns[: -len(_MARKS)], *marks], names=batch.schema.names)
 
 
@@ -141,7 +148,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFra
     docs = docs.select("doc_id", "text")
     c = {k: F.col(v) for k, v in mark_names(docs).items()}
     digest = F.sha2(F.array_join(c["items"], ","), 256)
-    return marked(docs, benchmark, n).select("doc_id", c["n_words"].alias("n_words"), c["n_hit"].alias("n_hit"), F.size(c["items"]).cast("bigint").alias("n_items"), digest.alias("items_sha256"), (c["n_hit"] > 0).alias("contaminated"))
+    return marked(docs, benchmark, n).select(
+        "doc_id", c["n_words"].alias("n_words"), c["n_hit"].alias("n_hit"), F.size(c["items"]).cast("bigint").alias("n_items"),
+        digest.alias("items_sha256"), (c["n_hit"] > 0).alias("contaminated"),
+    )
 
 
 def _without_hits(batches: Iterator[pa.RecordBatch], hits: str) -> Iterator[pa.RecordBatch]:

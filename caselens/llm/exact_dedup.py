@@ -82,8 +82,13 @@ def build_index(history: DataFrame, bucket_keys: int = BUCKET_KEYS, arrivals: in
 
 
 def _probe(index: pa.Table, new: pa.Table) -> pa.Table:
-    digests, ids, sizes = (_digests(new.column("digest")), _ids(new.column("keep_id")), new.column("group_size").to_numpy()) if new.num_rows else (np.zeros((0, 32), np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64))
-    old = {c: np.frombuffer(index.column(c)[0].as_py(), t) if index.num_rows else np.zeros(0, t) for c, t in (("seeds", np.int64), ("digests", np.uint8), ("winners", np.int64), ("sizes", np.int64))}
+    digests, ids, sizes = (
+        _digests(new.column("digest")), _ids(new.column("keep_id")), new.column("group_size").to_numpy(),
+    ) if new.num_rows else (np.zeros((0, 32), np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64))
+    old = {
+        c: np.frombuffer(index.column(c)[0].as_py(), t) if index.num_rows else np.zeros(0, t) for c,
+        t in (("seeds", np.int64), ("digests", np.uint8), ("winners", np.int64), ("sizes", np.int64))
+    }
     stored, n = old["digests"].reshape(-1, 32), len(old["winners"])
     at = slot(_keys(digests), old["seeds"], n)
     member = (stored[at] == digests).all(axis=1) if n else np.zeros(len(digests), bool)
@@ -125,4 +130,7 @@ def exact_dedup(docs: DataFrame, history: DataFrame | None = None) -> DataFrame:
     groups = stash(merge(index, buckets, arrivals))
     total = groups.agg(F.sum("group_size")).first()[0] or 0
     found = look_up(with_digest(docs), groups, "digest", "group_size", total)
-    return found.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"), F.col("member").alias("in_history"))
+    return found.select(
+        "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
+        F.lower(F.hex("digest")).alias("text_sha256"), F.col("member").alias("in_history"),
+    )

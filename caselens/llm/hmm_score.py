@@ -62,7 +62,10 @@ CLASSES = 5
 
 _COUNTS = pa.schema([("word", pa.string()), ("n", pa.int64())])
 _PARTS = pa.schema(
-    [("doc_id", pa.int64()), ("text_key", pa.int64()), ("held_out", pa.bool_()), ("ids", pa.binary()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("base_logs", pa.float64()), ("class_logs", pa.float64()), ("word", pa.string()), ("freq", pa.int64())]
+    [
+        ("doc_id", pa.int64()), ("text_key", pa.int64()), ("held_out", pa.bool_()), ("ids", pa.binary()), ("n_tokens", pa.int64()),
+        ("known", pa.int64()), ("base_logs", pa.float64()), ("class_logs", pa.float64()), ("word", pa.string()), ("freq", pa.int64()),
+    ]
 )
 _PARTS_DDL = "doc_id bigint, text_key bigint, held_out boolean, ids binary, n_tokens bigint, known bigint, base_logs double, class_logs double, word string, freq bigint"
 
@@ -143,7 +146,9 @@ def count_words(docs: DataFrame, symbols: int = SYMBOLS, hot: int = HOT) -> tupl
         mine = forms[:own] == k
         class_total[k] -= counts[:own][mine].sum()
         class_distinct[k] -= mine.sum()
-    return table, Counts([w for w, _ in rows], long, counts, forms, own, ends, total + ends, distinct + (ends > 0), class_total, class_distinct)
+    return table, Counts(
+        [w for w, _ in rows], long, counts, forms, own, ends, total + ends, distinct + (ends > 0), class_total, class_distinct,
+    )
 
 
 class _Index(dict):
@@ -323,7 +328,9 @@ def expected(sequences: DataFrame, model: Model, share: int = 1) -> tuple[float,
     spark, states = sequences.sparkSession, len(model.start)
     shared = spark.sparkContext.broadcast(model)
     sent = sequences.select("ids").mapInArrow(lambda it: _send_counts(it, shared.value), "block int, sums binary")
-    added = sent.repartition(min(BLOCKS, max(1, partitions(spark) // share)), "block").mapInArrow(_add_up, "block int, sums binary").collect()
+    added = sent.repartition(
+        min(BLOCKS, max(1, partitions(spark) // share)), "block",
+    ).mapInArrow(_add_up, "block int, sums binary").collect()
     shared.destroy()
     sums = {r[0]: np.frombuffer(bytes(r[1])) for r in added}
     if not sums:
@@ -357,7 +364,12 @@ def sliced(sequences: DataFrame, slices: int = SLICES) -> DataFrame:
     n = partitions(sequences.sparkSession)
     key = F.xxhash64("doc_id", "text_key")
     part = F.pmod(F.shiftrightunsigned(key, 20), F.lit(max(1, n // slices)))
-    return stash(sequences.select(F.pmod(key, F.lit(slices)).alias("slice"), part.alias("part"), "ids").repartition(n, "slice", "part").select("slice", "ids"), "slice")
+    return stash(
+        sequences.select(
+            F.pmod(key, F.lit(slices)).alias("slice"), part.alias("part"), "ids",
+        ).repartition(n, "slice", "part").select("slice", "ids"),
+        "slice",
+    )
 
 
 def learn(sequences: DataFrame, model: Model, sweeps: int = SWEEPS, gain: float = GAIN, slices: int = SLICES) -> Model:
@@ -381,7 +393,12 @@ def learn(sequences: DataFrame, model: Model, sweeps: int = SWEEPS, gain: float
     return baum_welch(sequences, model, rounds=1)
 
 
-_SCORED = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("base_logs", pa.float64()), ("class_logs", pa.float64())])
+_SCORED = pa.schema(
+    [
+        ("doc_id", pa.int64()), ("text_key", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("known", pa.int64()),
+        ("base_logs", pa.float64()), ("class_logs", pa.float64()),
+    ]
+)
 
 
 def _score(batches: Iterator[pa.RecordBatch], model: Model, class_base: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -391,10 +408,14 @@ def _score(batches: Iterator[pa.RecordBatch], model: Model, class_base: np.ndarr
         logs -= np.array([class_base[x[(x < CLASSES) & (x != END)]].sum() for x in ids])
         table = pa.Table.from_batches(parts).drop_columns(["ids"])
         at = table.schema.get_field_index("class_logs")
-        yield from table.set_column(at, "class_logs", pa.array(table.column("class_logs").to_numpy() + logs)).select(_SCORED.names).combine_chunks().to_batches()
+        yield from table.set_column(
+            at, "class_logs", pa.array(table.column("class_logs").to_numpy() + logs),
+        ).select(_SCORED.names).combine_chunks().to_batches()
 
 
-def hmm_scores(docs: DataFrame, states: int = STATES, symbols: int = SYMBOLS, hot: int = HOT, sweeps: int = SWEEPS, slices: int = SLICES) -> DataFrame:
+def hmm_scores(
+    docs: DataFrame, states: int = STATES, symbols: int = SYMBOLS, hot: int = HOT, sweeps: int = SWEEPS, slices: int = SLICES,
+) -> DataFrame:
     """Per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10)."""
     spark = docs.sparkSession
     docs = small_batches(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
@@ -406,18 +427,29 @@ def hmm_scores(docs: DataFrame, states: int = STATES, symbols: int = SYMBOLS, ho
     training = sliced(whole.filter("NOT held_out"), slices)
     model = spark.sparkContext.broadcast(learn(training, begin(frequency, states), sweeps, slices=slices))
     class_base = known.class_base
-    scored = whole.select("ids", *_SCORED.names).mapInArrow(lambda it: _score(it, model.value, class_base), "doc_id bigint, text_key bigint, held_out boolean, n_tokens bigint, known bigint, base_logs double, class_logs double")
+    scored = whole.select("ids", *_SCORED.names).mapInArrow(
+        lambda it: _score(it, model.value, class_base),
+        "doc_id bigint, text_key bigint, held_out boolean, n_tokens bigint, known bigint, base_logs double, class_logs double",
+    )
     rare = parts.filter("word IS NOT NULL").select("doc_id", "text_key", "word", "freq").join(table, "word", "left")
     logs = F.log10(F.coalesce("n", F.lit(0)) + 0.1) * F.col("freq")
-    rare = rare.groupBy("doc_id", "text_key").agg(F.sum(F.when(F.col("n") > 0, F.col("freq")).otherwise(0)).alias("known"), F.sum(logs).alias("logs"))
+    rare = rare.groupBy("doc_id", "text_key").agg(
+        F.sum(F.when(F.col("n") > 0, F.col("freq")).otherwise(0)).alias("known"), F.sum(logs).alias("logs"),
+    )
     none = lambda kind: F.lit(None).cast(kind)
     both = scored.select("*", none("bigint").alias("rare_known"), none("double").alias("rare_logs")).unionByName(
-        rare.select("doc_id", "text_key", none("boolean").alias("held_out"), none("bigint").alias("n_tokens"), none("bigint").alias("known"), none("double").alias("base_logs"), none("double").alias("class_logs"), F.col("known").alias("rare_known"), F.col("logs").alias("rare_logs"))
+        rare.select(
+            "doc_id", "text_key", none("boolean").alias("held_out"), none("bigint").alias("n_tokens"), none("bigint").alias("known"),
+            none("double").alias("base_logs"), none("double").alias("class_logs"), F.col("known").alias("rare_known"),
+            F.col("logs").alias("rare_logs"),
+        )
     )
     one = both.groupBy("doc_id", "text_key").agg(
         F.count("n_tokens").alias("rows"), *(F.max(c).alias(c) for c in ("held_out", "n_tokens", "known", "base_logs", "class_logs")), F.coalesce(F.sum("rare_known"), F.lit(0)).alias("rare_known"), F.coalesce(F.sum("rare_logs"), F.lit(0.0)).alias("rare_logs")
     )
-    each = one.withColumn("row", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))))  # equal rows have brought their rare words once each
+    each = one.withColumn(
+        "row", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))),
+    )  # equal rows have brought their rare words once each
     return each.select(
         "doc_id",
         "held_out",

@@ -107,7 +107,10 @@ def _pack(bucket: np.ndarray, kind: int, h: np.ndarray, sid: np.ndarray, n: np.n
     cuts = np.flatnonzero(np.diff(bucket)) + 1
     at = list(zip([0, *cuts.tolist()], [*cuts.tolist(), len(bucket)])) if len(bucket) else []
     return pa.RecordBatch.from_arrays(
-        [pa.array([int(bucket[a]) for a, _ in at], pa.int32()), pa.array([kind] * len(at), pa.int8()), *(pa.array([x[a:b].tobytes() for a, b in at], pa.binary()) for x in (h, sid, n))],
+        [
+            pa.array([int(bucket[a]) for a, _ in at], pa.int32()), pa.array([kind] * len(at), pa.int8()),
+            *(pa.array([x[a:b].tobytes() for a, b in at], pa.binary()) for x in (h, sid, n)),
+        ],
         schema=_PACKED,
     )
 
@@ -169,7 +172,13 @@ def _count_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         docs = table.filter(pc.equal(table.column("kind"), 1))
         ids, sids, n = _unpack(docs)
         ids = ids.view(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(ids, mask=ids == _NO_ID), pa.array(sids, mask=sids == 0), pa.array(n.astype(np.int64)), pa.array(np.zeros(len(n), np.int64))], schema=_META)
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(ids, mask=ids == _NO_ID), pa.array(sids, mask=sids == 0), pa.array(n.astype(np.int64)),
+                pa.array(np.zeros(len(n), np.int64)),
+            ],
+            schema=_META,
+        )
         _, sid, _, held = _distinct(*_unpack(table.filter(pc.equal(table.column("kind"), 0))))
         found, count = np.unique(sid[held > 1], return_counts=True)
         nothing = pa.nulls(len(found), pa.int64())
@@ -179,7 +188,10 @@ def _count_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def _with_sid(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, "text"):
         grams, bounds = shingle_sets(*utf8(batch.column("text")))
-        yield pa.RecordBatch.from_arrays([pa.array(set_ids(grams, bounds)), pa.array(np.diff(bounds)), batch.column("text").cast(pa.string())], names=["sid", "n", "text"])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(set_ids(grams, bounds)), pa.array(np.diff(bounds)), batch.column("text").cast(pa.string())],
+            names=["sid", "n", "text"],
+        )
 
 
 def _send_all(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
@@ -209,14 +221,20 @@ def _return_counts(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[
         cuts = np.flatnonzero(np.diff(bucket)) + 1
         at = list(zip([0, *cuts.tolist()], [*cuts.tolist(), len(bucket)])) if len(bucket) else []
         yield pa.RecordBatch.from_arrays(
-            [pa.array([int(bucket[a]) for a, _ in at], pa.int32()), pa.array([2] * len(at), pa.int8()), *(pa.array([x[a:b].tobytes() for a, b in at], pa.binary()) for x in (h, sid, counted))], schema=_PACKED
+            [
+                pa.array([int(bucket[a]) for a, _ in at], pa.int32()), pa.array([2] * len(at), pa.int8()),
+                *(pa.array([x[a:b].tobytes() for a, b in at], pa.binary()) for x in (h, sid, counted)),
+            ], schema=_PACKED
         )
 
 
 def _rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(h, sid) of the rarest shingles of each set of which enough are held by others: any partner holds one of them."""
     for table in runs(batches, "bucket", 1):
-        h, sid, counted = (np.frombuffer(b"".join(table.column(c).to_pylist()), t) for c, t in (("h", np.uint64), ("sid", np.int64), ("n", np.dtype([("n", np.int32), ("held", np.int32)]))))
+        h, sid, counted = (
+            np.frombuffer(b"".join(table.column(c).to_pylist()), t) for c,
+            t in (("h", np.uint64), ("sid", np.int64), ("n", np.dtype([("n", np.int32), ("held", np.int32)])))
+        )
         order = np.lexsort((h, counted["held"], sid))
         h, sid, n = h[order], sid[order], counted["n"][order].astype(np.int64)
         edge = np.flatnonzero(np.concatenate([[True], sid[1:] != sid[:-1], [True]])) if len(sid) else np.zeros(1, np.int64)
@@ -335,7 +353,9 @@ def _search_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                 sets += [grams[x:y] for x, y in zip(bounds, bounds[1:])]
             side = rows.column("side").to_numpy()
             pairs += [(int(sids[i]), int(sids[j])) for i, j in search(sets, rows.column("label").to_numpy(), side if side.any() else None)]
-        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in pairs], pa.int64()), pa.array([y for _, y in pairs], pa.int64())], schema=_EDGES)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([x for x, _ in pairs], pa.int64()), pa.array([y for _, y in pairs], pa.int64())], schema=_EDGES,
+        )
 
 
 def _searched(tasks: DataFrame) -> DataFrame:
@@ -348,7 +368,11 @@ def _large(texts: DataFrame, groups: DataFrame, block: int) -> DataFrame:
     width = math.log(1.26)  # sets of linked sizes lie in one class or in two that follow each other
     rows = texts.join(groups, "sid").withColumn("size_class", F.floor(F.log(F.col("n")) / width))
     counts = rows.groupBy("root", "size_class").agg(F.ceil(F.count("*") / block).alias("blocks"))
-    rows = stash(rows.join(counts, ["root", "size_class"]).withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks"))).withColumn("cell", F.xxhash64("root", "size_class", "block")))
+    rows = stash(
+        rows.join(counts, ["root", "size_class"]).withColumn(
+            "block", F.pmod(F.xxhash64("sid"), F.col("blocks")),
+        ).withColumn("cell", F.xxhash64("root", "size_class", "block"))
+    )
     edges = _searched(rows.select(F.col("cell").alias("task"), "sid", F.col("sid").alias("label"), F.lit(0).alias("side"), "text"))
     cells = stash(rows.select("root", "size_class", "block", "cell").distinct())
     right = cells.select("root", F.col("size_class").alias("class2"), F.col("block").alias("block2"), F.col("cell").alias("cell2"))
@@ -358,9 +382,13 @@ def _large(texts: DataFrame, groups: DataFrame, block: int) -> DataFrame:
         labels = components(edges).select(F.col("node").alias("sid"), F.col("root").alias("label"))
         now = stash(rows.select("sid", "cell", "text").join(labels, "sid", "left").withColumn("label", F.coalesce("label", "sid")))
         spread = now.groupBy("cell").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
-        todo = step.join(spread, "cell").join(spread.toDF("cell2", "lo2", "hi2"), "cell2").filter("NOT (lo = hi AND lo2 = hi2 AND lo = lo2)")
+        todo = step.join(spread, "cell").join(
+            spread.toDF("cell2", "lo2", "hi2"), "cell2",
+        ).filter("NOT (lo = hi AND lo2 = hi2 AND lo = lo2)")
         todo = stash(todo.select(F.xxhash64("cell", "cell2").alias("task"), "cell", "cell2"))
-        ends = todo.select("task", "cell", F.lit(1).alias("side")).unionByName(todo.select("task", F.col("cell2").alias("cell"), F.lit(2).alias("side")))
+        ends = todo.select("task", "cell", F.lit(1).alias("side")).unionByName(
+            todo.select("task", F.col("cell2").alias("cell"), F.lit(2).alias("side"))
+        )
         edges = stash(edges.unionByName(_searched(ends.join(now, "cell"))))
     return edges
 
@@ -372,13 +400,19 @@ def _joined(docs: DataFrame, max_group: int) -> tuple[DataFrame, DataFrame]:
     buckets = 2 * partitions(spark)
     sent = docs.mapInArrow(lambda it: _send_prefixes(it, buckets), _PACKED_DDL)
     meta = stash(by_bucket(sent).mapInArrow(_count_shared, "doc_id bigint, sid bigint, n bigint, shared bigint"))
-    sets = stash(meta.filter("sid IS NOT NULL").groupBy("sid").agg(F.max("n").alias("n"), F.sum("shared").alias("shared"), F.min("doc_id").alias("min_id"), F.count("n").alias("copies")))
+    sets = stash(
+        meta.filter("sid IS NOT NULL").groupBy("sid").agg(
+            F.max("n").alias("n"), F.sum("shared").alias("shared"), F.min("doc_id").alias("min_id"), F.count("n").alias("copies"),
+        )
+    )
 
     alive = sets.filter("shared >= greatest(1, n div 10)").select(F.coalesce("min_id", F.lit(_NO_ID)).alias("rep"))
     whole = docs.withColumn("rep", F.coalesce("doc_id", F.lit(_NO_ID))).join(alive.hint("shuffle_hash"), "rep", "left_semi")
     texts = stash(whole.select("text").mapInArrow(_with_sid, "sid bigint, n bigint, text string").filter("sid <> 0"))
 
-    counted = by_bucket(texts.mapInArrow(lambda it: _send_all(it, buckets), _PACKED_DDL)).mapInArrow(lambda it: _return_counts(it, buckets), _PACKED_DDL)
+    counted = by_bucket(
+        texts.mapInArrow(lambda it: _send_all(it, buckets), _PACKED_DDL)
+    ).mapInArrow(lambda it: _return_counts(it, buckets), _PACKED_DDL)
     rare = stash(by_bucket(counted).mapInArrow(_rarest, "h bigint, sid bigint"))
     least = rare.groupBy("h").agg(F.min("sid").alias("b"), F.count("*").alias("k")).filter("k > 1")
     groups = components(rare.join(least, "h").select(F.col("sid").alias("a"), "b")).toDF("sid", "root")
@@ -386,7 +420,9 @@ def _joined(docs: DataFrame, max_group: int) -> tuple[DataFrame, DataFrame]:
     counts = groups.groupBy("root").count()
     groups = stash(groups.join(counts, "root"))
     small = groups.filter(F.col("count") <= max_group)
-    edges = _searched(texts.join(small, "sid").select(F.col("root").alias("task"), "sid", F.col("sid").alias("label"), F.lit(0).alias("side"), "text"))
+    edges = _searched(
+        texts.join(small, "sid").select(F.col("root").alias("task"), "sid", F.col("sid").alias("label"), F.lit(0).alias("side"), "text")
+    )
     large = groups.filter(F.col("count") > max_group).select("sid", "root")
     if not large.isEmpty():
         edges = edges.unionByName(_large(texts, large, max(1, max_group // 2)))
@@ -396,7 +432,11 @@ def _joined(docs: DataFrame, max_group: int) -> tuple[DataFrame, DataFrame]:
     smallest = named.groupBy("root").agg(F.min("min_id").alias("component_id"))
     linked_sets = named.join(smallest, "root").select("sid", "root", "component_id")
     values = sets.select("sid", "copies", "min_id").join(linked_sets, "sid", "left")
-    return meta, stash(values.select("sid", "copies", "min_id", F.coalesce("root", "sid").alias("root"), F.coalesce("component_id", "min_id").alias("component_id")))
+    return meta, stash(
+        values.select(
+            "sid", "copies", "min_id", F.coalesce("root", "sid").alias("root"), F.coalesce("component_id", "min_id").alias("component_id"),
+        )
+    )
 
 
 def jaccard_join(docs: DataFrame, max_group: int = MAX_GROUP) -> DataFrame:
@@ -406,7 +446,9 @@ def jaccard_join(docs: DataFrame, max_group: int = MAX_GROUP) -> DataFrame:
     rows = meta.filter("n IS NOT NULL").select("doc_id", "sid", F.col("n").alias("n_shingles"))
     total = values.agg(F.sum("copies")).first()[0] or 0
     found = look_up(rows.filter("sid IS NOT NULL"), values, "sid", "copies", total)
-    return found.select("doc_id", "n_shingles", "component_id").unionByName(rows.filter("sid IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    return found.select("doc_id", "n_shingles", "component_id").unionByName(
+        rows.filter("sid IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    )
 
 
 def _add_sid(batches: Iterator[pa.RecordBatch], name: str) -> Iterator[pa.RecordBatch]:

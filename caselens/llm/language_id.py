@@ -57,7 +57,10 @@ class Network:
 def start(languages: list[str], hidden: int = HIDDEN, seed: int = 7) -> Network:
     rng = np.random.default_rng(seed)
     draw = lambda *shape, s: (rng.standard_normal(shape) * s).astype(np.float32)
-    return Network(draw(2, 3 * hidden, 256, s=0.3), draw(2, 3 * hidden, hidden, s=hidden**-0.5), draw(2, len(languages), hidden, s=hidden**-0.5), np.zeros(len(languages), np.float32), languages)
+    return Network(
+        draw(2, 3 * hidden, 256, s=0.3), draw(2, 3 * hidden, hidden, s=hidden**-0.5), draw(2, len(languages), hidden, s=hidden**-0.5),
+        np.zeros(len(languages), np.float32), languages,
+    )
 
 
 def _forward(net: Network, bytes_: np.ndarray, keep: bool = False):
@@ -137,7 +140,10 @@ def _gradients(net: Network, bytes_: np.ndarray, mask: np.ndarray, target: np.nd
     return loss, grads
 
 
-def train(segments: np.ndarray, lengths: np.ndarray, labels: np.ndarray, languages: list[str], rounds: int = 260, batch: int = 192, rate: float = 0.02, seed: int = 7) -> Network:
+def train(
+    segments: np.ndarray, lengths: np.ndarray, labels: np.ndarray, languages: list[str], rounds: int = 260, batch: int = 192,
+    rate: float = 0.02, seed: int = 7,
+) -> Network:
     """segments: (n, T) bytes, of which the first lengths[i] count; labels: index of the language. Adam, with a falling rate."""
     rng = np.random.default_rng(seed)
     net = start(languages, seed=seed)
@@ -219,7 +225,9 @@ def _by_language(labelled: DataFrame, most: int) -> DataFrame:
     cuts = F.broadcast(labelled.sparkSession.createDataFrame(cuts, "lang string, cut bigint"))
     near = labelled.join(cuts, "lang").filter(F.col("h") < F.col("cut")).drop("cut")
     # Rows that share a doc_id share its hash, so there may be more.
-    return near.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).filter(F.col("rank") <= 2 * each).drop("rank")
+    return near.withColumn(
+        "rank", F.row_number().over(Window.partitionBy("lang").orderBy("h")),
+    ).filter(F.col("rank") <= 2 * each).drop("rank")
 
 
 def learn(docs: DataFrame, train_docs: int = TRAIN_DOCS, pieces: int = PIECES) -> Network | None:
@@ -261,7 +269,9 @@ def label(docs: DataFrame, net: Network | None) -> DataFrame:
                 known = has_letter(buf, offsets)
                 best = np.where(known, np.clip(p.max(axis=1), 0, 1), 0.0)
                 langs = [net.languages[k] if x else UNKNOWN for k, x in zip(p.argmax(axis=1).tolist(), known)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(best, pa.float64())], names=[*batch.schema.names, *names])
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(langs, pa.string()), pa.array(best, pa.float64())], names=[*batch.schema.names, *names],
+            )
 
     return docs.mapInArrow(kernel, schema)
 

@@ -107,7 +107,10 @@ def _send_anchors(batches: Iterator[pa.RecordBatch], length: int, k: int) -> Ite
         at, h, owner = at[own], h[own], owner[own]
         if len(seen) > 1_000_000:
             seen.clear()
-        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(k1[owner]), pa.array(k2[owner]), pa.array(at - offsets[owner])], names=["h", "k1", "k2", "p"])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(h.view(np.int64)), pa.array(k1[owner]), pa.array(k2[owner]), pa.array(at - offsets[owner])],
+            names=["h", "k1", "k2", "p"],
+        )
 
 
 # --- runs of suffixes -------------------------------------------------------------------------
@@ -203,13 +206,18 @@ class LoserTree:
 def _contexts(batches: Iterator[pa.RecordBatch], length: int, k: int) -> Iterator[tuple[bytes, bytes, int, int, int]]:
     reach = length - k
     for batch in batches:
-        for text, k1, k2, places in zip(batch.column("text").to_pylist(), batch.column("k1").to_pylist(), batch.column("k2").to_pylist(), batch.column("places").to_pylist()):
+        for text, k1, k2, places in zip(
+            batch.column("text").to_pylist(), batch.column("k1").to_pylist(), batch.column("k2").to_pylist(),
+            batch.column("places").to_pylist(),
+        ):
             raw = text.encode()
             for p in places:
                 yield raw[p : p + length], raw[max(0, p - reach) : p][::-1], k1, k2, p
 
 
-def _send_runs(batches: Iterator[pa.RecordBatch], splitters: list[bytes], length: int, k: int, hold: int = 25_000) -> Iterator[pa.RecordBatch]:
+def _send_runs(
+    batches: Iterator[pa.RecordBatch], splitters: list[bytes], length: int, k: int, hold: int = 25_000,
+) -> Iterator[pa.RecordBatch]:
     part, number, run = TaskContext.get().partitionId(), 0, []
 
     def out():
@@ -221,7 +229,13 @@ def _send_runs(batches: Iterator[pa.RecordBatch], splitters: list[bytes], length
             rows.append((bucket, front_code(run[a:b])))
             a = b
         run.clear()
-        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in rows], pa.int32()), pa.array([(part << 20) + number] * len(rows), pa.int64()), pa.array([x for _, x in rows], pa.binary())], names=["bucket", "run", "blob"])
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array([x for x, _ in rows], pa.int32()), pa.array([(part << 20) + number] * len(rows), pa.int64()),
+                pa.array([x for _, x in rows], pa.binary()),
+            ],
+            names=["bucket", "run", "blob"],
+        )
 
     for item in _contexts(batches, length, k):
         run.append(item)
@@ -324,13 +338,19 @@ def _merge(batches: Iterator[pa.RecordBatch], length: int, report: int, k: int)
                         if right and (left, right) != before:
                             rows += [(k1, k2, p - left, p + right, goes) for *_, k1, k2, p in around]
                         before = left, right
-        yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*rows) if rows else [[]] * 5, (pa.int64(),) * 4 + (pa.bool_(),))], names=["k1", "k2", "a", "b", "goes"])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(list(x), t) for x, t in zip(zip(*rows) if rows else [[]] * 5, (pa.int64(),) * 4 + (pa.bool_(),))],
+            names=["k1", "k2", "a", "b", "goes"],
+        )
 
 
 def _send_windows(batches: Iterator[pa.RecordBatch], length: int, k: int) -> Iterator[pa.RecordBatch]:
     """Two hashes of every string of length bytes that holds one of the places, for anchors with too many suffixes."""
     for batch in batches:
-        for text, k1, k2, places in zip(batch.column("text").to_pylist(), batch.column("k1").to_pylist(), batch.column("k2").to_pylist(), batch.column("places").to_pylist()):
+        for text, k1, k2, places in zip(
+            batch.column("text").to_pylist(), batch.column("k1").to_pylist(), batch.column("k2").to_pylist(),
+            batch.column("places").to_pylist(),
+        ):
             buf = np.frombuffer(text.encode(), np.uint8)
             wanted = np.zeros(len(buf) + 1, np.int32)
             for p in places:
@@ -342,7 +362,10 @@ def _send_windows(batches: Iterator[pa.RecordBatch], length: int, k: int) -> Ite
             sums, undo = prefix_hash(mix(buf.astype(np.uint64) + np.uint64(_BASE)).astype(np.uint8))
             two = mix((sums[at + length] - sums[at]) * undo[at] + np.uint64(1))
             same = np.full(len(at), 0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (one.view(np.int64), two.view(np.int64), same + k1, same + k2, at, same + length)], names=["h1", "h2", "k1", "k2", "a", "size"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(x) for x in (one.view(np.int64), two.view(np.int64), same + k1, same + k2, at, same + length)],
+                names=["h1", "h2", "k1", "k2", "a", "size"],
+            )
 
 
 def _union(stretches: list[tuple[int, int]]) -> list[list[int]]:
@@ -356,7 +379,9 @@ def _union(stretches: list[tuple[int, int]]) -> list[list[int]]:
     return out
 
 
-_CUT = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("kept", pa.binary()), ("spans", pa.list_(pa.list_(pa.int64()))), ("n_repeated", pa.int64())])
+_CUT = pa.schema(
+    [("k1", pa.int64()), ("k2", pa.int64()), ("kept", pa.binary()), ("spans", pa.list_(pa.list_(pa.int64()))), ("n_repeated", pa.int64())]
+)
 _CUT_DDL = "k1 bigint, k2 bigint, kept binary, spans array<array<bigint>>, n_repeated bigint"
 
 
@@ -380,12 +405,16 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def keyed(docs: DataFrame) -> DataFrame:
     """doc_id, text (never null), sha (hex) and, from it, 128 bits as two longs."""
-    sha = small_batches(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().alias("text")).withColumn("sha", F.sha2("text", 256))
+    sha = small_batches(docs).select(
+        F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().alias("text"),
+    ).withColumn("sha", F.sha2("text", 256))
     half = lambda at: F.conv(F.substring("sha", at, 16), 16, -10).cast("bigint")
     return sha.withColumns({"k1": half(1), "k2": half(17)})
 
 
-def covered(docs: DataFrame, length: int = LENGTH, k: int = K, max_group: int = MAX_GROUP, report: int = REPORT) -> tuple[DataFrame, DataFrame]:
+def covered(
+    docs: DataFrame, length: int = LENGTH, k: int = K, max_group: int = MAX_GROUP, report: int = REPORT,
+) -> tuple[DataFrame, DataFrame]:
     """(texts, stretches): distinct texts that hold repeated anchors, as k1, k2, text, places; and k1, k2, a, b, goes."""
     spark = docs.sparkSession
     report = min(report, length)
@@ -394,7 +423,9 @@ def covered(docs: DataFrame, length: int = LENGTH, k: int = K, max_group: int =
     places = stash(long.mapInArrow(lambda it: _send_anchors(it, report, k), "h bigint, k1 bigint, k2 bigint, p bigint").distinct())
     counts = stash(places.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1"))
     usual_place, hot_place = F.when(F.col("n") <= max_group, F.col("p")), F.when(F.col("n") > max_group, F.col("p"))
-    again = places.join(counts, "h").groupBy("k1", "k2").agg(F.collect_list(usual_place).alias("places"), F.collect_list(hot_place).alias("hot"))
+    again = places.join(counts, "h").groupBy("k1", "k2").agg(
+        F.collect_list(usual_place).alias("places"), F.collect_list(hot_place).alias("hot"),
+    )
     chosen = own.select("doc_id", "k1", "k2").groupBy("k1", "k2").agg(F.min("doc_id").alias("doc_id")).join(again, _KEYS)
     same = F.col("t.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("t.k1") == F.col("c.k1")) & (F.col("t.k2") == F.col("c.k2"))
     found = own.select("doc_id", "k1", "k2", "text").alias("t").join(chosen.alias("c").hint("shuffle_hash"), same)
@@ -413,7 +444,9 @@ def covered(docs: DataFrame, length: int = LENGTH, k: int = K, max_group: int =
         splitters = sorted({bytes(sampled[i * len(sampled) // buckets]) for i in range(1, buckets)}) if sampled else []
     shared = spark.sparkContext.broadcast(splitters)
     sent = usual.mapInArrow(lambda it: _send_runs(it, shared.value, length, k), "bucket int, run bigint, blob binary")
-    stretches = by_bucket(sent).mapInArrow(lambda it: _merge(it, length, report, k), "k1 bigint, k2 bigint, a bigint, b bigint, goes boolean")
+    stretches = by_bucket(sent).mapInArrow(
+        lambda it: _merge(it, length, report, k), "k1 bigint, k2 bigint, a bigint, b bigint, goes boolean",
+    )
 
     hot = texts.filter(F.size("hot") > 0).select("k1", "k2", "text", F.col("hot").alias("places"))
     if not hot.isEmpty():
@@ -422,7 +455,9 @@ def covered(docs: DataFrame, length: int = LENGTH, k: int = K, max_group: int =
         windows = stash(each[0] if len(each) == 1 else each[0].unionByName(each[1]))
         twice = stash(windows.groupBy("size", "h1", "h2").count().filter("count > 1").select("size", "h1", "h2"))
         again = windows.join(twice, ["size", "h1", "h2"])
-        stretches = stretches.unionByName(again.select("k1", "k2", "a", (F.col("a") + F.col("size")).alias("b"), (F.col("size") == length).alias("goes")))
+        stretches = stretches.unionByName(
+            again.select("k1", "k2", "a", (F.col("a") + F.col("size")).alias("b"), (F.col("size") == length).alias("goes"))
+        )
     return texts, stash(stretches)
 
 
@@ -451,8 +486,14 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, k: int = K, max_group: i
     """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_repeated (bytes that repeated strings of ``report`` bytes cover)."""
     cut = _cuts(docs, length, k, max_group, report)
     removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s[1] - s[0])
-    digests = stash(cut.select("k1", "k2", removed.alias("n_removed"), F.size("spans").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), "n_repeated"))
-    found = _with_cuts(stash(keyed(docs).select("doc_id", "k1", "k2", "sha", F.octet_length("text").cast("bigint").alias("n_bytes"))), digests)
+    digests = stash(
+        cut.select(
+            "k1", "k2", removed.alias("n_removed"), F.size("spans").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), "n_repeated",
+        )
+    )
+    found = _with_cuts(
+        stash(keyed(docs).select("doc_id", "k1", "k2", "sha", F.octet_length("text").cast("bigint").alias("n_bytes"))), digests,
+    )
     copied = lambda least: (F.col("copies") > 1) & (F.col("n_bytes") >= least)
     whole, empty = copied(length), hashlib.sha256().hexdigest()
     return found.select(
@@ -473,4 +514,7 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, k: int = K, max_group: i
     whole = (F.col("copies") > 1) & (n >= length)
     all_of_it = F.array(F.array(F.lit(0).cast("bigint"), n))
     kept = F.when(whole, F.lit(b"")).otherwise(F.coalesce("kept", "raw"))
-    return found.select("doc_id", kept.alias("kept"), F.when(whole, all_of_it).otherwise(F.coalesce("spans", F.array().cast("array<array<bigint>>"))).alias("spans"))
+    return found.select(
+        "doc_id", kept.alias("kept"),
+        F.when(whole, all_of_it).otherwise(F.coalesce("spans", F.array().cast("array<array<bigint>>"))).alias("spans"),
+    )

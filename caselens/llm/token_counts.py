@@ -37,7 +37,12 @@ HOT_BYTES = 48
 
 _PIECES = pa.schema([("piece", pa.string()), ("n", pa.int64())])
 _COUNTED = pa.schema([("piece", pa.string()), ("n", pa.int64()), ("tokens", pa.int64())])
-_PARTS = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("n_bytes", pa.int64()), ("tokens", pa.int64()), ("piece", pa.string()), ("freq", pa.int64())])
+_PARTS = pa.schema(
+    [
+        ("doc_id", pa.int64()), ("text_key", pa.int64()), ("n_bytes", pa.int64()), ("tokens", pa.int64()), ("piece", pa.string()),
+        ("freq", pa.int64()),
+    ]
+)
 
 
 def _segments(text: str, special: list[str]) -> tuple[list[str], int]:
@@ -93,7 +98,10 @@ def _send_pieces(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.Re
 def _count_pieces(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     tokenizer = _bpe.load(path)
     for batch in batches:
-        yield arrow(None, _COUNTED, piece=batch.column("piece"), n=batch.column("n"), tokens=[len(x) for x in _bpe.ids_of(tokenizer, batch.column("piece").to_pylist())])
+        yield arrow(
+            None, _COUNTED, piece=batch.column("piece"), n=batch.column("n"),
+            tokens=[len(x) for x in _bpe.ids_of(tokenizer, batch.column("piece").to_pylist())],
+        )
 
 
 def piece_counts(docs: DataFrame, path: str) -> DataFrame:
@@ -147,12 +155,20 @@ def token_counts(docs: DataFrame, path: str, limit: int = 512, hot_pieces: int =
     long = most_frequent(counts.filter(F.octet_length("piece") > HOT_BYTES), "n", min(hot_pieces, HOT_LONG))
     tables = [dict(map(tuple, t.collect())) for t in (top.select("piece", "tokens"), long.select(F.md5("piece"), "tokens"))]
     hot = docs.sparkSession.sparkContext.broadcast(tables)
-    parts = docs.mapInArrow(lambda it: _split_counts(it, path, *hot.value), "doc_id bigint, text_key bigint, n_bytes bigint, tokens bigint, piece string, freq bigint")
+    parts = docs.mapInArrow(
+        lambda it: _split_counts(it, path, *hot.value),
+        "doc_id bigint, text_key bigint, n_bytes bigint, tokens bigint, piece string, freq bigint",
+    )
     # Rows of whole documents need no count; a key of their own keeps them from meeting in one task as nulls would.
     apart = F.concat(F.lit("\0"), F.xxhash64("doc_id", "text_key").cast("string"))
     parts = parts.withColumn("base", F.col("piece").isNull()).withColumn("piece", F.coalesce("piece", apart))
     joined = parts.join(counts.select("piece", F.col("tokens").alias("each")), "piece", "left")
     tokens = F.sum(F.when(F.col("base"), F.col("tokens")).otherwise(F.col("freq") * F.col("each")))
-    sums = joined.groupBy("doc_id", "text_key").agg(F.count_if("base").alias("rows"), F.max("n_bytes").alias("n_bytes"), tokens.alias("tokens"))
-    each = sums.select("doc_id", "n_bytes", F.expr("tokens div rows").alias("n_tokens"), F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))).alias("row"))
+    sums = joined.groupBy("doc_id", "text_key").agg(
+        F.count_if("base").alias("rows"), F.max("n_bytes").alias("n_bytes"), tokens.alias("tokens"),
+    )
+    each = sums.select(
+        "doc_id", "n_bytes", F.expr("tokens div rows").alias("n_tokens"),
+        F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))).alias("row"),
+    )
     return each.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

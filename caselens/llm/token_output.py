@@ -45,7 +45,12 @@ BUCKET_KEYS = 2048
 SHARD_BYTES = 256 << 20
 _NO_ID = -(1 << 63)
 
-_ENTRY = pa.schema([("doc_id", pa.int64()), ("k", pa.int32()), ("part", pa.int32()), ("seq", pa.int32()), ("file", pa.string()), ("at", pa.int64()), ("n", pa.int64())])
+_ENTRY = pa.schema(
+    [
+        ("doc_id", pa.int64()), ("k", pa.int32()), ("part", pa.int32()), ("seq", pa.int32()), ("file", pa.string()), ("at", pa.int64()),
+        ("n", pa.int64()),
+    ]
+)
 _ENTRY_DDL = "doc_id bigint, k int, part int, seq int, file string, at bigint, n bigint"
 _INDEX = pa.schema([("bucket", pa.int32()), *((c, pa.binary()) for c in ("seeds", "prints", "shards", "at", "n"))])
 _INDEX_DDL = "bucket int, seeds binary, prints binary, shards binary, at binary, n binary"
@@ -149,7 +154,9 @@ def _index_bucket(table: pa.Table) -> pa.Table:
     keys = _keys(table)
     seeds = build(keys)
     order = np.argsort(slot(keys, seeds, len(keys)))
-    stored = {"seeds": seeds, "prints": _print(keys)[order]} | {c: table.column(s).to_numpy()[order].astype(np.int64) for c, s in (("shards", "shard"), ("at", "at"), ("n", "n"))}
+    stored = {"seeds": seeds, "prints": _print(keys)[order]} | {
+        c: table.column(s).to_numpy()[order].astype(np.int64) for c, s in (("shards", "shard"), ("at", "at"), ("n", "n"))
+    }
     return pa.table({"bucket": table.column("bucket")[:1].combine_chunks()} | {c: [x.tobytes()] for c, x in stored.items()}, schema=_INDEX)
 
 
@@ -162,39 +169,58 @@ def write_tokens(docs: DataFrame, path: str, folder: str | None = None) -> Token
     spark = docs.sparkSession
     folder = folder or f"{shared_dir(spark)}/ids-{uuid.uuid4().hex}"
     width = 2 if _bpe.load(path).get_vocab_size() <= 1 << 16 else 4
-    ordered = small_batches(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = small_batches(docs).select(
+        F.col("doc_id").cast("bigint").alias("doc_id"), "text",
+    ).repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
     entries = stash(ordered.mapInArrow(lambda it: _write_shards(it, path, folder, width), _ENTRY_DDL))
     shards = entries.groupBy("part", "seq", "file").agg(F.sum("n").alias("n"))
     before = Window.orderBy("part", "seq")  # over shards, not documents
-    shards = stash(shards.select((F.row_number().over(before) - 1).cast("bigint").alias("shard"), F.concat(F.lit(f"{folder}/"), "file").alias("file"), (F.sum("n").over(before) - F.col("n")).alias("start"), "n"))
+    shards = stash(
+        shards.select(
+            (F.row_number().over(before) - 1).cast("bigint").alias("shard"), F.concat(F.lit(f"{folder}/"), "file").alias("file"),
+            (F.sum("n").over(before) - F.col("n")).alias("start"), "n",
+        )
+    )
     located = entries.withColumn("file", F.concat(F.lit(f"{folder}/"), "file")).join(shards.select("shard", "file"), "file")
     buckets = max(1, -(-entries.count() // BUCKET_KEYS))
-    index = stash(_bucketed(located.select("doc_id", "k", "shard", "at", "n"), buckets).groupBy("bucket").applyInArrow(_index_bucket, _INDEX_DDL))
+    index = stash(
+        _bucketed(located.select("doc_id", "k", "shard", "at", "n"), buckets).groupBy("bucket").applyInArrow(_index_bucket, _INDEX_DDL)
+    )
     return TokenFiles(shards, index, buckets, width, entries)
 
 
 def _look_up(keys: pa.Table, index: pa.Table) -> pa.Table:
     empty = not (keys.num_rows and index.num_rows)
     wanted = np.zeros(0, np.uint64) if empty else _keys(keys)
-    stored = {c: np.zeros(0, t) if empty else np.frombuffer(index.column(c)[0].as_py(), t) for c, t in (("seeds", np.int64), ("prints", np.uint32), ("shards", np.int64), ("at", np.int64), ("n", np.int64))}
+    stored = {
+        c: np.zeros(0, t) if empty else np.frombuffer(index.column(c)[0].as_py(), t) for c,
+        t in (("seeds", np.int64), ("prints", np.uint32), ("shards", np.int64), ("at", np.int64), ("n", np.int64))
+    }
     where = slot(wanted, stored["seeds"], len(stored["n"]))
     hit = stored["prints"][where] == _print(wanted)
     at = where[hit]
     own = keys.slice(0, len(wanted)).filter(pa.array(hit))
-    return pa.table({"doc_id": own.column("doc_id"), "k": own.column("k"), "shard": stored["shards"][at], "at": stored["at"][at], "n": stored["n"][at]})
+    return pa.table(
+        {"doc_id": own.column("doc_id"), "k": own.column("k"), "shard": stored["shards"][at], "at": stored["at"][at], "n": stored["n"][at]}
+    )
 
 
 def locate(files: TokenFiles, keys: DataFrame) -> DataFrame:
     """(doc_id, k, shard, at, n) of the keys (doc_id, k) that the index has; one slot is read for each."""
     wanted = _bucketed(keys.select("doc_id", F.col("k").cast("int").alias("k")), files.buckets)
-    return wanted.groupBy("bucket").cogroup(files.index.groupBy("bucket")).applyInArrow(_look_up, "doc_id bigint, k int, shard bigint, at bigint, n bigint")
+    return wanted.groupBy("bucket").cogroup(files.index.groupBy("bucket")).applyInArrow(
+        _look_up, "doc_id bigint, k int, shard bigint, at bigint, n bigint",
+    )
 
 
 
 
 def _ranges(batches: Iterator[pa.RecordBatch], width: int, hold: int = 1 << 22) -> Iterator[tuple[dict, bytes]]:
     """Rows with the raw ids of their document, shard by shard in the order of the file."""
-    for rows in (list(own) for table in runs(batches, "file", 1) for _, own in groupby(table.sort_by([("file", "ascending"), ("at", "ascending")]).to_pylist(), itemgetter("file"))):
+    for rows in (
+        list(own) for table in runs(batches, "file", 1) for _,
+        own in groupby(table.sort_by([("file", "ascending"), ("at", "ascending")]).to_pylist(), itemgetter("file"))
+    ):
         store, name = fs.FileSystem.from_uri(rows[0]["file"])
         with store.open_input_file(name) as source:
             first = 0
@@ -213,7 +239,9 @@ def _ranges(batches: Iterator[pa.RecordBatch], width: int, hold: int = 1 << 22)
 def read_tokens(files: TokenFiles, keys: DataFrame, kernel, schema: str) -> DataFrame:
     """Read the keys' documents from the shards; kernel turns (row, raw ids, width) into a row of the schema."""
     width = files.width
-    placed = locate(files, keys).join(files.shards.select("shard", "file", F.col("start").alias("base")), "shard").select("doc_id", "k", "file", "at", "n", (F.col("base") + F.col("at")).alias("start"))
+    placed = locate(files, keys).join(files.shards.select("shard", "file", F.col("start").alias("base")), "shard").select(
+        "doc_id", "k", "file", "at", "n", (F.col("base") + F.col("at")).alias("start"),
+    )
     names = [c.split()[0] for c in schema.split(", ")]
 
     def read(batches):
