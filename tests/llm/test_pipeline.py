@@ -10,6 +10,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from caselens.llm.language_id import language_id
 from caselens.llm.mixing import mixture
+from .common import awkward, docs
 from .test_jaccard_join import brute as near_copies
 
 SF = "/root/testdata/sf0.001"
@@ -63,3 +64,34 @@ def test_mix_and_output(spark, stages):
 
 def test_run_gives_the_rows_of_the_stages(spark, stages):
     assert sorted(map(tuple, corpus_pipeline.run(spark, SF).collect())) == sorted(map(tuple, stages[5].collect()))
+
+
+def _through(spark, table, place):
+    """The tables of all stages; every stage but the last keeps the columns."""
+    tables = [table]
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, tables[-1], SF).write.parquet(f"{place}/{k}")
+        tables.append(spark.read.parquet(f"{place}/{k}"))
+    assert all(t.columns == table.columns for t in tables[:5])
+    assert tables[5].columns[:4] == ["doc_id", "start", "n_tokens", "ids_crc32"]
+    return tables
+
+
+def test_awkward_rows_and_clashing_columns(spark, tmp_path):
+    """Nulls, repeated ids and texts, long and empty texts, and columns named as the stages name their own."""
+    clash = {"__lang": "'a'", "__Score": "1.5", "__n_words": "2", "__hits": "'b'", "__items": "'c'", "__sid": "3", "__set": "4", "__rows": "5", "size": "6", "h": "'d'", "tie": "'e'", "copy": "7"}
+    rows = [(r.doc_id, r.text) for r in awkward(spark).collect()] + [(20, "other words than any"), (20, "words that share an id only"), (None, "no id and nothing like it"), (None, "no id and other words here")]
+    table = docs(spark, rows, extra=True).selectExpr("*", *(f"{v} AS `{k}`" for k, v in clash.items()))
+    tables = _through(spark, table, tmp_path)
+    lettered = sorted(str(t) for _, t in rows if t and any(c.isalpha() for c in t))
+    assert sorted(r.text for r in tables[1].collect()) == lettered  # one language is known: all with a letter stay
+    want = Counter(lettered)
+    want["one"] = 1
+    want[next(t for t in lettered if len(t) > 10_000)] = 1
+    assert Counter(r.text for r in tables[2].collect()) == want == Counter(r.text for r in tables[3].collect())
+    assert {tuple(map(str, r)) for r in tables[4].select(*clash).distinct().collect()} == {tuple(map(str, table.select(*clash).first()))}
+    assert tables[5].count() == tables[4].count() and tables[5].agg({"n_tokens": "min"}).first()[0] >= 1
+
+
+def test_empty_table(spark, tmp_path):
+    assert [t.count() for t in _through(spark, docs(spark, []), tmp_path)] == [0] * 6
