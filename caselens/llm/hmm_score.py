@@ -48,10 +48,10 @@ HOT, HOT_LONG = 300_000, 20_000
 #: Hot words have at most so many bytes; longer ones are known by their digests.
 HOT_BYTES = 48
 #: Slices of the training documents in a sweep; the weight of the n-th slice in the running mean is (n + 1) ** -FADE.
-SLICES, FADE = 16, 0.5
+SLICES, FADE = 8, 0.3
 #: Sweeps, or rounds, end when one gains less than GAIN (log10 of the likelihood, per token).
 GAIN = 2e-3
-#: No more sweeps, or rounds, than these, should the gain not get small. Three sweeps do what some thirteen rounds do.
+#: No more sweeps, or rounds, than these, should the gain not get small. Three sweeps do what some eleven rounds do.
 SWEEPS, ROUNDS = 3, 200
 BLOCKS = 64
 #: Tokens that a task holds at once.
@@ -329,7 +329,7 @@ def expected(sequences: DataFrame, model: Model, share: int = 1) -> tuple[float,
     shared = spark.sparkContext.broadcast(model)
     sent = sequences.select("ids").mapInArrow(lambda it: _send_counts(it, shared.value), "block int, sums binary")
     added = sent.repartition(
-        min(BLOCKS, max(1, partitions(spark) // share)), "block",
+        min(BLOCKS, max(1, partitions(spark) // (4 * share))), "block",
     ).mapInArrow(_add_up, "block int, sums binary").collect()
     shared.destroy()
     sums = {r[0]: np.frombuffer(bytes(r[1])) for r in added}
