@@ -56,8 +56,8 @@ def quantiles(df: DataFrame, keys: list[str], value: str, at: Sequence[float], n
     return found.select(
         *keys,
         *(
-            (F.col(f"__lo{i}") + (F.col(f"__hi{i}") - F.col(f"__lo{i}")) * rest(q)).alias(name) for i,
-            (q, name) in enumerate(zip(at, names))
+            (F.col(f"__lo{i}") + (F.col(f"__hi{i}") - F.col(f"__lo{i}")) * rest(q)).alias(name)
+            for i, (q, name) in enumerate(zip(at, names))
         ),
     )
 
@@ -203,8 +203,8 @@ def volume_summary(df: DataFrame, keys: list[str], volume: str) -> DataFrame:
 def group_report(df: DataFrame, group: str, metrics: Sequence[str]) -> DataFrame:
     """n of each group, and n, mean, median, min and max of each metric; the largest groups first, ties by name."""
     each = [
-        f(finite(m)).alias(f"{m}_{name}") for m in metrics for name,
-        f in (("n", F.count), ("mean", F.avg), ("median", lambda c: F.percentile(c, 0.5)), ("min", F.min), ("max", F.max))
+        f(finite(m)).alias(f"{m}_{name}") for m in metrics
+        for name, f in (("n", F.count), ("mean", F.avg), ("median", lambda c: F.percentile(c, 0.5)), ("min", F.min), ("max", F.max))
     ]
     return df.groupBy(group).agg(F.count("*").alias("n"), *each).orderBy(F.col("n").desc(), group)
 

@@ -122,8 +122,8 @@ def write_report(report: dict[str, DataFrame], path: str) -> None:
     """One pretty JSON document of small tables, each a list of rows; numbers that are not finite are null."""
     spark = next(iter(report.values())).sparkSession
     body = {
-        name: [json.loads(r[0]) for r in finite_columns(df).select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"})).toLocalIterator()] for name,
-        df in report.items()
+        name: [json.loads(r[0]) for r in finite_columns(df).select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"})).toLocalIterator()]
+        for name, df in report.items()
     }
     write_text(spark, path, json.dumps(body, indent=2, sort_keys=True))
 
