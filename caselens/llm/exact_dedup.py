@@ -86,8 +86,8 @@ def _probe(index: pa.Table, new: pa.Table) -> pa.Table:
         _digests(new.column("digest")), _ids(new.column("keep_id")), new.column("group_size").to_numpy(),
     ) if new.num_rows else (np.zeros((0, 32), np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64))
     old = {
-        c: np.frombuffer(index.column(c)[0].as_py(), t) if index.num_rows else np.zeros(0, t) for c,
-        t in (("seeds", np.int64), ("digests", np.uint8), ("winners", np.int64), ("sizes", np.int64))
+        c: np.frombuffer(index.column(c)[0].as_py(), t) if index.num_rows else np.zeros(0, t)
+        for c, t in (("seeds", np.int64), ("digests", np.uint8), ("winners", np.int64), ("sizes", np.int64))
     }
     stored, n = old["digests"].reshape(-1, 32), len(old["winners"])
     at = slot(_keys(digests), old["seeds"], n)

@@ -18,6 +18,13 @@ sets are one from the start (sid), so copies never make pairs. Then:
    are cut into blocks: first each by itself, then each with the first one,
    then all pairs of blocks that still hold different components.
 
+Common shingles (a licence, a page's frame) are found where texts are read: a
+task that holds COMMON entries of one keeps them. In step 1 it counts them for
+their sets itself, since others hold them; in step 2 it sends one mark, by which
+all tasks rank that shingle after those that aren't common. So at most COMMON
+entries of a shingle come from a million entries, and none of these rankings
+differs between two sets.
+
 Every step is exact. Edge cases: a null, empty or blank text has no set and is
 linked with nothing; a text with fewer words than a shingle has one shingle of
 all of them; rows repeated with doc_id are rows like others; a null doc_id
@@ -46,6 +53,8 @@ SHINGLE = 5
 MAX_GROUP = 4096
 #: Entries that a task of the first steps holds before it sends them.
 _HOLD = 1_000_000
+#: A shingle that so many of these entries have is common: its entries don't meet in one task.
+COMMON = 16
 _NO_ID = -(1 << 63)
 
 
@@ -119,13 +128,64 @@ def _unpack(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return tuple(np.frombuffer(b"".join(rows.column(c).to_pylist()), t) for c, t in (("h", np.uint64), ("sid", np.int64), ("n", np.int32)))
 
 
-def _held(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], buckets: int, kind: int = 0) -> pa.RecordBatch:
+def _common(h: np.ndarray, common: int) -> tuple[np.ndarray, np.ndarray]:
+    """(whether an entry's shingle is common, the first entry of each common shingle)."""
+    order = np.argsort(h, kind="stable")
+    edge = np.flatnonzero(np.concatenate([[True], h[order][1:] != h[order][:-1], [True]])) if len(h) else np.zeros(1, np.int64)
+    often = np.diff(edge) >= common
+    mask = np.zeros(len(h), bool)
+    mask[order] = np.repeat(often, np.diff(edge))
+    return mask, order[edge[:-1][often]]
+
+
+def _by_shingle(h: np.ndarray, buckets: int) -> np.ndarray:
+    return ((h >> np.uint64(20)) % np.uint64(buckets)).astype(np.int32)
+
+
+def _by_set(sid: np.ndarray, buckets: int) -> np.ndarray:
+    return _by_shingle(sid.view(np.uint64), buckets)
+
+
+def _held_prefixes(parts: list[tuple[np.ndarray, ...]], buckets: int, common: int) -> Iterator[pa.RecordBatch]:
+    """Entries by shingle, one of each common one; and for the sets of common ones how many they have (kind 3, in the place of h)."""
     h, sid, n = (np.concatenate(x) for x in zip(*parts))
-    return _pack(((h >> np.uint64(20)) % np.uint64(buckets)).astype(np.int32), kind, h, sid, n)
+    often, first = _common(h, common)
+    send = ~often
+    send[first] = True
+    yield _pack(_by_shingle(h[send], buckets), 0, h[send], sid[send], n[send])
+    found, count = np.unique(sid[often], return_counts=True)
+    yield _pack(_by_set(found, buckets), 3, count.astype(np.uint64), found, np.zeros(len(found), np.int32))
+
+
+_COUNTED = np.dtype([("n", np.int32), ("held", np.int32)])
+_MOST = np.iinfo(np.int32).max
 
 
-def _send_prefixes(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
-    """kind 0: prefix hashes of each set, once a task; kind 1: doc_id (as h), sid and size of each document."""
+def _pack_counts(h: np.ndarray, sid: np.ndarray, n: np.ndarray, held: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """Shingles on their way to their sets, with the number of holders beside the set's size (kind 2)."""
+    bucket = _by_set(sid, buckets)
+    counted = np.zeros(len(n), _COUNTED)
+    counted["n"], counted["held"] = n, held
+    order = np.argsort(bucket, kind="stable")
+    bucket, h, sid, counted = bucket[order], h[order], sid[order], counted[order]
+    cuts = np.flatnonzero(np.diff(bucket)) + 1
+    at = list(zip([0, *cuts.tolist()], [*cuts.tolist(), len(bucket)])) if len(bucket) else []
+    arrays = [pa.array([x[a:b].tobytes() for a, b in at], pa.binary()) for x in (h, sid, counted)]
+    return pa.RecordBatch.from_arrays([pa.array([int(bucket[a]) for a, _ in at], pa.int32()), pa.array([2] * len(at), pa.int8()), *arrays], schema=_PACKED)
+
+
+def _held_all(parts: list[tuple[np.ndarray, ...]], buckets: int, common: int) -> Iterator[pa.RecordBatch]:
+    """Entries by shingle; those of common ones go to their sets at once, and a mark (set 0) to their shingle's bucket."""
+    h, sid, n = (np.concatenate(x) for x in zip(*parts))
+    often, first = _common(h, common)
+    none = np.zeros(len(first), np.int64)
+    send = np.concatenate([h[~often], h[first]]), np.concatenate([sid[~often], none]), np.concatenate([n[~often], none])
+    yield _pack(_by_shingle(send[0], buckets), 0, *send)
+    yield _pack_counts(h[often], sid[often], n[often], np.full(int(often.sum()), _MOST), buckets)
+
+
+def _send_prefixes(batches: Iterator[pa.RecordBatch], buckets: int, common: int) -> Iterator[pa.RecordBatch]:
+    """kind 0: prefix hashes of each set, once a task; kind 1: doc_id (as h), sid and size of each document; kind 3: see _held_prefixes()."""
     parts, size, seen = [], 0, set()
     for batch in slices(batches, "text"):
         grams, bounds = shingle_sets(*utf8(batch.column("text")))
@@ -143,11 +203,11 @@ def _send_prefixes(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[
         parts.append((grams[first], np.repeat(sids, take), np.repeat(n, take)))
         size += int(take.sum())
         if size > _HOLD:
-            yield _held(parts, buckets)
+            yield from _held_prefixes(parts, buckets, common)
             parts, size = [], 0
             seen = set()
     if parts:
-        yield _held(parts, buckets)
+        yield from _held_prefixes(parts, buckets, common)
 
 
 def _distinct(h: np.ndarray, sid: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -180,9 +240,10 @@ def _count_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             schema=_META,
         )
         _, sid, _, held = _distinct(*_unpack(table.filter(pc.equal(table.column("kind"), 0))))
-        found, count = np.unique(sid[held > 1], return_counts=True)
-        nothing = pa.nulls(len(found), pa.int64())
-        yield pa.RecordBatch.from_arrays([nothing, pa.array(found), nothing, pa.array(count.astype(np.int64))], schema=_META)
+        known, sids, _ = _unpack(table.filter(pc.equal(table.column("kind"), 3)))
+        for found, count in (np.unique(sid[held > 1], return_counts=True), (sids, known)):
+            nothing = pa.nulls(len(found), pa.int64())
+            yield pa.RecordBatch.from_arrays([nothing, pa.array(found), nothing, pa.array(count.astype(np.int64))], schema=_META)
 
 
 def _with_sid(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,7 +255,7 @@ def _with_sid(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _send_all(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+def _send_all(batches: Iterator[pa.RecordBatch], buckets: int, common: int) -> Iterator[pa.RecordBatch]:
     parts, size = [], 0
     for batch in slices(batches, "text"):
         grams, bounds = shingle_sets(*utf8(batch.column("text")))
@@ -202,41 +263,34 @@ def _send_all(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Re
         parts.append((grams, np.repeat(batch.column("sid").to_numpy(), n), np.repeat(n, n)))
         size += len(grams)
         if size > _HOLD:
-            yield _held(parts, buckets)
+            yield from _held_all(parts, buckets, common)
             parts, size = [], 0
     if parts:
-        yield _held(parts, buckets)
+        yield from _held_all(parts, buckets, common)
 
 
 def _return_counts(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
-    """Shingles that several sets hold go to their sets, with the number of holders in the place of kind 2's second array."""
+    """Shingles that several sets hold go to their sets, with the number of holders; common ones have the largest number everywhere."""
     for table in runs(batches, "bucket", 1):
-        h, sid, n, held = _distinct(*_unpack(table))
-        many = held > 1
-        h, sid, n, held = h[many], sid[many], n[many], held[many]
-        bucket = ((sid.view(np.uint64) >> np.uint64(20)) % np.uint64(buckets)).astype(np.int32)
-        counted = np.rec.fromarrays([n, held.astype(np.int32)])
-        order = np.argsort(bucket, kind="stable")
-        bucket, h, sid, counted = bucket[order], h[order], sid[order], counted[order]
-        cuts = np.flatnonzero(np.diff(bucket)) + 1
-        at = list(zip([0, *cuts.tolist()], [*cuts.tolist(), len(bucket)])) if len(bucket) else []
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array([int(bucket[a]) for a, _ in at], pa.int32()), pa.array([2] * len(at), pa.int8()),
-                *(pa.array([x[a:b].tobytes() for a, b in at], pa.binary()) for x in (h, sid, counted)),
-            ], schema=_PACKED
-        )
+        direct = pc.equal(table.column("kind"), 2)
+        yield from table.filter(direct).to_batches()
+        h, sid, n, held = _distinct(*_unpack(table.filter(pc.invert(direct))))
+        common = np.isin(h, h[sid == 0])
+        held = np.where(common, _MOST, held)
+        send = (held > 1) & (sid != 0)
+        yield _pack_counts(h[send], sid[send], n[send], held[send], buckets)
 
 
 def _rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(h, sid) of the rarest shingles of each set of which enough are held by others: any partner holds one of them."""
     for table in runs(batches, "bucket", 1):
-        h, sid, counted = (
-            np.frombuffer(b"".join(table.column(c).to_pylist()), t) for c,
-            t in (("h", np.uint64), ("sid", np.int64), ("n", np.dtype([("n", np.int32), ("held", np.int32)])))
-        )
+        raw = {c: b"".join(table.column(c).to_pylist()) for c in ("h", "sid", "n")}
+        h, sid, counted = np.frombuffer(raw["h"], np.uint64), np.frombuffer(raw["sid"], np.int64), np.frombuffer(raw["n"], _COUNTED)
         order = np.lexsort((h, counted["held"], sid))
         h, sid, n = h[order], sid[order], counted["n"][order].astype(np.int64)
+        once = np.ones(len(h), bool)  # rows that repeat a document have sent its set twice
+        once[1:] = (h[1:] != h[:-1]) | (sid[1:] != sid[:-1])
+        h, sid, n = h[once], sid[once], n[once]
         edge = np.flatnonzero(np.concatenate([[True], sid[1:] != sid[:-1], [True]])) if len(sid) else np.zeros(1, np.int64)
         have = np.repeat(np.diff(edge), np.diff(edge))
         rank = np.arange(len(sid)) - np.repeat(edge[:-1], np.diff(edge))
@@ -393,12 +447,12 @@ def _large(texts: DataFrame, groups: DataFrame, block: int) -> DataFrame:
     return edges
 
 
-def _joined(docs: DataFrame, max_group: int) -> tuple[DataFrame, DataFrame]:
+def _joined(docs: DataFrame, max_group: int, common: int) -> tuple[DataFrame, DataFrame]:
     """(doc_id, sid, n of each document, with other rows of n null), (sid, copies, min_id, root, component_id of each set); root is one sid of the component."""
     spark = docs.sparkSession
     docs = small_batches(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     buckets = 2 * partitions(spark)
-    sent = docs.mapInArrow(lambda it: _send_prefixes(it, buckets), _PACKED_DDL)
+    sent = docs.mapInArrow(lambda it: _send_prefixes(it, buckets, common), _PACKED_DDL)
     meta = stash(by_bucket(sent).mapInArrow(_count_shared, "doc_id bigint, sid bigint, n bigint, shared bigint"))
     sets = stash(
         meta.filter("sid IS NOT NULL").groupBy("sid").agg(
@@ -411,10 +465,10 @@ def _joined(docs: DataFrame, max_group: int) -> tuple[DataFrame, DataFrame]:
     texts = stash(whole.select("text").mapInArrow(_with_sid, "sid bigint, n bigint, text string").filter("sid <> 0"))
 
     counted = by_bucket(
-        texts.mapInArrow(lambda it: _send_all(it, buckets), _PACKED_DDL)
+        texts.mapInArrow(lambda it: _send_all(it, buckets, common), _PACKED_DDL)
     ).mapInArrow(lambda it: _return_counts(it, buckets), _PACKED_DDL)
     rare = stash(by_bucket(counted).mapInArrow(_rarest, "h bigint, sid bigint"))
-    least = rare.groupBy("h").agg(F.min("sid").alias("b"), F.count("*").alias("k")).filter("k > 1")
+    least = stash(rare.groupBy("h").agg(F.min("sid").alias("b"), F.count("*").alias("k")).filter("k > 1"))
     groups = components(rare.join(least, "h").select(F.col("sid").alias("a"), "b")).toDF("sid", "root")
 
     counts = groups.groupBy("root").count()
@@ -439,9 +493,9 @@ def _joined(docs: DataFrame, max_group: int) -> tuple[DataFrame, DataFrame]:
     )
 
 
-def jaccard_join(docs: DataFrame, max_group: int = MAX_GROUP) -> DataFrame:
+def jaccard_join(docs: DataFrame, max_group: int = MAX_GROUP, common: int = COMMON) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (the smallest doc_id reachable by links, its own included)."""
-    meta, values = _joined(docs, max_group)
+    meta, values = _joined(docs, max_group, common)
     values = values.select("sid", "copies", "component_id")
     rows = meta.filter("n IS NOT NULL").select("doc_id", "sid", F.col("n").alias("n_shingles"))
     total = values.agg(F.sum("copies")).first()[0] or 0
@@ -457,14 +511,14 @@ def _add_sid(batches: Iterator[pa.RecordBatch], name: str) -> Iterator[pa.Record
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sids)], names=[*batch.schema.names, name])
 
 
-def keep_one(docs: DataFrame, max_group: int = MAX_GROUP) -> DataFrame:
+def keep_one(docs: DataFrame, max_group: int = MAX_GROUP, common: int = COMMON) -> DataFrame:
     """docs, with all its columns, less the documents that another one of their component stands for.
 
     One set stands for a component: one that has its smallest doc_id (null only if
     there is no other), and of its rows one with that doc_id. Documents without a
     set all stay, whatever their doc_id.
     """
-    meta, values = _joined(docs, max_group)
+    meta, values = _joined(docs, max_group, common)
     best = values.groupBy("root").agg(F.min(F.struct(F.col("min_id").isNull().alias("none"), "min_id", "sid")).alias("best"))
     copies = meta.filter("n IS NOT NULL AND sid IS NOT NULL").groupBy("sid", "doc_id").agg(F.count("*").alias("__rows"))
     own, chosen, id_, rows = (unused(f"__{x}", docs.columns) for x in ("sid", "set", "id", "rows"))

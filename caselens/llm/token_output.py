@@ -193,8 +193,8 @@ def _look_up(keys: pa.Table, index: pa.Table) -> pa.Table:
     empty = not (keys.num_rows and index.num_rows)
     wanted = np.zeros(0, np.uint64) if empty else _keys(keys)
     stored = {
-        c: np.zeros(0, t) if empty else np.frombuffer(index.column(c)[0].as_py(), t) for c,
-        t in (("seeds", np.int64), ("prints", np.uint32), ("shards", np.int64), ("at", np.int64), ("n", np.int64))
+        c: np.zeros(0, t) if empty else np.frombuffer(index.column(c)[0].as_py(), t)
+        for c, t in (("seeds", np.int64), ("prints", np.uint32), ("shards", np.int64), ("at", np.int64), ("n", np.int64))
     }
     where = slot(wanted, stored["seeds"], len(stored["n"]))
     hit = stored["prints"][where] == _print(wanted)
@@ -218,8 +218,8 @@ def locate(files: TokenFiles, keys: DataFrame) -> DataFrame:
 def _ranges(batches: Iterator[pa.RecordBatch], width: int, hold: int = 1 << 22) -> Iterator[tuple[dict, bytes]]:
     """Rows with the raw ids of their document, shard by shard in the order of the file."""
     for rows in (
-        list(own) for table in runs(batches, "file", 1) for _,
-        own in groupby(table.sort_by([("file", "ascending"), ("at", "ascending")]).to_pylist(), itemgetter("file"))
+        list(own) for table in runs(batches, "file", 1)
+        for _, own in groupby(table.sort_by([("file", "ascending"), ("at", "ascending")]).to_pylist(), itemgetter("file"))
     ):
         store, name = fs.FileSystem.from_uri(rows[0]["file"])
         with store.open_input_file(name) as source:

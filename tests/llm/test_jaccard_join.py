@@ -52,12 +52,12 @@ def corpus(seed, n=160):
     return list(enumerate(texts, 100))
 
 
-@pytest.mark.parametrize("max_group", [4096, 8])
-def test_equals_brute_force(spark, max_group):
+@pytest.mark.parametrize("max_group,common", [(4096, 16), (8, 16), (4096, 2), (8, 3)])
+def test_equals_brute_force(spark, max_group, common):
     rows = corpus(3)
     want = brute(rows)
     assert len({c for _, c in want.values()}) < len(rows) - 40
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join(docs(spark, rows), max_group).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join(docs(spark, rows), max_group, common).collect()}
     assert got == want
 
 
