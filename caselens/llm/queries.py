@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, hmm_score, jaccard_join, language_id, mixing, secret_scan, suffix_dedup, token_counts, token_output
+from . import (
+    decontaminate, exact_dedup, filter_audit, hmm_score, jaccard_join, language_id, mixing, secret_scan, suffix_dedup, token_counts, token_output,
+)
 
 
 def _tokenizer(name: str) -> str:
@@ -57,7 +59,16 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_join(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_array_dedup, op2_source_mixing, op3_secret_scan, op4_token_output, op5_language_id, op6_lm_scoring, op7_benchmark_decontamination, op8_exact_dedup, op9_token_counts, op10_ngram_jaccard_join)}
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+QUERIES = {
+    f.__name__: f for f in (
+        op1_suffix_array_dedup, op2_source_mixing, op3_secret_scan, op4_token_output, op5_language_id, op6_lm_scoring, op7_benchmark_decontamination,
+        op8_exact_dedup, op9_token_counts, op10_ngram_jaccard_join, op11_filter_audit,
+    )
+}
 
 _OP2 = r"""
 WITH d AS (SELECT doc_id, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size, CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS skey, md5(coalesce(CAST(doc_id AS VARCHAR), 'text ' || md5(coalesce(text, '')))) AS h, md5(coalesce(text, '')) AS tie FROM documents),
@@ -93,4 +104,22 @@ SELECT doc_id, max(doc_id) OVER g AS keep_id, CAST(count(*) OVER g AS BIGINT) AS
 FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
 """
 
-ORACLES = {"op2_source_mixing": _OP2, "op7_benchmark_decontamination": _OP7, "op8_exact_dedup": _OP8}
+_OP11 = r"""
+WITH t AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first_id FROM documents),
+m AS (SELECT doc_id, part, (len(w) < 100)::INT + 2 * (100 * len(list_distinct(w)) < 80 * len(w))::INT + 4 * (100 * len(regexp_extract_all(t, '[A-Z]')) > 10 * length(t))::INT
+  + 8 * regexp_matches(t, '[#$%&*|]')::INT + 16 * coalesce(doc_id > first_id, FALSE)::INT AS mask FROM t),
+l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+c AS (SELECT part, mask, count(*) AS n, count(*) FILTER (good) AS n_good, count(*) FILTER (toxic) AS n_toxic FROM m LEFT JOIN l USING (doc_id) GROUP BY ALL),
+f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f, unnest([1, 2, 4, 8, 16]) AS bit),
+o AS (SELECT a.f || b.f || c.f || d.f || e.f AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits FROM f a, f b, f c, f d, f e WHERE a.bit + b.bit + c.bit + d.bit + e.bit = 31 AND a.bit | b.bit | c.bit | d.bit | e.bit = 31),
+s AS (SELECT filter_order, step, bits[step] AS own, coalesce(list_sum(bits[1:step - 1]), 0)::INT AS before FROM o, (SELECT unnest(range(1, 6)) AS step)),
+r AS (SELECT part, filter_order, step, own, sum(n) FILTER (mask & (own | before) = 0) AS kept, sum(n) FILTER (mask & own <> 0 AND mask & before = 0) AS removed,
+  sum(n) FILTER (mask & own <> 0 AND mask & before <> 0) AS redundant, sum(n) FILTER (mask = own) AS unique_fails,
+  sum(n_good) FILTER (mask & own <> 0 AND mask & before = 0) AS good_lost, sum(n_toxic) FILTER (mask & own <> 0 AND mask & before = 0) AS toxic_lost FROM c, s GROUP BY ALL),
+z AS (SELECT part, filter_order, step, own, kept, coalesce(removed, 0) AS removed, redundant, unique_fails, good_lost, toxic_lost FROM r)
+SELECT part, filter_order, step::INT AS step, coalesce(kept, 0)::BIGINT AS kept, removed::BIGINT AS removed, coalesce(redundant, 0)::BIGINT AS redundant, coalesce(unique_fails, 0)::BIGINT AS unique_fails,
+  coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost, sum(removed) OVER (PARTITION BY part, own)::BIGINT AS shapley
+FROM z
+"""
+
+ORACLES = {"op2_source_mixing": _OP2, "op7_benchmark_decontamination": _OP7, "op8_exact_dedup": _OP8, "op11_filter_audit": _OP11}
