@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import (
     decontaminate, exact_dedup, filter_audit, hmm_score, jaccard_join, language_id, mixing, secret_scan, suffix_dedup, token_counts, token_output,
+    vector_codes,
 )
 
 
@@ -63,10 +64,14 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.filter_audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.vector_codes(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f for f in (
         op1_suffix_array_dedup, op2_source_mixing, op3_secret_scan, op4_token_output, op5_language_id, op6_lm_scoring, op7_benchmark_decontamination,
-        op8_exact_dedup, op9_token_counts, op10_ngram_jaccard_join, op11_filter_audit,
+        op8_exact_dedup, op9_token_counts, op10_ngram_jaccard_join, op11_filter_audit, op12_vector_codes,
     )
 }
 
@@ -122,4 +127,24 @@ SELECT part, filter_order, step::INT AS step, coalesce(kept, 0)::BIGINT AS kept,
 FROM z
 """
 
-ORACLES = {"op2_source_mixing": _OP2, "op7_benchmark_decontamination": _OP7, "op8_exact_dedup": _OP8, "op11_filter_audit": _OP11}
+
+def _op12() -> str:
+    """Six rounds, each a table of nearest entries and one of new entries."""
+    rounds = "".join(
+        f"""
+a{i} AS MATERIALIZED (SELECT r, part, min(d * 16 + e) % 16 AS e, min(d * 16 + e) // 16 AS d FROM (SELECT r, x.part, e, sum((x.x - c.x) * (x.x - c.x))::BIGINT AS d FROM x JOIN c{i} c USING (part, k) GROUP BY ALL) GROUP BY ALL),
+s{i} AS (SELECT x.part, e, k, sum(x)::BIGINT AS s, count(*) AS n FROM x JOIN a{i} USING (r, part) GROUP BY ALL),
+c{i + 1} AS MATERIALIZED (SELECT part, e, k, coalesce((s - (s % n + n) % n) // n, x) AS x FROM c{i} LEFT JOIN s{i} USING (part, e, k)),""" for i in range(7)
+    )
+    return f"""
+WITH v AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) - 1 AS r, vec_id, label, embedding FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+x AS MATERIALIZED (SELECT r, (i - 1) // (n // 8) AS part, (i - 1) % (n // 8) AS k, floor(4096 * embedding[i]::DOUBLE)::BIGINT AS x FROM (SELECT r, embedding, len(embedding) AS n, unnest(range(1, len(embedding) + 1)) AS i FROM v)),
+c0 AS (SELECT part, r AS e, k, x FROM x WHERE r < 16),{rounds}
+b AS (SELECT sha256(string_agg(x::VARCHAR, ',' ORDER BY part, e, k)) AS h FROM c6),
+o AS (SELECT vec_id, label, string_agg(format('{{:02x}}', e), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM a6 JOIN v USING (r) GROUP BY r, vec_id, label)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, h AS codebooks_sha256 FROM o, b
+"""
+
+
+ORACLES = {"op2_source_mixing": _OP2, "op7_benchmark_decontamination": _OP7, "op8_exact_dedup": _OP8, "op11_filter_audit": _OP11, "op12_vector_codes": _op12()}
