@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from . import (
-    decontaminate, exact_dedup, filter_audit, hmm_score, jaccard_join, language_id, mixing, secret_scan, suffix_dedup, token_counts, token_output,
+    decontaminate, exact_dedup, filter_audit, forest_search, hmm_score, jaccard_join, language_id, mixing, secret_scan, suffix_dedup, token_counts, token_output,
     vector_codes,
 )
 
@@ -68,10 +68,14 @@ def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.vector_codes(_table(spark, sf_dir, "embeddings"))
 
 
+def op13_forest_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest_search.forest_search(_table(spark, sf_dir, "embeddings"), k=20)
+
+
 QUERIES = {
     f.__name__: f for f in (
         op1_suffix_array_dedup, op2_source_mixing, op3_secret_scan, op4_token_output, op5_language_id, op6_lm_scoring, op7_benchmark_decontamination,
-        op8_exact_dedup, op9_token_counts, op10_ngram_jaccard_join, op11_filter_audit, op12_vector_codes,
+        op8_exact_dedup, op9_token_counts, op10_ngram_jaccard_join, op11_filter_audit, op12_vector_codes, op13_forest_search,
     )
 }
 
