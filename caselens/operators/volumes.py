@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import range_bin, ratio, voxel_ml
 from ..storage import stash
+from .distances import squared_distances
 from .graph import components
 from .metrics import detection, overlap, volume_difference, with_tn
 from .relational import require_empty
@@ -257,44 +258,22 @@ def collapsed_dice(dice: Column, tp: Column, n_gt: Column, n_pred: Column) -> Co
 # --- distances --------------------------------------------------------------------------------
 
 
-def nearest_distance(points: DataFrame, targets: DataFrame, sizes: DataFrame, start: float = 4.0) -> DataFrame:
-    """points with ``distance`` in mm to the nearest target of their case (voxel sizes vx, vy, vz from sizes).
+def nearest_distance(points: DataFrame, targets: DataFrame, sizes: DataFrame, start: float | None = None) -> DataFrame:
+    """points with ``distance`` in mm to the nearest target of their case (voxel sizes vx, vy, vz from sizes). Cases without targets get NULL.
 
-    Points meet targets of their own and the neighbouring cells of a grid of
-    cubes; a distance up to the cube's side is final, the others go on with
-    cubes of twice the side. Cases without targets get NULL.
+    By passes over the lines of each axis, see distances.py; ``start``, the first side of a former search by cubes, has no effect.
     """
-    place = lambda df: df.join(sizes.select("case", "vx", "vy", "vz"), "case").select(
-        "case", *XYZ, *((F.col(a) * F.col(f"v{a}")).alias(f"m{a}") for a in XYZ),
-    )
-    rest, goals = stash(place(points)), stash(place(targets))
-    done = rest.limit(0).select("case", *XYZ, F.lit(0.0).alias("distance"))
-    rest = stash(rest.join(goals.select("case").distinct(), "case", "left_semi"))
-    lost = points.select("case", *XYZ).join(
-        goals.select("case").distinct(), "case", "left_anti",
-    ).withColumn("distance", F.lit(None).cast("double"))
-    side = start
-    steps = F.array(*(F.struct(*(F.lit(d).alias(f"d{a}") for a, d in zip(XYZ, o))) for o in product((-1, 0, 1), repeat=3)))
-    while not rest.isEmpty():
-        cell = lambda df, s: df.withColumns({f"c{a}": F.floor(F.col(f"m{a}") / s).cast("bigint") for a in XYZ})
-        far = cell(goals, side).withColumn("s", F.explode(steps)).select(
-            "case", *((F.col(f"c{a}") + F.col(f"s.d{a}")).alias(f"c{a}") for a in XYZ), *(F.col(f"m{a}").alias(f"g{a}") for a in XYZ),
-        )
-        near = cell(rest, side).join(far, ["case", "cx", "cy", "cz"])
-        square = sum(((F.col(f"m{a}") - F.col(f"g{a}")) ** 2 for a in XYZ[1:]), (F.col("mx") - F.col("gx")) ** 2)
-        least = stash(near.groupBy("case", *XYZ).agg(F.sqrt(F.min(square)).alias("distance")).filter(F.col("distance") <= side))
-        done = done.unionByName(least)
-        rest = stash(rest.join(least, ["case", *XYZ], "left_anti"))
-        side *= 2
-    return done.unionByName(lost)
+    near = squared_distances(points, targets, sizes, ["case"]).withColumn("distance", F.sqrt("h")).drop("h")
+    lost = points.select("case", *XYZ).join(targets.select("case").distinct(), "case", "left_anti")
+    return near.unionByName(lost.withColumn("distance", F.lit(None).cast("double")))
 
 
 def boundary_metrics(truth: DataFrame, predicted: DataFrame, sizes: DataFrame, tolerance: float = 3.0) -> DataFrame:
     """hd95, assd, masd and surface dice of each case that has both masks."""
     a, b = stash(surface(truth)), stash(surface(predicted))
-    d = nearest_distance(a, b, sizes).withColumn("side", F.lit("gt")).unionByName(
-        nearest_distance(b, a, sizes).withColumn("side", F.lit("pred"))
-    ).filter("distance IS NOT NULL")
+    both = lambda first, second: first.withColumn("side", F.lit("gt")).unionByName(second.withColumn("side", F.lit("pred")))
+    d = squared_distances(both(a, b), both(b, a), sizes, ["case", "side"]).withColumn("distance", F.sqrt("h"))
+    d = stash(d.select("case", "side", "distance"))
     side = d.groupBy("case", "side").agg(F.avg("distance").alias("m")).groupBy("case").agg(F.avg("m").alias("masd"))
     return d.groupBy("case").agg(
         F.percentile("distance", 0.95).alias("hd95"), F.avg("distance").alias("assd"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import metrics, ranking, reports
+from ..operators import blobs, metrics, ranking, reports
 from ..operators import volumes as V
 from ..sources import readers, sinks
 from ..streaming import jobs
@@ -179,6 +179,37 @@ def contrast_statistics(table):
     return reports.contrast(rows, "inside", "around", "spread")
 
 
+# --- blobs -------------------------------------------------------------------------------------
+
+_SUMMIT = f"""s AS (SELECT {_PLACE}, max(value) / 600 AS p FROM events GROUP BY ALL HAVING max(value) / 600 >= 0.1),
+n AS (SELECT a.c, a.p, a.x, a.y, a.z, (a.z * 100 + a.y) * 100 + a.x AS id, (b.z * 100 + b.y) * 100 + b.x AS other, b.p AS q FROM s a JOIN s b ON a.c = b.c AND abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1 AND abs(a.z - b.z) <= 1),
+r(c, id, p, seen, q) AS (SELECT c, id, p, id, p FROM n WHERE id = other UNION SELECT r.c, r.id, r.p, n.other, n.q FROM r JOIN n ON n.c = r.c AND n.id = r.seen WHERE n.q > r.p - 0.05)"""
+
+
+def _soft(table, least):
+    place = [
+        F.col("event_type").alias("case"), (F.col("user_id") % 20).cast("int").alias("x"), F.hour("ts").alias("y"),
+        (F.dayofyear("ts") % 10).cast("int").alias("z"),
+    ]
+    return table("events").groupBy(*place).agg((F.max("value") / 600).alias("p")).filter(F.col("p") >= least)
+
+
+@query(f"""WITH RECURSIVE {_SUMMIT}, h AS (SELECT c, id, p FROM r GROUP BY ALL HAVING max(q) <= p) SELECT c AS case_id, CAST(id % 100 AS BIGINT) AS x, CAST(id // 100 % 100 AS BIGINT) AS y, CAST(id // 10000 AS BIGINT) AS z, round(p, 6) AS p FROM h""")
+def voxel_summits(table):
+    """Places from which no higher one can be reached without going down by 0.05 at least."""
+    return blobs.h_maxima(_soft(table, 0.1), 0.05).select(F.col("case").alias("case_id"), "x", "y", "z", "p")
+
+
+@query(None)
+def voxel_blob_split(table):
+    """Components of a soft map's mask before and after lines between their summits are cut out."""
+    soft = _soft(table, 0.1)
+    whole, parts = blobs.soft_components(soft), V.label(blobs.split_blobs(soft, 0.05, 3))
+    count = lambda df, n, k: df.groupBy("case").agg(F.count("*").alias(n), F.count_distinct("comp").alias(k))
+    both = count(whole, "n_voxels", "n_blobs").join(count(parts, "n_kept", "n_parts"), "case")
+    return both.withColumnRenamed("case", "case_id")
+
+
 # --- matching, records, forms -------------------------------------------------------------------
 
 
