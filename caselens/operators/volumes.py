@@ -81,6 +81,14 @@ def label(voxels: DataFrame, connectivity: int = 26) -> DataFrame:
     return labelled.select("case", F.explode(F.sequence("x0", "x1")).alias("x"), "y", "z", "comp")
 
 
+def label_both(truth: DataFrame, predicted: DataFrame, connectivity: int = 26) -> tuple[DataFrame, DataFrame]:
+    """label() of two masks in one run."""
+    of = lambda df, side: df.select(F.struct(F.lit(side).alias("side"), "case").alias("case"), *XYZ)
+    both = stash(label(of(truth, 0).unionByName(of(predicted, 1)), connectivity))
+    one = lambda side: both.filter(F.col("case.side") == side).select(F.col("case.case").alias("case"), *XYZ, "comp")
+    return one(0), one(1)
+
+
 def component_sizes(labelled: DataFrame) -> DataFrame:
     return labelled.groupBy("case", "comp").agg(F.count("*").alias("n_voxels"))
 
@@ -427,7 +435,7 @@ def case_record(truth: DataFrame, predicted: DataFrame, sizes: DataFrame, connec
     base = base.select(
         "case", "tp", "fp", "fn", "tn", *overlap(), gt_ml.alias("gt_ml"), pred_ml.alias("pred_ml"), *volume_difference(pred_ml, gt_ml),
     )
-    a, b = stash(label(truth, connectivity)), stash(label(predicted, connectivity))
+    a, b = label_both(truth, predicted, connectivity)
     lesions = detection(lenient(a, b, sizes))
     out = base.join(boundary_metrics(truth, predicted, sizes), "case", "left").join(lesions, "case")
     if bins:

@@ -85,7 +85,7 @@ j AS (SELECT g.c, gt_count, coalesce(pred_count, 0) AS pred_count, coalesce(dete
 r AS (SELECT *, CAST(tp_pred AS DOUBLE) / nullif(pred_count, 0) AS pc, CAST(detected_gt AS DOUBLE) / nullif(gt_count, 0) AS rc FROM j)
 SELECT c AS case_id, gt_count, pred_count, detected_gt, tp_pred, round(pc, 6) AS lesion_precision, round(rc, 6) AS lesion_recall, round(CASE WHEN coalesce(pc, 0) + coalesce(rc, 0) = 0 THEN 0 ELSE 2 * pc * rc / (pc + rc) END, 6) AS lesion_f1 FROM r""")
 def voxel_lenient_detection(table):
-    truth, predicted = V.label(_gt(table), 6), V.label(_pr(table), 6)
+    truth, predicted = V.label_both(_gt(table), _pr(table), 6)
     counts = metrics.detection(V.lenient(truth, predicted, _gt(table).select("case"), 2))
     return counts.select(
         F.col("case").alias("case_id"), "gt_count", "pred_count", "detected_gt", "tp_pred", "lesion_precision", "lesion_recall", "lesion_f1",
@@ -229,7 +229,7 @@ d AS (SELECT c, 2.0 * coalesce(s, 0) / (g + p) AS dice FROM (SELECT c, count(*)
 SELECT c AS case_id, tp, fp, fn, round(CASE WHEN tp + fp + fn = 0 THEN 1.0 ELSE tp / (tp + (fp + fn) / 2.0) END, 6) AS rq, round(CASE WHEN tp = 0 AND n_g > 0 AND n_p > 0 THEN 0.0 ELSE dice END, 6) AS dice FROM q LEFT JOIN d USING (c)""")
 def voxel_recognition(table):
     """Components paired one to one by falling overlap; Dice falls to 0 where none is."""
-    truth, predicted = V.label(_gt(table), 6), V.label(_pr(table), 6)
+    truth, predicted = V.label_both(_gt(table), _pr(table), 6)
     found = V.recognition(_voxels(table), truth, predicted)
     count = lambda k: F.count_if(F.col("class") == k)
     voxels = V.overlay(_gt(table), _pr(table)).groupBy("case").agg(
@@ -245,7 +245,7 @@ def voxel_recognition(table):
     f"""WITH RECURSIVE {_parts("gt", "pr")}, {_PAIRS} SELECT c AS case_id, 'gt' AS side, n_gt AS n_voxels, coalesce(max(shared), 0) AS shared, CAST(a % 100 AS BIGINT) AS x FROM gn LEFT JOIN met USING (c, a) GROUP BY c, a, n_gt UNION ALL SELECT c, 'pred', n_pred, coalesce(max(shared), 0), CAST(b % 100 AS BIGINT) FROM pn LEFT JOIN met USING (c, b) GROUP BY c, b, n_pred"""
 )
 def voxel_overlap_maxima(table):
-    best = V.overlap_maxima(V.label(_gt(table), 6), V.label(_pr(table), 6))
+    best = V.overlap_maxima(*V.label_both(_gt(table), _pr(table), 6))
     return best.select(F.col("case").alias("case_id"), "side", "n_voxels", "shared", F.pmod("comp", F.lit(1 << 14)).alias("x"))
 
 
@@ -255,7 +255,7 @@ _BINS = (("one", 0, 2), ("few", 2, 5), ("some", 5, 20), ("many", 20, None))
 @query(f"""WITH RECURSIVE {_parts("gt", "pr")}, {_PAIRS}, s AS (SELECT c, a, n_gt, max(shared) AS shared FROM gn LEFT JOIN met USING (c, a) GROUP BY ALL), k AS (SELECT c, CASE WHEN n_gt < 2 THEN 'one' WHEN n_gt < 5 THEN 'few' WHEN n_gt < 20 THEN 'some' ELSE 'many' END AS size_bin, count(*) AS n, count(shared) AS d FROM s GROUP BY 1, 2)
 SELECT c AS case_id, size_bin, coalesce(n, 0) AS n_gt, coalesce(d, 0) AS n_detected, round(CAST(d AS DOUBLE) / n, 6) AS recall FROM (SELECT DISTINCT c FROM tissue) CROSS JOIN (SELECT unnest(['one', 'few', 'some', 'many']) AS size_bin) LEFT JOIN k USING (c, size_bin)""")
 def voxel_binned_recall(table):
-    truth, predicted = V.label(_gt(table), 6), V.label(_pr(table), 6)
+    truth, predicted = V.label_both(_gt(table), _pr(table), 6)
     return V.binned_recall(truth, predicted, _voxels(table), _BINS).withColumnRenamed("case", "case_id")
 
 
