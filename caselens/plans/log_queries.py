@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import graph, provenance
+from ..storage import shared_dir, stash
+from ..streaming import episodes
 from .catalog import query
 
 _STOP = ", ".join(f"'{w}'" for w in S.STOP_WORDS)
@@ -43,6 +47,37 @@ def commit_episodes(table):
     return provenance.episodes(_commits(table))
 
 
+_ONE_LOG = """l AS (SELECT 'all' AS repo, CAST(event_id AS VARCHAR) AS sha, ts, 'w' || CAST(floor(value) AS INT) || ' ' || event_type || user_id AS subject, ['d' || user_id % 40 || '/f'] AS files FROM events)"""
+
+
+@query(f"WITH RECURSIVE {_EPISODES.replace(_LOG, _ONE_LOG)} SELECT repo, sha, episode FROM m")
+def log_episodes(table):
+    """The whole table as the log of one repository, folded in chunks."""
+    v, user = F.floor("value").cast("string"), F.col("user_id")
+    commits = table("events").select(
+        F.lit("all").alias("repo"), F.col("event_id").cast("string").alias("sha"), "ts",
+        F.concat(F.lit("w"), v, F.lit(" "), F.col("event_type"), user.cast("string")).alias("subject"),
+        F.array(F.concat(F.lit("d"), (user % 40).cast("string"), F.lit("/f"))).alias("files"),
+    )
+    return provenance.episodes(commits, 5_000)
+
+
+@query(f"WITH RECURSIVE {_EPISODES} SELECT repo, sha, episode FROM m WHERE ts <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 2 DAY FROM l)")
+def streamed_episodes(table):
+    """The same rule on a stream: what the watermark has passed when all events are read."""
+    commits = stash(_commits(table))
+    name, spark = "spark.sql.streaming.stateStore.providerClass", commits.sparkSession
+    before, folder = spark.conf.get(name), f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    spark.conf.set(name, episodes.PROVIDER)
+    try:
+        source = spark.readStream.schema(commits.schema).parquet(commits.inputFiles()[0].rpartition("/")[0])
+        out = episodes.stream_episodes(source, "2 days").writeStream.format("parquet").option("checkpointLocation", f"{folder}/state")
+        out.outputMode("append").trigger(availableNow=True).start(f"{folder}/out").awaitTermination()
+    finally:
+        spark.conf.set(name, before)
+    return spark.read.schema("repo string, sha string, episode bigint").parquet(f"{folder}/out")
+
+
 @query(f"WITH RECURSIVE {_NODES} SELECT repo, episode, n_commits, lead_sha, title, kind FROM n")
 def episode_nodes(table):
     commits = _commits(table)

@@ -67,7 +67,7 @@ def stream_episodes(commits: DataFrame, late: str) -> DataFrame:
     A commit comes out when the watermark, ``late`` behind the newest one, has passed it. Commits later than that are left
     out, since their episode's place is taken. The session needs PROVIDER for its state stores.
     """
-    rows = commit_keys(commits.withWatermark("ts", late))
-    return rows.groupBy("repo").transformWithStateInPandas(
+    timed = commits.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+    return commit_keys(timed).groupBy("repo").transformWithStateInPandas(
         _Episodes(), "repo string, sha string, episode bigint", "Append", "EventTime",
     )
