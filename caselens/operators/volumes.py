@@ -5,12 +5,14 @@ A grid table has one row a case: nx, ny, nz and voxel sizes vx, vy, vz in mm.
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import product
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import range_bin, ratio, voxel_ml
+from ..functions import affine
+from ..functions.scalars import range_bin, ratio, same_grid, voxel_ml
 from ..storage import stash
 from .distances import squared_distances
 from .graph import components
@@ -341,28 +343,34 @@ def resolve_permutation(best: DataFrame) -> DataFrame:
     return every.select("case", F.when(F.col("ok"), F.col("axes")).otherwise(F.col("__most")).alias("axes"), source.alias("source"))
 
 
-def _target_cells(grid: DataFrame) -> DataFrame:
-    """Every cell (tx, ty, tz) of the target grids, with its place in the source (sx, sy, sz)."""
-    cells = grid
+def _reached(rows: DataFrame, grid: DataFrame, radius: float, keep: list[str]) -> DataFrame:
+    """Each voxel of the source with every target cell (tx, ty, tz) whose place (sx, sy, sz) in the source may lie within ``radius`` along each axis.
+
+    A voxel's cells come from the map back: around its place in the target, as far as a box of the source reaches there. So
+    there are as many rows as voxels, times the ratio of the grids' steps, and none for empty space.
+    """
+    back = stash(grid.select("case", "nx", "ny", "nz", "m", affine.inverse(F.col("m")).alias("__i")))  # else each use repeats the inverse
+    placed = rows.join(back, "case")
+    centre = affine.apply(F.col("__i"), [F.col(a) for a in XYZ])
+    for k, a in enumerate(XYZ):
+        reach = sum((F.abs(F.get("__i", F.lit(4 * k + j))) for j in range(3)), F.lit(0.0)) * radius + 1e-6
+        low, high = F.greatest(F.ceil(centre[k] - reach), F.lit(0)), F.least(F.floor(centre[k] + reach), F.col(f"n{a}") - 1)
+        placed = placed.withColumn(f"__{a}", F.when(low <= high, F.sequence(low.cast("int"), high.cast("int"))))
+    placed = placed.filter(F.col("__i").isNotNull() | F.raise_error(F.lit("a matrix without an inverse")).cast("boolean"))
     for a in XYZ:
-        cells = cells.withColumn(f"t{a}", F.explode(F.sequence(F.lit(0), F.col(f"n{a}") - 1)))
-    at = lambda k: sum((F.col("m")[4 * k + j] * F.col(f"t{a}") for j, a in enumerate(XYZ)), F.col("m")[4 * k + 3])
-    return cells.select("case", *(f"t{a}" for a in XYZ), *(at(k).alias(f"s{a}") for k, a in enumerate(XYZ)))
+        placed = placed.withColumn(f"t{a}", F.explode(f"__{a}"))
+    at = affine.apply(F.col("m"), [F.col(f"t{a}") for a in XYZ])
+    return placed.select("case", *XYZ, *keep, *(f"t{a}" for a in XYZ), *(at[k].alias(f"s{a}") for k, a in enumerate(XYZ)))
 
 
 def resample_linear(soft: DataFrame, grid: DataFrame) -> DataFrame:
     """soft: case, x, y, z, p (0 where there is no row). The map on another grid (as of resample_nearest()) by trilinear interpolation; cells of 0 are left out."""
-    corners = F.array(*(F.struct(*(F.lit(d).alias(f"d{a}") for a, d in zip(XYZ, o))) for o in product((0, 1), repeat=3)))
-    near = _target_cells(grid).withColumn("o", F.explode(corners))
-    place = {a: (F.floor(f"s{a}") + F.col(f"o.d{a}")).cast("int") for a in XYZ}
+    near = _reached(soft.select("case", *XYZ, "p"), grid, 1.0, ["p"])
     weight = F.lit(1.0)
     for a in XYZ:
         rest = F.col(f"s{a}") - F.floor(f"s{a}")
-        weight = weight * F.when(F.col(f"o.d{a}") == 1, rest).otherwise(1 - rest)
-    near = near.select("case", *(f"t{a}" for a in XYZ), *(place[a].alias(a) for a in XYZ), weight.alias("w")).filter("w > 0")
-    found = near.join(
-        soft.select("case", *XYZ, "p"), ["case", *XYZ],
-    ).groupBy("case", *(f"t{a}" for a in XYZ)).agg(F.sum(F.col("w") * F.col("p")).alias("p"))
+        weight = weight * F.when(F.col(a) == F.floor(f"s{a}"), 1 - rest).when(F.col(a) == F.floor(f"s{a}") + 1, rest).otherwise(0.0)
+    found = near.withColumn("w", weight).filter("w > 0").groupBy("case", *(f"t{a}" for a in XYZ)).agg(F.sum(F.col("w") * F.col("p")).alias("p"))
     return found.filter("p <> 0").select("case", *(F.col(f"t{a}").alias(a) for a in XYZ), "p")
 
 
@@ -380,8 +388,27 @@ def require_grid(grid: DataFrame, reference: DataFrame, strict: bool = True) ->
 
 def resample_nearest(voxels: DataFrame, grid: DataFrame) -> DataFrame:
     """The mask on another grid. grid: case, nx, ny, nz of the target, and m, a flat 3 x 4 matrix from its indexes to the source's."""
-    placed = _target_cells(grid).select("case", *(f"t{a}" for a in XYZ), *(F.rint(f"s{a}").cast("int").alias(a) for a in XYZ))
-    return placed.join(voxels.select("case", *XYZ), ["case", *XYZ], "left_semi").select("case", *(F.col(f"t{a}").alias(a) for a in XYZ))
+    near = _reached(voxels.select("case", *XYZ), grid, 0.5, [])
+    same = reduce(lambda a, b: a & b, (F.rint(f"s{a}") == F.col(a) for a in XYZ))
+    return near.filter(same).select("case", *(F.col(f"t{a}").alias(a) for a in XYZ)).distinct()
+
+
+def resample_onto(rows: DataFrame, own: DataFrame, reference: DataFrame) -> DataFrame:
+    """A mask, or a soft map if there is a column p, on its reference's grid: 0 beyond its own.
+
+    own and reference: grids with affine, as the readers give them. Cases on their reference's grid already pass through; a
+    case without a grid or a matrix of either kind is an error.
+    """
+    side = lambda df, to: df.select("case", F.array("nx", "ny", "nz").alias(f"{to}_n"), F.col("affine").alias(f"{to}_m"))
+    both = rows.select("case").distinct().join(side(own, "own"), "case", "left").join(side(reference, "ref"), "case", "left")
+    require_empty(both.filter("own_m IS NULL OR ref_m IS NULL").select("case"), "no matrix")
+    here = same_grid("own_n", "ref_n", "own_m", "ref_m")
+    shape = [F.get("ref_n", F.lit(k)).alias(f"n{a}") for k, a in enumerate(XYZ)]
+    back = stash(both.withColumn("back", affine.inverse(F.col("own_m"))))
+    grid = stash(back.select("case", *shape, affine.compose(F.col("back"), F.col("ref_m")).alias("m"), here.alias("here")))
+    keep = [*XYZ, "p"] if "p" in rows.columns else XYZ
+    moved = (resample_linear if "p" in keep else resample_nearest)(rows, grid.filter(~F.col("here")))
+    return rows.join(grid.filter("here").select("case"), "case", "left_semi").select("case", *keep).unionByName(moved.select("case", *keep))
 
 
 def intensity_statistics(values: DataFrame, keys: list[str], value: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from ..operators import blobs, metrics, ranking, reports
@@ -322,6 +323,34 @@ def voxel_linear(table):
     return V.resample_linear(soft, grid).withColumnRenamed("case", "case_id")
 
 
+_OWN = (0.913, 0.0, 0.307, -2.017, 0.109, 1.523, 0.0, 3.041, -0.411, 0.0, 1.811, 1.013)
+_REF = (0.811, -0.503, 0.0, 1.0137, 0.409, 1.103, 0.211, -1.0211, 0.0, 0.107, 1.307, 2.0173)
+
+
+def _between_sql() -> str:
+    """The place in the own grid of each cell of the reference's, by a matrix from an inverse that is computed here."""
+    full = lambda m: np.vstack([np.reshape(m, (3, 4)), [0, 0, 0, 1]])
+    m = np.linalg.inv(full(_OWN)) @ full(_REF)
+    at = ", ".join(f"{m[i, 0]:.17g}::DOUBLE * tx + {m[i, 1]:.17g}::DOUBLE * ty + {m[i, 2]:.17g}::DOUBLE * tz + {m[i, 3]:.17g}::DOUBLE AS s{a}" for i, a in enumerate("xyz"))
+    return f"""t AS (SELECT c, tx, ty, tz, {at} FROM (SELECT DISTINCT c FROM s), range(0, 22) a(tx), range(0, 26) b(ty), range(0, 14) e(tz))"""
+
+
+@query(f"""WITH s AS (SELECT {_PLACE}, max(value) / 600 AS p FROM events GROUP BY ALL), {_between_sql()},
+n AS (SELECT *, floor(sx) + i AS x, floor(sy) + j AS y, floor(sz) + k AS z, (CASE WHEN i = 1 THEN sx - floor(sx) ELSE 1 - (sx - floor(sx)) END) * (CASE WHEN j = 1 THEN sy - floor(sy) ELSE 1 - (sy - floor(sy)) END) * (CASE WHEN k = 1 THEN sz - floor(sz) ELSE 1 - (sz - floor(sz)) END) AS w FROM t, range(0, 2) f(i), range(0, 2) g(j), range(0, 2) h(k)),
+l AS (SELECT c, tx, ty, tz, sum(w * p) AS p FROM n JOIN s USING (c, x, y, z) WHERE w > 0 GROUP BY ALL), m AS (SELECT t.c, tx, ty, tz FROM t JOIN s ON s.c = t.c AND s.x = round_even(sx, 0) AND s.y = round_even(sy, 0) AND s.z = round_even(sz, 0))
+SELECT coalesce(l.c, m.c) AS case_id, coalesce(l.tx, m.tx) AS x, coalesce(l.ty, m.ty) AS y, coalesce(l.tz, m.tz) AS z, round(l.p, 6) AS p, m.c IS NOT NULL AS nearest FROM l FULL JOIN m ON l.c = m.c AND l.tx = m.tx AND l.ty = m.ty AND l.tz = m.tz""")
+def voxel_onto_reference(table):
+    """Soft maps and masks on a turned reference grid, from the two grids' matrices."""
+    soft = _soft(table, 0)
+    grid = lambda n, m: soft.select("case").distinct().select(
+        "case", *(F.lit(v).alias(f"n{a}") for v, a in zip(n, "xyz")), F.array(*map(F.lit, m)).alias("affine"),
+    )
+    own, reference = grid((20, 24, 10), _OWN), grid((22, 26, 14), _REF)
+    mask = V.resample_onto(soft.drop("p"), own, reference).withColumn("nearest", F.lit(True))
+    both = V.resample_onto(soft, own, reference).join(mask, ["case", "x", "y", "z"], "full").fillna(False, "nearest")
+    return both.withColumnRenamed("case", "case_id")
+
+
 _RECORD = (
     "tp", "fp", "fn", "tn", "dice", "iou", "sensitivity", "specificity", "precision", "npv", "hd95", "assd", "masd", "surface_dice",
     "gt_count", "pred_count", "detected_gt", "tp_pred", "lesion_precision", "lesion_recall", "lesion_f1",

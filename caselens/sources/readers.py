@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.relational import duplicates, require_empty
+from . import headers
 
 
 def listing(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
@@ -193,24 +194,13 @@ def by_source_priority(tables: list[DataFrame], key: str) -> DataFrame:
 
 # --- volumes ----------------------------------------------------------------------------------
 
-_TYPES = {2: "u1", 4: "i2", 8: "i4", 16: "f4", 64: "f8", 256: "i1", 512: "u2", 768: "u4"}
-
 
 def decode_nifti(raw: bytes) -> tuple[np.ndarray, list[float]]:
     """(array, voxel sizes) of a .nii or .nii.gz file; a fourth axis of length 1 is dropped."""
-    raw = gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw
-    order = "<" if struct.unpack("<i", raw[:4])[0] == 348 else ">"
-    dim = struct.unpack(f"{order}8h", raw[40:56])
-    kind = struct.unpack(f"{order}h", raw[70:72])[0]
-    sizes = struct.unpack(f"{order}8f", raw[76:108])
-    at, slope, shift = struct.unpack(f"{order}3f", raw[108:120])
-    shape = [n for n in dim[1 : dim[0] + 1]]
-    while len(shape) > 3 and shape[-1] == 1:
-        shape.pop()
-    if len(shape) != 3:
-        raise ValueError(f"not a 3-D volume: {shape}")
-    data = np.frombuffer(raw, np.dtype(order + _TYPES[kind]), int(np.prod(shape)), int(at)).reshape(shape, order="F")
-    return (data * slope + shift if slope not in (0.0, 1.0) or shift else data), [float(v) for v in sizes[1:4]]
+    raw = gzip.decompress(raw) if headers.is_gzip(raw) else raw
+    h = headers.nifti(raw)
+    data = np.frombuffer(raw, np.dtype(h.dtype), int(np.prod(h.shape)), h.at).reshape(h.shape, order="F")
+    return (data * h.slope + h.shift if (h.slope, h.shift) != (1.0, 0.0) else data), list(h.sizes)
 
 
 def encode_nifti(array: np.ndarray, sizes: tuple[float, float, float], matrix: list[float] | None = None) -> bytes:
@@ -231,23 +221,9 @@ def encode_nifti(array: np.ndarray, sizes: tuple[float, float, float], matrix: l
 
 def decode_mha(raw: bytes) -> tuple[np.ndarray, list[float]]:
     """(array in x, y, z, voxel sizes) of a single-file .mha volume, compressed or not; anything but three axes is refused."""
-    head, at = {}, 0
-    while "ElementDataFile" not in head:
-        end = raw.index(b"\n", at)
-        name, _, value = raw[at:end].decode("ascii").partition("=")
-        head[name.strip()] = value.strip()
-        at = end + 1
-    shape = [int(x) for x in head["DimSize"].split()]
-    if len(shape) != 3 or head["ElementDataFile"] != "LOCAL":
-        raise ValueError(f"not a 3-D volume in one file: {shape}")
-    kind = {
-        "MET_UCHAR": "u1", "MET_CHAR": "i1", "MET_SHORT": "i2", "MET_USHORT": "u2", "MET_INT": "i4", "MET_UINT": "u4", "MET_FLOAT": "f4",
-        "MET_DOUBLE": "f8",
-    }[head["ElementType"]]
-    order = ">" if head.get("BinaryDataByteOrderMSB", "False").lower() == "true" else "<"
-    body = zlib.decompress(raw[at:]) if head.get("CompressedData", "False").lower() == "true" else raw[at:]
-    data = np.frombuffer(body, np.dtype(order + kind), int(np.prod(shape))).reshape(shape, order="F")
-    return data, [float(x) for x in head.get("ElementSpacing", "1 1 1").split()]
+    h = headers.mha(raw)
+    body = zlib.decompress(raw[h.at :]) if h.compressed else raw[h.at :]
+    return np.frombuffer(body, np.dtype(h.dtype), int(np.prod(h.shape))).reshape(h.shape, order="F"), list(h.sizes)
 
 
 def decode_softmax(raw: bytes, channel: int = 1) -> tuple[np.ndarray, list[float]]:
@@ -259,16 +235,6 @@ def decode_softmax(raw: bytes, channel: int = 1) -> tuple[np.ndarray, list[float
     return np.ascontiguousarray(p[channel].T), [1.0, 1.0, 1.0]
 
 
-def affine(raw: bytes) -> list[float]:
-    """The 3 x 4 matrix of a NIfTI volume from voxels to mm, flat: its sform, else its sizes along the axes."""
-    raw = gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw
-    order = "<" if struct.unpack("<i", raw[:4])[0] == 348 else ">"
-    if struct.unpack(f"{order}h", raw[254:256])[0] > 0:
-        return [float(v) for v in struct.unpack(f"{order}12f", raw[280:328])]
-    sizes = struct.unpack(f"{order}8f", raw[76:108])[1:4]
-    return [float(sizes[i]) if i == j else 0.0 for i in range(3) for j in range(4)]
-
-
 _DECODERS = {".mha": decode_mha, ".npz": decode_softmax}
 
 
@@ -332,20 +298,36 @@ def voxels_or_errors(
     return decoded(_files(spark, root, case, glob), least, False, low, high)
 
 
-def grids(spark: SparkSession, root: str, case: str, glob: str = "*.nii*") -> DataFrame:
-    """(case, nx, ny, nz, vx, vy, vz, affine) of volumes; affine: a flat 3 x 4 matrix, NULL for other formats than NIfTI."""
+def grids_or_errors(spark: SparkSession, root: str, case: str, glob: str = "*.nii*") -> DataFrame:
+    """(case, nx, ny, nz, vx, vy, vz, affine, error) of volumes; a file whose header can't be read is one row with the reason.
+
+    affine: a flat 3 x 4 matrix, NULL for .npz archives. Voxels are not decoded, but for .npz.
+    """
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = []
             for name, path, content in zip(batch["case"], batch["path"], batch["content"]):
-                data, sizes = decode(path, content)
-                found.append((name, *data.shape, *sizes, None if path.endswith(tuple(_DECODERS)) else affine(content)))
-            yield pd.DataFrame(found, columns=["case", "nx", "ny", "nz", "vx", "vy", "vz", "affine"])
+                try:
+                    if path.endswith(".npz"):
+                        data, sizes = decode_softmax(content)
+                        found.append((name, *data.shape, *sizes, None, None, None, None, None, None))
+                    else:
+                        found.append((name, *headers.fields(headers.header(path, content)), None))
+                except Exception as e:  # whatever a broken file leads to
+                    found.append((name, *[None] * 11, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(found, columns=[f.split()[0] for f in schema.split(", ")])
 
-    return _files(spark, root, case, glob).mapInPandas(
-        rows, "case string, nx int, ny int, nz int, vx double, vy double, vz double, affine array<double>",
-    )
+    schema = f"case string, {headers.FIELDS}, error string"
+    return headers.grid_columns(_files(spark, root, case, glob).mapInPandas(rows, schema), "error")
+
+
+def grids(spark: SparkSession, root: str, case: str, glob: str = "*.nii*") -> DataFrame:
+    """The same without ``error``: a file that can't be read is an error."""
+    found = grids_or_errors(spark, root, case, glob)
+    message = F.concat(F.col("case"), F.lit(": "), F.col("error"))
+    case_or_error = F.when(F.col("error").isNull(), F.col("case")).otherwise(F.raise_error(message).cast("string"))
+    return found.withColumn("case", case_or_error).drop("error")
 
 
 def select_folds(df: DataFrame, text: str, fold: str = "fold", n_folds: int = 5) -> DataFrame:
