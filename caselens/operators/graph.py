@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -78,7 +80,7 @@ def cyclic(nodes: DataFrame) -> DataFrame:
 
 
 def scope(
-    nodes: DataFrame, edges: DataFrame, parent: str | None, lens: str | None = None, hidden: tuple[str, ...] = (),
+    nodes: DataFrame, edges: DataFrame, parent: str | int | None, lens: str | None = None, hidden: tuple[str, ...] = (),
 ) -> tuple[DataFrame, DataFrame]:
     """Nodes of one level (children of the parent, or roots) seen through a lens, with the edges among them."""
     seen = nodes.filter(F.col("parent").isNull() if parent is None else F.col("parent") == parent)
@@ -89,9 +91,17 @@ def scope(
     return seen, induced(seen, edges)
 
 
-def best_lens(nodes: DataFrame) -> DataFrame:
-    """The lens that most nodes carry; of ties, the first by name."""
-    return nodes.select(F.explode("lenses").alias("lens")).groupBy("lens").count().orderBy(F.col("count").desc(), "lens").limit(1)
+def best_lens(nodes: DataFrame, edges: DataFrame, candidates: Sequence[str], given: str) -> DataFrame:
+    """(lens, score) of the lens under which a scope shows most: 1000 for each edge and 1 for each node that carries it.
+
+    nodes and edges: of scope(), with ``lenses``. On a tie the given lens stays, else the first candidate.
+    """
+    spark, names = nodes.sparkSession, list(dict.fromkeys([given, *candidates]))
+    order = spark.createDataFrame(list(enumerate(names)), "__i int, lens string")
+    carried = lambda df, worth: df.select(F.explode("lenses").alias("lens"), F.lit(worth).alias("worth"))
+    shown = carried(edges, 1000).unionByName(carried(nodes, 1)).groupBy("lens").agg(F.sum("worth").alias("score"))
+    scored = order.join(shown, "lens", "left").select("__i", "lens", F.coalesce("score", F.lit(0)).cast("bigint").alias("score"))
+    return scored.orderBy(F.col("score").desc(), "__i").limit(1).select("lens", "score")
 
 
 def bad_values(df: DataFrame, column: str, allowed: tuple[str, ...]) -> DataFrame:

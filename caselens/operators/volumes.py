@@ -52,13 +52,25 @@ def label(voxels: DataFrame, connectivity: int = 26) -> DataFrame:
     neighbouring lines, and their graph's components are found by rounds of joins.
     Coordinates from 0 to 2^14 - 1, and up to 2^21 cases at once; anything else is an error.
     """
+    named = _named(_runs(voxels))
+    roots = _linked(named, connectivity)
+    labelled = named.join(roots, "run", "left").withColumn("comp", F.coalesce("root", "run"))
+    return labelled.select("case", F.explode(F.sequence("x0", "x1")).alias("x"), "y", "z", "comp")
+
+
+def _runs(voxels: DataFrame) -> DataFrame:
+    """(case, y, z, x0, x1): maximal runs of voxels along x."""
     line = Window.partitionBy("case", "y", "z").orderBy("x")
     begin = F.when(F.col("x") - F.lag("x").over(line) == 1, None).otherwise(F.col("x"))
-    runs = stash(
+    return stash(
         voxels.select("case", *XYZ).distinct().withColumn(
             "x0", F.last(begin, ignorenulls=True).over(line),
         ).groupBy("case", "y", "z", "x0").agg(F.max("x").alias("x1"))
     )
+
+
+def _named(runs: DataFrame) -> DataFrame:
+    """runs with ``run``, a number made of the case and the place of the first voxel."""
     numbers = runs.select("case").distinct().withColumn("no", F.row_number().over(Window.orderBy("case")) - 1)  # over cases
     packed = (
         F.col("no").cast("bigint") * (1 << 42)
@@ -67,7 +79,11 @@ def label(voxels: DataFrame, connectivity: int = 26) -> DataFrame:
     packed = F.when(fits, packed).otherwise(
         F.raise_error(F.concat(F.lit("label: too large a place or too many cases, at case "), F.col("case").cast("string"))).cast("bigint")
     )
-    named = stash(runs.join(numbers, "case").withColumn("run", packed))
+    return stash(runs.join(numbers, "case").withColumn("run", packed))
+
+
+def _linked(named: DataFrame, connectivity: int) -> DataFrame:
+    """(run, root) of runs that touch others."""
     steps = sorted({(o[1], o[2]) for o in offsets(connectivity) if (o[1], o[2]) > (0, 0)})
     reach = {s: 1 if any((dx, *s) in offsets(connectivity) for dx in (-1, 1)) else 0 for s in steps}
     table = F.array(*(F.struct(F.lit(dy).alias("dy"), F.lit(dz).alias("dz"), F.lit(r).alias("r")) for (dy, dz), r in reach.items()))
@@ -78,9 +94,7 @@ def label(voxels: DataFrame, connectivity: int = 26) -> DataFrame:
     touch = far.join(
         named.select("case", "y", "z", "x0", "x1", F.col("run").alias("b")), ["case", "y", "z"],
     ).filter("a0 <= x1 + r AND x0 <= a1 + r")
-    roots = components(touch.select("a", "b")).toDF("run", "root")
-    labelled = named.join(roots, "run", "left").withColumn("comp", F.coalesce("root", "run"))
-    return labelled.select("case", F.explode(F.sequence("x0", "x1")).alias("x"), "y", "z", "comp")
+    return components(touch.select("a", "b")).toDF("run", "root")
 
 
 def label_both(truth: DataFrame, predicted: DataFrame, connectivity: int = 26) -> tuple[DataFrame, DataFrame]:
@@ -151,16 +165,26 @@ def remap(labels: DataFrame, scheme: str = "all") -> DataFrame:
 
 
 def fill_holes(voxels: DataFrame) -> DataFrame:
-    """The mask with all background that the border of its box does not reach (by faces)."""
-    box = voxels.groupBy("case").agg(*(f(a).alias(f"{n}{a}") for a in XYZ for n, f in (("lo", F.min), ("hi", F.max))))
-    cells = box.withColumn(
-        "x", F.explode(F.sequence(F.col("lox") - 1, F.col("hix") + 1)),
-    ).withColumn("y", F.explode(F.sequence(F.col("loy") - 1, F.col("hiy") + 1))).withColumn("z", F.explode(F.sequence(F.col("loz") - 1, F.col("hiz") + 1)))
-    empty = stash(cells.select("case", *((F.col(a) - F.col(f"lo{a}") + 1).cast("int").alias(a) for a in XYZ), *(F.col(f"lo{a}") for a in XYZ)).join(voxels.join(box, "case").select("case", *((F.col(a) - F.col(f"lo{a}") + 1).cast("int").alias(a) for a in XYZ)), ["case", *XYZ], "left_anti"))
-    marked = label(empty, 6)
-    outer = marked.filter("x = 0 AND y = 0 AND z = 0").select("case", "comp")
-    holes = marked.join(outer, ["case", "comp"], "left_anti").join(box, "case")
-    return voxels.select("case", *XYZ).unionByName(holes.select("case", *((F.col(a) + F.col(f"lo{a}") - 1).cast("int").alias(a) for a in XYZ)))
+    """The mask with all background that the border of its box does not reach (by faces).
+
+    Only gaps between the runs of a line can be holes. A gap is open if it touches, on one of the four lines beside it, no
+    voxel's line at all or what lies before the first or after the last run there; a hole is a component of gaps none of which
+    is open. So the rows are bounded by the runs, not by the box.
+    """
+    runs = _runs(voxels)
+    line = Window.partitionBy("case", "y", "z").orderBy("x0")
+    gaps = runs.withColumns({"x0": F.col("x1") + 1, "x1": F.lead("x0").over(line) - 1}).filter("x1 IS NOT NULL")
+    gaps = _named(gaps)
+    ends = runs.groupBy("case", "y", "z").agg(F.min("x0").alias("first"), F.max("x1").alias("last"))
+    beside = F.array(*(F.struct(F.lit(dy).alias("dy"), F.lit(dz).alias("dz")) for _, dy, dz in offsets(6) if (dy, dz) != (0, 0)))
+    near = gaps.select("case", "y", "z", "x0", "x1", "run", F.explode(beside).alias("s")).select(
+        "case", (F.col("y") + F.col("s.dy")).alias("y"), (F.col("z") + F.col("s.dz")).alias("z"), "x0", "x1", "run",
+    )
+    reached = near.join(ends, ["case", "y", "z"], "left").filter("first IS NULL OR x0 < first OR x1 > last").select("run").distinct()
+    roots = stash(gaps.select("case", "y", "z", "x0", "x1", "run").join(_linked(gaps, 6), "run", "left").withColumn("root", F.coalesce("root", "run")))
+    outer = roots.join(reached, "run", "left_semi").select("root").distinct()
+    holes = roots.join(outer, "root", "left_anti").select("case", F.explode(F.sequence("x0", "x1")).alias("x"), "y", "z")
+    return voxels.select("case", *XYZ).unionByName(holes)
 
 
 def largest_component(voxels: DataFrame, connectivity: int = 26) -> DataFrame:

@@ -524,6 +524,28 @@ def bootstrap_gate(table):
     return boot.select("effect", "n_cases", "se", "ci_lo", "ci_hi", "n_boot", "z", "deviates", "reason")
 
 
+_COUNTERS = """k AS (SELECT user_id, count(*) FILTER (WHERE value >= 40) AS a_pred, count(*) FILTER (WHERE value >= 60) AS b_pred, count(*) FILTER (WHERE event_type = 'click') AS a_gt, count(*) FILTER (WHERE event_type = 'click') AS b_gt, count(*) FILTER (WHERE event_type = 'click' AND value >= 40) AS a_tp, count(*) FILTER (WHERE event_type = 'click' AND value >= 60) AS b_tp FROM events GROUP BY 1)"""
+
+
+def _pooled_sql() -> str:
+    f1 = lambda s: f"CASE WHEN sum({s}_pred * w) + sum({s}_gt * w) = 0 THEN 1.0 ELSE 2.0 * sum({s}_tp * w) / (sum({s}_pred * w) + sum({s}_gt * w)) END"
+    weights = " + ".join(f"CASE WHEN u >= {c!r} THEN 1 ELSE 0 END" for c in selection.POISSON)
+    return f"""WITH {_COUNTERS}, b AS (SELECT *, ('0x' || substr(md5(user_id || ':' || boot || ':2'), 1, 10))::BIGINT / 1099511627776.0 AS u FROM k, range(0, 300) r(boot)), w AS (SELECT *, {weights} AS w FROM b),
+m AS (SELECT boot, {f1("b")} - {f1("a")} AS m FROM w WHERE w > 0 GROUP BY 1), e AS (SELECT {f1("b")} - {f1("a")} AS effect, count(*) AS n_cases FROM (SELECT *, 1 AS w FROM k)), g AS (SELECT effect, n_cases, stddev_samp(m) AS se, quantile_cont(m, 0.025) AS ci_lo, quantile_cont(m, 0.975) AS ci_hi, count(*) AS n_boot FROM e, m GROUP BY ALL)
+SELECT round(effect, 6) AS effect, n_cases, round(se, 6) AS se, round(ci_lo, 6) AS ci_lo, round(ci_hi, 6) AS ci_hi, n_boot, effect > se AS deviates FROM g"""
+
+
+@query(_pooled_sql())
+def bootstrap_pooled(table):
+    """The gate on a pooled F1: events above either of two values as predictions of clicks, users as cases."""
+    v, click = F.col("value"), F.col("event_type") == "click"
+    sides = {"a": v >= 40, "b": v >= 60}
+    counts = {"pred": lambda on: on, "gt": lambda on: click, "tp": lambda on: click & on}
+    cases = table("events").groupBy("user_id").agg(*(F.count_if(f(on)).alias(f"{s}_{c}") for s, on in sides.items() for c, f in counts.items()))
+    boot = selection.bootstrap_scores(cases, "user_id", selection.pooled_f1("tp", "pred", "tp", "gt"), 300, 2)
+    return selection.gate(boot).select("effect", "n_cases", "se", "ci_lo", "ci_hi", "n_boot", "deviates")
+
+
 @query()
 def balanced_folds(table):
     """Nations dealt into five folds, even in customers by segment and in balance; the restarts are Spark tasks."""

@@ -11,9 +11,6 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.provenance import Running, commit_keys
 
-#: State stores that transformWithState needs; set spark.sql.streaming.stateStore.providerClass to it.
-PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
 
 class _Episodes(StatefulProcessor):
     """Commits of a repository wait until the watermark has passed them; then no earlier one can come, and they join the running episode in order."""
@@ -65,7 +62,7 @@ def stream_episodes(commits: DataFrame, late: str) -> DataFrame:
     """commits: a stream of repo (string), sha (string), ts, subject, files. (repo, sha, episode), as episodes() numbers them.
 
     A commit comes out when the watermark, ``late`` behind the newest one, has passed it. Commits later than that are left
-    out, since their episode's place is taken. The session needs PROVIDER for its state stores.
+    out, since their episode's place is taken. Start it inside jobs.state_store().
     """
     timed = commits.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
     return commit_keys(timed).groupBy("repo").transformWithStateInPandas(

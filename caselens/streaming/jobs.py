@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,21 +30,35 @@ def session_windows(events: DataFrame, ts: str, gap: str, late: str, keys: list[
     )
 
 
+#: A state store that keeps its keys on disk and not in memory.
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@contextmanager
+def state_store(spark: SparkSession, provider: str = ROCKS) -> Iterator[None]:
+    """Queries started inside keep their state in such stores; those that run already keep theirs."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, provider)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def incremental(source: DataFrame, target: str, checkpoint: str, key: str, transform: Callable[[DataFrame], DataFrame]) -> StreamingQuery:
     """Process what is new and append it by key; a key that an earlier batch has written is not written again.
 
-    The checkpoint remembers what was read; a batch that is run again replaces itself.
+    The checkpoint remembers what was read, and a state store which keys have come: a batch probes it for its own keys, and
+    what was written is never read. A batch that is run again replaces itself.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        spark, new = batch.sparkSession, batch.dropDuplicates([key])
-        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(target)
-        if place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
-            done = spark.read.option("basePath", target).parquet(f"{target}/batch=*").filter(F.col("batch") != number)
-            new = new.join(done.select(key), key, "left_anti")
-        transform(new).write.mode("overwrite").parquet(f"{target}/batch={number}")
-
-    return source.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        transform(batch).write.mode("overwrite").parquet(f"{target}/batch={number}")
+
+    with state_store(source.sparkSession):
+        new = source.dropDuplicates([key])
+        return new.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def serve(requests: DataFrame, request: str, p: str, threshold: float, least: int) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from caselens.operators import provenance as P
 from caselens.streaming import episodes as S
+from caselens.streaming.jobs import incremental, read_files, state_store
 
 LOG = "repo string, sha string, ts timestamp, subject string, files array<string>"
 START = datetime(2026, 1, 1)
@@ -53,22 +54,15 @@ def run(spark, batches, folder, restart_after=None):
         if k == restart_after or k == len(batches):
             source = spark.readStream.schema(LOG).option("maxFilesPerTrigger", 1).parquet(str(folder / "in"))
             out = S.stream_episodes(source, "2 days").writeStream.format("parquet").option("checkpointLocation", str(folder / "state"))
-            out.outputMode("append").trigger(availableNow=True).start(str(folder / "out")).awaitTermination()
+            with state_store(spark):
+                running = out.outputMode("append").trigger(availableNow=True).start(str(folder / "out"))
+            running.awaitTermination()
     found = spark.read.parquet(str(folder / "out")).collect()
     assert len(found) == len({(r.repo, r.sha) for r in found})
     return {(r.repo, r.sha): r.episode for r in found if r.repo != "end"}
 
 
-@pytest.fixture
-def stores(spark):
-    name = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(name)
-    spark.conf.set(name, S.PROVIDER)
-    yield
-    spark.conf.set(name, before)
-
-
-def test_stream_equals_batch(spark, tmp_path, stores):
+def test_stream_equals_batch(spark, tmp_path):
     rows = log(120, ["a", "b"], seed=3, words=9, days=20)
     want = {(r.repo, r.sha): r.episode for r in P.episodes(spark.createDataFrame(rows, LOG)).collect()}
     assert want == fold(rows) and max(want.values()) > 3
@@ -77,3 +71,21 @@ def test_stream_equals_batch(spark, tmp_path, stores):
     assert run(spark, [rows[:50], rows[50:]], tmp_path / "a") == want
     late = ("a", "late", rows[0][2] - timedelta(hours=1), "word1", ["d1/f"])  # comes when its time is long past
     assert run(spark, [near[:40], near[40:80], [*near[80:], late]], tmp_path / "b", restart_after=1) == want
+
+
+def test_a_batch_does_not_read_what_was_written(spark, tmp_path):
+    places = [str(tmp_path / name) for name in ("in", "out", "state")]
+
+    def step(ids):
+        spark.createDataFrame([(i,) for i in ids], "id long").coalesce(1).write.mode("append").parquet(places[0])
+        query = incremental(read_files(spark, places[0], "id long"), places[1], places[2], "id", lambda batch: batch)
+        query.awaitTermination()
+        return sum(p["numInputRows"] for p in query.recentProgress)
+
+    assert step(range(50)) == 50
+    before = spark.read.parquet(places[1])
+    assert sorted(r.id for r in before.collect()) == list(range(50))
+    for old in (tmp_path / "out").iterdir():  # gone, and still known after a restart
+        old.rename(tmp_path / old.name)
+    assert step([3, 4, 4, 50, 51, 51]) == 6
+    assert sorted(r.id for r in spark.read.parquet(places[1]).collect()) == [50, 51]

@@ -1,6 +1,8 @@
 """Closed-form cases of functions and operators that the registered queries do not reach."""
 
 import math
+import random
+import statistics
 
 import pytest
 from pyspark.sql import functions as F
@@ -150,10 +152,47 @@ def test_graphs(spark):
     assert {r.id for r in graph.cyclic(nodes).collect()} == {"c", "d"}
     seen, inner = graph.scope(nodes, edges, None)
     assert {r.id for r in seen.collect()} == {"a"} and inner.count() == 0
-    assert graph.best_lens(nodes).first().lens == "y" and graph.induced(nodes, edges).count() == 1
+    seen_edges = spark.createDataFrame([("a", "b", ["x"]), ("a", "c", ["x", "z"])], "source string, target string, lenses array<string>")
+    best = lambda e, given: tuple(graph.best_lens(nodes, e, ("y", "x", "z"), given).first())
+    assert best(seen_edges, "y") == ("x", 2002) and best(seen_edges.limit(0), "z") == ("y", 3)
+    assert best(seen_edges.filter("target = 'c'").withColumn("lenses", F.array(F.lit("q"))), "w") == ("y", 3)
+    assert tuple(graph.best_lens(nodes.limit(0), seen_edges.limit(0), ("y", "x"), "w").first()) == ("w", 0)  # a tie leaves the given lens
+    assert graph.induced(nodes, edges).count() == 1
     assert graph.bad_values(nodes, "status", ("ok",)).first().id == "c"
 
 
+def test_bootstrap_of_scores_that_are_no_means(spark):
+    """Against a loop over the same hashed weights."""
+    import hashlib
+
+    rng = random.Random(4)
+    cases = []
+    for k in range(30):
+        one = {}
+        for side in "ab":
+            gt, pred = rng.randrange(4), rng.randrange(5)
+            one |= {f"{side}_gt": gt, f"{side}_pred": pred, f"{side}_detected": rng.randint(0, gt), f"{side}_tp_pred": rng.randint(0, pred)}
+            one |= {f"{side}_dice": rng.choice([None, rng.random()]), f"{side}_f1": rng.random()}
+        cases.append({"id": k, **one})
+
+    def weight(k, boot):
+        u = int(hashlib.md5(f"{k}:{boot}:9".encode()).hexdigest()[:10], 16) / 2**40
+        return sum(u >= c for c in selection.POISSON)
+
+    def score(kind, side, weights):
+        total = lambda c: sum(w * r[f"{side}_{c}"] for r, w in zip(cases, weights))
+        mean = lambda c: sum(w * r[f"{side}_{c}"] for r, w in zip(cases, weights) if r[f"{side}_{c}"] is not None) / sum(w for r, w in zip(cases, weights) if r[f"{side}_{c}"] is not None)
+        p, r = (total("tp_pred") / total("pred"), total("detected") / total("gt")) if kind == "pooled" else (mean("dice"), mean("f1"))
+        return 2 * p * r / (p + r)
+
+    df = spark.createDataFrame(cases)
+    for kind, how in (("pooled", selection.pooled_f1("tp_pred", "pred", "detected", "gt")), ("hmean", selection.harmonic_mean("dice", "f1"))):
+        got = selection.bootstrap_scores(df, "id", how, 60, 9).first()
+        diffs = [score(kind, "b", w) - score(kind, "a", w) for w in ([weight(r["id"], boot) for r in cases] for boot in range(60))]
+        assert math.isclose(got.effect, score(kind, "b", [1] * 30) - score(kind, "a", [1] * 30)) and got.n_boot == 60 and got.n_cases == 30
+        assert math.isclose(got.se, statistics.stdev(diffs)) and min(diffs) <= got.ci_lo <= got.ci_hi <= max(diffs)
+
+
 def test_boosted_volume(spark):
     rows = spark.range(300).select((F.col("id") % 20).cast("double").alias("x"), F.exp((F.col("id") % 20) / 5.0).alias("ml"))
     model = selection.fit_log_volume(rows, ["x"], "ml")
