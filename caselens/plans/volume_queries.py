@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 from pyspark.sql import functions as F
 
 from ..operators import blobs, metrics, ranking, reports
 from ..operators import volumes as V
-from ..sources import readers, sinks
+from ..sources import readers, sinks, volume_source
+from ..storage import shared_dir
 from ..streaming import jobs
 from .catalog import _METRICS, ORACLES, query
 
@@ -410,6 +413,21 @@ def volume_round_trip(table):
     )
 
 
+@query(
+    f"""WITH {_MASKS} SELECT c AS case_id, count(*) AS n_voxels, CAST(sum(x + 100 * y + 10000 * z) AS BIGINT) AS places, 20::BIGINT AS nx, 24::BIGINT AS ny, 10::BIGINT AS nz, 1.5::DOUBLE AS vy, -4.0::DOUBLE AS shift FROM gt GROUP BY 1"""
+)
+def volume_source_round_trip(table):
+    """Masks written and read as a data source: grids from headers alone, voxels by slabs of planes."""
+    matrix = F.array(*map(F.lit, (1.0, 0.0, 0.0, -4.0, 0.0, 1.5, 0.0, 5.0, 0.0, 0.0, 2.0, 6.0)))
+    rows = _gt(table)
+    folder = f"{shared_dir(rows.sparkSession)}/{uuid.uuid4().hex}"
+    volume_source.write(sinks.encoded(rows, _sizes(table).withColumn("affine", matrix)), folder)
+    read = volume_source.voxels(rows.sparkSession, folder, slab_bytes=1000, strict="true")
+    voxels = read.groupBy("case").agg(F.count("*").alias("n_voxels"), F.sum(F.col("x") + 100 * F.col("y") + 10000 * F.col("z")).alias("places"))
+    grid = volume_source.grids(rows.sparkSession, folder).select("case", "nx", "ny", "nz", "vy", F.get("affine", F.lit(3)).alias("shift"))
+    return voxels.join(grid, "case").withColumnRenamed("case", "case_id")
+
+
 @query(f"""WITH RECURSIVE {_MASKS}, s AS (SELECT {_PLACE}, max(value) / 600 AS p FROM events GROUP BY ALL), m AS (SELECT c, x, y, z FROM s WHERE p >= 0.7), {_components("m")}, n AS (SELECT c, comp, count(*) AS k FROM m_c GROUP BY ALL), kept AS (SELECT m_c.* FROM m_c JOIN n USING (c, comp) WHERE k >= 3)
 SELECT c AS case_id, count(*) FILTER (WHERE kept) AS n_served, round(avg(p) FILTER (WHERE kept), 6) AS mean_served, CASE WHEN count(*) FILTER (WHERE kept) = 0 THEN round(avg(p), 6) END AS flat FROM (SELECT s.*, k.c IS NOT NULL AS kept FROM s LEFT JOIN kept k ON k.c = s.c AND k.x = s.x AND k.y = s.y AND k.z = s.z) GROUP BY 1""")
 def served_requests(table):
