@@ -17,7 +17,7 @@ from ..storage import stash
 from .distances import squared_distances
 from .graph import components
 from .metrics import detection, overlap, volume_difference, with_tn
-from .relational import require_empty
+from .relational import manifest_status, require_empty
 from .reports import joined_groups, quantiles
 
 XYZ = ["x", "y", "z"]
@@ -473,10 +473,12 @@ def soft_features(soft: DataFrame, case: str, p: str, thresholds: tuple[float, .
     )
 
 
-def case_record(truth: DataFrame, predicted: DataFrame, sizes: DataFrame, connectivity: int = 26, bins=None) -> DataFrame:
+def case_record(
+    truth: DataFrame, predicted: DataFrame, sizes: DataFrame, connectivity: int = 26, bins=None, least: int = 1,
+) -> DataFrame:
     """One record a case: voxel overlap, volumes, boundary distances, components and, with bins, recall by size (as a map).
 
-    sizes: case, nx, ny, nz, vx, vy, vz of every case; cases without any voxel have a record, too.
+    least: voxels that components must share to count as detected (for the counts, not the bins). sizes: case, nx, ny, nz, vx, vy, vz of every case; cases without any voxel have a record, too.
     """
     count = lambda k: F.count_if(F.col("class") == k).alias(k.lower())
     counts = overlay(truth, predicted).groupBy("case").agg(count("TP"), count("FP"), count("FN"))
@@ -487,9 +489,25 @@ def case_record(truth: DataFrame, predicted: DataFrame, sizes: DataFrame, connec
         "case", "tp", "fp", "fn", "tn", *overlap(), gt_ml.alias("gt_ml"), pred_ml.alias("pred_ml"), *volume_difference(pred_ml, gt_ml),
     )
     a, b = label_both(truth, predicted, connectivity)
-    lesions = detection(lenient(a, b, sizes))
+    lesions = detection(lenient(a, b, sizes, least))
     out = base.join(boundary_metrics(truth, predicted, sizes), "case", "left").join(lesions, "case")
     if bins:
         each = F.map_from_entries(F.array_sort(F.collect_list(F.struct("size_bin", F.struct("n_gt", "n_detected", "recall")))))
         out = out.join(binned_recall(a, b, sizes, bins).groupBy("case").agg(each.alias("size_bins")), "case")
     return out
+
+
+def manifest_records(
+    manifest: DataFrame, truth: DataFrame, predicted: DataFrame, own: DataFrame, reference: DataFrame, connectivity: int = 26, bins=None,
+    least: int = 1,
+) -> DataFrame:
+    """One row for each case of a manifest: its own columns, ``lacks`` and the case_record() of complete cases, NULLs for others.
+
+    reference and own: grids (with voxel sizes and affine) of truths and predictions; a case that one of them does not have
+    lacks its truth or its prediction. Predictions are brought onto the reference grid first. Cases of no manifest are left out.
+    """
+    marked = stash(manifest_status(manifest, {"truth": reference, "prediction": own}, ["case"]))
+    ready = marked.filter("lacks = ''").select("case").distinct()
+    of = lambda df: df.join(ready, "case", "left_semi")
+    moved = stash(resample_onto(of(predicted), own, reference).select("case", *XYZ))
+    return marked.join(case_record(of(truth), moved, of(reference), connectivity, bins, least), "case", "left")

@@ -373,6 +373,32 @@ def voxel_case_record(table):
     return record.select(F.col("case").alias("case_id"), *_RECORD, "gt_ml", "pred_ml", "abs_diff")
 
 
+_SPARSE = f"gt AS (SELECT DISTINCT {_PLACE} FROM events WHERE value >= 60), pr AS (SELECT DISTINCT {_PLACE} FROM events WHERE value >= 50 AND value < 150), tissue AS (SELECT DISTINCT {_PLACE} FROM events)"
+
+
+def _manifest_sql() -> str:
+    """The parts of the record on sparser masks, with corners as neighbours."""
+    faces, corners = "abs(a.x - b.x) + abs(a.y - b.y) + abs(a.z - b.z) <= 1)", "abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1 AND abs(a.z - b.z) <= 1)"
+    part = lambda name: f"({ORACLES[name].replace(_MASKS, _SPARSE).replace(faces, corners)})"
+    record = f"SELECT case_id, tp, fp, fn, dice, hd95, surface_dice, gt_count, pred_count, detected_gt, tp_pred, lesion_f1, size_bin, n_gt, n_detected, recall FROM {part('voxel_overlap')} JOIN {part('voxel_boundary_metrics')} USING (case_id) JOIN {part('voxel_lenient_detection')} USING (case_id) JOIN {part('voxel_binned_recall')} USING (case_id) WHERE case_id <> 'click'"
+    return f"SELECT case_id, 'site ' || length(case_id) AS site, CASE WHEN case_id = 'click' THEN 'prediction' ELSE '' END AS lacks, r.* EXCLUDE (case_id) FROM (SELECT DISTINCT event_type AS case_id FROM events) LEFT JOIN ({record}) r USING (case_id)"
+
+
+@query(_manifest_sql())
+def manifest_case_records(table):
+    """Cases of a manifest with recall by size; predictions lie on grids turned round along x, and one is missing."""
+    gt, predicted = _voxels(table, "value >= 60"), _voxels(table, "value >= 50 AND value < 150").withColumn("x", 19 - F.col("x"))
+    matrix = lambda x, at: F.array(*map(F.lit, (x, 0.0, 0.0, at, 0.0, 1.5, 0.0, 0.0, 0.0, 0.0, 2.0, 0.0)))
+    reference, own = _sizes(table).withColumn("affine", matrix(1.0, 0.0)), _sizes(table).withColumn("affine", matrix(-1.0, 19.0))
+    manifest = _sizes(table).select("case", F.concat(F.lit("site "), F.length("case")).alias("site"))
+    found = V.manifest_records(manifest, gt, predicted.filter("case <> 'click'"), own.filter("case <> 'click'"), reference, bins=_BINS, least=2)
+    rows = found.select("*", F.explode_outer("size_bins").alias("size_bin", "b"))
+    return rows.select(
+        F.col("case").alias("case_id"), "site", "lacks", "tp", "fp", "fn", "dice", "hd95", "surface_dice", "gt_count", "pred_count", "detected_gt",
+        "tp_pred", "lesion_f1", "size_bin", "b.n_gt", "b.n_detected", "b.recall",
+    )
+
+
 _POINTS = (0.5, 0.65)
 
 

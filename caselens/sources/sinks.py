@@ -139,6 +139,22 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
         raise OSError(f"{path}: not renamed")
 
 
+def write_files(files: DataFrame, root: str) -> None:
+    """files: path (below the root) and content (binary). Each becomes a file, written by the task that has its row."""
+    from pyarrow import fs
+
+    def put(batches):
+        store, folder = fs.FileSystem.from_uri(root)
+        for batch in batches:
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
+                store.create_dir(f"{folder}/{path}".rpartition("/")[0], recursive=True)
+                with store.open_output_stream(f"{folder}/{path}") as out:
+                    out.write(content)
+            yield batch.select(["path"])
+
+    files.select("path", F.col("content").cast("binary").alias("content")).mapInArrow(put, "path string").write.format("noop").mode("overwrite").save()
+
+
 def encoded(voxels: DataFrame, grid: DataFrame, value: str | None = None) -> DataFrame:
     """(case, content): a NIfTI volume for each case of grid (nx, ny, nz, vx, vy, vz, and affine if there is one), 1 or the value at its voxels.
 
