@@ -27,23 +27,23 @@ def six(value: str) -> list[Column]:
     ]
 
 
-def quantiles(df: DataFrame, keys: list[str], value: str, at: Sequence[float], names: Sequence[str]) -> DataFrame:
-    """(keys, names): exact quantiles of each group, interpolated between ranks, NULL values left out.
+def describe(df: DataFrame, keys: list[str], value: str, at: Sequence[float] = (), names: Sequence[str] = ()) -> DataFrame:
+    """(keys, n_valid, mean, std, std_samp, min, max, names) of each group: moments, and exact quantiles, interpolated between ranks.
 
-    Distinct values are counted, dealt over ranges of (group, value) and numbered by running sums within a range
-    and over ranges, so no task holds a group. Groups may have NULLs in their keys.
+    Distinct values are counted, dealt over ranges of (group, value), written once and numbered by running sums within a
+    range and over ranges, so no task holds a group and the input is read once. NULL values count for nothing; groups
+    without any others are there, and may have NULLs in their keys.
     """
     group = [F.coalesce(F.col(k).cast("string"), F.lit("\0")).alias(f"__k{i}") for i, k in enumerate(keys)]
     g = [f"__k{i}" for i in range(len(keys))]
     first = [F.first(k, ignorenulls=True).alias(k) for k in keys]
-    counts = df.filter(F.col(value).isNotNull()).groupBy(
-        *group, F.col(value).cast("double").alias("__v"),
-    ).agg(F.count("*").alias("__k"), *first)
+    counts = df.groupBy(*group, F.col(value).cast("double").alias("__v")).agg(F.count(value).alias("__k"), *first)
     parts = stash(counts.repartitionByRange(*g, "__v").withColumn("__part", F.spark_partition_id()))
     every = Window.partitionBy(*g)
-    sums = parts.groupBy(*g, "__part").agg(F.sum("__k").alias("__s"))
+    sums = parts.groupBy(*g, "__part").agg(F.sum("__k").alias("__s"), F.sum(F.col("__k") * F.col("__v")).alias("__t"))
     before = F.coalesce(F.sum("__s").over(every.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sums = sums.select(*g, "__part", before.alias("__before"), F.sum("__s").over(every).alias("__n"))
+    n = F.sum("__s").over(every)
+    sums = sums.select(*g, "__part", before.alias("__before"), n.alias("__n"), ratio(F.sum("__t").over(every), n).alias("__mean"))
     inside = F.sum("__k").over(Window.partitionBy(*g, "__part").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0))
     ranked = parts.withColumn("__upto", inside).join(sums, [*g, "__part"]).withColumn("__upto", F.col("__upto") + F.col("__before"))
     picked = []
@@ -51,10 +51,15 @@ def quantiles(df: DataFrame, keys: list[str], value: str, at: Sequence[float], n
         rank = F.lit(float(q)) * (F.col("__n") - 1)
         for side, r in (("lo", F.floor(rank)), ("hi", F.ceil(rank))):
             picked.append(F.max(F.when((F.col("__upto") - F.col("__k") <= r) & (r < F.col("__upto")), F.col("__v"))).alias(f"__{side}{i}"))
-    found = ranked.groupBy(*g).agg(F.max("__n").alias("__n"), *(F.first(k, ignorenulls=True).alias(k) for k in keys), *picked)
+    away = F.sum(F.col("__k") * (F.col("__v") - F.col("__mean")) ** 2)
+    found = ranked.groupBy(*g).agg(
+        F.coalesce(F.max("__n"), F.lit(0)).alias("__n"), F.max("__mean").alias("__mean"), away.alias("__away"), F.min("__v").alias("__min"),
+        F.max("__v").alias("__max"), *(F.first(k, ignorenulls=True).alias(k) for k in keys), *picked,
+    )
     rest = lambda q: F.lit(float(q)) * (F.col("__n") - 1) - F.floor(F.lit(float(q)) * (F.col("__n") - 1))
     return found.select(
-        *keys,
+        *keys, F.col("__n").alias("n_valid"), F.col("__mean").alias("mean"), F.sqrt(ratio("__away", "__n")).alias("std"),
+        F.sqrt(ratio("__away", F.col("__n") - 1)).alias("std_samp"), F.col("__min").alias("min"), F.col("__max").alias("max"),
         *(
             (F.col(f"__lo{i}") + (F.col(f"__hi{i}") - F.col(f"__lo{i}")) * rest(q)).alias(name)
             for i, (q, name) in enumerate(zip(at, names))
@@ -62,6 +67,12 @@ def quantiles(df: DataFrame, keys: list[str], value: str, at: Sequence[float], n
     )
 
 
+def quantiles(df: DataFrame, keys: list[str], value: str, at: Sequence[float], names: Sequence[str]) -> DataFrame:
+    """(keys, names): exact quantiles of each group that has values, see describe()."""
+    found = describe(df, keys, value, at, names)
+    return (found.filter("n_valid > 0") if keys else found).select(*keys, *names)
+
+
 def joined_groups(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """Left join of two tables of groups on keys that may be NULL."""
     if not keys:
@@ -73,13 +84,13 @@ def joined_groups(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFra
 
 def summarise(df: DataFrame, ids: list[str], metrics: Sequence[str]) -> DataFrame:
     """One row for each (ids, metric)."""
-    long, keys = to_long(df, ids, metrics), [*ids, "metric"]
-    v = F.col("value")
-    plain = long.groupBy(*keys).agg(
-        F.count(v).alias("n_valid"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"),
-    )
-    both = joined_groups(plain, quantiles(long, keys, "value", (0.5,), ("median",)), keys)
-    return both.select(*keys, "n_valid", "mean", "median", "std", "min", "max")
+    found = describe(to_long(df, ids, metrics), [*ids, "metric"], "value", (0.5,), ("median",))
+    return found.select(*ids, "metric", "n_valid", "mean", "median", "std", "min", "max")
+
+
+def means(df: DataFrame, ids: list[str], metrics: Sequence[str]) -> DataFrame:
+    """n_valid and mean of each (ids, metric), where no more is asked for."""
+    return to_long(df, ids, metrics).groupBy(*ids, "metric").agg(F.count("value").alias("n_valid"), F.avg("value").alias("mean"))
 
 
 def strata(df: DataFrame, dims: list[str], aggregates: list[Column]) -> DataFrame:
@@ -105,21 +116,16 @@ def pooled_bins(df: DataFrame, label: Column, detected: Column, bins: Sequence[t
 
 def profile(df: DataFrame, keys: list[str], value: str, at=(0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)) -> DataFrame:
     """count, min, exact percentiles, max, mean and sample deviation."""
-    rows, names = df.withColumn(value, finite(value)), [f"p{round(q * 100):02d}" for q in at]
-    v = F.col(value)
-    plain = rows.groupBy(*keys).agg(
-        F.count(v).alias("n"), F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"),
-    )
-    return joined_groups(plain, quantiles(rows, keys, value, at, names), keys).select(*keys, "n", "min", *names, "max", "mean", "std")
+    names = [f"p{round(q * 100):02d}" for q in at]
+    found = describe(df.withColumn(value, finite(value)), keys, value, at, names)
+    return found.select(*keys, F.col("n_valid").alias("n"), "min", *names, "max", "mean", F.col("std_samp").alias("std"))
 
 
 def rollup(df: DataFrame, keys: list[str], value: str, empty: Column, flag: Column, least: int = 1) -> DataFrame:
     """n, median, p95, empties and the share of a flag for each group of at least ``least`` rows; largest first."""
-    v = F.col(value)
-    out = df.groupBy(*keys).agg(
-        F.count("*").alias("n"), F.percentile(v, 0.5).alias("median"), F.percentile(v, 0.95).alias("p95"),
-        F.count_if(empty).alias("n_empty"), F.avg(flag.cast("double")).alias("share"),
-    )
+    out = df.groupBy(*keys).agg(F.count("*").alias("n"), F.count_if(empty).alias("n_empty"), F.avg(flag.cast("double")).alias("share"))
+    out = joined_groups(out, quantiles(df, keys, value, (0.5, 0.95), ("median", "p95")), keys)
+    out = out.select(*keys, "n", "median", "p95", "n_empty", "share")
     return out.filter(F.col("n") >= least).orderBy(F.col("n").desc(), *keys)
 
 
@@ -166,11 +172,13 @@ def label_set(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 def contrast(df: DataFrame, inside: str, around: str, spread: str) -> DataFrame:
     """Contrast-to-noise statistics over cases: mean and median of the absolute value, and shares by sign."""
     cnr = df.withColumn("cnr", ratio(F.col(inside) - F.col(around), spread))
-    return cnr.agg(
-        F.count("cnr").alias("n"), F.avg(F.abs("cnr")).alias("mean_abs"), F.percentile(F.abs("cnr"), 0.5).alias("median_abs"),
+    shares = cnr.agg(
         F.avg((F.abs("cnr") < 0.5).cast("double")).alias("invisible"), F.avg((F.col("cnr") > 0.5).cast("double")).alias("bright"),
         F.avg((F.col("cnr") < -0.5).cast("double")).alias("dark"),
     )
+    size = describe(cnr.select(F.abs("cnr").alias("size")), [], "size", (0.5,), ("median_abs",))
+    both = size.crossJoin(shares)  # one row each
+    return both.select(F.col("n_valid").alias("n"), F.col("mean").alias("mean_abs"), "median_abs", "invisible", "bright", "dark")
 
 
 def worst_first(df: DataFrame, metric: str, case: str) -> DataFrame:
@@ -194,19 +202,25 @@ def config_extras(df: DataFrame, config: str, flat: str, predicted_empty: Column
 def volume_summary(df: DataFrame, keys: list[str], volume: str) -> DataFrame:
     """n_known, n_missing, sum, mean, median and sum of log1p."""
     v = finite(volume)
-    return df.groupBy(*keys).agg(
+    plain = df.groupBy(*keys).agg(
         F.count(v).alias("n_known"), F.count_if(v.isNull()).alias("n_missing"), F.sum(v).alias("sum"), F.avg(v).alias("mean"),
-        F.percentile(v, 0.5).alias("median"), F.sum(F.log1p(v)).alias("sum_log1p"),
+        F.sum(F.log1p(v)).alias("sum_log1p"),
     )
+    both = joined_groups(plain, quantiles(df.withColumn("__v", v), keys, "__v", (0.5,), ("median",)), keys)
+    return both.select(*keys, "n_known", "n_missing", "sum", "mean", "median", "sum_log1p")
 
 
 def group_report(df: DataFrame, group: str, metrics: Sequence[str]) -> DataFrame:
     """n of each group, and n, mean, median, min and max of each metric; the largest groups first, ties by name."""
     each = [
         f(finite(m)).alias(f"{m}_{name}") for m in metrics
-        for name, f in (("n", F.count), ("mean", F.avg), ("median", lambda c: F.percentile(c, 0.5)), ("min", F.min), ("max", F.max))
+        for name, f in (("n", F.count), ("mean", F.avg), ("min", F.min), ("max", F.max))
     ]
-    return df.groupBy(group).agg(F.count("*").alias("n"), *each).orderBy(F.col("n").desc(), group)
+    middle = quantiles(to_long(df, [group], metrics), [group, "metric"], "value", (0.5,), ("median",))
+    middle = middle.groupBy(group).agg(*(F.max(F.when(F.col("metric") == m, F.col("median"))).alias(f"{m}_median") for m in metrics))
+    both = joined_groups(df.groupBy(group).agg(F.count("*").alias("n"), *each), middle, [group])
+    names = [f"{m}_{name}" for m in metrics for name in ("n", "mean", "median", "min", "max")]
+    return both.select(group, "n", *names).orderBy(F.col("n").desc(), group)
 
 
 def dense_matrix(results: DataFrame, rows: DataFrame, columns: DataFrame, reference: DataFrame | None = None) -> DataFrame:
@@ -226,9 +240,8 @@ def sweep_summary(cases: DataFrame, threshold: str = "threshold") -> DataFrame:
         F.avg(F.abs(F.col("pred_ml") - F.col("gt_ml"))).alias("mean_abs_ml"),
         F.avg(F.abs(F.col("pred_count") - F.col("gt_count"))).alias("mean_abs_count"),
     ]
-    out = cases.groupBy(threshold).agg(
-        F.count("*").alias("n_cases"), *means, F.percentile(finite("dice"), 0.5).alias("median_dice"), *sums, *volumes,
-    )
+    plain = cases.groupBy(threshold).agg(F.count("*").alias("n_cases"), *means, *sums, *volumes)
+    out = joined_groups(plain, quantiles(cases.withColumn("__d", finite("dice")), [threshold], "__d", (0.5,), ("median_dice",)), [threshold])
     p, r = ratio("sum_tp_pred", "sum_pred_count"), ratio("sum_detected_gt", "sum_gt_count")
     out = out.withColumns(
         {

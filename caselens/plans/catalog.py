@@ -371,7 +371,7 @@ SELECT method, round(max(mean) FILTER (WHERE metric = 'l_quantity'), 6) AS l_qua
 def leaderboard_pivot(table):
     rows = table("lineitem").withColumn("method", F.concat("l_linestatus", "l_returnflag"))
     return reports.leaderboard(
-        reports.summarise(rows, ["method"], ["l_quantity", "l_discount", "l_tax"]), "method", ["l_quantity", "l_discount", "l_tax"],
+        reports.means(rows, ["method"], ["l_quantity", "l_discount", "l_tax"]), "method", ["l_quantity", "l_discount", "l_tax"],
         "l_quantity",
     )
 
