@@ -17,6 +17,15 @@ def _words(text: str) -> Column:
     return F.filter(F.split(F.col(text), r"\s+"), lambda w: w != "")
 
 
+def _grams(text: str, n: int) -> Column:
+    """All n successive characters of a text; none if it is shorter."""
+    chars = F.split(F.col(text), "")
+    gram = lambda i: F.array_join(F.slice(chars, i, n), "")
+    return F.when(F.char_length(text) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.size(chars) - n + 1, F.lit(1))), gram)).otherwise(
+        F.array().cast("array<string>")
+    )
+
+
 def contained(docs: DataFrame, items: DataFrame, doc: str, item: str) -> DataFrame:
     """(doc, item) where the document's text holds the item's as a substring.
 
@@ -24,7 +33,9 @@ def contained(docs: DataFrame, items: DataFrame, doc: str, item: str) -> DataFra
     first such window; a document's windows are looked up among the items' (a
     broadcast while these are at most MOST_KEYS) before anything is exchanged.
     Shorter items meet the documents by their longest whole word; those without
-    one are looked for in every document. NULL texts hold nothing.
+    one, which may start and end inside a word, by their first three characters,
+    or the first one if they have no more than two. NULL texts hold nothing, and
+    an empty item is in no document.
     """
     wanted = items.filter(F.col("text").isNotNull()).select(item, F.col("text").alias("__item")).withColumn("__w", _words("__item"))
     inner = F.slice("__w", 2, F.greatest(F.size("__w") - 2, F.lit(0)))
@@ -61,7 +72,8 @@ def contained(docs: DataFrame, items: DataFrame, doc: str, item: str) -> DataFra
     if not short.isEmpty():
         longest = F.element_at(F.array_sort(F.transform("__inner", lambda w: F.struct(-F.length(w), w.alias("w")))), 1)["w"]
         found = found.unionByName(meet(short.select(item, "__item", longest.alias("__key")), _words("text")))
-    bare = wanted.filter(F.size("__inner") == 0)
-    if not bare.isEmpty():  # texts of one or two words, which may start and end inside a word
-        found = found.unionByName(rows.join(F.broadcast(bare) if bare.count() <= MOST_KEYS else bare, whole).select(doc, item))
+    bare = wanted.filter((F.size("__inner") == 0) & (F.char_length("__item") > 0))
+    for n, part in ((3, bare.filter(F.char_length("__item") >= 3)), (1, bare.filter(F.char_length("__item") < 3))):
+        if not part.isEmpty():
+            found = found.unionByName(meet(part.select(item, "__item", F.get(_grams("__item", n), F.lit(0)).alias("__key")), _grams("text", n)))
     return found.distinct()
