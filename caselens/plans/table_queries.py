@@ -134,3 +134,26 @@ def reproduced_summary(table):
 def stored_deployed_agreement(table):
     rows = table("labels").select(F.col("quality").cast("double"), F.col("toxic").cast("double"))
     return ensemble.agreement(rows, "quality", "toxic")
+
+
+@query("""WITH e AS (SELECT user_id % 5 AS fold, hour(ts) < 12 AS small, event_type AS config, value FROM events), g AS (SELECT fold, small, config, sum(value) AS s, count(*) AS n FROM e GROUP BY ALL),
+o AS (SELECT *, (sum(s) OVER w - s) / nullif(sum(n) OVER w - n, 0) AS outside FROM g WINDOW w AS (PARTITION BY small, config)), r AS (SELECT *, row_number() OVER (PARTITION BY fold, small ORDER BY outside DESC NULLS LAST, config) AS k FROM o)
+SELECT fold, a.config AS below, b.config AS above FROM (SELECT fold, config FROM r WHERE k = 1 AND small) a FULL JOIN (SELECT fold, config FROM r WHERE k = 1 AND NOT small) b USING (fold)""")
+def size_policy(table):
+    """For each fold, the best configurations of small and of large cases outside it."""
+    rows = table("events").select((F.col("user_id") % 5).alias("fold"), F.hour("ts").alias("size"), F.col("event_type").alias("config"), "value")
+    return selection.best_below_and_above(rows, "fold", "size", 12, "config", "value")
+
+
+@query("SELECT o_custkey, o_orderkey FROM orders WHERE o_custkey IN (SELECT o_custkey FROM orders GROUP BY 1 HAVING count(DISTINCT o_orderpriority) = (SELECT count(DISTINCT o_orderpriority) FROM orders))")
+def common_customers(table):
+    """Orders of the customers that every priority has."""
+    return relational.common_subjects(table("orders"), "o_custkey", "o_orderpriority").select("o_custkey", "o_orderkey")
+
+
+@query("SELECT user_id, round(CAST(sum(value * w) / sum(w) AS DOUBLE), 6) AS value, count(*) AS n_members FROM (SELECT user_id, event_type, avg(value) AS value FROM events GROUP BY ALL) JOIN (SELECT unnest(['click', 'view', 'error']) AS event_type, unnest([2.0, 1.0, 0.5]) AS w) USING (event_type) GROUP BY 1")
+def parsed_weights(table):
+    """Weights from texts; a member of weight 0 takes no part."""
+    weights = ensemble.parse_weights(["click=2", "view=1", "error=0.5", "signup=0"])
+    rows = table("events").groupBy("user_id", "event_type").agg(F.avg("value").alias("value"))
+    return ensemble.weighted_average(rows, ["user_id"], "event_type", "value", weights)
