@@ -34,10 +34,9 @@ def describe(df: DataFrame, keys: list[str], value: str, at: Sequence[float] = (
     range and over ranges, so no task holds a group and the input is read once. NULL values count for nothing; groups
     without any others are there, and may have NULLs in their keys.
     """
-    group = [F.coalesce(F.col(k).cast("string"), F.lit("\0")).alias(f"__k{i}") for i, k in enumerate(keys)]
     g = [f"__k{i}" for i in range(len(keys))]
-    first = [F.first(k, ignorenulls=True).alias(k) for k in keys]
-    counts = df.groupBy(*group, F.col(value).cast("double").alias("__v")).agg(F.count(value).alias("__k"), *first)
+    group = [F.col(k).alias(name) for k, name in zip(keys, g)]
+    counts = df.groupBy(*group, F.col(value).cast("double").alias("__v")).agg(F.count(value).alias("__k"))
     parts = stash(counts.repartitionByRange(*g, "__v").withColumn("__part", F.spark_partition_id()))
     every = Window.partitionBy(*g)
     sums = parts.groupBy(*g, "__part").agg(F.sum("__k").alias("__s"), F.sum(F.col("__k") * F.col("__v")).alias("__t"))
@@ -45,7 +44,9 @@ def describe(df: DataFrame, keys: list[str], value: str, at: Sequence[float] = (
     n = F.sum("__s").over(every)
     sums = sums.select(*g, "__part", before.alias("__before"), n.alias("__n"), ratio(F.sum("__t").over(every), n).alias("__mean"))
     inside = F.sum("__k").over(Window.partitionBy(*g, "__part").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0))
-    ranked = parts.withColumn("__upto", inside).join(sums, [*g, "__part"]).withColumn("__upto", F.col("__upto") + F.col("__before"))
+    ends = sums.withColumnsRenamed({c: f"{c}_of" for c in (*g, "__part")})
+    same = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"{c}_of")) for c in ("__part", *g)))
+    ranked = parts.withColumn("__upto", inside).join(ends, same).withColumn("__upto", F.col("__upto") + F.col("__before"))
     picked = []
     for i, q in enumerate(at):
         rank = F.lit(float(q)) * (F.col("__n") - 1)
@@ -54,11 +55,12 @@ def describe(df: DataFrame, keys: list[str], value: str, at: Sequence[float] = (
     away = F.sum(F.col("__k") * (F.col("__v") - F.col("__mean")) ** 2)
     found = ranked.groupBy(*g).agg(
         F.coalesce(F.max("__n"), F.lit(0)).alias("__n"), F.max("__mean").alias("__mean"), away.alias("__away"), F.min("__v").alias("__min"),
-        F.max("__v").alias("__max"), *(F.first(k, ignorenulls=True).alias(k) for k in keys), *picked,
+        F.max("__v").alias("__max"), *picked,
     )
     rest = lambda q: F.lit(float(q)) * (F.col("__n") - 1) - F.floor(F.lit(float(q)) * (F.col("__n") - 1))
     return found.select(
-        *keys, F.col("__n").alias("n_valid"), F.col("__mean").alias("mean"), F.sqrt(ratio("__away", "__n")).alias("std"),
+        *(F.col(name).alias(k) for k, name in zip(keys, g)), F.col("__n").alias("n_valid"), F.col("__mean").alias("mean"),
+        F.sqrt(ratio("__away", "__n")).alias("std"),
         F.sqrt(ratio("__away", F.col("__n") - 1)).alias("std_samp"), F.col("__min").alias("min"), F.col("__max").alias("max"),
         *(
             (F.col(f"__lo{i}") + (F.col(f"__hi{i}") - F.col(f"__lo{i}")) * rest(q)).alias(name)
