@@ -76,8 +76,11 @@ def first_by_priority(df: DataFrame, keys: list[str], order: list[Column]) -> Da
 
 def complement(cases: DataFrame, held: DataFrame, case: str, fold: str) -> DataFrame:
     """(fold, case) of all cases outside each fold's own; folds are few."""
-    every = cases.select(case).distinct().crossJoin(F.broadcast(held.select(fold).distinct()))
-    return every.join(held.select(fold, case), [fold, case], "left_anti").select(fold, case)
+    every = held.agg(F.array_sort(F.collect_set(fold)).alias("__every"))  # one row
+    own = held.groupBy(case).agg(F.collect_set(fold).alias("__own"))
+    rows = cases.select(case).distinct().join(own, case, "left").crossJoin(F.broadcast(every))
+    outside = F.array_except("__every", F.coalesce("__own", F.slice("__every", 1, 0)))
+    return rows.select(F.explode(outside).alias(fold), case)
 
 
 def common(tables: list[DataFrame]) -> DataFrame:
@@ -236,3 +239,45 @@ def manifest_status(manifest: DataFrame, tables: dict[str, DataFrame], on: list[
         out = out.join(table.select(*on).distinct().withColumn(f"__{name}", F.lit(True)), on, "left")
     lacks = F.array_compact(F.array(*(F.when(F.col(f"__{name}").isNull(), F.lit(name)) for name in tables)))
     return out.withColumn("lacks", F.array_join(lacks, ",")).drop(*(f"__{name}" for name in tables))
+
+
+def verify_collections(manifest: DataFrame, collections: dict[str, DataFrame], on: str) -> DataFrame:
+    """(collection, kind, item): where a collection isn't the manifest's set of cases; none if all of them are.
+
+    Kinds: missing, unexpected, duplicate (also of the manifest itself, whose name is "manifest"). All collections are
+    compared in one exchange; ids that are NULL are unexpected everywhere.
+    """
+    names = ["manifest", *collections]
+    tagged = reduce(DataFrame.unionByName, (
+        df.select(F.col(on).alias("__item"), F.lit(k).alias("__of")) for k, df in enumerate((manifest, *collections.values()))
+    ))
+    counts = tagged.groupBy("__item").agg(*(F.count_if(F.col("__of") == k).alias(f"__n{k}") for k in range(len(names))))
+    known = (F.col("__n0") > 0) & F.col("__item").isNotNull()
+    faults = []
+    for k, name in enumerate(names):
+        n, row = F.col(f"__n{k}"), lambda kind, name=name: F.struct(F.lit(name).alias("collection"), F.lit(kind).alias("kind"))
+        faults += [F.when(known & (n == 0), row("missing")), F.when(~known & (n > 0), row("unexpected")), F.when(n > 1, row("duplicate"))]
+    each = counts.select(F.explode(F.array_compact(F.array(*faults))).alias("__f"), F.col("__item").cast("string").alias("item"))
+    return each.select("__f.*", "item")
+
+
+def report_status(folders: DataFrame, reports: DataFrame, metas: DataFrame, on: str, valid_report: Column, valid_meta: Column) -> DataFrame:
+    """(on, status) of every folder of results: ok, no report, undeclared (a report without a description), or what is no object.
+
+    valid_report and valid_meta are conditions on the rows of reports and metas.
+    """
+    r = reports.groupBy(on).agg(F.max(F.coalesce(valid_report, F.lit(False))).alias("__report"))
+    m = metas.groupBy(on).agg(F.max(F.coalesce(valid_meta, F.lit(False))).alias("__meta"))
+    joined = folders.select(on).distinct().join(r, on, "left").join(m, on, "left")
+    status = (
+        F.when(F.col("__report").isNull(), "no report").when(F.col("__meta").isNull(), "undeclared")
+        .when(~F.col("__meta"), "bad description").when(~F.col("__report"), "bad report").otherwise("ok")
+    )
+    return joined.select(on, status.alias("status"))
+
+
+def declared_reports(status: DataFrame, on: str, allow_undeclared: bool = False) -> DataFrame:
+    """The folders of a leaderboard, from report_status(); undeclared ones are an error that names them, unless they are allowed to be left out."""
+    if not allow_undeclared:
+        require_empty(status.filter("status = 'undeclared'").select(on), "results without a description")
+    return status.filter("status = 'ok'").select(on)

@@ -211,6 +211,14 @@ def on_edge(df: DataFrame, threshold: str, chosen: Column) -> DataFrame:
     )
 
 
+def best_on_edge(df: DataFrame, threshold: str, value: str) -> DataFrame:
+    """on_edge() for the threshold of the largest value, of ties the smallest one, in one aggregate."""
+    rank = F.struct(F.col(value), -F.col(threshold))
+    ends = df.agg(F.min(threshold).alias("lo"), F.max(threshold).alias("hi"), F.max_by(threshold, rank).alias("best"))
+    near = lambda c: F.abs(F.col("best") - F.col(c)) <= 1e-9
+    return ends.select(((F.col("lo") < F.col("hi")) & (near("lo") | near("hi"))).alias("on_edge"))
+
+
 def reproduces(a: DataFrame, b: DataFrame, on: list[str], value: str, tolerance: float = 1e-6) -> DataFrame:
     """Rows whose value differs between two summaries, or that only one has."""
     right = b.select(*on, F.col(value).alias("__b"))

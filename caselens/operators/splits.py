@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Groups that the search holds; each is one row of counts.
 MOST_GROUPS = 20_000
+#: Folds of a plan that is written out in full: every case is a row in each of them.
+MOST_FOLDS = 10_000
 
 
 def group_profiles(cases: DataFrame, group: str, strata: dict[str, Sequence[str]], volume: str | None = None) -> DataFrame:
@@ -98,21 +100,51 @@ def assign_folds(
     )
 
 
+def _every(folds: DataFrame, fold: str) -> DataFrame:
+    """One row: the sorted list of all folds, or an error if a plan of so many rows for each case can't be meant."""
+    every = folds.agg(F.array_sort(F.collect_set(fold)).alias("__every"))
+    return every.select(
+        F.when(F.size("__every") > MOST_FOLDS, F.raise_error(F.lit(f"more than {MOST_FOLDS} folds: read them by side()")).cast(every.schema[0].dataType))
+        .otherwise(F.col("__every")).alias("__every")
+    )
+
+
 def splits(cases: DataFrame, assignment: DataFrame, case: str, group: str) -> DataFrame:
     """(fold, subset, case): every fold validates on its own groups and trains on all others."""
-    placed = cases.select(case, group).join(F.broadcast(assignment.withColumnRenamed("fold", "own")), group)
-    folds = assignment.select("fold").distinct()
-    return placed.crossJoin(F.broadcast(folds)).select(
-        "fold", F.when(F.col("own") == F.col("fold"), "val").otherwise("train").alias("subset"), case,
-    )
+    placed = cases.select(case, group).join(assignment.withColumnRenamed("fold", "own"), group)
+    rows = placed.crossJoin(F.broadcast(_every(assignment, "fold")))  # one row
+    rows = rows.select("own", case, F.explode("__every").alias("fold"))
+    return rows.select("fold", F.when(F.col("own") == F.col("fold"), "val").otherwise("train").alias("subset"), case)
+
+
+def held_groups(cases: DataFrame, group: str, least: int = 1) -> DataFrame:
+    """(held, n): the groups of at least ``least`` cases, each of which is a fold of its own."""
+    return cases.groupBy(F.col(group).alias("held")).agg(F.count("*").alias("n")).filter(F.col("n") >= least)
 
 
 def leave_group_out(cases: DataFrame, case: str, group: str, least: int = 1) -> DataFrame:
-    """One fold for each group of at least ``least`` cases, which validates on it."""
-    groups = cases.groupBy(group).count().filter(F.col("count") >= least).select(F.col(group).alias("held"))
-    return cases.select(case, group).crossJoin(F.broadcast(groups)).select(
-        "held", F.when(F.col(group) == F.col("held"), "val").otherwise("train").alias("subset"), case,
+    """(held, subset, case) in full: one fold for each group of at least ``least`` cases, which validates on it."""
+    rows = cases.select(case, group).crossJoin(F.broadcast(_every(held_groups(cases, group, least), "held")))  # one row
+    rows = rows.select(group, case, F.explode("__every").alias("held"))
+    return rows.select("held", F.when(F.col(group) == F.col("held"), "val").otherwise("train").alias("subset"), case)
+
+
+def side(cases: DataFrame, group: str, held, subset: str) -> DataFrame:
+    """The rows of one fold's side, straight from the cases: a filter, for plans with too many folds to write out."""
+    if subset not in ("train", "val"):
+        raise ValueError(f"unknown subset: {subset}")
+    own = F.col(group).eqNullSafe(F.lit(held))
+    return cases.filter(own if subset == "val" else ~own)
+
+
+def plan_sizes(cases: DataFrame, group: str, least: int = 1) -> DataFrame:
+    """(held, subset, n) of leave_group_out(), from the groups' own counts: no row of the plan is made. Sides without cases are left out."""
+    total = cases.agg(F.count("*").alias("__all"))  # one row
+    both = held_groups(cases, group, least).filter("held IS NOT NULL").crossJoin(F.broadcast(total))
+    sides = F.array(
+        F.struct(F.lit("val").alias("subset"), F.col("n")), F.struct(F.lit("train").alias("subset"), (F.col("__all") - F.col("n")).alias("n")),
     )
+    return both.select("held", F.explode(sides).alias("__s")).select("held", "__s.*").filter("n > 0")
 
 
 def fold_summary(assigned: DataFrame, fold: str, measures: dict[str, Column]) -> DataFrame:

@@ -554,4 +554,4 @@ def balanced_folds(table):
     return splits.assign_folds(profiles, "c_nationkey", 5, {"case_count": 4.0, "c_mktsegment": 3.0}, restarts=8)
 
 
-from . import check_queries, file_queries, log_queries, table_queries, volume_queries  # noqa: E402, F401  they register theirs
+from . import check_queries, file_queries, guard_queries, log_queries, table_queries, volume_queries  # noqa: E402, F401  they register theirs

@@ -209,8 +209,7 @@ def promotion_gate(table):
 )
 def grid_edge(table):
     cells = table("part").groupBy((F.col("p_size") / 10.0).alias("threshold")).agg(F.avg("p_retailprice").alias("price"))
-    best = cells.orderBy(F.col("price").desc(), "threshold").first()
-    return selection.on_edge(cells, "threshold", F.lit(best[0] if best else None).cast("double"))
+    return selection.best_on_edge(cells, "threshold", "price")
 
 
 @query(
