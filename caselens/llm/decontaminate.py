@@ -2,12 +2,14 @@
 
 Text is lower-cased (A-Z) and cut into words of digits, letters and characters
 beyond ASCII. The windows of the benchmark (n successive words of an item, or
-the whole item where it is shorter) are hashed and broadcast in blocks of at
-most MAX_WINDOWS, so the broadcast is bounded whatever the benchmark's size.
-BLOCKS_AT_ONCE of them follow each other in a stage; for more, the marks so far
-are written and the next stage goes on from there, so that the blocks held at
-one time are bounded, too. Every window of every document is looked up; hits are
-verified word by word.
+the whole item where it is shorter) are hashed and broadcast in blocks of about
+MAX_WINDOWS or MAX_BYTES, so the broadcast is bounded whatever the benchmark's
+size. Blocks are dealt by window and item, so a window of very many items is
+spread, too. BLOCKS_AT_ONCE of them follow each other in a stage; for more, the
+documents get numbers of their own, each stage reads the texts and writes marks
+(the first for all rows, the others where they hit), and one join by number puts
+the marks together: texts are written once, however many blocks there are.
+Every window of every document is looked up; hits are verified word by word.
 
 Edge cases: null texts and texts without words are clean; items without words
 have no window; repeated items count one each; repeated rows and null doc_ids
@@ -18,8 +20,10 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,8 +32,9 @@ from pyspark.sql import types as T
 from ._spark import small_batches, stash, text_or_empty, unused
 from ._text import ALNUM, LOWER, ngrams, slices, span_hash, spans, utf8
 
-#: Benchmark windows that are broadcast at once; about 300 bytes each.
+#: Benchmark windows that are broadcast at once, about 300 bytes each; and bytes of their texts and item ids.
 MAX_WINDOWS = 200_000
+MAX_BYTES = 64 << 20
 BLOCKS_AT_ONCE = 2
 _FILTER = 1 << 22
 
@@ -93,13 +98,17 @@ class WindowSet:
         return hit, items
 
 
-def _blocks(benchmark: DataFrame, n: int) -> Iterator[WindowSet]:
-    """The benchmark's windows in blocks that may be broadcast. One block is on the driver at a time."""
+def _blocks(benchmark: DataFrame, n: int) -> list[DataFrame]:
+    """The benchmark's windows in parts that may be broadcast: about MAX_WINDOWS rows and MAX_BYTES each, written by part if there are several."""
     windows = benchmark_windows(benchmark, n).distinct()
-    blocks = max(1, -(-windows.count() // MAX_WINDOWS))
-    for k in range(blocks):
-        part = windows if blocks == 1 else windows.filter(F.pmod(F.xxhash64("window"), F.lit(blocks)) == k)
-        yield WindowSet([(r[0], r[1]) for r in part.collect()])
+    size = F.octet_length("window") + F.coalesce(F.octet_length("item_id"), F.lit(0))
+    rows, total = windows.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
+    blocks = max(1, -(-rows // MAX_WINDOWS), -(-total // MAX_BYTES))
+    if blocks == 1:
+        return [windows]
+    dealt = windows.withColumn("block", F.pmod(F.xxhash64("window", "item_id"), F.lit(blocks)))
+    written = stash(dealt.repartition("block"), "block")
+    return [written.filter(F.col("block") == k).drop("block") for k in range(blocks)]
 
 
 def mark_names(docs: DataFrame) -> dict[str, str]:
@@ -130,19 +139,50 @@ def _mark(batches: Iterator[pa.RecordBatch], windows: WindowSet, names: dict[str
         yield pa.RecordBatch.from_arrays([*batch.columns[: -len(_MARKS)], *marks], names=batch.schema.names)
 
 
-def marked(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
-    """docs with the columns of mark_names(): numbers of words and hit words, a bit for each word, item ids. Nothing is shuffled."""
-    names = mark_names(docs)
+def _chain(docs: DataFrame, names: dict[str, str], blocks: list[DataFrame]) -> DataFrame:
+    """docs with marks of these blocks, in one stage. One block at a time is on the driver."""
     schema = T.StructType([*docs.schema.fields, *(T.StructField(names[k], t) for k, t in _MARKS.items())])
-    out = small_batches(docs).withColumns({names[k]: F.lit(None).cast(t) for k, t in _MARKS.items()})
-    for k, windows in enumerate(_blocks(benchmark, n)):
-        if k and k % BLOCKS_AT_ONCE == 0:
-            out = stash(out)
+    out = docs.withColumns({names[k]: F.lit(None).cast(t) for k, t in _MARKS.items()})
+    for block in blocks:
+        windows = WindowSet([(r.item_id, r.window) for r in block.collect()])
         shared = docs.sparkSession.sparkContext.broadcast(windows)
         out = out.mapInArrow(lambda it, shared=shared: _mark(it, shared.value, names), schema)
     return out
 
 
+@F.pandas_udf(T.BinaryType())
+def _either(bits: pd.Series) -> pd.Series:
+    """The union of bit strings of one length; empty ones have no bits."""
+    return bits.map(lambda parts: np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in parts]).tobytes() if len(parts) else b"")
+
+
+@F.pandas_udf(T.LongType())
+def _ones(bits: pd.Series) -> pd.Series:
+    return bits.map(lambda x: int(np.unpackbits(np.frombuffer(x, np.uint8)).sum()))
+
+
+def marked(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
+    """docs with the columns of mark_names(): numbers of words and hit words, a bit for each word, item ids.
+
+    Nothing is shuffled, unless the benchmark has more than BLOCKS_AT_ONCE blocks.
+    """
+    names, blocks = mark_names(docs), _blocks(benchmark, n)
+    docs = small_batches(docs)
+    if len(blocks) <= BLOCKS_AT_ONCE:
+        return _chain(docs, names, blocks)
+    row = unused("__row", [*docs.columns, *names.values()])
+    numbered = stash(docs.withColumn(row, F.monotonically_increasing_id()))
+    c, parts = {k: F.col(v) for k, v in names.items()}, []
+    for k in range(0, len(blocks), BLOCKS_AT_ONCE):
+        part = _chain(numbered.select(row, "text"), names, blocks[k : k + BLOCKS_AT_ONCE]).drop("text")
+        parts.append(stash(part.filter(c["n_hit"] > 0) if k else part))
+    together = reduce(DataFrame.unionByName, parts).groupBy(row).agg(
+        F.max(c["n_words"]).alias(names["n_words"]), F.collect_list(F.when(c["n_hit"] > 0, c["hits"])).alias(names["hits"]),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list(c["items"])))).alias(names["items"]),
+    ).withColumn(names["hits"], _either(c["hits"])).withColumn(names["n_hit"], _ones(c["hits"]))
+    return numbered.join(together, row).select(*docs.columns, *names.values())
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
     """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
     docs = docs.select("doc_id", "text")

@@ -70,3 +70,16 @@ def test_awkward_rows(spark):
     assert sorted(map(tuple, contamination(awkward(spark), bench).collect()), key=str) == brute(rows, items)
     assert decontaminate(awkward(spark), bench).columns == awkward(spark).columns
     assert contamination(docs(spark, []), bench).count() == 0 and contamination(awkward(spark), bench.limit(0)).filter("contaminated").count() == 0
+
+
+def test_a_window_of_very_many_items_and_extra_columns(spark, monkeypatch):
+    monkeypatch.setattr(module, "MAX_BYTES", 400)
+    items = [(k, "one two three") for k in range(60)] + [(60, "four five " * 30)]
+    rows = [(1, "zero one two three"), (2, "four five " * 12), (2, "four five " * 12), (None, None), (5, "one two")]
+    table = docs(spark, rows).selectExpr("*", "1 AS __row", "2 AS __hits")
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    assert len(module._blocks(bench, 10)) > module.BLOCKS_AT_ONCE
+    assert sorted(map(tuple, contamination(table, bench).collect()), key=str) == brute(rows, items)
+    kept = decontaminate(table, bench)
+    assert kept.columns == table.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 5]
+    assert contamination(table.limit(0), bench).count() == 0
