@@ -20,16 +20,19 @@ PIPELINE_PATHS = (
 
 
 def gap_sessions(df: DataFrame, keys: list[str], ts: str, order: list[str], gap_seconds: int) -> DataFrame:
-    """df with ``session``: a new one starts after a longer gap within the key."""
-    own = Window.partitionBy(*keys).orderBy(ts, *order)
-    late = F.col(ts).cast("timestamp").cast("long") - F.lag(ts).over(own).cast("timestamp").cast("long") > gap_seconds
+    """df with ``session``: a new one starts after a longer gap within the key, fractions of seconds included. Rows without a time come last."""
+    own = Window.partitionBy(*keys).orderBy(*(F.col(c).asc_nulls_last() for c in (ts, *order)))
+    second = lambda c: c.cast("timestamp").cast("double")
+    late = second(F.col(ts)) - second(F.lag(ts).over(own)) > gap_seconds
     return df.withColumn("session", F.sum(F.when(late, 1).otherwise(0)).over(own.rowsBetween(Window.unboundedPreceding, 0)).cast("bigint"))
 
 
 def session_summary(sessions: DataFrame, keys: list[str], ts: str, last: int, value: str, tie: str) -> DataFrame:
     """Begin, end, length and the last few values of each session, in order."""
-    newest = F.row_number().over(Window.partitionBy(*keys, "session").orderBy(F.col(ts).desc(), F.col(tie).desc())) <= last
-    kept = F.array_sort(F.collect_list(F.when(F.col("__new"), F.struct(ts, tie, value))))
+    falling = (F.col(c).desc_nulls_first() for c in (ts, tie))
+    newest = F.row_number().over(Window.partitionBy(*keys, "session").orderBy(*falling)) <= last
+    place = (F.col(ts).isNull().alias("__t"), ts, F.col(tie).isNull().alias("__i"), tie)
+    kept = F.array_sort(F.collect_list(F.when(F.col("__new"), F.struct(*place, value))))
     marked = sessions.withColumn("__new", newest)
     return marked.groupBy(*keys, "session").agg(
         F.min(ts).alias("start"), F.max(ts).alias("end"), F.count("*").alias("n"),
