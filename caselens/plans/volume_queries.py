@@ -457,12 +457,12 @@ def volume_source_round_trip(table):
 @query(f"""WITH RECURSIVE {_MASKS}, s AS (SELECT {_PLACE}, max(value) / 600 AS p FROM events GROUP BY ALL), m AS (SELECT c, x, y, z FROM s WHERE p >= 0.7), {_components("m")}, n AS (SELECT c, comp, count(*) AS k FROM m_c GROUP BY ALL), kept AS (SELECT m_c.* FROM m_c JOIN n USING (c, comp) WHERE k >= 3)
 SELECT c AS case_id, count(*) FILTER (WHERE kept) AS n_served, round(avg(p) FILTER (WHERE kept), 6) AS mean_served, CASE WHEN count(*) FILTER (WHERE kept) = 0 THEN round(avg(p), 6) END AS flat FROM (SELECT s.*, k.c IS NOT NULL AS kept FROM s LEFT JOIN kept k ON k.c = s.c AND k.x = s.x AND k.y = s.y AND k.z = s.z) GROUP BY 1""")
 def served_requests(table):
-    """Requests after post-processing: the voxels of components that are large enough at the threshold, or a flat map."""
+    """Requests after post-processing: the voxels of components (by faces) that are large enough at the threshold, or a flat map."""
     place = [
         F.col("event_type").alias("request"), (F.col("user_id") % 20).cast("int").alias("x"), F.hour("ts").alias("y"),
         (F.dayofyear("ts") % 10).cast("int").alias("z"),
     ]
-    out = jobs.serve(table("events").groupBy(*place).agg((F.max("value") / 600).alias("p")), "request", "p", 0.7, 3)
+    out = jobs.serve(table("events").groupBy(*place).agg((F.max("value") / 600).alias("p")), "request", "p", 0.7, 3, 6)
     served = F.when(F.col("x").isNotNull(), F.col("p"))
     return out.groupBy(F.col("request").alias("case_id")).agg(
         F.count(served).alias("n_served"), F.avg(served).alias("mean_served"), F.max(F.when(F.col("x").isNull(), F.col("p"))).alias("flat"),

@@ -61,7 +61,7 @@ def incremental(source: DataFrame, target: str, checkpoint: str, key: str, trans
         return new.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def serve(requests: DataFrame, request: str, p: str, threshold: float, least: int) -> DataFrame:
+def serve(requests: DataFrame, request: str, p: str, threshold: float, least: int, connectivity: int = 26) -> DataFrame:
     """Requests' soft maps (request, x, y, z, p) to what is served: the mask at the threshold without small components, and a flat map where it is empty.
 
     (request, x, y, z, p): the voxels of the mask; requests whose mask is empty get one row without a place and with their mean p.
@@ -69,7 +69,7 @@ def serve(requests: DataFrame, request: str, p: str, threshold: float, least: in
     from ..operators.volumes import drop_small, label
 
     above = requests.filter(F.col(p) >= threshold)
-    mask = drop_small(label(above.select(F.col(request).alias("case"), "x", "y", "z")), least).withColumnRenamed("case", request)
+    mask = drop_small(label(above.select(F.col(request).alias("case"), "x", "y", "z"), connectivity), least).withColumnRenamed("case", request)
     kept = above.join(mask.select(request, "x", "y", "z"), [request, "x", "y", "z"], "left_semi").select(request, "x", "y", "z", p)
     means = requests.groupBy(request).agg(F.avg(p).alias(p))
     flat = means.join(kept.select(request).distinct(), request, "left_anti")
