@@ -9,8 +9,7 @@ Every source is a stream: its documents in hashed order, again and again, until
 its target is reached; the last document may be taken in part. Prefix sums over
 a stream come from sums of hash buckets, of about BUCKET_ROWS documents each, so
 a source with a large share of all rows is never in one task. Documents are
-named by doc_id, and by a hash of the text where that is null or repeated; texts
-themselves are counted where they lie and stay there. Each source has a weight schedule over training
+named by doc_id, and by a hash of the text where that is null or repeated. Each source has a weight schedule over training
 progress, piecewise linear. Its integral is the source's cumulative demand;
 inverting it gives each copy of a document its position, and the mix is
 range-sorted by position.
@@ -98,20 +97,26 @@ def _progress(share: Column, schedules) -> Column:
     return result
 
 
-def plan(sized: DataFrame, weights=WEIGHTS, most: int = MOST_REPEATS) -> DataFrame:
-    """sized: of sizes(). Adds source_size, target, taken, quota and before (words of the source's stream ahead of the document)."""
+def _streams(sized: DataFrame, weights, most: int) -> tuple[int, DataFrame]:
+    """sized: of sizes(). The number of digits that name a bucket, and a row for each bucket: its source's target, and the words ahead of it."""
     n, digits = sized.count(), 3
     while n > BUCKET_ROWS << 4 * digits:
         digits += 1
-    sized = sized.withColumn("bucket", F.substring("h", 1, digits))
-    meta = stash(sized.groupBy("skey", "bucket").agg(F.sum("size").alias("bucket_size")))
+    bucket = F.substring("h", 1, digits).alias("bucket")
+    meta = stash(sized.groupBy("skey", bucket).agg(F.sum("size").alias("bucket_size")))
     by_source = targets(meta.groupBy("skey").agg(F.sum("bucket_size").alias("source_size")), weights, most)
     ahead = Window.partitionBy("skey").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     buckets = meta.withColumn("bucket_before", F.coalesce(F.sum("bucket_size").over(ahead), F.lit(0)))
-    buckets = stash(buckets.join(by_source, "skey").drop("bucket_size"))
-    own = Window.partitionBy("skey", "bucket").orderBy("h", "doc_id", "size", "tie").rowsBetween(Window.unboundedPreceding, -1)
-    rows = sized.join(buckets.hint("shuffle_hash"), ["skey", "bucket"]).withColumn(
-        "before", F.col("bucket_before") + F.coalesce(F.sum("size").over(own), F.lit(0)),
+    return digits, stash(buckets.join(by_source, "skey").drop("bucket_size"))
+
+
+def plan(sized: DataFrame, weights=WEIGHTS, most: int = MOST_REPEATS, streams: tuple[int, DataFrame] | None = None) -> DataFrame:
+    """sized: of sizes(). Adds source_size, target, taken, quota, before (words of the source's stream ahead of the document), and its number in its bucket."""
+    digits, buckets = streams or _streams(sized, weights, most)
+    order = Window.partitionBy("skey", "bucket").orderBy("h", "doc_id", "size", "tie")
+    own = order.rowsBetween(Window.unboundedPreceding, -1)
+    rows = sized.withColumn("bucket", F.substring("h", 1, digits)).join(buckets.hint("shuffle_hash"), ["skey", "bucket"]).withColumns(
+        {"before": F.col("bucket_before") + F.coalesce(F.sum("size").over(own), F.lit(0)), "number": F.row_number().over(order)}
     )
     quota = F.least(F.floor(F.col("target") + 0.5), F.col("source_size") * most).cast("bigint")
     rows = rows.withColumn("quota", quota).withColumn(
@@ -127,13 +132,38 @@ def _position(copy: Column, words: Column, schedules) -> Column:
     return _progress(share, schedules)
 
 
+def _ordered(planned: DataFrame, schedules) -> DataFrame:
+    """planned: of plan(), with texts. The mix: a row for each copy, in order of position; the last copy of a source may be cut short."""
+    rows = planned.filter("taken > 0")
+    copies = rows.withColumn("copy", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("taken") / F.col("size")) - 1).cast("int"))))
+    words = F.least(F.col("taken") - F.col("copy") * F.col("size"), F.col("size"))
+    placed = copies.withColumn("words", words).withColumn("position", _position(F.col("copy"), F.col("words"), schedules))
+    cut = F.array_join(
+        F.slice(F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), 0), F.lit(1), F.col("words").cast("int")), "",
+    )
+    placed = placed.withColumn("text", F.when(F.col("words") < F.col("size"), cut).otherwise(F.col("text")))
+    return placed.repartitionByRange(
+        partitions(planned.sparkSession), "position", "h", "copy",
+    ).sortWithinPartitions("position", "h", "copy")
+
+
 def mixture(docs: DataFrame, weights=WEIGHTS, most: int = MOST_REPEATS, schedules=SCHEDULES) -> DataFrame:
-    """Per document: doc_id, size, source_size, target, taken, position (of its first copy; null where nothing is taken)."""
-    rows = plan(stash(sizes(docs.select("doc_id", "source", "text")).drop("source", "text")), weights, most)
-    position = _position(F.lit(0), F.least("taken", "size"), schedules)
+    """Per document: doc_id, size, source_size, target, taken, position (of its first copy; null where nothing is taken).
+
+    taken and position are read off the mix: the words of its copies' texts, and the place of the first one in its order.
+    """
+    core = docs.select("doc_id", "source", "text")
+    sized = stash(sizes(core).drop("source", "text"))
+    streams = _streams(sized, weights, most)
+    key = ["skey", "bucket", "number"]
+    mixed = _ordered(plan(sizes(core).drop("source"), weights, most, streams), schedules).select(
+        *key, F.regexp_count("text", F.lit(WORD)).cast("bigint").alias("n"), "position", F.monotonically_increasing_id().alias("place"),
+    )
+    found = mixed.groupBy(*key).agg(F.sum("n").alias("found"), F.min_by("position", "place").alias("position"))
+    rows = plan(sized, weights, most, streams).join(found, key, "left")
     return rows.select(
-        "doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken",
-        F.round(F.when(F.col("taken") > 0, position), 9).alias("position"),
+        "doc_id", "size", "source_size", F.round("target", 6).alias("target"), F.coalesce("found", F.lit(0)).cast("bigint").alias("taken"),
+        F.round("position", 9).alias("position"),
     )
 
 
@@ -141,20 +171,11 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST_REPEATS, schedules=SC
     """The mix itself: the columns of docs, a row for each copy, in order of position; the last copy of a source may be cut short."""
     core = ("doc_id", "source", "text")
     others = {c: f"__{i}" for i, c in enumerate(docs.columns) if c not in core}  # names that no step uses
-    rows = plan(sizes(docs.select(*core, *(F.col(c).alias(k) for c, k in others.items()))), weights, most).filter("taken > 0")
-    copies = rows.withColumn("copy", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("taken") / F.col("size")) - 1).cast("int"))))
-    words = F.least(F.col("taken") - F.col("copy") * F.col("size"), F.col("size"))
-    placed = copies.withColumn("words", words).withColumn("position", _position(F.col("copy"), F.col("words"), schedules))
-    cut = F.array_join(
-        F.slice(F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), 0), F.lit(1), F.col("words").cast("int")), "",
-    )
-    placed = placed.withColumn("text", F.when(F.col("words") < F.col("size"), cut).otherwise(F.col("text")))
+    planned = plan(sizes(docs.select(*core, *(F.col(c).alias(k) for c, k in others.items()))), weights, most)
+    ordered = _ordered(planned, schedules)
     if "n_chars" in others:
         kind = docs.schema["n_chars"].dataType
-        placed = placed.withColumn(
+        ordered = ordered.withColumn(
             others["n_chars"], F.when(F.col("words") < F.col("size"), F.length("text").cast(kind)).otherwise(F.col(others["n_chars"])),
         )
-    ordered = placed.repartitionByRange(
-        partitions(docs.sparkSession), "position", "h", "copy",
-    ).sortWithinPartitions("position", "h", "copy")
     return ordered.select(*(F.col(others.get(c, c)).alias(c) for c in docs.columns))

@@ -82,3 +82,17 @@ def test_awkward_rows(spark):
     assert mixture(docs(spark, [])).count() == 0 and mix(docs(spark, [])).count() == 0
 
 
+def test_the_query_reads_the_ordered_mix(spark):
+    """taken and position come from the copies in their range-sorted order, equal rows included."""
+    rows, df = table(spark, 2)
+    twice = spark.createDataFrame(rows[:50] * 2 + rows[50:], DOCS)
+    found = mixture(twice)
+    text = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [position" in text and "Generate explode" in text and "Sort [position" in text
+    words = {}
+    for r in mix(twice).collect():
+        words[r.doc_id] = words.get(r.doc_id, 0) + len(r.text.split())
+    taken = {}
+    for r in found.collect():
+        taken[r.doc_id] = taken.get(r.doc_id, 0) + r.taken
+    assert {i: n for i, n in taken.items() if n} == words and found.count() == len(rows) + 50
