@@ -63,10 +63,50 @@ def pairs(names: DataFrame, name: str) -> DataFrame:
     )
 
 
-def any_key_matches(left: DataFrame, right: DataFrame, keys: list[str], id_left: str, id_right: str) -> DataFrame:
-    """(id_left, id_right, reason): pairs that agree in any key; a hash join for each key, never one with OR."""
-    parts = [left.filter(F.col(k).isNotNull()).select(F.col(id_left).alias("left_id"), F.col(k)).join(right.filter(F.col(k).isNotNull()).select(F.col(id_right).alias("right_id"), F.col(k)), k).select("left_id", "right_id", F.lit(k).alias("reason")) for k in keys]
-    return reduce(DataFrame.unionByName, parts).distinct()
+#: Rows of a key on each side that are paired in one place.
+BLOCK_ROWS = 2_000
+
+
+def _partitions(df: DataFrame) -> int:
+    """A number of partitions that is kept as it is: by bytes alone, small rows that make many would end up in few tasks."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def any_key_matches(
+    left: DataFrame, right: DataFrame, keys: list[str], id_left: str, id_right: str, block_rows: int = BLOCK_ROWS,
+) -> DataFrame:
+    """(id_left, id_right, reason): pairs that agree in any key; a join for each key, never one with OR.
+
+    Rows are made distinct before they are paired, so pairs are neither gathered nor exchanged, but those of ids that have
+    several values of the key on both sides. Both sides of a key with many rows are cut into blocks, each pair of which is a
+    key of its own: tasks hold a block, and large keys are shared out.
+    """
+    at = ["__key", "__l", "__r"]
+
+    def side(df: DataFrame, k: str, i: str, name: str, several: str) -> DataFrame:
+        rows = df.filter(F.col(k).isNotNull()).select(F.col(i).alias(name), F.col(k).alias("__key")).repartition(name).distinct()
+        return rows.withColumn(several, F.count("*").over(Window.partitionBy(name)) > 1)
+
+    def part(k: str) -> DataFrame:
+        a, b = side(left, k, id_left, "left_id", "__s"), side(right, k, id_right, "right_id", "__t")
+        both = a.select("__key", F.lit(1).alias("__a"), F.lit(0).alias("__b")).unionByName(b.select("__key", F.lit(0).alias("__a"), F.lit(1).alias("__b")))
+        blocks = lambda c: F.ceil(F.sum(c) / block_rows).cast("int").alias(c)
+        large = F.broadcast(both.groupBy("__key").agg(blocks("__a"), blocks("__b")).filter("__a > 0 AND __b > 0 AND __a + __b > 2"))
+
+        def dealt(df: DataFrame, own: str, own_n: str, other: str, other_n: str) -> DataFrame:
+            rows = df.join(large, "__key", "left")
+            block = F.coalesce(F.pmod(F.xxhash64(df.columns[0]), F.col(own_n)).cast("int"), F.lit(0))
+            every = F.sequence(F.lit(0), F.coalesce(F.col(other_n), F.lit(1)) - 1)
+            return rows.select(*df.columns, block.alias(own), F.explode(every).alias(other)).repartition(_partitions(df), *at)
+
+        def paired_up(a: DataFrame, b: DataFrame) -> DataFrame:
+            return dealt(a, "__l", "__a", "__r", "__b").hint("merge").join(dealt(b, "__r", "__b", "__l", "__a"), at)
+
+        once, often = paired_up(a, b).filter("NOT (__s AND __t)"), paired_up(a.filter("__s"), b.filter("__t"))
+        columns = ["left_id", "right_id", F.lit(k).alias("reason")]
+        return once.select(*columns).unionByName(often.select(*columns).distinct())
+
+    return reduce(DataFrame.unionByName, map(part, dict.fromkeys(keys)))
 
 
 def first_by_priority(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
