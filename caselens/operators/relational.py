@@ -144,25 +144,29 @@ def split_violations(splits: DataFrame, cases: DataFrame, case: str, center: str
         F.lit(kind).alias("kind"), fold.cast("int").alias("fold"), item.cast("string").alias("item"),
     )
     fold, item = F.col("fold"), F.col(case)
-    val, train = splits.filter("subset = 'val'"), splits.filter("subset = 'train'")
-    labelled = splits.join(cases.select(case, center), case)
-    sides = labelled.groupBy("fold", center).agg(F.count_distinct("subset").alias("k")).filter("k > 1")
-    covered = cases.select(case).join(val.groupBy(case).count(), case, "left").filter("count IS NULL OR count <> 1")
-    folds = splits.select("fold").distinct()
+    # Rows of a case are brought together first, in a fixed number of tasks, so that no task counts the cases of a whole file.
+    splits, cases = (df.repartition(_partitions(df), case) for df in (splits.select("fold", "subset", case), cases.select(case, center)))
+    labelled = splits.hint("merge").join(cases, case)
+    sides = labelled.groupBy("fold", center).agg((F.min("subset") != F.max("subset")).alias("both")).filter("both")
+    folds = splits.groupBy("fold").agg(F.count_if(F.col("subset") == "val").alias("__val"))
     every = folds.agg(F.array_sort(F.collect_set("fold")).alias("__every"))  # one row
-    held = splits.groupBy(case).agg(F.collect_set("fold").alias("__held"))
-    lacking = cases.select(case).distinct().join(held, case, "left").crossJoin(F.broadcast(every))
+    held = splits.groupBy(case).agg(F.collect_set("fold").alias("__held"), F.count_if(F.col("subset") == "val").alias("__val"))
+    covered = cases.select(case).hint("merge").join(held, case, "left").filter(F.coalesce("__val", F.lit(0)) != 1)
+    lacking = cases.select(case).distinct().hint("merge").join(held, case, "left").crossJoin(F.broadcast(every))
     lacking = lacking.select(
         F.explode(F.array_except("__every", F.coalesce("__held", F.array_except("__every", "__every")))).alias("fold"), case,
     )
+    crossed = splits.groupBy("fold", case).agg(
+        F.count_if(F.col("subset") == "val").alias("__val"), F.count_if(F.col("subset") == "train").alias("__train"),
+    ).filter("__val > 0 AND __train > 0")
     return reduce(
         DataFrame.unionByName,
         [
             row(duplicates(splits, ["fold", "subset", case]), "duplicate", fold, item),
-            row(splits.join(cases.select(case), case, "left_anti"), "unknown", fold, item),
-            row(val.select("fold", case).intersect(train.select("fold", case)), "overlap", fold, item),
+            row(splits.hint("merge").join(cases.select(case), case, "left_anti"), "unknown", fold, item),
+            row(crossed, "overlap", fold, item),
             row(lacking, "incomplete", fold, item),
-            row(folds.join(val.select("fold"), "fold", "left_anti"), "empty", fold, F.lit("val")),
+            row(folds.filter("__val = 0 OR fold IS NULL"), "empty", fold, F.lit("val")),
             row(sides, "center leak", fold, F.col(center)),
             row(covered, "coverage", F.lit(None), item),
         ],
