@@ -76,18 +76,21 @@ def induced(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def cyclic(nodes: DataFrame) -> DataFrame:
-    """Ids whose chain of parents never ends, by pointer doubling: after k rounds a pointer is 2^k steps up."""
-    up = stash(nodes.select("id", "parent"))
-    n = max(1, up.count())
-    for _ in range(n.bit_length() + 1):
-        up = stash(
-            up.join(
-                up.select(F.col("id").alias("parent"), F.col("parent").alias("next")), "parent", "left",
-            ).select("id", F.col("next").alias("parent"))
-        )
-        if up.filter("parent IS NOT NULL").isEmpty():
+    """Ids whose chain of parents never ends, by pointer doubling: after k rounds a pointer is 2^k steps up, and only rows that have one are left.
+
+    A chain that ends has nodes of every height up to its own, so once a round drops none, all that are left are on or below
+    cycles. Joins are shuffled: stashed tables look small enough to be sent through the driver, and aren't once decoded.
+    """
+    up = stash(nodes.select("id", "parent").filter("parent IS NOT NULL").distinct())
+    ids = lambda df: df.agg(F.count_distinct("id")).first()[0]
+    left = ids(up)
+    while left:
+        above = up.select(F.col("id").alias("parent"), F.col("parent").alias("next"))
+        up = stash(up.hint("merge").join(above, "parent").select("id", F.col("next").alias("parent")).distinct())
+        before, left = left, ids(up)
+        if left == before:
             break
-    return up.filter("parent IS NOT NULL").select("id")
+    return up.select("id").distinct()
 
 
 def scope(
