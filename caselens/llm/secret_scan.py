@@ -7,7 +7,7 @@ digit, with both cases beyond its first letter, or of LONG characters. A small
 convolutional network in numpy reads each one with the text around it, long ones
 in overlapping windows of which the most probable counts.
 
-It is trained on labelled findings, a bounded, hashed sample of each label:
+It is trained on labelled findings, all of them, equal ones once:
 
 * secrets: what the patterns found, as it stands; the same at another place of
   the text, so that not only the words before it tell; and keys drawn from its
@@ -17,8 +17,9 @@ It is trained on labelled findings, a bounded, hashed sample of each label:
   and, where a tag before them says what they are, digests, identifiers and
   encoded text.
 
-A part that it has not seen calibrates it (Platt) and gives the highest
-threshold that keeps RECALL of the secrets there, however low that is. What the
+Each round takes one slice of the findings: tasks go on from the same weights,
+over all rows they get, and their weights are averaged. A fifth that it has not
+seen calibrates it (Platt, on counts of logits) and gives the highest threshold that keeps RECALL of the secrets there, however low that is. What the
 patterns found stays whatever its probability; other candidates above the
 threshold are added.
 
@@ -42,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import arrow, sampled, small_batches, stash
+from ._spark import arrow, small_batches, stash
 from ._text import slices
 
 # The patterns that the task names.
@@ -59,8 +60,8 @@ _LONG_ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 SPAN, STEP = 56, 28
 #: Characters before the window's part of the candidate, and from its start on, that the network reads.
 BEFORE, AFTER = 24, SPAN + 24
-#: The bound of the training sample: positives, and negatives.
-MOST = 3000
+#: Rows that a task learns from at a time; slices of the findings, one a round; tasks of a round at most; examples to see, in repeated rows if need be.
+CHUNK, SLICES, MOST_TASKS, LEAST_SEEN = 8192, 8, 64, 64_000
 RECALL = 0.98
 
 _FOUND = pa.schema(
@@ -255,15 +256,43 @@ def _forward(net: Network, chars: np.ndarray, mask: np.ndarray):
     return pooled @ net.dense + net.bias[0], (cols, h, top, pooled)
 
 
-def train(chars: np.ndarray, mask: np.ndarray, labels: np.ndarray, rounds: int = 500, batch: int = 128, seed: int = 5) -> Network:
-    """Backpropagation with Adam on balanced batches; a fifth calibrates and sets the threshold."""
+def fresh(seed: int = 5) -> Network:
     rng = np.random.default_rng(seed)
     e, c, width = 8, 24, 5
     draw = lambda *shape, s: (rng.standard_normal(shape) * s).astype(np.float32)
-    net = Network(
+    return Network(
         draw(128, e, s=0.5), draw(c, width, e + 1, s=(width * e) ** -0.5), np.zeros(c, np.float32), draw(2 * c, s=0.2),
         np.zeros(1, np.float32),
     )
+
+
+def _step(net: Network, m: list[np.ndarray], v: list[np.ndarray], i: int, x: np.ndarray, inside: np.ndarray, y: np.ndarray) -> None:
+    """Backpropagation of one batch, and Adam's step number i."""
+    c, width, e = net.conv.shape[0], net.conv.shape[1], net.conv.shape[2] - 1
+    logit, (cols, h, top, pooled) = _forward(net, x, inside)
+    d = ((1 / (1 + np.exp(-logit)) - y) / len(y)).astype(np.float32)
+    steps = h.shape[1]
+    dpool = d[:, None] * net.dense
+    dh = (dpool[:, c:] / np.maximum(inside.sum(axis=1), 1)[:, None])[:, None, :] * inside[:, width // 2 : width // 2 + steps, None]
+    np.put_along_axis(dh, top[:, None], np.take_along_axis(dh, top[:, None], axis=1) + dpool[:, None, :c], axis=1)
+    dh = (dh * (h > 0)).reshape(-1, c)
+    dcols = (dh @ net.conv.reshape(c, -1)).reshape(len(y), steps, width, e + 1)
+    dx = np.zeros((len(y), x.shape[1], e), np.float32)
+    for k in range(width):
+        dx[:, k : k + steps] += dcols[:, :, k, :e]
+    dembed = np.zeros_like(net.embed)
+    np.add.at(dembed, x, dx)
+    grads = [dembed, (dh.T @ cols).reshape(net.conv.shape), dh.sum(axis=0), pooled.T @ d, d.sum(keepdims=True)]
+    for a, g, m1, v1 in zip(net.arrays(), grads, m, v):
+        m1 += 0.1 * (g - m1)
+        v1 += 0.01 * (g * g - v1)
+        a -= 0.01 * (m1 / (1 - 0.9 ** (i + 1))) / (np.sqrt(v1 / (1 - 0.99 ** (i + 1))) + 1e-8)
+
+
+def train(chars: np.ndarray, mask: np.ndarray, labels: np.ndarray, rounds: int = 500, batch: int = 128, seed: int = 5) -> Network:
+    """Backpropagation with Adam on balanced batches of rows at hand; a fifth calibrates and sets the threshold."""
+    rng = np.random.default_rng(seed)
+    net = fresh(seed)
     apart = rng.random(len(labels)) < 0.2
     fit = [np.flatnonzero(~apart & (labels == k)) for k in (0, 1)]
     if not len(fit[0]) or not len(fit[1]):
@@ -271,43 +300,29 @@ def train(chars: np.ndarray, mask: np.ndarray, labels: np.ndarray, rounds: int =
     m, v = ([np.zeros_like(a) for a in net.arrays()] for _ in range(2))
     for i in range(rounds):
         pick = np.concatenate([rng.choice(own, batch // 2) for own in fit])
-        x, inside, y = chars[pick], mask[pick], labels[pick]
-        logit, (cols, h, top, pooled) = _forward(net, x, inside)
-        d = ((1 / (1 + np.exp(-logit)) - y) / len(y)).astype(np.float32)
-        steps = h.shape[1]
-        dpool = d[:, None] * net.dense
-        dh = (dpool[:, c:] / np.maximum(inside.sum(axis=1), 1)[:, None])[:, None, :] * inside[:, width // 2 : width // 2 + steps, None]
-        np.put_along_axis(dh, top[:, None], np.take_along_axis(dh, top[:, None], axis=1) + dpool[:, None, :c], axis=1)
-        dh = (dh * (h > 0)).reshape(-1, c)
-        dcols = (dh @ net.conv.reshape(c, -1)).reshape(len(y), steps, width, e + 1)
-        dx = np.zeros((len(y), x.shape[1], e), np.float32)
-        for k in range(width):
-            dx[:, k : k + steps] += dcols[:, :, k, :e]
-        dembed = np.zeros_like(net.embed)
-        np.add.at(dembed, x, dx)
-        grads = [dembed, (dh.T @ cols).reshape(net.conv.shape), dh.sum(axis=0), pooled.T @ d, d.sum(keepdims=True)]
-        for a, g, m1, v1 in zip(net.arrays(), grads, m, v):
-            m1 += 0.1 * (g - m1)
-            v1 += 0.01 * (g * g - v1)
-            a -= 0.01 * (m1 / (1 - 0.9 ** (i + 1))) / (np.sqrt(v1 / (1 - 0.99 ** (i + 1))) + 1e-8)
+        _step(net, m, v, i, chars[pick], mask[pick], labels[pick])
     held = apart if (apart & (labels == 1)).any() and (apart & (labels == 0)).any() else np.ones(len(labels), bool)
     return calibrate(net, chars[held], mask[held], labels[held])
 
 
-def calibrate(net: Network, chars: np.ndarray, mask: np.ndarray, labels: np.ndarray) -> Network:
-    """Platt's scaling, then the highest threshold that keeps RECALL of the findings."""
-    logit, target = _forward(net, chars, mask)[0].astype(np.float64), np.where(
-        labels == 1, 1 - 1 / (labels.sum() + 2), 1 / ((labels == 0).sum() + 2),
-    )
+def platt(net: Network, logit: np.ndarray, labels: np.ndarray, weight: np.ndarray) -> None:
+    """Slope and offset by Newton's method; weight: how many rows a logit stands for."""
+    positives, negatives = weight[labels == 1].sum(), weight[labels == 0].sum()
+    target = np.where(labels == 1, 1 - 1 / (positives + 2), 1 / (negatives + 2))
     a, b = 1.0, 0.0
     for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(a * logit + b, -30, 30)))
-        w = p * (1 - p) + 1e-6
-        g = np.array([((p - target) * logit).sum(), (p - target).sum()])
+        w = (p * (1 - p) + 1e-6) * weight
+        g = np.array([((p - target) * weight * logit).sum(), ((p - target) * weight).sum()])
         hess = np.array([[(w * logit * logit).sum() + 1e-3, (w * logit).sum()], [(w * logit).sum(), w.sum() + 1e-3]])
         step = np.linalg.solve(hess, g)
         a, b = a - 0.5 * step[0], b - 0.5 * step[1]
     net.slope, net.offset = float(a), float(b)
+
+
+def calibrate(net: Network, chars: np.ndarray, mask: np.ndarray, labels: np.ndarray) -> Network:
+    """Platt's scaling, then the highest threshold that keeps RECALL of the findings."""
+    platt(net, _forward(net, chars, mask)[0].astype(np.float64), labels, np.ones(len(labels)))
     found = np.sort(probability(net, chars, mask)[labels == 1])
     if len(found):
         net.threshold = float(found[int((1 - RECALL) * len(found))])
@@ -318,16 +333,97 @@ def probability(net: Network, chars: np.ndarray, mask: np.ndarray) -> np.ndarray
     return 1 / (1 + np.exp(-np.clip(net.slope * _forward(net, chars, mask)[0].astype(np.float64) + net.offset, -30, 30)))
 
 
-def train_on(findings: DataFrame, most: int = MOST) -> Network | None:
-    """findings: window, size, label (1: secret). A bounded, hashed sample of each label comes to the driver."""
-    rows = []
-    for label in (0, 1):
-        own = findings.filter(F.col("label") == label).select("window", "size", "label")
-        rows += sorted(sampled(own.distinct(), F.struct("window", "size"), most).collect())  # copies count once
-    if len({r.label for r in rows}) < 2:
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(chars, mask, labels) of CHUNK rows at a time, as they come."""
+    rows = (r for b in batches for r in zip(b.column("window").to_pylist(), b.column("size").to_pylist(), b.column("label").to_pylist()))
+    while some := list(islice(rows, CHUNK)):
+        windows, sizes, labels = zip(*some)
+        yield *encode(windows, [min(x, SPAN) for x in sizes]), np.array(labels)
+
+
+def _flat(arrays: list[np.ndarray]) -> np.ndarray:
+    return np.concatenate([a.ravel() for a in arrays])
+
+
+def _shaped(flat: np.ndarray, like: list[np.ndarray]) -> list[np.ndarray]:
+    cuts = np.cumsum([a.size for a in like])
+    return [part.reshape(a.shape).astype(np.float32) for part, a in zip(np.split(flat, cuts[:-1]), like)]
+
+
+def _learn(batches: Iterator[pa.RecordBatch], start: np.ndarray, done: int, again: int, batch: int = 128) -> Iterator[pa.RecordBatch]:
+    """The weights (with Adam's sums) after all rows of a task, from the round's start on; each row at least ``again`` times, labels balanced."""
+    like = fresh().arrays()
+    state = _shaped(start, like * 3)
+    net, m, v = Network(*state[:5]), state[5:10], state[10:]
+    n, i, half, rng = 0, done, batch // 2, np.random.default_rng(done)
+    for chars, mask, labels in _chunks(batches):
+        own = [k for k in (np.flatnonzero(labels == 0), np.flatnonzero(labels == 1)) if len(k)]
+        steps = again * -(-max(map(len, own)) // half)
+        orders = [np.concatenate([rng.permutation(k) for _ in range(-(-steps * half // len(k)))]) for k in own]
+        for s in range(steps):
+            pick = np.concatenate([o[s * half : (s + 1) * half] for o in orders])
+            _step(net, m, v, i, chars[pick], mask[pick], labels[pick])
+            i += 1
+        n += len(labels)
+    if n:
+        yield pa.RecordBatch.from_pydict({"n": [n], "steps": [i - done], "state": [_flat([*net.arrays(), *m, *v]).tolist()]}, schema=_LEARNED)
+
+
+_LEARNED = pa.schema([("n", pa.int64()), ("steps", pa.int64()), ("state", pa.list_(pa.float64()))])
+
+
+def _logits(batches: Iterator[pa.RecordBatch], net: Network) -> Iterator[pa.RecordBatch]:
+    for chars, mask, labels in _chunks(batches):
+        logit = np.concatenate([_forward(net, chars[k : k + 1024], mask[k : k + 1024])[0] for k in range(0, len(labels), 1024)])
+        yield pa.RecordBatch.from_pydict({"label": labels.astype(np.int32), "logit": logit.astype(np.float64)})
+
+
+def _calibrated(net: Network, held: DataFrame) -> Network:
+    """calibrate() over a table: Platt's scaling on counts of logits in steps of 1/1000, the threshold as the exact row of its rank."""
+    scored = stash(held.mapInArrow(lambda it: _logits(it, net), "label int, logit double").withColumn("bin", F.floor(F.col("logit") * 1000)))
+    bins = sorted(tuple(r) for r in scored.groupBy("bin", "label").agg(F.count("*").alias("n"), F.avg("logit").alias("at")).collect())
+    _, labels, counts, at = (np.array(x) for x in zip(*bins))
+    platt(net, at.astype(float), labels, counts.astype(float))
+    found = [(k, n) for k, label, n, _ in bins if label == 1]
+    rank, up = int((1 - RECALL) * sum(n for _, n in found)), net.slope >= 0
+    for k, n in found if up else found[::-1]:
+        if rank < n:
+            order = F.col("logit") if up else F.col("logit").desc()
+            logit = scored.filter((F.col("label") == 1) & (F.col("bin") == k)).orderBy(order).offset(rank).limit(1).first()["logit"]
+            net.threshold = float(1 / (1 + np.exp(-np.clip(net.slope * logit + net.offset, -30, 30))))
+            break
+        rank -= n
+    return net
+
+
+def train_on(findings: DataFrame) -> Network | None:
+    """findings: window, size, label (1: secret). A network that has learned from four fifths of them and is calibrated on the rest; equal ones count once."""
+    h = F.xxhash64("window", "size", "label")
+    place = lambda salt, n: F.pmod(F.xxhash64(h, F.lit(salt)), F.lit(n))
+    known = findings.filter(F.col("label").isin(0, 1)).select("window", "size", "label").distinct()
+    rows = stash(known.withColumns({"h": h, "held": place(1, 5) == 0, "slice": place(2, SLICES)}))
+    counts = {(r["held"], r["label"]): r["count"] for r in rows.groupBy("held", "label").count().collect()}
+    if {label for _, label in counts} != {0, 1}:
         return None
-    chars, mask = encode([r.window for r in rows], [min(r.size, SPAN) for r in rows])
-    return train(chars, mask, np.array([r.label for r in rows]))
+    both = lambda side: (side, 0) in counts and (side, 1) in counts
+    fit = rows.filter("NOT held") if both(False) else rows
+    held = rows.filter("held") if both(True) else rows
+    n = sum(k for (side, _), k in counts.items() if not side or not both(False))
+    slices = min(SLICES, -(-n // CHUNK))
+    tasks = min(MOST_TASKS, -(-n // (slices * CHUNK)))
+    again, done = max(1, -(-LEAST_SEEN // n)), 0
+    net = fresh()
+    state = np.concatenate([_flat(net.arrays()), np.zeros(2 * sum(a.size for a in net.arrays()))])
+    for k in range(slices):
+        own = fit.filter(F.col("slice") % slices == k).withColumn("bucket", place(3, tasks).cast("int"))
+        own = own.repartitionById(tasks, "bucket").sortWithinPartitions("h", "window", "size", "label")
+        own = own.select("window", "size", "label")
+        learned = own.mapInArrow(lambda it, s=state, d=done: _learn(it, s, d, again), "n bigint, steps bigint, state array<double>").collect()
+        if learned:
+            learned.sort(key=lambda r: (r["n"], r["state"][0]))
+            state = np.average([r["state"] for r in learned], axis=0, weights=[r["n"] for r in learned])
+            done += max(r["steps"] for r in learned)
+    return _calibrated(Network(*_shaped(state[: len(state) // 3], net.arrays())), held.select("window", "size", "label"))
 
 
 _SCORED = pa.schema([("doc_id", pa.int64()), ("row_key", pa.int64()), ("span", pa.string()), ("probability", pa.float64())])

@@ -123,3 +123,28 @@ def test_network_finds_keys_that_no_pattern_finds(spark):
     assert wrong <= 0.1 * caught, [x for i in plain for x in added[i]][:20]
     assert all(got[i].top_probability is not None for i in range(700) if i % 7 < 4)
     assert all(got[i].n_assign == 1 and got[i].n_hex == 1 for i in range(700) if i % 7 < 3)
+
+
+def test_every_finding_is_learned_from_or_held_out(spark, monkeypatch):
+    """More findings than any sample held: all come, in several slices and tasks, and the threshold keeps the recall of all that were held out."""
+    from caselens.llm import secret_scan as S
+
+    rng = random.Random(3)
+    draw = lambda letters: "".join(rng.choice(letters) for _ in range(20))
+    rows = [(" " * 24 + (draw("0123456789abcdef") if k % 3 == 0 else draw("etaoinshr")) + " and", 20, int(k % 3 == 0)) for k in range(20_000)]
+    df = spark.createDataFrame(rows * 2, "window string, size int, label int")
+    seen, held = [], []
+    learn, finish = type(df).mapInArrow, S._calibrated
+
+    def watched(self, f, schema, *more):
+        if "state" in str(schema):
+            seen.append(self.count())
+        return learn(self, f, schema, *more)
+
+    monkeypatch.setattr(type(df), "mapInArrow", watched)
+    monkeypatch.setattr(S, "_calibrated", lambda net, part: held.extend(part.collect()) or finish(net, part))
+    net = S.train_on(df)
+    assert sum(seen) + len(held) == len(set(rows)) and len(seen) > 1
+    p = S.probability(net, *S.encode([r.window for r in held], [20] * len(held)))
+    label = np.array([r.label for r in held])
+    assert (p[label == 1] >= net.threshold - 1e-6).mean() >= S.RECALL and (p[label == 0] >= net.threshold).mean() < 0.02
