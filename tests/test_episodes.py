@@ -89,3 +89,33 @@ def test_a_batch_does_not_read_what_was_written(spark, tmp_path):
         old.rename(tmp_path / old.name)
     assert step([3, 4, 4, 50, 51, 51]) == 6
     assert sorted(r.id for r in spark.read.parquet(places[1]).collect()) == [50, 51]
+
+
+def test_repositories_share_state_and_come_out_at_the_watermark(spark, tmp_path):
+    """Rows of state are as many as buckets ask for, whatever the repositories; sessions need not be in UTC."""
+    rows = log(200, [None, *(f"r{k}" for k in range(30))], seed=5, words=9, days=20)
+    newest = START + timedelta(days=60)
+    end, on = ("end", "end", newest, "x", ["x/y"]), ("on", "on", newest - timedelta(days=2), "x", ["x/y"])
+    above = ("above", "above", newest - timedelta(days=2) + timedelta(microseconds=500), "x", ["x/y"])
+    never = ("r1", "never", None, "x", ["x/y"])
+    more = ("end", "more", newest + timedelta(milliseconds=1), "x", ["x/y"])
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        found, state = [], []
+        for batch in ([*rows, end, on, above, never], [more]):
+            spark.createDataFrame(batch, LOG).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+            source = spark.readStream.schema(LOG).parquet(str(tmp_path / "in"))
+            out = S.stream_episodes(source, "2 days", buckets=2).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "state"))
+            with state_store(spark):
+                running = out.outputMode("append").trigger(availableNow=True).start(str(tmp_path / "out"))
+            running.awaitTermination()
+            state.append(max(p["stateOperators"][0]["numRowsTotal"] for p in running.recentProgress))
+            result = spark.read.parquet(str(tmp_path / "out")).collect()
+            assert len(result) == len({(r.repo, r.sha) for r in result})
+            found.append({(r.repo, r.sha): r.episode for r in result})
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+    assert found[0] == fold(rows) | {("on", "on"): 0}
+    assert found[1] == found[0] | {("above", "above"): 0}
+    assert max(state) <= 16  # at first one of them for each repository
